@@ -1,3 +1,91 @@
-"""Registered checks."""
+"""Checks for TF-IDF: X1 (per language), X2 (global), L4, L5, F9-F11."""
 
-from kestrel.plans.registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from kestrel.operators.tfidf import tfidf
+from kestrel.plans.registry import register
+from kestrel.plans.sqlparts import RULES_SQL, STOP_SQL, tokens_sql
+from kestrel.sources import driver
+
+
+def tfidf_sql_ctes(docs_cte: str, max_features: int, lexicon_cte: str | None = None) -> str:
+    """SQL for grouped TF-IDF over ``docs(grp, doc_id, text)``; defines ``sc(grp, term, df, cf, score)``
+    and ``summ(grp, total_unique_terms, total_documents)``."""
+    lex = lexicon_cte or "lexv AS (SELECT DISTINCT token AS term FROM tok)"
+    return f"""
+{docs_cte},
+tok AS (SELECT grp, doc_id, unnest({tokens_sql('text')}) AS token FROM docs),
+{lex},
+post0 AS (SELECT grp, doc_id, token, count(*) AS tf FROM tok WHERE NOT list_contains({STOP_SQL}, token) GROUP BY ALL),
+vocab AS (SELECT DISTINCT token AS term FROM post0),
+lcand AS (
+  SELECT v.term, rules.rule, left(v.term, length(v.term) - length(rules.suf)) || rules.rep AS cand
+  FROM vocab v CROSS JOIN {RULES_SQL}
+  WHERE suffix(v.term, rules.suf) AND length(v.term) > length(rules.suf)
+),
+lem AS (
+  SELECT term, arg_min(cand, length(cand) * 100 + rule) AS lemma FROM lcand
+  WHERE length(cand) < length(term) AND cand IN (SELECT term FROM lexv) GROUP BY term
+),
+post AS (
+  SELECT p.grp, p.doc_id, coalesce(l.lemma, p.token) AS term, sum(p.tf) AS tf
+  FROM post0 p LEFT JOIN lem l ON p.token = l.term
+  WHERE NOT list_contains({STOP_SQL}, coalesce(l.lemma, p.token)) AND length(coalesce(l.lemma, p.token)) >= 2
+  GROUP BY ALL
+),
+ndocs AS (SELECT grp, count(*) AS n FROM docs GROUP BY grp),
+dfs AS (SELECT grp, term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY ALL),
+pruned AS (
+  SELECT d.*, nd.n FROM dfs d JOIN ndocs nd ON d.grp = nd.grp
+  WHERE 0.8::DOUBLE * nd.n >= (CASE WHEN nd.n < 5 THEN 1 ELSE 2 END)
+    AND df >= (CASE WHEN nd.n < 5 THEN 1 ELSE 2 END) AND df <= 0.8::DOUBLE * nd.n
+),
+capped AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cf DESC, term) AS r FROM pruned)
+  WHERE r <= {max_features}
+),
+wts AS (
+  SELECT p.grp, p.doc_id, p.term, c.n, p.tf * (ln((1 + c.n) / (1 + c.df)) + 1) AS w
+  FROM post p JOIN capped c ON p.grp = c.grp AND p.term = c.term
+),
+wn AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY grp, doc_id)) AS wn FROM wts),
+sc0 AS (SELECT grp, term, sum(wn) / any_value(n) AS score FROM wn GROUP BY grp, term),
+sc AS (SELECT c.grp, c.term, c.df, c.cf, s.score FROM capped c JOIN sc0 s ON c.grp = s.grp AND c.term = s.term),
+summ AS (
+  SELECT nd.grp, coalesce(k.u, 0)::BIGINT AS total_unique_terms, nd.n AS total_documents
+  FROM ndocs nd LEFT JOIN (SELECT grp, count(*) AS u FROM capped GROUP BY grp) k ON nd.grp = k.grp
+)"""
+
+
+LANG_DOCS = "docs AS (SELECT lang AS grp, doc_id, text FROM documents)"
+ALL_DOCS = "docs AS (SELECT 0 AS grp, doc_id, text FROM documents)"
+
+
+@register("tfidf_top_terms", f"""
+WITH {tfidf_sql_ctes(LANG_DOCS, 1000)},
+top AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, term) AS rank FROM sc)
+SELECT grp AS lang, term, df, cf, round(score, 6) AS score, rank::INTEGER AS rank FROM top WHERE rank <= 20
+""")
+def tfidf_top_terms(spark, sf_dir):
+    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    res = tfidf(docs, ["lang"], max_features=1000)
+    return res.top(20).select("lang", "term", "df", "cf", F.round("score", 6).alias("score"), "rank")
+
+
+@register("tfidf_summary", f"""
+WITH {tfidf_sql_ctes(LANG_DOCS, 1000)}
+SELECT grp AS lang, total_unique_terms, total_documents FROM summ
+""")
+def tfidf_summary(spark, sf_dir):
+    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return tfidf(docs, ["lang"], max_features=1000).summary
+
+
+@register("global_terms", f"""
+WITH {tfidf_sql_ctes(ALL_DOCS, 5000)}
+SELECT term, df, cf, round(score, 6) AS score FROM sc
+""")
+def global_terms(spark, sf_dir):
+    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text")
+    res = tfidf(docs, [], max_features=5000)
+    return res.terms.select("term", "df", "cf", F.round("score", 6).alias("score"))
