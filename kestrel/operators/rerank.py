@@ -22,7 +22,8 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.operators.tfidf import postings, vocabulary
+from kestrel.operators.tfidf import apply_term_rules, postings, raw_postings
+from kestrel.session import cut_lineage
 
 SCORE_DIGITS = 9
 
@@ -38,11 +39,21 @@ class SparseIndex:
     id_col: str
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SparseIndex:
-    """M1: encode a corpus as normalised TF-IDF postings (persist with ``cut_lineage`` at scale)."""
-    lex = vocabulary(docs, text_col)
-    base = docs.select(id_col, text_col).withColumn("_g", F.lit(0))
-    post = postings(base, ["_g"], id_col, text_col, lex).drop("_g")
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                materialize: bool = True) -> SparseIndex:
+    """M1: encode a corpus as normalised TF-IDF postings.
+
+    The postings and lexicon are checkpointed (reliable checkpoint in the
+    cluster's shared folder) so every query, beam and round reuses one
+    tokenisation of the corpus, as the reference reuses its saved index.
+    """
+    raw = raw_postings(docs.select(id_col, text_col).withColumn("_g", F.lit(0)), ["_g"], id_col, text_col)
+    lex = raw.select(F.col("token").alias("term")).distinct()
+    if materialize:
+        lex = cut_lineage(lex)
+    post = apply_term_rules(raw, ["_g"], id_col, lex).drop("_g")
+    if materialize:
+        post = cut_lineage(post)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     dl = post.groupBy(id_col).agg(F.sum("tf").alias("dl"))
     n = n.crossJoin(dl.agg(F.sum("dl").alias("_tot"))).select(
@@ -55,6 +66,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     per_doc = Window.partitionBy(id_col)
     weights = (w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))
                .select(id_col, "term", "tf", "weight"))
+    if materialize:
+        weights = cut_lineage(weights)
+        terms = cut_lineage(terms)
+        n = cut_lineage(n)
+        dl = cut_lineage(dl)
     return SparseIndex(weights, terms, dl, lex, n, id_col)
 
 

@@ -47,23 +47,37 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(tokens(text_col)).alias("term")).distinct()
 
 
-def postings(docs: DataFrame, group_cols: Sequence[str], id_col: str = "doc_id", text_col: str = "text",
-             lexicon: DataFrame | None = None) -> DataFrame:
-    """(group..., doc, term, tf) after stop words, lemma and length rules."""
+def raw_postings(docs: DataFrame, group_cols: Sequence[str], id_col: str, text_col: str) -> DataFrame:
+    """(group..., doc, token, tf) for every token, stop words included: one tokenisation pass."""
+    return (token_rows(docs, list(group_cols), id_col, text_col)
+            .groupBy(*group_cols, id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def apply_term_rules(raw: DataFrame, group_cols: Sequence[str], id_col: str, lexicon: DataFrame) -> DataFrame:
+    """Stop words out, noun lemma (lexicon join on the distinct tokens), stop words out, length >= 2."""
     g = list(group_cols)
     stop = _stop_array()
-    tok = token_rows(docs, g, id_col, text_col)
-    raw = (tok.where(~F.array_contains(stop, F.col("token")))
-           .groupBy(*g, id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
-    lex = lexicon if lexicon is not None else vocabulary(docs, text_col)
-    lem = lemma_map(raw.select(F.col("token").alias("term")), "term", lex)
+    kept = raw.where(~F.array_contains(stop, F.col("token")))
+    lem = lemma_map(kept.select(F.col("token").alias("term")), "term", lexicon)
     term = F.coalesce(F.col("lemma"), F.col("token"))
-    return (raw.join(lem.withColumnRenamed("term", "token"), "token", "left")
+    return (kept.join(lem.withColumnRenamed("term", "token"), "token", "left")
             .withColumn("term", term)
             .where(~F.array_contains(stop, F.col("term")) & (F.length("term") >= 2))
             .groupBy(*g, id_col, "term").agg(F.sum("tf").alias("tf")))
 
 
+def postings(docs: DataFrame, group_cols: Sequence[str], id_col: str = "doc_id", text_col: str = "text",
+             lexicon: DataFrame | None = None) -> DataFrame:
+    """(group..., doc, term, tf) after stop words, lemma and length rules.
+
+    The default lexicon is the distinct tokens of the same pass, so the text is
+    tokenised once (the shared exchange is reused by the planner).
+    """
+    raw = raw_postings(docs, group_cols, id_col, text_col)
+    lex = lexicon if lexicon is not None else raw.select(F.col("token").alias("term")).distinct()
+    return apply_term_rules(raw, group_cols, id_col, lex)
+
+
 @dataclass
 class TfidfResult:
     terms: DataFrame    # group..., term, df, cf, score  (kept vocabulary)
