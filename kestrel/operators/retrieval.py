@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.vectors import dot, l2_normalize
+from kestrel.session import spread
 
 MAX_QUERY_BYTES = 64 * 1024 * 1024  # query matrix shipped with each task
 SCORE_DIGITS = 9  # scores are rounded before ranking so engines agree on ties
@@ -121,7 +122,7 @@ def _topk_pass(vectors, queries, k, id_col, vec_col, key_cols, qvec_col, fanout)
         [vectors.schema[id_col], T.StructField("score", T.DoubleType())]
         + [queries.schema[c] for c in key_cols])
     fn = _partial_topk_fn(qmat, keys, k, id_col, vec_col, key_cols)
-    partial = vectors.select(id_col, vec_col).mapInPandas(fn, schema)
+    partial = spread(vectors.select(id_col, vec_col)).mapInPandas(fn, schema)
     n_parts = vectors.rdd.getNumPartitions()
     order = [F.desc("score"), F.asc(id_col)]
     if n_parts > fanout:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import STOP_WORDS, lemma_map, tokens
+from kestrel.session import spread
 
 SCORE_DIGITS = 9
 
@@ -49,6 +50,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def raw_postings(docs: DataFrame, group_cols: Sequence[str], id_col: str, text_col: str) -> DataFrame:
     """(group..., doc, token, tf) for every token, stop words included: one tokenisation pass."""
+    docs = spread(docs.select(*group_cols, id_col, text_col))
     return (token_rows(docs, list(group_cols), id_col, text_col)
             .groupBy(*group_cols, id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
 

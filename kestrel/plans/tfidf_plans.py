@@ -8,52 +8,54 @@ from kestrel.plans.sqlparts import RULES_SQL, STOP_SQL, tokens_sql
 from kestrel.sources import driver
 
 
-def tfidf_sql_ctes(docs_cte: str, max_features: int, lexicon_cte: str | None = None) -> str:
-    """SQL for grouped TF-IDF over ``docs(grp, doc_id, text)``; defines ``sc(grp, term, df, cf, score)``
-    and ``summ(grp, total_unique_terms, total_documents)``."""
-    lex = lexicon_cte or "lexv AS (SELECT DISTINCT token AS term FROM tok)"
+def tfidf_sql_ctes(docs_cte: str, max_features: int, lexicon: str | None = None, p: str = "") -> str:
+    """SQL for grouped TF-IDF over ``{p}docs(grp, doc_id, text)``; defines ``{p}sc(grp, term, df, cf, score)``
+    and ``{p}summ(grp, total_unique_terms, total_documents)``.  ``lexicon`` names an existing CTE
+    of corpus tokens; by default the tokens of the same documents."""
+    lex_def = "" if lexicon else f"{p}lexv AS (SELECT DISTINCT token AS term FROM {p}tok),"
+    lex = lexicon or f"{p}lexv"
     return f"""
 {docs_cte},
-tok AS (SELECT grp, doc_id, unnest({tokens_sql('text')}) AS token FROM docs),
-{lex},
-post0 AS (SELECT grp, doc_id, token, count(*) AS tf FROM tok WHERE NOT list_contains({STOP_SQL}, token) GROUP BY ALL),
-vocab AS (SELECT DISTINCT token AS term FROM post0),
-lcand AS (
+{p}tok AS (SELECT grp, doc_id, unnest({tokens_sql('text')}) AS token FROM {p}docs),
+{lex_def}
+{p}post0 AS (SELECT grp, doc_id, token, count(*) AS tf FROM {p}tok WHERE NOT list_contains({STOP_SQL}, token) GROUP BY ALL),
+{p}vocab AS (SELECT DISTINCT token AS term FROM {p}post0),
+{p}lcand AS (
   SELECT v.term, rules.rule, left(v.term, length(v.term) - length(rules.suf)) || rules.rep AS cand
-  FROM vocab v CROSS JOIN {RULES_SQL}
+  FROM {p}vocab v CROSS JOIN {RULES_SQL}
   WHERE suffix(v.term, rules.suf) AND length(v.term) > length(rules.suf)
 ),
-lem AS (
-  SELECT term, arg_min(cand, length(cand) * 100 + rule) AS lemma FROM lcand
-  WHERE length(cand) < length(term) AND cand IN (SELECT term FROM lexv) GROUP BY term
+{p}lem AS (
+  SELECT term, arg_min(cand, length(cand) * 100 + rule) AS lemma FROM {p}lcand
+  WHERE length(cand) < length(term) AND cand IN (SELECT term FROM {lex}) GROUP BY term
 ),
-post AS (
-  SELECT p.grp, p.doc_id, coalesce(l.lemma, p.token) AS term, sum(p.tf) AS tf
-  FROM post0 p LEFT JOIN lem l ON p.token = l.term
-  WHERE NOT list_contains({STOP_SQL}, coalesce(l.lemma, p.token)) AND length(coalesce(l.lemma, p.token)) >= 2
+{p}post AS (
+  SELECT x.grp, x.doc_id, coalesce(l.lemma, x.token) AS term, sum(x.tf) AS tf
+  FROM {p}post0 x LEFT JOIN {p}lem l ON x.token = l.term
+  WHERE NOT list_contains({STOP_SQL}, coalesce(l.lemma, x.token)) AND length(coalesce(l.lemma, x.token)) >= 2
   GROUP BY ALL
 ),
-ndocs AS (SELECT grp, count(*) AS n FROM docs GROUP BY grp),
-dfs AS (SELECT grp, term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY ALL),
-pruned AS (
-  SELECT d.*, nd.n FROM dfs d JOIN ndocs nd ON d.grp = nd.grp
+{p}ndocs AS (SELECT grp, count(*) AS n FROM {p}docs GROUP BY grp),
+{p}dfs AS (SELECT grp, term, count(*) AS df, sum(tf) AS cf FROM {p}post GROUP BY ALL),
+{p}pruned AS (
+  SELECT d.*, nd.n FROM {p}dfs d JOIN {p}ndocs nd ON d.grp = nd.grp
   WHERE 0.8::DOUBLE * nd.n >= (CASE WHEN nd.n < 5 THEN 1 ELSE 2 END)
     AND df >= (CASE WHEN nd.n < 5 THEN 1 ELSE 2 END) AND df <= 0.8::DOUBLE * nd.n
 ),
-capped AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cf DESC, term) AS r FROM pruned)
+{p}capped AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cf DESC, term) AS r FROM {p}pruned)
   WHERE r <= {max_features}
 ),
-wts AS (
-  SELECT p.grp, p.doc_id, p.term, c.n, p.tf * (ln((1 + c.n) / (1 + c.df)) + 1) AS w
-  FROM post p JOIN capped c ON p.grp = c.grp AND p.term = c.term
+{p}wts AS (
+  SELECT x.grp, x.doc_id, x.term, c.n, x.tf * (ln((1 + c.n) / (1 + c.df)) + 1) AS w
+  FROM {p}post x JOIN {p}capped c ON x.grp = c.grp AND x.term = c.term
 ),
-wn AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY grp, doc_id)) AS wn FROM wts),
-sc0 AS (SELECT grp, term, sum(wn) / any_value(n) AS score FROM wn GROUP BY grp, term),
-sc AS (SELECT c.grp, c.term, c.df, c.cf, s.score FROM capped c JOIN sc0 s ON c.grp = s.grp AND c.term = s.term),
-summ AS (
+{p}wn AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY grp, doc_id)) AS wn FROM {p}wts),
+{p}sc0 AS (SELECT grp, term, sum(wn) / any_value(n) AS score FROM {p}wn GROUP BY grp, term),
+{p}sc AS (SELECT c.grp, c.term, c.df, c.cf, s.score FROM {p}capped c JOIN {p}sc0 s ON c.grp = s.grp AND c.term = s.term),
+{p}summ AS (
   SELECT nd.grp, coalesce(k.u, 0)::BIGINT AS total_unique_terms, nd.n AS total_documents
-  FROM ndocs nd LEFT JOIN (SELECT grp, count(*) AS u FROM capped GROUP BY grp) k ON nd.grp = k.grp
+  FROM {p}ndocs nd LEFT JOIN (SELECT grp, count(*) AS u FROM {p}capped GROUP BY grp) k ON nd.grp = k.grp
 )"""
 
 

@@ -26,12 +26,18 @@ DEFAULT_CONF = {
 
 def get_session(master: str | None = None, app: str = "kestrel",
                 shuffle_partitions: int | None = None,
-                extra: dict | None = None) -> SparkSession:
-    """Return the active session, or build one with AQE and UTC time."""
+                extra: dict | None = None, driver_memory: str | None = None) -> SparkSession:
+    """Return the active session, or build one with AQE and UTC time.
+
+    ``driver_memory`` only matters for local mode (the driver JVM is the
+    executor); on a cluster the platform sizes executors.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if driver_memory:
+        conf["spark.driver.memory"] = driver_memory
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -68,12 +74,27 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame, how: str = "checkpoint") -> DataFrame:
-    """Cut lineage with a reliable checkpoint (never a local one).
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work (tokenising, vector scoring) enough tasks.
+
+    Only when the input has fewer partitions than the cluster's default
+    parallelism (a small file, one row group) is it round-robin repartitioned;
+    a large input already split into many files is left untouched, so no
+    shuffle of the raw data is added at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def cut_lineage(df: DataFrame, how: str = "parquet") -> DataFrame:
+    """Cut lineage by materialising ``df`` in the shared checkpoint folder.
 
-    ``how='parquet'`` writes a Parquet table under the shared folder and reads
-    it back, which also survives executor loss and lets the next stage prune
-    columns.
+    ``how='parquet'`` (default) writes a Parquet table and reads it back: one
+    computation, survives executor loss, and later stages prune columns and
+    push filters into it.  ``how='checkpoint'`` uses a reliable RDD
+    checkpoint (never a local one).
     """
     spark = df.sparkSession
     if how == "parquet":
