@@ -89,7 +89,7 @@ def legacy_training_set(hits: DataFrame, base_labels: list[str], cap: int | None
     """Category -> base label (F24), strip text, exact-text dedup, seeded cap per class."""
     mapped = map_category_to_base(hits, base_labels, category_col).withColumn("label", F.col("base_label"))
     kept = nonempty_text(mapped.select(id_col, "text", "label"))
-    deduped = dedup_text(kept, "text", [id_col])
+    deduped = dedup_text(kept, "text", [id_col, "label"])  # first occurrence: id, then label
     return random_cap_per_class(deduped, "label", cap, id_col, seed)
 
 
