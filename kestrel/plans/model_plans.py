@@ -1,3 +1,88 @@
-"""Registered checks."""
+"""Checks for gating (P16, P17, J5), the audit (W10, U2) and the classifier."""
 
-from kestrel.plans.registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from kestrel.operators.classify import fit_classifier, predict
+from kestrel.operators.diagnose import similarity_audit
+from kestrel.operators.evaluate import evaluation_report, sample_predictions
+from kestrel.operators.expand import gate
+from kestrel.operators.split import train_dev_test_split
+from kestrel.plans.evaluate_plans import PRED_SQL, centroid_predictions
+from kestrel.plans.registry import register
+from kestrel.plans.rerank_plans import BASE, first_stage
+from kestrel.plans.retrieval_plans import centroid_hits
+from kestrel.plans.sqlparts import WS_CLASS
+from kestrel.sources import driver
+
+CONF_T, MIN_DOCS = 0.6, 50
+
+
+@register("gated_docs", PRED_SQL + f""",
+sc2 AS (SELECT cq.category, vn.id, round(list_dot_product(vn.e, cq.q), 9) AS score FROM vn CROSS JOIN cq),
+rk2 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, id) AS rank FROM sc2),
+hh AS (SELECT category, id AS review_id FROM rk2 WHERE rank <= 60 AND score >= 0.1),
+fl AS (SELECT h.*, coalesce(p.predicted_label = h.category AND p.confidence >= {CONF_T}, false) AS gated
+       FROM hh h LEFT JOIN pred p ON p.id = h.review_id),
+ng AS (SELECT category, count_if(gated) AS ng FROM fl GROUP BY category)
+SELECT fl.category, fl.review_id, fl.gated FROM fl JOIN ng ON fl.category = ng.category
+WHERE fl.gated OR ng.ng < {MIN_DOCS}
+""")
+def gated_docs(spark, sf_dir):
+    hits = centroid_hits(spark, sf_dir).select("category", F.col("id").alias("review_id"))
+    pred = centroid_predictions(spark, sf_dir).withColumnRenamed("id", "review_id")
+    return gate(hits, pred, CONF_T, MIN_DOCS).select("category", "review_id", "gated")
+
+
+@register("similarity_audit", f"""{BASE},
+ht AS (SELECT h.*, d.text FROM hits h JOIN documents d ON d.doc_id = h.doc_id),
+au AS (
+  SELECT *, row_number() OVER (PARTITION BY category, beam_id ORDER BY score DESC, doc_id) AS sim_rank,
+         len(list_intersect(regexp_split_to_array(lower(query), '{WS_CLASS}+'),
+                            regexp_split_to_array(lower(text), '{WS_CLASS}+'))) AS shared_words
+  FROM ht
+)
+SELECT category, beam_id, doc_id, sim_rank::INTEGER AS sim_rank, sim_rank <= 2 AND score > 0.5 AS relevant,
+       shared_words::INTEGER AS shared_words, score > 0.7 AND shared_words = 0 AS alert
+FROM au
+""")
+def similarity_audit_check(spark, sf_dir):
+    _, hits = first_stage(spark, sf_dir)
+    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text")
+    a = similarity_audit(hits.join(docs, "doc_id"))
+    return a.select("category", "beam_id", "doc_id", "sim_rank", "relevant", "shared_words", "alert")
+
+
+def _lang_model(spark, sf_dir):
+    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    split = train_dev_test_split(docs, "doc_id", "label").cache()
+    train = split.where("split = 'train'")
+    dev = split.where("split = 'dev'")
+    test = split.where("split = 'test'")
+    model, labels, _ = fit_classifier(train, dev, reg_grid=(0.0, 0.01), max_iter=30, num_features=1 << 16)
+    return model, labels, test
+
+
+@register("lr_predictions")
+def lr_predictions(spark, sf_dir):
+    """M6-M8: fit on the train split (language as the class), choose on dev, score test. Rows-only."""
+    model, labels, test = _lang_model(spark, sf_dir)
+    p = predict(model, labels, test)
+    return p.select("doc_id", F.col("label").alias("true_label"), "predicted_label",
+                    F.round("confidence", 6).alias("confidence"))
+
+
+@register("lr_eval_report")
+def lr_eval_report(spark, sf_dir):
+    """Nested one-row report of the classifier on the test split. Rows-only."""
+    model, labels, test = _lang_model(spark, sf_dir)
+    p = predict(model, labels, test).withColumn("true_label", F.col("label"))
+    rep = evaluation_report(p, "model_r0", "test_split", labels)
+    return rep.select("model_path", "total_samples", "round", F.to_json("metrics").alias("metrics"),
+                      F.to_json("confusion_matrix").alias("confusion_matrix"))
+
+
+@register("prediction_samples")
+def prediction_samples(spark, sf_dir):
+    """M9: ten seeded-random nearest-centroid predictions with correctness. Rows-only (sample feature)."""
+    p = centroid_predictions(spark, sf_dir).withColumnRenamed("id", "review_id")
+    return sample_predictions(p, 10, 42).select("review_id", "true_label", "predicted_label", "correct")
