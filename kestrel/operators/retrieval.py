@@ -26,6 +26,7 @@ from kestrel.functions.vectors import dot, l2_normalize
 from kestrel.session import spread
 
 MAX_QUERY_BYTES = 64 * 1024 * 1024  # query matrix shipped with each task
+MAX_QUERY_ROWS = 100_000
 SCORE_DIGITS = 9  # scores are rounded before ranking so engines agree on ties
 
 
@@ -97,33 +98,36 @@ def topk_exact(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str =
     fewer than k vectors exist.
     """
     key_cols = list(key_cols)
-    n_q = queries.count()
-    if n_q == 0:
+    q = queries.select(*key_cols, qvec_col)
+    # One bounded collect: at most MAX_QUERY_ROWS + 1 rows reach the driver.
+    qpdf = q.limit(MAX_QUERY_ROWS + 1).toPandas()
+    if len(qpdf) == 0:
         return _empty_hits(vectors, queries, id_col, key_cols)
-    dim = len(queries.select(qvec_col).first()[0])
-    n_chunks = max(1, math.ceil(n_q * dim * 8 / max_query_bytes))
-    parts = []
+    dim = len(qpdf[qvec_col].iloc[0])
+    if len(qpdf) <= MAX_QUERY_ROWS and len(qpdf) * dim * 8 <= max_query_bytes:
+        return _topk_pass(vectors, qpdf, q.schema, k, id_col, vec_col, key_cols, qvec_col, fanout)
+    # Too many queries to ship at once: hash chunks, one bounded collect and one pass each.
+    n_chunks = max(2, math.ceil(max(len(qpdf), MAX_QUERY_ROWS) * dim * 8 / max_query_bytes) * 4)
+    out = None
     for c in range(n_chunks):
-        qpart = queries if n_chunks == 1 else queries.where(
-            F.pmod(F.hash(*key_cols), F.lit(n_chunks)) == c)
-        parts.append(_topk_pass(vectors, qpart, k, id_col, vec_col, key_cols, qvec_col, fanout))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        part = q.where(F.pmod(F.hash(*key_cols), F.lit(n_chunks)) == c).toPandas()
+        if len(part) == 0:
+            continue
+        r = _topk_pass(vectors, part, q.schema, k, id_col, vec_col, key_cols, qvec_col, fanout)
+        out = r if out is None else out.unionByName(r)
     return out
 
 
-def _topk_pass(vectors, queries, k, id_col, vec_col, key_cols, qvec_col, fanout):
-    qpdf = queries.select(*key_cols, qvec_col).toPandas()  # size checked by the caller
-    qmat = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf[qvec_col]]) if len(qpdf) else \
-        np.zeros((0, 0))
+def _topk_pass(vectors, qpdf, qschema, k, id_col, vec_col, key_cols, qvec_col, fanout):
+    qmat = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf[qvec_col]])
     keys = qpdf[key_cols].reset_index(drop=True)
     schema = T.StructType(
         [vectors.schema[id_col], T.StructField("score", T.DoubleType())]
-        + [queries.schema[c] for c in key_cols])
+        + [qschema[c] for c in key_cols])
     fn = _partial_topk_fn(qmat, keys, k, id_col, vec_col, key_cols)
-    partial = spread(vectors.select(id_col, vec_col)).mapInPandas(fn, schema)
-    n_parts = vectors.rdd.getNumPartitions()
+    src = spread(vectors.select(id_col, vec_col))
+    partial = src.mapInPandas(fn, schema)
+    n_parts = src.rdd.getNumPartitions()
     order = [F.desc("score"), F.asc(id_col)]
     if n_parts > fanout:
         width = math.ceil(n_parts / fanout)
