@@ -110,12 +110,13 @@ def truncate(c, n: int) -> Column:
 
 
 _W = WS_CLASS[1:-1]
-# A whitespace-delimited chunk whose core (edge non-letters removed) is all letters.
-TOKEN_PATTERN = rf"(?<![^{_W}])[^\p{{L}}{_W}]*(\p{{L}}+)[^\p{{L}}{_W}]*(?![^{_W}])"
+# A whitespace-delimited chunk whose core (edge punctuation/symbols removed, digits
+# kept) is all letters: "(great)" -> great, "x2" and "42" -> nothing.
+TOKEN_PATTERN = rf"(?<![^{_W}])[^\p{{L}}\p{{N}}{_W}]*(\p{{L}}+)[^\p{{L}}\p{{N}}{_W}]*(?![^{_W}])"
 
 
 def tokens(c) -> Column:
-    """lower, split on whitespace, strip edge non-letters, keep pure-letter tokens.
+    """lower, split on whitespace, strip edge punctuation/symbols, keep pure-letter tokens.
 
     One regex pass per text (``regexp_extract_all``) instead of split +
     per-token lambdas; identical output, about twice as fast.
@@ -159,8 +160,13 @@ def lemma_map(vocab: DataFrame, term_col: str = "term", lexicon: DataFrame | Non
     that change are returned, so callers left-join and ``coalesce``.  Works on
     distinct terms, never per row of text.
     """
-    terms = vocab.select(F.col(term_col).alias("term")).distinct()
-    lex = (lexicon if lexicon is not None else terms).select(F.col(term_col if lexicon is not None else "term").alias("cand")).distinct()
+    suffix_ok = F.lit(False)
+    for suf in sorted({suf[-1] if suf != "men" else "men" for suf, _ in LEMMA_RULES}):
+        suffix_ok = suffix_ok | F.col("term").endswith(suf)
+    all_terms = vocab.select(F.col(term_col).alias("term"))
+    terms = all_terms.where(suffix_ok).distinct()  # only terms a rule can change
+    lex_src = lexicon.select(F.col(term_col).alias("term")) if lexicon is not None else all_terms
+    lex = lex_src.select(F.col("term").alias("cand")).distinct()
     rules = F.array(*[
         F.struct(F.lit(i).alias("rule"),
                  F.when(F.col("term").endswith(suf) & (F.length("term") > len(suf)),

@@ -20,9 +20,15 @@ def norm(v) -> Column:
 
 
 def l2_normalize(v) -> Column:
-    """unit-length vector in double; the zero vector stays zero."""
-    n = norm(v)
-    return F.transform(_c(v), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    """unit-length vector in double; the zero vector stays zero.
+
+    The sum of squares is computed once per vector (``aggregate`` finish
+    step), so the cost is O(d), not O(d^2).
+    """
+    v = _c(v)
+    return F.aggregate(
+        v, F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"),
+        lambda s: F.transform(v, lambda x: F.when(s > 0, x.cast("double") / F.sqrt(s)).otherwise(F.lit(0.0))))
 
 
 def dot(a, b) -> Column:

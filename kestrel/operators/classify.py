@@ -24,17 +24,19 @@ from kestrel.functions.vectors import argmax
 from kestrel.session import spread
 
 MAX_CENTROID_BYTES = 64 * 1024 * 1024
+MAX_CENTROIDS = 100_000
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, temperature: float = 10.0, *,
                      id_col: str = "id", vec_col: str = "embedding", label_col: str = "category",
                      cvec_col: str = "qvec") -> DataFrame:
     """Predictions (id, predicted_label, confidence, probs) from unit vectors and unit centroids."""
-    n = centroids.count()
-    dim = len(centroids.select(cvec_col).first()[0]) if n else 0
-    if n * dim * 8 > MAX_CENTROID_BYTES:
+    # one bounded collect of the K x d centroid matrix
+    cp = centroids.select(label_col, cvec_col).limit(MAX_CENTROIDS + 1).toPandas()
+    dim = len(cp[cvec_col].iloc[0]) if len(cp) else 0
+    if len(cp) > MAX_CENTROIDS or len(cp) * dim * 8 > MAX_CENTROID_BYTES:
         raise ValueError("centroid matrix too large to ship with tasks; use a model instead")
-    cp = centroids.select(label_col, cvec_col).orderBy(label_col).toPandas()
+    cp = cp.sort_values(label_col, kind="stable").reset_index(drop=True)
     labels = list(cp[label_col])
     cmat = np.stack([np.asarray(v, dtype=np.float64) for v in cp[cvec_col]])
 

@@ -63,7 +63,8 @@ def gate(hits: DataFrame, predictions: DataFrame | None, conf_threshold: float =
 
 def doc_lemmas(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Distinct (doc, lemma) over *all* tokens (stop words included): the lemmatised text as a set."""
-    raw = raw_postings(docs.select(id_col, text_col).withColumn("_g", F.lit(0)), ["_g"], id_col, text_col)
+    raw = cut_lineage(raw_postings(docs.select(id_col, text_col).withColumn("_g", F.lit(0)), ["_g"], id_col,
+                                   text_col))
     lem = lemma_map(raw.select(F.col("token").alias("term")), "term", lexicon)
     return (raw.join(lem.withColumnRenamed("term", "token"), "token", "left")
             .select(id_col, F.coalesce("lemma", "token").alias("term")).distinct())

@@ -48,6 +48,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokenisation of the corpus, as the reference reuses its saved index.
     """
     raw = raw_postings(docs.select(id_col, text_col).withColumn("_g", F.lit(0)), ["_g"], id_col, text_col)
+    if materialize:
+        raw = cut_lineage(raw)  # tokenise the corpus once
     lex = raw.select(F.col("token").alias("term")).distinct()
     if materialize:
         lex = cut_lineage(lex)
@@ -79,7 +81,8 @@ def encode_queries(index: SparseIndex, queries: DataFrame, key_cols: Sequence[st
     """M2: query text -> (keys..., term, qweight) with the corpus idf, L2-normalised."""
     keys = list(key_cols)
     q = queries.select(*keys, text_col).withColumn("_qid", F.to_json(F.struct(*keys)))
-    qp = postings(q.withColumn("_g", F.lit(0)), ["_g"], "_qid", text_col, index.lexicon).drop("_g")
+    qp = postings(q.withColumn("_g", F.lit(0)), ["_g"], "_qid", text_col, index.lexicon,
+                  materialize=False).drop("_g")
     qw = qp.join(index.terms.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     per_q = Window.partitionBy("_qid")
     qw = qw.withColumn("qweight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_q)))
@@ -107,7 +110,7 @@ def bm25(index: SparseIndex, hits: DataFrame, key_cols: Sequence[str], query_col
     idc = index.id_col
     qterms = postings(hits.select(*keys, query_col).distinct()
                       .withColumn("_qid", F.to_json(F.struct(*keys))).withColumn("_g", F.lit(0)),
-                      ["_g"], "_qid", query_col, index.lexicon).select("_qid", "term")
+                      ["_g"], "_qid", query_col, index.lexicon, materialize=False).select("_qid", "term")
     pairs = hits.select(*keys, idc).withColumn("_qid", F.to_json(F.struct(*keys)))
     pair_terms = pairs.join(qterms, "_qid")  # hits x query terms: bounded by the hit set
     stats = index.terms.crossJoin(F.broadcast(index.n_docs))  # one-row scalar

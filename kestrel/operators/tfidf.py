@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import STOP_WORDS, lemma_map, tokens
-from kestrel.session import spread
+from kestrel.session import cut_lineage, spread
 
 SCORE_DIGITS = 9
 
 
-def _stop_array():
-    return F.array(*[F.lit(w) for w in STOP_WORDS])
+def is_stop(c) -> F.Column:
+    """Stop-word test; ``isin`` over more than 10 literals is planned as a hash ``InSet``."""
+    return c.isin(STOP_WORDS)
 
 
 def token_rows(docs: DataFrame, group_cols: Sequence[str], id_col: str, text_col: str) -> DataFrame:
@@ -58,26 +59,31 @@ def raw_postings(docs: DataFrame, group_cols: Sequence[str], id_col: str, text_c
 def apply_term_rules(raw: DataFrame, group_cols: Sequence[str], id_col: str, lexicon: DataFrame) -> DataFrame:
     """Stop words out, noun lemma (lexicon join on the distinct tokens), stop words out, length >= 2."""
     g = list(group_cols)
-    stop = _stop_array()
-    kept = raw.where(~F.array_contains(stop, F.col("token")))
+    kept = raw.where(~is_stop(F.col("token")))
     lem = lemma_map(kept.select(F.col("token").alias("term")), "term", lexicon)
     term = F.coalesce(F.col("lemma"), F.col("token"))
     return (kept.join(lem.withColumnRenamed("term", "token"), "token", "left")
             .withColumn("term", term)
-            .where(~F.array_contains(stop, F.col("term")) & (F.length("term") >= 2))
+            .where(~is_stop(F.col("term")) & (F.length("term") >= 2))
             .groupBy(*g, id_col, "term").agg(F.sum("tf").alias("tf")))
 
 
 def postings(docs: DataFrame, group_cols: Sequence[str], id_col: str = "doc_id", text_col: str = "text",
-             lexicon: DataFrame | None = None) -> DataFrame:
+             lexicon: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """(group..., doc, term, tf) after stop words, lemma and length rules.
 
-    The default lexicon is the distinct tokens of the same pass, so the text is
-    tokenised once (the shared exchange is reused by the planner).
+    The text is tokenised once: the raw (doc, token) counts are written once
+    (``materialize``) and both the default lexicon and the term rules read
+    them; the ruled postings are written too, since TF-IDF reads them twice
+    (document frequencies and weights).  Query-side callers with a handful of
+    rows pass ``materialize=False``.
     """
     raw = raw_postings(docs, group_cols, id_col, text_col)
+    if materialize:
+        raw = cut_lineage(raw)
     lex = lexicon if lexicon is not None else raw.select(F.col("token").alias("term")).distinct()
-    return apply_term_rules(raw, group_cols, id_col, lex)
+    out = apply_term_rules(raw, group_cols, id_col, lex)
+    return cut_lineage(out) if materialize else out
 
 
 @dataclass

@@ -26,12 +26,10 @@ def _inputs(spark, sf_dir):
     idx, hits = first_stage(spark, sf_dir)
     rr = rerank(bm25(idx, hits, KEYS, "query"), K2, CE_T, KEYS)
     merged = merge_beams(rr, "union", "doc_id")
-    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text")
-    texts = cut_lineage(merged.select("category", "doc_id").join(docs, "doc_id"))
-    corpus_lemmas = cut_lineage(doc_lemmas(docs, idx.lexicon))
-    n_corpus = cut_lineage(docs.agg(F.count(F.lit(1)).alias("n")))
-    global_scores = cut_lineage(tfidf(docs, [], max_features=5000).terms.select("term", "score"))
-    return idx, texts, corpus_lemmas, n_corpus, global_scores
+    from kestrel.plans.corpus_cache import corpus_for
+    corpus = corpus_for(spark, sf_dir)
+    texts = cut_lineage(merged.select("category", "doc_id").join(corpus.docs, "doc_id"))
+    return idx, texts, corpus.lemmas, corpus.n, corpus.global_scores
 
 
 def _candidates(spark, sf_dir, beams_rows, top_n):

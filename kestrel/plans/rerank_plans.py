@@ -29,8 +29,8 @@ def beam_query_df(spark):
 
 
 def index_for(spark, sf_dir):
-    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return build_index(docs, "doc_id", "text")
+    from kestrel.plans.corpus_cache import corpus_for
+    return corpus_for(spark, sf_dir).index
 
 
 def first_stage(spark, sf_dir, k=K1):

@@ -50,7 +50,7 @@ scored AS (
 # Tokeniser (F9) in SQL: same whitespace set, same edge strip, same letter test.
 def tokens_sql(expr: str) -> str:
     return (f"list_filter(list_transform(regexp_split_to_array(lower({expr}), '{WS_CLASS}+'), "
-            r"lambda t: regexp_replace(t, '^\P{L}+|\P{L}+$', '', 'g')), "
+            r"lambda t: regexp_replace(t, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), "
             r"lambda t: regexp_full_match(t, '\p{L}+'))")
 
 

@@ -62,7 +62,7 @@ def test_metrics_zero_denominators(spark):
 
 
 def test_calibration_bins_and_nulls(spark):
-    rows = [("a", "a", 0.1), ("a", "b", 0.55), ("b", "b", 1.0), ("a", None, None)]
+    rows = [("a", "a", 0.1), ("a", "b", 0.5), ("b", "b", 1.0), ("a", None, None)]
     pred = spark.createDataFrame(rows, "true_label string, predicted_label string, confidence double")
     got = {r.bin: (r.n, r.accuracy) for r in calibration(pred, 10).collect()}
     assert got == {1: (1, 1.0), 5: (1, 0.0), 10: (1, 1.0)}
