@@ -82,6 +82,7 @@ def fit_classifier(train: DataFrame, dev: DataFrame, *, text_col: str = "text",
 
     labels = sorted(r[0] for r in train.select(label_col).distinct().collect())  # K labels, alphabetical
     k = len(labels)
+    dev = dev.where(F.col(label_col).isin(labels))  # P14: only labels the model can predict
     lab_idx = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label_col)) - 1
     base = _features(train, text_col).withColumn("_y", lab_idx.cast("double"))
     # label smoothing as weighted replication over the K classes

@@ -131,3 +131,28 @@ def sample_predictions(pred: DataFrame, n: int = 10, seed: int = 42, id_col: str
 __all__ = ["confusion", "confusion_matrix", "per_class", "metrics", "check_labels", "calibration",
            "training_summary", "evaluation_report", "sample_predictions", "confidence_bin", "correct_flag",
            "Window"]
+
+
+def attach_predictions(rows: DataFrame, pred: DataFrame, id_col: str = "review_id") -> DataFrame:
+    """Every row keeps its place; unmatched rows get null predictions (F25 makes them wrong)."""
+    return rows.join(pred, id_col, "left")
+
+
+def by_confidence(pred: DataFrame, conf_col: str = "confidence") -> DataFrame:
+    """Most confident first (ties by id for a stable order)."""
+    return pred.orderBy(F.desc_nulls_last(conf_col), *[c for c in pred.columns if c.endswith("_id")][:1])
+
+
+def label_slice(pred: DataFrame, label: str, n: int = 100, label_col: str = "predicted_label",
+                id_col: str = "review_id") -> DataFrame:
+    """Rows of one label, the first n in id order (the reference's head(100))."""
+    return pred.where(F.col(label_col) == label).orderBy(id_col).limit(n)
+
+
+def stage_counts(**stages: DataFrame) -> DataFrame:
+    """Rows per category after each named stage (one aggregate per stage, unioned)."""
+    out = None
+    for name, df in stages.items():
+        c = df.groupBy("category").agg(F.count(F.lit(1)).alias("n")).withColumn("stage", F.lit(name))
+        out = c if out is None else out.unionByName(c)
+    return out

@@ -241,3 +241,42 @@ def expand(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame, n_corpu
                              top_n=30, w_local=w_local, w_spec=w_spec, id_col=id_col)
     words = assign_same_query(c_same, b_same).unionByName(assign_distinct_queries(c_diff, b_diff, num_beams))
     return c_same.unionByName(c_diff), words
+
+
+# ---------------------------------------------------------------------------
+# Three-way score (X6, A12) and stored top candidates
+# ---------------------------------------------------------------------------
+
+def pair_score_term(index, cands: DataFrame, hits: DataFrame, n_docs: int = 20, *,
+                    id_col: str = "doc_id") -> DataFrame:
+    """Mean pair score of ``query + ' ' + word`` over the category's first ``n_docs`` hits.
+
+    ``hits`` has (category, doc, rank); the scorer is BM25 (M4).  Work is
+    bounded by candidates x ``n_docs`` pairs.
+    """
+    from kestrel.operators.rerank import bm25
+    top = hits.where(F.col("rank") <= n_docs).select("category", id_col).distinct()
+    q = cands.select("category", "beam_id", "word", F.concat_ws(" ", "query", "word").alias("cq"))
+    pairs = q.join(top, "category")  # candidates x n_docs per category
+    scored = bm25(index, pairs, ["category", "beam_id", "word"], "cq", out="pair_score")
+    return scored.groupBy("category", "beam_id", "word").agg(F.avg("pair_score").alias("pair_score"))
+
+
+def three_way_scores(cands: DataFrame, pair: DataFrame, w_local: float = 0.3, w_pair: float = 0.5,
+                     w_spec: float = 0.2) -> DataFrame:
+    """combined = w_local*norm(local) + w_pair*norm(pair) + w_spec*norm(spec), re-ranked."""
+    keys = ["category", "beam_id"]
+    out = (cands.join(pair, keys + ["word"], "left").withColumn("pair_score", F.coalesce("pair_score", F.lit(0.0)))
+           .withColumn("pair_score_normalized", normalize_group("pair_score", keys))
+           .withColumn("combined_score", F.lit(w_local) * F.col("local_tfidf_normalized")
+                       + F.lit(w_pair) * F.col("pair_score_normalized")
+                       + F.lit(w_spec) * F.col("category_specificity_normalized")))
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("combined_score", SCORE_DIGITS)), F.asc("rank"))
+    return out.withColumn("final_rank", F.row_number().over(w))
+
+
+def top_candidates(cands: DataFrame, n: int = 10) -> DataFrame:
+    """The first n candidates (final order) stored per (category, beam) as an array."""
+    return (cands.where(F.col("final_rank") <= n)
+            .groupBy("category", "beam_id")
+            .agg(F.array_sort(F.collect_list(F.struct("final_rank", "word", "combined_score"))).alias("top_candidates")))

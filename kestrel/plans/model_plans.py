@@ -81,8 +81,11 @@ def lr_eval_report(spark, sf_dir):
                       F.to_json("confusion_matrix").alias("confusion_matrix"))
 
 
-@register("prediction_samples")
+@register("prediction_samples", PRED_SQL + """
+SELECT id AS review_id, true_label, predicted_label, coalesce(true_label = predicted_label, false) AS correct
+FROM pred ORDER BY md5('42:' || id::VARCHAR), id LIMIT 10
+""")
 def prediction_samples(spark, sf_dir):
-    """M9: ten seeded-random nearest-centroid predictions with correctness. Rows-only (sample feature)."""
+    """M9: ten seeded-random nearest-centroid predictions with correctness (the sample is the feature)."""
     p = centroid_predictions(spark, sf_dir).withColumnRenamed("id", "review_id")
     return sample_predictions(p, 10, 42).select("review_id", "true_label", "predicted_label", "correct")

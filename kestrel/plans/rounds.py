@@ -149,3 +149,41 @@ def single_query_report(index: SparseIndex, docs: DataFrame, spark: SparkSession
 
 __all__ = ["RoundConfig", "RoundResult", "Corpus", "prepare_corpus", "run_round", "run_rounds",
            "round_document", "single_query_report", "min_score"]
+
+
+def setup_corpus(reviews: DataFrame, stratum: str | None = "label", dev_size: float = 0.15, test_size: float = 0.2,
+                 seed: int = 42, id_col: str = "review_id") -> tuple[DataFrame, Corpus]:
+    """Stratified 3-way split (L8), then the index over the train split only (M1, K5).
+
+    Returns the split table (written) and the train corpus artefacts.
+    """
+    from kestrel.operators.split import train_dev_test_split
+    split = cut_lineage(train_dev_test_split(reviews, id_col, stratum, dev_size, test_size, seed))
+    train = split.where(F.col("split") == "train").select(F.col(id_col).alias("doc_id"), "text")
+    return split, prepare_corpus(train)
+
+
+def length_profile(df: DataFrame, text_col: str = "text", token_counter=None) -> dict:
+    """Character and token statistics, histograms and per-model truncation."""
+    from kestrel.operators.profile import (
+        TOKEN_EDGES, TOKEN_LABELS, length_histogram, length_stats, over_limit, prefix_share, with_token_length,
+    )
+    d = with_token_length(df.withColumn("char_length", F.length(text_col)), text_col, "token_length",
+                          token_counter)
+    return {"chars": length_stats(d, "char_length", "samp"), "char_bins": length_histogram(d, "char_length"),
+            "tokens": length_stats(d, "token_length", "pop"),
+            "token_bins": length_histogram(d, "token_length", TOKEN_EDGES, TOKEN_LABELS, max_tokens=256),
+            "over_limit": over_limit(d, "token_length"), "prefixed": prefix_share(d, text_col)}
+
+
+def diagnose(hits: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> dict:
+    """Duplicate summary, overlap sets, prediction coverage, unexpected hits, gate effect, ambiguity."""
+    from kestrel.operators.diagnose import (
+        category_overlap, duplicate_summary, gate_effect, multi_high_confidence, prediction_coverage,
+        unexpected_hits,
+    )
+    return {"summary": duplicate_summary(hits), "overlap": category_overlap(hits),
+            "coverage": prediction_coverage(hits, predictions),
+            "unexpected": unexpected_hits(hits, predictions, threshold),
+            "gate": gate_effect(hits, predictions, threshold),
+            "multi_high_conf": multi_high_confidence(hits, predictions, threshold)}
