@@ -112,14 +112,15 @@ def truncate(c, n: int) -> Column:
 _W = WS_CLASS[1:-1]
 # A whitespace-delimited chunk whose core (edge punctuation/symbols removed, digits
 # kept) is all letters: "(great)" -> great, "x2" and "42" -> nothing.
-TOKEN_PATTERN = rf"(?<![^{_W}])[^\p{{L}}\p{{N}}{_W}]*(\p{{L}}+)[^\p{{L}}\p{{N}}{_W}]*(?![^{_W}])"
+TOKEN_PATTERN = rf"(?:^|[{_W}])[^\p{{L}}\p{{N}}{_W}]*+(\p{{L}}++)[^\p{{L}}\p{{N}}{_W}]*+(?=[{_W}]|$)"
 
 
 def tokens(c) -> Column:
     """lower, split on whitespace, strip edge punctuation/symbols, keep pure-letter tokens.
 
-    One regex pass per text (``regexp_extract_all``) instead of split +
-    per-token lambdas; identical output, about twice as fast.
+    One regex pass per text (``regexp_extract_all``; possessive quantifiers, no
+    look-behind) instead of split + per-token lambdas: identical output, about
+    four times faster.
     """
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(TOKEN_PATTERN), 1)
 
