@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.text import clean_text, first_or_null, parse_categories, prefix_name, size_or_zero
 from kestrel.operators.pseudo import seeded_order
+from kestrel.session import spread
 
 BASE_COLS = ["business_id", "name", "city", "state", "stars", "review_count", "categories",
              "categories_list", "category_count"]
@@ -76,6 +77,7 @@ def prepare_reviews(reviews: DataFrame, businesses: DataFrame | None = None, *,
     df = reviews
     if business_ids is not None:  # J1
         df = df.join(business_ids.select("business_id").distinct(), "business_id", "left_semi")
+    df = spread(df)  # regex cleaning is CPU-heavy: make sure it has enough tasks
     df = df.withColumn("text", clean_text("text")).withColumn("text_length", F.length("text"))
     df = df.where(F.col("text_length") >= min_len)  # P4
     if max_len:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import tokens
+from kestrel.session import spread
 
 # Bin edges and labels of the character and token histograms,
 # the reported percentiles, and the model sequence limits of the profile.
@@ -45,7 +46,7 @@ def default_token_count(text_col) -> Column:
 def with_token_length(df: DataFrame, text_col: str = "text", out: str = "token_length",
                       token_counter: Callable[[Column], Column] | None = None) -> DataFrame:
     counter = token_counter or default_token_count
-    return df.withColumn(out, counter(F.col(text_col)))
+    return spread(df).withColumn(out, counter(F.col(text_col)))
 
 
 def length_stats(df: DataFrame, col: str, std: str = "samp") -> DataFrame:

@@ -8,6 +8,7 @@ from kestrel.operators.profile import (
 )
 from kestrel.plans.registry import register
 from kestrel.plans.sqlparts import tokens_sql
+from kestrel.session import spread
 from kestrel.sources import driver
 
 DOC_LEN_CTE = f"""
@@ -15,8 +16,8 @@ d AS (SELECT length(text)::DOUBLE AS c, (len({tokens_sql('text')}) + {SPECIAL_TO
 
 
 def _docs(spark, sf_dir):
-    return (driver.table(spark, sf_dir, "documents")
-            .select(F.length("text").alias("c"), default_token_count(F.col("text")).alias("t")))
+    docs = spread(driver.table(spark, sf_dir, "documents").select("text"))
+    return docs.select(F.length("text").alias("c"), default_token_count(F.col("text")).alias("t"))
 
 
 def _stats_sql(measure, col, std):

@@ -92,3 +92,20 @@ def test_beam_words_distinct_queries_no_reuse(spark):
     got = {r.beam_id: r.suggested_word for r in assign_distinct_queries(cands, beams, 3).collect()}
     assert got == {1: "list", 2: "cellar", 3: "bar"}
     assert _finish is not None and F is not None
+
+
+def test_gate_min_docs_fallback(spark):
+    from kestrel.operators.expand import gate
+    hits, preds = [], []
+    for cat, n_gated in [("c49", 49), ("c50", 50)]:
+        for i in range(60):
+            rid = f"{cat}-{i}"
+            hits.append((cat, rid))
+            label = cat if i < n_gated else "other"
+            preds.append((rid, label, 0.9))
+    preds.append(("c50-0", "c50", 0.1))  # duplicate id: the higher confidence wins (J5)
+    h = spark.createDataFrame(hits, "category string, review_id string")
+    p = spark.createDataFrame(preds, "review_id string, predicted_label string, confidence double")
+    got = {r.category: r.n for r in gate(h, p, 0.6, 50).groupBy("category").count()
+           .withColumnRenamed("count", "n").collect()}
+    assert got == {"c49": 60, "c50": 50}  # 49 < 50 -> all docs kept; 50 -> gated only
