@@ -61,33 +61,44 @@ def gate(hits: DataFrame, predictions: DataFrame | None, conf_threshold: float =
 # Lemmatised text views and substring document frequency
 # ---------------------------------------------------------------------------
 
-def doc_lemmas(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Distinct (doc, lemma) over *all* tokens (stop words included): the lemmatised text as a set."""
-    raw = cut_lineage(raw_postings(docs.select(id_col, text_col).withColumn("_g", F.lit(0)), ["_g"], id_col,
-                                   text_col))
-    lem = lemma_map(raw.select(F.col("token").alias("term")), "term", lexicon)
+def doc_lemmas(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               raw: DataFrame | None = None, lemmas: DataFrame | None = None) -> DataFrame:
+    """Distinct (doc, lemma) over *all* tokens (stop words included): the lemmatised text as a set.
+
+    ``raw`` (doc, token, tf) and ``lemmas`` (term, lemma) may be passed in for the same corpus.
+    """
+    if raw is None:
+        raw = cut_lineage(raw_postings(docs.select(id_col, text_col).withColumn("_g", F.lit(0)), ["_g"], id_col,
+                                       text_col))
+    lem = lemmas if lemmas is not None else lemma_map(raw.select(F.col("token").alias("term")), "term", lexicon)
     return (raw.join(lem.withColumnRenamed("term", "token"), "token", "left")
             .select(id_col, F.coalesce("lemma", "token").alias("term")).distinct())
 
 
-def substring_df(words: DataFrame, dl: DataFrame, id_col: str = "doc_id", scope_cols: Sequence[str] = ()) -> DataFrame:
-    """Per word (and scope), the number of documents with a lemma containing the word.
+def substring_pairs(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(word, term) for every vocabulary term that contains the word.
 
-    ``words`` has ``word`` (+ scope columns); ``dl`` is (scope..., doc, term).
+    The vocabulary is expanded into its substrings of the candidate word
+    lengths only and equi-joined to the (bounded, broadcast) word list.
     """
-    scope = list(scope_cols)
     lengths = sorted({r[0] for r in words.select(F.length("word")).distinct().collect() if r[0]})
+    wd = words.select("word").distinct()
     if not lengths:
-        return words.select(*scope, "word").withColumn("n", F.lit(0).cast("bigint")).limit(0)
-    vocab = dl.select("term").distinct()
+        return wd.withColumn("term", F.lit(None).cast("string")).limit(0)
+    vocab = vocab.select("term").distinct()
     subs = None
     for n in lengths:
         s = (vocab.where(F.length("term") >= n)
              .select("term", F.explode(F.sequence(F.lit(1), F.length("term") - n + 1)).alias("_p"))
              .select("term", F.expr(f"substring(term, _p, {n})").alias("sub")))
         subs = s if subs is None else subs.unionByName(s)
-    wd = words.select("word").distinct()
-    pairs = subs.join(F.broadcast(wd), subs["sub"] == wd["word"]).select("word", "term").distinct()
+    return subs.join(F.broadcast(wd), subs["sub"] == wd["word"]).select("word", "term").distinct()
+
+
+def count_docs(words: DataFrame, pairs: DataFrame, dl: DataFrame, id_col: str = "doc_id",
+               scope_cols: Sequence[str] = ()) -> DataFrame:
+    """Per word (and scope): documents of ``dl`` (scope..., doc, term) having a term that contains it."""
+    scope = list(scope_cols)
     hits = dl.join(pairs, "term").select(*scope, id_col, "word").distinct()
     counts = hits.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("n"))
     return (words.select(*scope, "word").distinct()
@@ -95,6 +106,15 @@ def substring_df(words: DataFrame, dl: DataFrame, id_col: str = "doc_id", scope_
             .withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")))
 
 
+def substring_df(words: DataFrame, dl: DataFrame, id_col: str = "doc_id", scope_cols: Sequence[str] = ()) -> DataFrame:
+    """Per word (and scope), the number of documents with a lemma containing the word.
+
+    ``words`` has ``word`` (+ scope columns); ``dl`` is (scope..., doc, term).
+    """
+    pairs = substring_pairs(words, dl)
+    return count_docs(words, pairs, dl, id_col, scope_cols)
+
+
 # ---------------------------------------------------------------------------
 # Candidate scoring
 # ---------------------------------------------------------------------------
@@ -145,8 +165,10 @@ def rank_candidates(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame
     words = filtered.select("category", "word").distinct()
     local_dl = (texts.select("category", id_col).distinct()
                 .join(corpus_lemmas, id_col))
-    ldf = substring_df(words, local_dl, id_col, ["category"]).withColumnRenamed("n", "ldf")
-    gdf = substring_df(words.select("word").distinct(), corpus_lemmas, id_col).withColumnRenamed("n", "gdf")
+    # one (word, term) pair table from the corpus vocabulary serves both counts
+    pairs = cut_lineage(substring_pairs(words, corpus_lemmas))
+    ldf = count_docs(words, pairs, local_dl, id_col, ["category"]).withColumnRenamed("n", "ldf")
+    gdf = count_docs(words.select("word").distinct(), pairs, corpus_lemmas, id_col).withColumnRenamed("n", "gdf")
     n_local = texts.groupBy("category").agg(F.countDistinct(id_col).alias("L"))
     spec_in = (filtered.join(ldf, ["category", "word"]).join(gdf, "word")
                .join(F.broadcast(n_local), "category").crossJoin(F.broadcast(n_corpus.select(F.col("n").alias("G")))))

@@ -37,43 +37,53 @@ class SparseIndex:
     lexicon: DataFrame   # term (all corpus tokens)
     n_docs: DataFrame    # one row: n, avgdl
     id_col: str
+    postings: DataFrame | None = None  # id, term, tf (after the term rules)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                materialize: bool = True) -> SparseIndex:
+                materialize: bool = True, raw: DataFrame | None = None, lexicon: DataFrame | None = None,
+                lemmas: DataFrame | None = None) -> SparseIndex:
     """M1: encode a corpus as normalised TF-IDF postings.
 
-    The postings and lexicon are checkpointed (reliable checkpoint in the
-    cluster's shared folder) so every query, beam and round reuses one
-    tokenisation of the corpus, as the reference reuses its saved index.
+    The postings and lexicon are written once (Parquet in the shared
+    checkpoint folder) so every query, beam and round reuses one tokenisation
+    of the corpus, as the reference reuses its saved index.  ``raw``
+    (doc, token, tf), ``lexicon`` and ``lemmas`` may be passed in when the
+    caller already has them for the same corpus.
     """
-    raw = raw_postings(docs.select(id_col, text_col).withColumn("_g", F.lit(0)), ["_g"], id_col, text_col)
-    if materialize:
-        raw = cut_lineage(raw)  # tokenise the corpus once
-    lex = raw.select(F.col("token").alias("term")).distinct()
-    if materialize:
+    if raw is None:
+        raw = raw_postings(docs.select(id_col, text_col).withColumn("_g", F.lit(0)), ["_g"], id_col, text_col)
+        if materialize:
+            raw = cut_lineage(raw)  # tokenise the corpus once
+    if "_g" not in raw.columns:
+        raw = raw.withColumn("_g", F.lit(0))
+    lex = lexicon if lexicon is not None else raw.select(F.col("token").alias("term")).distinct()
+    if materialize and lexicon is None:
         lex = cut_lineage(lex)
-    post = apply_term_rules(raw, ["_g"], id_col, lex).drop("_g")
+    post = apply_term_rules(raw, ["_g"], id_col, lex, lemmas).drop("_g")
     if materialize:
         post = cut_lineage(post)
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    # each table is written before the ones that read it, so nothing is computed twice
     dl = post.groupBy(id_col).agg(F.sum("tf").alias("dl"))
-    n = n.crossJoin(dl.agg(F.sum("dl").alias("_tot"))).select(
+    if materialize:
+        dl = cut_lineage(dl)
+    n = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(dl.agg(F.sum("dl").alias("_tot"))).select(
         "n", (F.col("_tot") / F.col("n")).alias("avgdl"))  # two one-row aggregates
+    if materialize:
+        n = cut_lineage(n)
     terms = (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
              .crossJoin(F.broadcast(n.select("n")))  # one-row scalar
              .withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
              .drop("n"))
+    if materialize:
+        terms = cut_lineage(terms)
     w = post.join(terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
     per_doc = Window.partitionBy(id_col)
     weights = (w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))
                .select(id_col, "term", "tf", "weight"))
     if materialize:
         weights = cut_lineage(weights)
-        terms = cut_lineage(terms)
-        n = cut_lineage(n)
-        dl = cut_lineage(dl)
-    return SparseIndex(weights, terms, dl, lex, n, id_col)
+    return SparseIndex(weights, terms, dl, lex, n, id_col, post)
 
 
 def encode_queries(index: SparseIndex, queries: DataFrame, key_cols: Sequence[str],
@@ -108,6 +118,7 @@ def bm25(index: SparseIndex, hits: DataFrame, key_cols: Sequence[str], query_col
     """M4: BM25 of each (query, doc) hit; docs without a query term score 0."""
     keys = list(key_cols)
     idc = index.id_col
+    hits = cut_lineage(hits)  # bounded by queries x k; read three times below
     qterms = postings(hits.select(*keys, query_col).distinct()
                       .withColumn("_qid", F.to_json(F.struct(*keys))).withColumn("_g", F.lit(0)),
                       ["_g"], "_qid", query_col, index.lexicon, materialize=False).select("_qid", "term")

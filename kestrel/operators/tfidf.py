@@ -56,11 +56,15 @@ def raw_postings(docs: DataFrame, group_cols: Sequence[str], id_col: str, text_c
             .groupBy(*group_cols, id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def apply_term_rules(raw: DataFrame, group_cols: Sequence[str], id_col: str, lexicon: DataFrame) -> DataFrame:
-    """Stop words out, noun lemma (lexicon join on the distinct tokens), stop words out, length >= 2."""
+def apply_term_rules(raw: DataFrame, group_cols: Sequence[str], id_col: str, lexicon: DataFrame,
+                     lemmas: DataFrame | None = None) -> DataFrame:
+    """Stop words out, noun lemma (lexicon join on the distinct tokens), stop words out, length >= 2.
+
+    ``lemmas`` (term, lemma) may be passed when already computed for the corpus.
+    """
     g = list(group_cols)
     kept = raw.where(~is_stop(F.col("token")))
-    lem = lemma_map(kept.select(F.col("token").alias("term")), "term", lexicon)
+    lem = lemmas if lemmas is not None else lemma_map(kept.select(F.col("token").alias("term")), "term", lexicon)
     term = F.coalesce(F.col("lemma"), F.col("token"))
     return (kept.join(lem.withColumnRenamed("term", "token"), "token", "left")
             .withColumn("term", term)
@@ -108,6 +112,8 @@ def tfidf(docs: DataFrame, group_cols: Sequence[str] = (), *, id_col: str = "doc
         docs = docs.withColumn("_g", F.lit(0))
         g = ["_g"]
     p = post if post is not None else postings(docs, g, id_col, text_col, lexicon)
+    if "_g" in g and "_g" not in p.columns:
+        p = p.withColumn("_g", F.lit(0))
     ndocs = docs.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
     min_df = F.when(F.col("n") < 5, F.lit(1)).otherwise(F.lit(2))
     max_cnt = F.lit(max_df) * F.col("n").cast("double")

@@ -52,11 +52,18 @@ class Corpus:
 
 
 def prepare_corpus(docs: DataFrame) -> Corpus:
+    """Tokenise the corpus once, lemmatise its distinct tokens once, and derive the
+    index (M1), the lemma set (for J9) and the global term scores (X2, K8) from them."""
+    from kestrel.functions.text import lemma_map
+    from kestrel.operators.tfidf import raw_postings
     docs = docs.select("doc_id", "text")
-    index = build_index(docs)
-    lemmas = cut_lineage(doc_lemmas(docs, index.lexicon))
+    raw = cut_lineage(raw_postings(docs.withColumn("_g", F.lit(0)), ["_g"], "doc_id", "text"))
+    lex = cut_lineage(raw.select(F.col("token").alias("term")).distinct())
+    lem = cut_lineage(lemma_map(lex, "term", lex))
+    index = build_index(docs, raw=raw, lexicon=lex, lemmas=lem)
+    lemmas = cut_lineage(doc_lemmas(docs, lex, raw=raw, lemmas=lem))
     n = cut_lineage(docs.agg(F.count(F.lit(1)).alias("n")))
-    gs = cut_lineage(tfidf(docs, [], max_features=5000).terms.select("term", "score"))
+    gs = cut_lineage(tfidf(docs, [], max_features=5000, post=index.postings).terms.select("term", "score"))
     return Corpus(docs, index, lemmas, n, gs)
 
 
