@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.operators.pseudo import best_per_id
+from kestrel.session import cut_lineage
 
 STRATEGIES = ("union", "top_beam", "first")
 
@@ -55,6 +56,7 @@ def merge_beams(hits: DataFrame, strategy: str = "union", id_col: str = "review_
         best = best_per_id(keyed, "_key", score_col, "beam_id")
         return best.drop("_key")
     if strategy == "top_beam":
+        hits = cut_lineage(hits)  # bounded by beams x k; read twice (means, rows)
         means = beam_means(hits, score_col)
         w = Window.partitionBy("category").orderBy(F.desc("avg_score"), F.asc("beam_id"))
         chosen = means.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("category", "beam_id")

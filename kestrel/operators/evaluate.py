@@ -32,15 +32,21 @@ def confusion_matrix(pred: DataFrame, labels: Sequence[str], true_col: str = "tr
 
 
 def per_class(pred: DataFrame, true_col: str = "true_label", pred_col: str = "predicted_label") -> DataFrame:
-    """Tp, fp, fn, support, precision, recall, f1 per label (labels = observed true or predicted)."""
+    """Tp, fp, fn, support, precision, recall, f1 per label (labels = observed true or predicted).
+
+    One pass over the confusion counts: each (true, pred, n) cell contributes
+    to its true label (support, tp) and to its predicted label (n_pred).
+    """
     cm = confusion(pred, true_col, pred_col)
-    tp = cm.where(F.col("true_label") == F.col("predicted_label")).select(
-        F.col("true_label").alias("label"), F.col("n").alias("tp"))
-    sup = cm.groupBy(F.col("true_label").alias("label")).agg(F.sum("n").alias("support"))
-    npred = cm.groupBy(F.col("predicted_label").alias("label")).agg(F.sum("n").alias("n_pred"))
-    labels = sup.select("label").union(npred.select("label")).distinct().where(F.col("label").isNotNull())
-    out = (labels.join(tp, "label", "left").join(sup, "label", "left").join(npred, "label", "left")
-           .na.fill(0, ["tp", "support", "n_pred"]))
+    t, p_, n = F.col("true_label"), F.col("predicted_label"), F.col("n")
+    zero = F.lit(0).cast("bigint")
+    roles = F.array(
+        F.struct(t.alias("label"), n.alias("support"), F.when(t == p_, n).otherwise(zero).alias("tp"),
+                 zero.alias("n_pred")),
+        F.struct(p_.alias("label"), zero.alias("support"), zero.alias("tp"), n.alias("n_pred")))
+    out = (cm.select(F.explode(roles).alias("r")).select("r.*").where(F.col("label").isNotNull())
+           .groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
+                                 F.sum("n_pred").alias("n_pred")))
     p = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     out = out.withColumn("precision", p).withColumn("recall", r)

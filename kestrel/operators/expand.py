@@ -48,7 +48,8 @@ def gate(hits: DataFrame, predictions: DataFrame | None, conf_threshold: float =
     if predictions is None:
         return hits.withColumn("gated", F.lit(False))
     p = dedupe_predictions(predictions, id_col)
-    flagged = (hits.join(p, id_col, "left")
+    # bounded by the hit set and read twice below: written once
+    flagged = cut_lineage(hits.join(p, id_col, "left")
                .withColumn("gated", F.coalesce((F.col("predicted_label") == F.col(category_col))
                                                & (F.col("confidence") >= F.lit(conf_threshold)), F.lit(False)))
                .drop("predicted_label", "confidence"))
