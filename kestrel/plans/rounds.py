@@ -48,7 +48,7 @@ class Corpus:
     index: SparseIndex
     lemmas: DataFrame        # doc_id, term (all tokens, lemmatised)
     n: DataFrame             # one row n
-    global_scores: DataFrame  # term, score (cap 5000)
+    global_scores: DataFrame  # term, df, cf, score (cap 5000)
 
 
 def prepare_corpus(docs: DataFrame) -> Corpus:
@@ -63,7 +63,8 @@ def prepare_corpus(docs: DataFrame) -> Corpus:
     index = build_index(docs, raw=raw, lexicon=lex, lemmas=lem)
     lemmas = cut_lineage(doc_lemmas(docs, lex, raw=raw, lemmas=lem))
     n = cut_lineage(docs.agg(F.count(F.lit(1)).alias("n")))
-    gs = cut_lineage(tfidf(docs, [], max_features=5000, post=index.postings).terms.select("term", "score"))
+    gs = cut_lineage(tfidf(docs, [], max_features=5000, post=index.postings).terms
+                     .select("term", "df", "cf", "score"))
     return Corpus(docs, index, lemmas, n, gs)
 
 

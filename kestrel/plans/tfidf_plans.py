@@ -63,14 +63,23 @@ LANG_DOCS = "docs AS (SELECT lang AS grp, doc_id, text FROM documents)"
 ALL_DOCS = "docs AS (SELECT 0 AS grp, doc_id, text FROM documents)"
 
 
+def _lang_tfidf(spark, sf_dir):
+    """Per-language TF-IDF over the corpus postings (tokenised once per corpus; the term
+    rules do not depend on the group, so the cached postings are joined to the language)."""
+    from kestrel.plans.corpus_cache import corpus_for
+    corpus = corpus_for(spark, sf_dir)
+    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    post = corpus.index.postings.join(docs.select("doc_id", "lang"), "doc_id")
+    return tfidf(docs, ["lang"], max_features=1000, post=post)
+
+
 @register("tfidf_top_terms", f"""
 WITH {tfidf_sql_ctes(LANG_DOCS, 1000)},
 top AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, term) AS rank FROM sc)
 SELECT grp AS lang, term, df, cf, round(score, 6) AS score, rank::INTEGER AS rank FROM top WHERE rank <= 20
 """)
 def tfidf_top_terms(spark, sf_dir):
-    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    res = tfidf(docs, ["lang"], max_features=1000)
+    res = _lang_tfidf(spark, sf_dir)
     return res.top(20).select("lang", "term", "df", "cf", F.round("score", 6).alias("score"), "rank")
 
 
@@ -79,8 +88,7 @@ WITH {tfidf_sql_ctes(LANG_DOCS, 1000)}
 SELECT grp AS lang, total_unique_terms, total_documents FROM summ
 """)
 def tfidf_summary(spark, sf_dir):
-    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return tfidf(docs, ["lang"], max_features=1000).summary
+    return _lang_tfidf(spark, sf_dir).summary
 
 
 @register("global_terms", f"""
@@ -88,6 +96,7 @@ WITH {tfidf_sql_ctes(ALL_DOCS, 5000)}
 SELECT term, df, cf, round(score, 6) AS score FROM sc
 """)
 def global_terms(spark, sf_dir):
-    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text")
-    res = tfidf(docs, [], max_features=5000)
-    return res.terms.select("term", "df", "cf", F.round("score", 6).alias("score"))
+    """The corpus's global term statistics, computed once per corpus and reused."""
+    from kestrel.plans.corpus_cache import corpus_for
+    gs = corpus_for(spark, sf_dir).global_scores
+    return gs.select("term", "df", "cf", F.round("score", 6).alias("score"))
