@@ -10,7 +10,7 @@ from kestrel.operators.rerank import bm25, rerank
 from kestrel.operators.tfidf import tfidf
 from kestrel.plans.registry import register
 from kestrel.plans.rerank_plans import BEAM_QUERIES, CE_T, K2, KEYS, RERANKED, beam_query_df, first_stage
-from kestrel.plans.sqlparts import BLACKLIST_SQL, RULES_SQL, WS_CLASS, tokens_sql
+from kestrel.plans.sqlparts import BLACKLIST_SQL, RULES_SQL, WS_CLASS, postings_sql, tokens_sql
 from kestrel.plans.tfidf_plans import tfidf_sql_ctes
 from kestrel.session import cut_lineage
 from kestrel.sources import driver
@@ -174,3 +174,47 @@ picks AS (SELECT category, beam_id, word FROM (
 def beam_words_round0(spark, sf_dir):
     beams, cands = _candidates(spark, sf_dir, ROUND0_BEAMS, 50)
     return assign_same_query(cands, beams)
+
+
+# Three-way score with the pair scorer over each category's top 20 first-stage documents
+N_PAIR_DOCS = 20
+_BM = ("ln(1 + (nd.n - i.df + 0.5::DOUBLE) / (i.df + 0.5::DOUBLE)) * dw.tf * 2.2::DOUBLE"
+       " / (dw.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl.dl / avgdl.avgdl))")
+
+
+@register("expansion_three_way", f"""{_cand_sql(_DIFF_VALUES, 30)},
+xq AS (SELECT category || '|' || beam_id::VARCHAR || '|' || word AS xid, category, beam_id, word,
+              query || ' ' || word AS xquery FROM cand),
+{postings_sql('x_', 'xq', 'xid', 'xquery', 'lexv')},
+top20 AS (SELECT DISTINCT category, doc_id FROM hits WHERE rank <= {N_PAIR_DOCS}),
+xp AS (SELECT x.xid, t.doc_id FROM xq x JOIN top20 t ON t.category = x.category),
+xt AS (SELECT DISTINCT pid AS xid, term FROM x_post),
+bmx AS (
+  SELECT xp.xid, xp.doc_id, sum({_BM}) AS s
+  FROM xp JOIN xt ON xt.xid = xp.xid JOIN dw ON dw.doc_id = xp.doc_id AND dw.term = xt.term
+  JOIN dl ON dl.doc_id = xp.doc_id JOIN idf i ON i.term = xt.term CROSS JOIN nd CROSS JOIN avgdl
+  GROUP BY xp.xid, xp.doc_id
+),
+ps AS (
+  SELECT xp.xid, avg(round(coalesce(b.s, 0.0), 9)) AS pair_score
+  FROM xp LEFT JOIN bmx b ON b.xid = xp.xid AND b.doc_id = xp.doc_id GROUP BY xp.xid
+),
+c3 AS (SELECT c.*, coalesce(ps.pair_score, 0.0) AS pair_score FROM cand c JOIN xq ON xq.category = c.category
+       AND xq.beam_id = c.beam_id AND xq.word = c.word LEFT JOIN ps ON ps.xid = xq.xid),
+m3 AS (SELECT *, min(pair_score) OVER (PARTITION BY category, beam_id) AS plo,
+              max(pair_score) OVER (PARTITION BY category, beam_id) AS phi FROM c3),
+n3 AS (SELECT *, CASE WHEN phi = plo THEN (CASE WHEN phi = 0 THEN 0.0 ELSE 0.5 END)
+                      ELSE least(greatest((pair_score - plo) / (phi - plo), 0.001), 0.999) END AS pn FROM m3),
+k3 AS (SELECT *, 0.3 * local_tfidf_normalized + 0.5 * pn + 0.2 * category_specificity_normalized AS combined3 FROM n3)
+SELECT category, beam_id, word, round(pair_score, 6) AS pair_score, round(combined3, 6) AS combined_score,
+       row_number() OVER (PARTITION BY category, beam_id ORDER BY round(combined3, 9) DESC, rank)::INTEGER AS final_rank
+FROM k3
+""")
+def expansion_three_way(spark, sf_dir):
+    from kestrel.operators.expand import pair_score_term, three_way_scores
+    idx, hits = first_stage(spark, sf_dir)
+    _, cands = _candidates(spark, sf_dir, BEAM_QUERIES, 30)
+    pair = pair_score_term(idx, cands, hits, N_PAIR_DOCS)
+    out = three_way_scores(cands, pair, 0.3, 0.5, 0.2)
+    return out.select("category", "beam_id", "word", F.round("pair_score", 6).alias("pair_score"),
+                      F.round("combined_score", 6).alias("combined_score"), "final_rank")
