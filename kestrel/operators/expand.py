@@ -143,6 +143,11 @@ def filter_candidates(cands: DataFrame, beams: DataFrame, lexicon: DataFrame) ->
     black = F.array(*[F.lit(w) for w in GENERIC_BLACKLIST])
     per_beam = cands.join(beams.select("category", "beam_id", "query"), "category")
     kept = per_beam.where(~F.array_contains(black, F.lower("word")) & valid_candidate(F.col("word")))
+    # U4: a multi-word candidate whose words are all query tokens adds nothing
+    # (query lemmas are covered by the anti join below for single words).
+    parts = F.split(F.lower("word"), " ")
+    all_in_query = (F.size(parts) > 1) & (F.size(F.array_except(parts, query_words(F.col("query")))) == 0)
+    kept = kept.where(~all_in_query)
     return kept.join(qforms, ["category", "beam_id", "word"], "left_anti")
 
 
