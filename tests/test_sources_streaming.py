@@ -75,3 +75,27 @@ def test_streaming_ingest_counts_all(spark, tmpdir_path):
     n = ingest(spark, src, BUSINESS_SCHEMA, os.path.join(tmpdir_path, "sink"), os.path.join(tmpdir_path, "ck"))
     assert n >= 12
     assert spark.read.parquet(os.path.join(tmpdir_path, "sink")).where("business_id IS NOT NULL").count() == 12
+
+
+def test_round_document_reader(spark, tmpdir_path):
+    from kestrel.sources.io import read_round_hits
+    doc = {"round": "r0", "categories": [
+        {"category": "pub", "reviews": [{"review_id": "r1", "ce_score": 1.0, "text": "a"},
+                                        {"review_id": "r2", "ce_score": 0.5, "text": "b"}]},
+        {"category": "bar", "reviews": [{"review_id": "r1", "ce_score": 0.7, "text": "a"}]}]}
+    p = os.path.join(tmpdir_path, "round.json")
+    with open(p, "w") as f:
+        json.dump(doc, f, indent=2)
+    rows = sorted((r.category, r.review_id) for r in read_round_hits(spark, p).collect())
+    assert rows == [("bar", "r1"), ("pub", "r1"), ("pub", "r2")]
+
+
+def test_add_tfidf_analysis(spark):
+    from kestrel.sources.io import add_tfidf
+    results = spark.createDataFrame([("q1", 3), ("q2", 0)], "query string, total_retrieved long")
+    top = spark.createDataFrame([("q1", "wine", 0.4, 2), ("q1", "beer", 0.5, 1)],
+                                "query string, term string, score double, rank int")
+    summ = spark.createDataFrame([("q1", 10, 3)], "query string, total_unique_terms long, total_documents long")
+    out = {r.query: r.tfidf_analysis for r in add_tfidf(results, top, summ).collect()}
+    assert [w.word for w in out["q1"].top_words] == ["beer", "wine"]
+    assert out["q1"].total_unique_terms == 10 and out["q2"] is None
