@@ -32,3 +32,17 @@ def suffix_rows(rows, length=100):
         kept = bytes(c for c, x in zip(b, m) if not x)
         out.append((i, len(b), sum(m), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def split_words(text):
+    return (text or "").encode().split()
+
+
+def fm_rows(rows, length=20):
+    keys = sorted({(order_key(i), t or "") for i, t in rows})
+    masks = repeated_mask({k: split_words(k[1]) for k in keys}, length)
+    out = []
+    for i, t in rows:
+        w, m = split_words(t), masks[(order_key(i), t or "")]
+        out.append((i, len(w), sum(m), hashlib.sha256(b" ".join(x for x, g in zip(w, m) if not g)).hexdigest()))
+    return out
