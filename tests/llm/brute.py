@@ -46,3 +46,29 @@ def fm_rows(rows, length=20):
         w, m = split_words(t), masks[(order_key(i), t or "")]
         out.append((i, len(w), sum(m), hashlib.sha256(b" ".join(x for x, g in zip(w, m) if not g)).hexdigest()))
     return out
+
+
+def fingerprint(text, size=3):
+    import xxhash
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    w = low.split()
+    grams = [b" ".join(w[i:i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else [b" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(values, near):
+    """Least value reachable from each over ``near`` pairs."""
+    label = {v: v for v in values}
+
+    def find(v):
+        while label[v] != v:
+            v = label[v]
+        return v
+
+    for a in values:
+        for b in values:
+            if a < b and near(a, b):
+                ra, rb = find(a), find(b)
+                label[max(ra, rb)] = min(ra, rb)
+    return {v: find(v) for v in values}
