@@ -50,3 +50,37 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.simhash import near_duplicates
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+OP9_SQL = """
+WITH lines AS (
+  SELECT doc_id, pos, line FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+    FROM documents WHERE text IS NOT NULL)),
+runs AS (
+  SELECT doc_id, pos, line,
+    line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS run
+  FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+starts AS (
+  SELECT *, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS later FROM runs),
+marked AS (
+  SELECT doc_id, pos, line,
+    coalesce(bool_or(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM starts),
+edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS head FROM marked),
+per_doc AS (
+  SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_removed, sum(head::INT)::BIGINT AS n_runs,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept
+  FROM edges GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+  CASE WHEN d.text IS NOT NULL THEN sha256(kept) END AS kept_sha256
+FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
+"""
+
+
+@query(sql=OP9_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.line_dedup import dedup_lines
+    out = dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))

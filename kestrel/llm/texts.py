@@ -13,20 +13,27 @@ NULL_ID = -(1 << 63)
 CHUNK = 1 << 21
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, copy, listing, text) of every row, other columns left out.
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns, and a key: ``_id``, ``_copy`` and ``_listing``.
 
-    A null id becomes ``NULL_ID``, a null text the empty text.  Ids are nearly always unique;
-    where one repeats, its different texts are numbered by ``copy`` in text order, and rows that
-    agree in both are one document listed several times, numbered by ``listing`` from 1.
+    A null id becomes ``NULL_ID``; a null text counts as the empty text.  Ids are nearly always
+    unique; where one repeats, its different texts are numbered by ``_copy`` in text order, and rows
+    that agree in both are one document listed several times, numbered by ``_listing`` from 1.
     """
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-                    F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if d.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return d.select("doc_id", F.lit(0).alias("copy"), F.lit(1).alias("listing"), "text")
-    w = Window.partitionBy("doc_id").orderBy("text")
-    same = Window.partitionBy("doc_id", "text").orderBy("text")
-    return d.select("doc_id", (F.dense_rank().over(w) - 1).alias("copy"), F.row_number().over(same).alias("listing"), "text")
+    d = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
+    if d.groupBy("_id").count().where("count > 1").isEmpty():
+        return d.withColumn("_copy", F.lit(0)).withColumn("_listing", F.lit(1))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    same = Window.partitionBy("_id", text).orderBy(F.lit(0))
+    return (d.withColumn("_copy", F.dense_rank().over(Window.partitionBy("_id").orderBy(text)) - 1)
+            .withColumn("_listing", F.row_number().over(same)))
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, copy, listing, text) of every row by ``with_keys``; other columns are left out."""
+    return with_keys(docs.select(id_col, text_col), id_col, text_col).select(
+        F.col("_id").alias("doc_id"), F.col("_copy").alias("copy"), F.col("_listing").alias("listing"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def distinct(keyed_docs: DataFrame) -> DataFrame:
