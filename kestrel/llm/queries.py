@@ -84,3 +84,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.line_dedup import dedup_lines
     out = dedup_lines(table(spark, sf_dir, "documents"), counts=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.backoff_lm import score
+    return score(table(spark, sf_dir, "documents"))
