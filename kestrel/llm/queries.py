@@ -90,3 +90,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.backoff_lm import score
     return score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from kestrel.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
