@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kestrel.llm import hashing as H, texts as T
+from kestrel.llm.tally import Tally
 from kestrel.session import cut_lineage
 
 ALPHA = 0.1
@@ -118,37 +119,6 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at + np.arange(n + 1)
 
 
-class Tally:
-    """Counts of 64-bit values in a task; given out whenever too many are held."""
-
-    def __init__(self, limit: int = 3_000_000):
-        self.limit, self.key, self.n, self.new = limit, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-
-    def add(self, values: np.ndarray) -> None:
-        k, n = np.unique(values, return_counts=True)
-        self.new.append((k, n))
-        if sum(len(k) for k, _ in self.new) > 1_000_000:
-            self._fold()
-
-    def _fold(self) -> None:
-        key = np.concatenate([self.key, *(k for k, _ in self.new)])
-        n = np.concatenate([self.n, *(c for _, c in self.new)])
-        self.new = []
-        if len(key):
-            self.key, at = np.unique(key, return_inverse=True)
-            self.n = np.bincount(at, weights=n).astype(np.int64)
-
-    def take(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        if least:
-            if len(self.key) < least:
-                return
-        else:
-            self._fold()
-        for lo in range(0, len(self.key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(self.key[lo:lo + 100_000].view(np.int64)), pa.array(self.n[lo:lo + 100_000])], names=["gram", "n"])
-        self.key, self.n = self.key[:0], self.n[:0]
-
-
 def training(docs: DataFrame) -> DataFrame:
     """Whether a document is held out: crc32 of its id as text, modulo ten, is 0."""
     public = F.coalesce(T.public_id().cast("string"), F.lit(""))

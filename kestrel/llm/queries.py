@@ -97,3 +97,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from kestrel.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.perplexity import judge
+    out = judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log2_ppl")
