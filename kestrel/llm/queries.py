@@ -104,3 +104,9 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.perplexity import judge
     out = judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log2_ppl")
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.decontaminate import leaks
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
