@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of what they join.
 
-1. The test items' word n-grams are counted over all documents; each item keeps as seeds the
-   ``SEED_SHARE`` of its n-grams that the corpus has least of.  Rarity is relative to the item, so an
-   item that leaked into many documents still has its seeds.
+1. The test items' word n-grams are counted over all documents; each item keeps as seeds those that
+   the corpus has at most ``RARITY`` times as often as the item's median n-gram (or ``RARE`` times at
+   all).  Rarity is relative to the item, so an item that leaked into many documents keeps its seeds,
+   also those that only an edited copy shares with it.
 2. A scan of the documents finds seeds and cuts a passage around them, as far as the seed's item
    could reach with ``MARGIN`` more words on each side; passages that touch are one.
 3. Passages join items on seeds; every pair is aligned word by word (local alignment, linear
@@ -30,10 +31,10 @@ from kestrel.llm.tally import Tally
 from kestrel.session import cut_lineage
 
 SEED = 3
-SEED_SHARE = 0.5
+RARITY, RARE = 4.0, 16
 MARGIN = 6
 MATCH, MISMATCH, GAP = 2, 1, 1
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 SEEDS = 1_000_000
 #: Cells of one alignment batch.
 CELLS = 4_000_000
@@ -118,14 +119,12 @@ def gram_counts(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def seeds(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(item, gram, place, size) of the rarest n-grams of each item."""
+    """(item, gram, place, size) of the n-grams of each item that are rare for it and that the documents hold."""
     grams = cut_lineage(item_grams(items))
-    counted = grams.join(gram_counts(docs, grams), "gram", "left").select("item", "gram", "place", "size", F.coalesce("n", F.lit(0)).alias("n"))
-    # an item's n-grams are as many as its words, so this ranks within one row's worth of text
-    best = F.sort_array(F.collect_list(F.struct("n", "place", "gram")))
-    ranked = counted.groupBy("item", "size").agg(best.alias("all"))
-    keep = F.slice("all", 1, F.ceil(F.size("all") * SEED_SHARE).cast("int"))
-    return cut_lineage(ranked.select("item", "size", F.explode(keep).alias("s")).select("item", "s.gram", "s.place", "size"))
+    counted = grams.join(gram_counts(docs, grams), "gram")
+    usual = counted.groupBy("item").agg(F.median("n").alias("usual"))
+    rare = counted.join(usual, "item").where((F.col("n") <= RARE) | (F.col("n") <= RARITY * F.col("usual")))
+    return cut_lineage(rare.select("item", "gram", "place", "size"))
 
 
 PASSAGE = "doc_id long, copy int, start long, words array<long>, grams array<long>"

@@ -110,3 +110,56 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.decontaminate import leaks
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm import chat_format as C
+    forged = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.to_json(F.struct(F.lit(-1).alias("conv_id"), F.lit(forged).alias("prompt"), F.lit(forged).alias("response"))).alias("record"))
+    turns = C.turns_of_table(table(spark, sf_dir, "conversations")).unionByName(C.turns_of_records(extra))
+    return C.digests(C.formatted(turns))
+
+
+# The pages carry no fetch date and there is no list table: both are derived from the pages themselves.
+OP6_SQL = """
+WITH captures AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS DATE) AS fetched_on,
+    rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host FROM pages),
+hosts AS (SELECT DISTINCT host, regexp_replace(host, '^[^.]*[.]', '') AS parent,
+  length(host) * 37 + ascii(host) * 11 + ascii(reverse(host)) AS k FROM captures WHERE host LIKE '%.%.%'),
+entries AS (
+  SELECT host AS domain, CAST(DATE '2024-01-01' + CAST(k % 200 AS INTEGER) AS DATE) AS listed_on,
+    CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS rank FROM hosts
+  UNION ALL SELECT host, CAST(DATE '2024-01-01' + CAST(k % 200 + 90 AS INTEGER) AS DATE), 1 FROM hosts
+  UNION ALL SELECT parent, CAST(DATE '2024-01-01' + CAST(k % 300 AS INTEGER) AS DATE), 3 FROM hosts
+  UNION ALL SELECT parent, CAST(DATE '2024-01-01' + CAST(k % 300 + 30 AS INTEGER) AS DATE), 1 FROM hosts),
+spans AS (
+  SELECT domain, listed_on, rank, lead(listed_on) OVER (PARTITION BY domain ORDER BY listed_on) AS until
+  FROM (SELECT domain, listed_on, max(rank) AS rank FROM entries GROUP BY ALL)),
+met AS (
+  SELECT c.page_id, s.domain, s.rank, s.listed_on,
+    row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.domain) DESC) AS n
+  FROM captures c JOIN spans s ON (c.host = s.domain OR c.host LIKE '%.' || s.domain)
+    AND c.fetched_on >= s.listed_on AND (s.until IS NULL OR c.fetched_on < s.until) AND s.rank > 1)
+SELECT c.page_id, c.host, c.fetched_on, CASE m.rank WHEN 3 THEN 'block' WHEN 2 THEN 'allow' ELSE 'pass' END AS verdict,
+  m.domain AS matched, m.listed_on AS since
+FROM captures c LEFT JOIN met m ON c.page_id = m.page_id AND m.n = 1
+"""
+
+
+@query(sql=OP6_SQL)
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm import url_lists as U
+    first = F.lit("2024-01-01").cast("date")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(first, (F.col("page_id") * 37 % 366).cast("int")).alias("fetched_on"))
+    hosts = (captures.select(U.host_of(F.col("url")).alias("host")).where("host like '%.%.%'").distinct()
+             .withColumn("k", F.length("host") * 37 + F.ascii("host") * 11 + F.ascii(F.reverse("host")))
+             .withColumn("parent", F.regexp_replace("host", "^[^.]*[.]", "")))
+    state = F.element_at(F.array(F.lit("block"), F.lit("allow"), F.lit("off")), (F.col("k") % 3 + 1).cast("int"))
+    entry = lambda d, on, s: F.struct(F.col(d).alias("domain"), F.date_add(first, on.cast("int")).alias("listed_on"), s.alias("state"))
+    k = F.col("k")
+    entries = hosts.select(F.explode(F.array(
+        entry("host", k % 200, state), entry("host", k % 200 + 90, F.lit("off")),
+        entry("parent", k % 300, F.lit("block")), entry("parent", k % 300 + 30, F.lit("off")))).alias("e")).select("e.*")
+    return U.judge(captures, entries).select("page_id", "host", "fetched_on", "verdict", "matched", "since")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kestrel.llm import components, hashing as H, texts as T
 from kestrel.session import cut_lineage
@@ -71,18 +72,18 @@ def majority(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
+def fingerprints(docs: DataFrame, keys: list[str], shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
+    """``keys`` and the fingerprint ``fp`` of every row."""
+    rows = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = T.utf8(batch.column("text"))
+            data, off = T.utf8(batch.column("_text"))
             for lo, hi in T.pieces(off, T.CHUNK // 2):
                 fp = majority(*shingle_hashes(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], shingle))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in keys), pa.array(fp)], names=[*keys, "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, StructType([*(rows.schema[k] for k in keys), StructField("fp", LongType())]))
 
 
 def _posting_keys(fp: Column) -> Column:
@@ -202,13 +203,29 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             .sortWithinPartitions("key", "unsigned").mapInArrow(run, "a long, b long"))
 
 
+def roots(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``prints``, one row per fingerprint ``fp``, with the ``root`` of its component."""
+    root = components.roots(links(prints.select("fp"), max_bits))
+    return prints.join(root, prints.fp == root.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id: the least id reachable over links."""
-    marked = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marked = cut_lineage(fingerprints(rows, ["doc_id"], shingle))
     prints = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components.roots(links(prints.select("fp"), max_bits))
-    of_root = prints.join(root, prints.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_root.select("fp", "root").join(component, "root").select("fp", "component_id")
+    rooted = roots(prints, max_bits)
+    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(component, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of every component the document that ``texts.with_keys`` orders first, with all its columns."""
+    keyed = T.with_keys(docs, id_col, text_col)
+    marked = cut_lineage(fingerprints(keyed, ["_id", "_copy"], shingle, text_col))
+    prints = cut_lineage(marked.groupBy("fp").agg(F.min(F.struct("_id", "_copy")).alias("first")))
+    kept = roots(prints, max_bits).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    return keyed.where("_listing = 1").join(kept, ["_id", "_copy"], "left_semi").select(*docs.columns)
