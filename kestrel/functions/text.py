@@ -110,19 +110,22 @@ def truncate(c, n: int) -> Column:
 
 
 _W = WS_CLASS[1:-1]
-# A whitespace-delimited chunk whose core (edge punctuation/symbols removed, digits
-# kept) is all letters: "(great)" -> great, "x2" and "42" -> nothing.
-TOKEN_PATTERN = rf"(?:^|[{_W}])[^\p{{L}}\p{{N}}{_W}]*+(\p{{L}}++)[^\p{{L}}\p{{N}}{_W}]*+(?=[{_W}]|$)"
+# Fixed values, the public Treebank word rules: these marks are tokens of their own, so are dots in a
+# row, double dashes, and a comma or colon unless a digit follows; joined words come apart.
+SPLIT_MARKS = r"[;@#$%&?!*\[\](){}<>\"`\x{AB}\x{BB}\x{2018}\x{2019}\x{201C}-\x{201E}]|\.{2,}|--|[,:](?![0-9])"
+JOINED_WORDS = r"\b(?:can(?=not\b)|gim(?=me\b)|lem(?=me\b)|gon(?=na\b)|wan(?=na\b)|got(?=ta\b))"
+# What then stands between white space, without a contraction's end (n't, 's, 'll ...), outer apostrophes
+# and a final dot, is a word if it is all letters: "don't" -> do, "bar/pub", "x2" and "42" -> nothing.
+TOKEN_PATTERN = rf"(?:^|[{_W}])'*+(\p{{L}}+?)(?:n't|'(?:s|m|d|ll|re|ve))?'*+\.?(?=[{_W}]|$)"
 
 
 def tokens(c) -> Column:
-    """lower, split on whitespace, strip edge punctuation/symbols, keep pure-letter tokens.
+    """lower, split into words by the Treebank rules, keep pure-letter words.
 
-    One regex pass per text (``regexp_extract_all``; possessive quantifiers, no
-    look-behind) instead of split + per-token lambdas: identical output, about
-    four times faster.
+    Regex passes over the text instead of a split and a lambda per token.
     """
-    return F.regexp_extract_all(F.lower(_c(c)), F.lit(TOKEN_PATTERN), 1)
+    apart = F.regexp_replace(F.regexp_replace(F.lower(_c(c)), SPLIT_MARKS, " "), JOINED_WORDS, "$0 ")
+    return F.regexp_extract_all(apart, F.lit(TOKEN_PATTERN), 1)
 
 
 def valid_candidate(c) -> Column:

@@ -52,9 +52,7 @@ def merge_beams(hits: DataFrame, strategy: str = "union", id_col: str = "review_
     * ``first``: first occurrence in beam order.
     """
     if strategy == "union":
-        keyed = hits.withColumn("_key", F.to_json(F.struct("category", id_col)))
-        best = best_per_id(keyed, "_key", score_col, "beam_id")
-        return best.drop("_key")
+        return best_per_id(hits, ["category", id_col], score_col, "beam_id").select(*hits.columns)
     if strategy == "top_beam":
         hits = cut_lineage(hits)  # bounded by beams x k; read twice (means, rows)
         means = beam_means(hits, score_col)
@@ -62,8 +60,6 @@ def merge_beams(hits: DataFrame, strategy: str = "union", id_col: str = "review_
         chosen = means.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("category", "beam_id")
         return hits.join(F.broadcast(chosen), ["category", "beam_id"])  # one row per category
     if strategy == "first":
-        keyed = hits.withColumn("_key", F.to_json(F.struct("category", id_col)))
-        others = [c for c in keyed.columns if c != "_key"]
-        b = keyed.groupBy("_key").agg(F.min(F.struct(F.col("beam_id").alias("_o"), *others)).alias("_b"))
-        return b.select(*[F.col(f"_b.{c}").alias(c) for c in others])
+        b = hits.groupBy("category", id_col).agg(F.min(F.struct(F.col("beam_id").alias("_o"), *hits.columns)).alias("_b"))
+        return b.select(*[F.col(f"_b.{c}").alias(c) for c in hits.columns])
     raise ValueError(f"unknown beam strategy {strategy!r}; use one of {STRATEGIES}")

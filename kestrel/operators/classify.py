@@ -1,7 +1,7 @@
 """Classification as data operators.
 
 * ``nearest_centroid``: softmax over cosine to per-class centroids (Arrow
-  batch matmul in ``mapInPandas``; the centroid matrix is K x d, size-checked).
+  batch matmul in ``mapInPandas``; the centroid matrix is K x d, as wide as one row of the result).
 * ``fit_classifier``: Spark ML pipeline (tokens -> HashingTF -> IDF ->
   multinomial logistic regression).  Label smoothing is the same loss as
   replicating each row over the K classes with weights 1-eps+eps/K (own class)
@@ -23,19 +23,15 @@ from kestrel.functions.text import tokens
 from kestrel.functions.vectors import argmax
 from kestrel.session import spread
 
-MAX_CENTROID_BYTES = 64 * 1024 * 1024
-MAX_CENTROIDS = 100_000
+CENTROID_BLOCK = 1024  # classes scored against a batch at a time
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, temperature: float = 10.0, *,
                      id_col: str = "id", vec_col: str = "embedding", label_col: str = "category",
                      cvec_col: str = "qvec") -> DataFrame:
     """Predictions (id, predicted_label, confidence, probs) from unit vectors and unit centroids."""
-    # one bounded collect of the K x d centroid matrix
-    cp = centroids.select(label_col, cvec_col).limit(MAX_CENTROIDS + 1).toPandas()
-    dim = len(cp[cvec_col].iloc[0]) if len(cp) else 0
-    if len(cp) > MAX_CENTROIDS or len(cp) * dim * 8 > MAX_CENTROID_BYTES:
-        raise ValueError("centroid matrix too large to ship with tasks; use a model instead")
+    # every result row holds a probability per class, so K centroids are a few rows' worth of data
+    cp = centroids.select(label_col, cvec_col).toPandas()
     cp = cp.sort_values(label_col, kind="stable").reset_index(drop=True)
     labels = list(cp[label_col])
     cmat = np.stack([np.asarray(v, dtype=np.float64) for v in cp[cvec_col]])
@@ -45,7 +41,8 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, temperature: floa
             if len(pdf) == 0:
                 continue
             x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            z = np.round(x @ cmat.T, 12) * temperature
+            z = np.concatenate([np.round(x @ cmat[lo:lo + CENTROID_BLOCK].T, 12)
+                                for lo in range(0, len(cmat), CENTROID_BLOCK)], axis=1) * temperature
             z = z - z.max(axis=1, keepdims=True)
             e = np.exp(z)
             p = e / e.sum(axis=1, keepdims=True)

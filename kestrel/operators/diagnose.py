@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import overlap_words
+from kestrel.operators.predictions import dedupe_predictions
 
 
 def per_id_counts(hits: DataFrame, id_col: str = "review_id") -> DataFrame:
@@ -56,13 +57,13 @@ def prediction_coverage(hits: DataFrame, predictions: DataFrame, id_col: str = "
 
 
 def unexpected_hits(hits: DataFrame, predictions: DataFrame, threshold: float = 0.5, id_col: str = "review_id",
-                    category_col: str = "category") -> DataFrame:
+                    category_col: str = "category", order_col: str | None = None) -> DataFrame:
     """For duplicated ids with a prediction, retrieved categories the gate would not pass
     (expected = the predicted label when its confidence >= threshold)."""
     dup = duplicated_ids(hits, id_col)
     retrieved = (hits.join(dup, id_col, "left_semi")
                  .groupBy(id_col).agg(F.sort_array(F.collect_set(category_col)).alias("retrieved")))
-    p = predictions.select(id_col, "predicted_label", "confidence")
+    p = dedupe_predictions(predictions, id_col, order_col).select(id_col, "predicted_label", "confidence")
     expected = F.when(F.col("confidence") >= F.lit(threshold), F.array("predicted_label")) \
         .otherwise(F.array().cast("array<string>"))
     return (retrieved.join(p, id_col)
@@ -73,9 +74,9 @@ def unexpected_hits(hits: DataFrame, predictions: DataFrame, threshold: float =
 
 
 def gate_effect(hits: DataFrame, predictions: DataFrame, threshold: float = 0.5, min_docs: int = 50,
-                id_col: str = "review_id", category_col: str = "category") -> DataFrame:
+                id_col: str = "review_id", category_col: str = "category", order_col: str | None = None) -> DataFrame:
     """Per category retrieved, passing the gate, removed, % kept, no-effect and fallback flags."""
-    p = predictions.select(id_col, "predicted_label", "confidence")
+    p = dedupe_predictions(predictions, id_col, order_col).select(id_col, "predicted_label", "confidence")
     g = (hits.join(p, id_col, "left")
          .withColumn("_pass", F.coalesce((F.col("predicted_label") == F.col(category_col))
                                          & (F.col("confidence") >= F.lit(threshold)), F.lit(False))))
@@ -87,11 +88,11 @@ def gate_effect(hits: DataFrame, predictions: DataFrame, threshold: float = 0.5,
 
 
 def multi_high_confidence(hits: DataFrame, predictions: DataFrame, threshold: float = 0.5,
-                          id_col: str = "review_id", probs_col: str = "probs") -> DataFrame:
+                          id_col: str = "review_id", probs_col: str = "probs", order_col: str | None = None) -> DataFrame:
     """Duplicated ids whose probabilities reach the threshold for more than one class."""
     dup = duplicated_ids(hits, id_col)
     n_high = F.size(F.filter(F.map_values(probs_col), lambda x: x >= F.lit(threshold)))
-    return (predictions.join(dup, id_col, "left_semi")
+    return (dedupe_predictions(predictions, id_col, order_col).join(dup, id_col, "left_semi")
             .agg(F.count_if(n_high > 1).alias("multi_high_conf"), F.count(F.lit(1)).alias("duplicated_with_pred")))
 
 
@@ -103,6 +104,24 @@ def score_validity(scores: DataFrame, score_col: str = "ce_score") -> DataFrame:
                       F.min(ok).alias("min_score"), F.max(ok).alias("max_score"))
 
 
+def invalid_scores(scores: DataFrame, score_col: str = "ce_score") -> DataFrame:
+    """The rows whose score is NaN."""
+    return scores.where(F.isnan(score_col))
+
+
+def duplicate_detail(hits: DataFrame, predictions: DataFrame, threshold: float = 0.5, id_col: str = "review_id",
+                     category_col: str = "category", order_col: str | None = None) -> DataFrame:
+    """Every duplicated id with its categories, its prediction if any, and which of them pass the gate."""
+    dup = duplicated_ids(hits, id_col)
+    retrieved = (hits.join(dup, id_col, "left_semi").groupBy(id_col)
+                 .agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(category_col)).alias("retrieved")))
+    p = dedupe_predictions(predictions, id_col, order_col).select(id_col, "predicted_label", "confidence")
+    passes = F.filter("retrieved", lambda c: (c == F.col("predicted_label")) & (F.col("confidence") >= threshold))
+    return (retrieved.join(p, id_col, "left")
+            .withColumn("passing", F.coalesce(passes, F.array().cast("array<string>")))
+            .withColumn("unexpected", F.array_except("retrieved", "passing")))
+
+
 def similarity_audit(hits: DataFrame, query_col: str = "query", text_col: str = "text",
                      sim_col: str = "score", keys=("category", "beam_id"), id_col: str = "doc_id",
                      alert_at: float = 0.7) -> DataFrame:

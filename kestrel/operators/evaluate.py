@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.operators.relational import top_n
+
 
 def correct_flag(true_col: str = "true_label", pred_col: str = "predicted_label") -> F.Column:
     """equality with null -> false."""
@@ -130,13 +132,8 @@ def evaluation_report(pred: DataFrame, model_path: str, holdout: str, labels: Se
 def sample_predictions(pred: DataFrame, n: int = 10, seed: int = 42, id_col: str = "review_id") -> DataFrame:
     """M9: n seeded-random predictions with correctness."""
     from kestrel.operators.pseudo import seeded_order
-    return (pred.withColumn("correct", correct_flag())
-            .orderBy(seeded_order(id_col, seed), F.col(id_col)).limit(n))
-
-
-__all__ = ["confusion", "confusion_matrix", "per_class", "metrics", "check_labels", "calibration",
-           "training_summary", "evaluation_report", "sample_predictions", "confidence_bin", "correct_flag",
-           "Window"]
+    return top_n(pred.withColumn("correct", correct_flag()), n, [seeded_order(id_col, seed).asc(), F.asc(id_col)],
+                 spread_by=[id_col]).drop("_rn")
 
 
 def attach_predictions(rows: DataFrame, pred: DataFrame, id_col: str = "review_id") -> DataFrame:
@@ -144,15 +141,23 @@ def attach_predictions(rows: DataFrame, pred: DataFrame, id_col: str = "review_i
     return rows.join(pred, id_col, "left")
 
 
-def by_confidence(pred: DataFrame, conf_col: str = "confidence") -> DataFrame:
-    """Most confident first (ties by id for a stable order)."""
-    return pred.orderBy(F.desc_nulls_last(conf_col), *[c for c in pred.columns if c.endswith("_id")][:1])
+def by_confidence(pred: DataFrame, conf_col: str = "confidence", id_col: str = "review_id") -> DataFrame:
+    """Most confident first, ties by id."""
+    return pred.orderBy(F.desc_nulls_last(conf_col), F.asc(id_col))
+
+
+def label_slice(pred: DataFrame, label: str, n: int = 100, label_col: str = "true_label",
+                id_col: str = "review_id", conf_col: str = "confidence") -> DataFrame:
+    """The n most confident rows of one true label, ties by id."""
+    order = [F.desc_nulls_last(conf_col), F.asc(id_col)]
+    return top_n(pred.where(F.col(label_col) == label), n, order, spread_by=[id_col]).orderBy(*order).drop("_rn")
 
 
-def label_slice(pred: DataFrame, label: str, n: int = 100, label_col: str = "predicted_label",
-                id_col: str = "review_id") -> DataFrame:
-    """Rows of one label, the first n in id order (the reference's head(100))."""
-    return pred.where(F.col(label_col) == label).orderBy(id_col).limit(n)
+def calibration_report(rows: DataFrame, pred: DataFrame, bins: int = 10, id_col: str = "review_id") -> dict[str, DataFrame]:
+    """Join predictions to all rows (J4), order by confidence (L11), flag correctness (F25), bin."""
+    joined = attach_predictions(rows, pred, id_col).withColumn("correct", correct_flag())
+    return {"rows": by_confidence(joined, id_col=id_col), "bins": calibration(joined, bins),
+            "bins_by_label": calibration(joined, bins, by="true_label")}
 
 
 def stage_counts(**stages: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import GENERIC_BLACKLIST, WS_CLASS, lemma_map, valid_candidate
+from kestrel.operators.predictions import dedupe_predictions
+from kestrel.operators.relational import top_n
 from kestrel.operators.tfidf import raw_postings, tfidf
 from kestrel.session import cut_lineage
 
@@ -33,28 +35,20 @@ SCORE_DIGITS = 9
 # Gating (X8: P16, P17, J5)
 # ---------------------------------------------------------------------------
 
-def dedupe_predictions(pred: DataFrame, id_col: str = "review_id") -> DataFrame:
-    """One prediction per id (highest confidence, then label, on duplicates)."""
-    return (pred.groupBy(id_col)
-            .agg(F.max(F.struct(F.col("confidence"), F.col("predicted_label"))).alias("_p"))
-            .select(id_col, F.col("_p.predicted_label").alias("predicted_label"),
-                    F.col("_p.confidence").alias("confidence")))
-
-
 def gate(hits: DataFrame, predictions: DataFrame | None, conf_threshold: float = 0.6, min_docs: int = 50,
-         id_col: str = "review_id", category_col: str = "category") -> DataFrame:
+         id_col: str = "review_id", category_col: str = "category", order_col: str | None = None) -> DataFrame:
     """P16 + P17: keep hits predicted as their category with confidence >= t;
     a category with fewer than ``min_docs`` such hits keeps all of its hits."""
     if predictions is None:
         return hits.withColumn("gated", F.lit(False))
-    p = dedupe_predictions(predictions, id_col)
+    p = dedupe_predictions(predictions, id_col, order_col)
     # bounded by the hit set and read twice below: written once
     flagged = cut_lineage(hits.join(p, id_col, "left")
                .withColumn("gated", F.coalesce((F.col("predicted_label") == F.col(category_col))
                                                & (F.col("confidence") >= F.lit(conf_threshold)), F.lit(False)))
                .drop("predicted_label", "confidence"))
     counts = flagged.groupBy(category_col).agg(F.count_if("gated").alias("_ng"))
-    return (flagged.join(F.broadcast(counts), category_col)  # one row per category
+    return (flagged.join(counts, category_col)  # one row per category
             .where(F.col("gated") | (F.col("_ng") < min_docs)).drop("_ng"))
 
 
@@ -87,13 +81,11 @@ def substring_pairs(words: DataFrame, vocab: DataFrame) -> DataFrame:
     if not lengths:
         return wd.withColumn("term", F.lit(None).cast("string")).limit(0)
     vocab = vocab.select("term").distinct()
-    subs = None
-    for n in lengths:
-        s = (vocab.where(F.length("term") >= n)
-             .select("term", F.explode(F.sequence(F.lit(1), F.length("term") - n + 1)).alias("_p"))
-             .select("term", F.expr(f"substring(term, _p, {n})").alias("sub")))
-        subs = s if subs is None else subs.unionByName(s)
-    return subs.join(F.broadcast(wd), subs["sub"] == wd["word"]).select("word", "term").distinct()
+    # one pass: every term gives its substrings of all wanted lengths
+    subs = (vocab.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in lengths]))).where(F.length("term") >= F.col("_n"))
+            .withColumn("_p", F.explode(F.sequence(F.lit(1), F.length("term") - F.col("_n") + 1)))
+            .select("term", F.substring("term", F.col("_p"), F.col("_n")).alias("sub")))
+    return subs.join(wd, subs["sub"] == wd["word"]).select("word", "term").distinct()
 
 
 def count_docs(words: DataFrame, pairs: DataFrame, dl: DataFrame, id_col: str = "doc_id",
@@ -153,9 +145,12 @@ def filter_candidates(cands: DataFrame, beams: DataFrame, lexicon: DataFrame) ->
 
 def rank_candidates(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame, n_corpus: DataFrame,
                     global_scores: DataFrame | None, lexicon: DataFrame, *, top_n: int = 50,
-                    w_local: float = 0.4, w_spec: float = 0.6, id_col: str = "doc_id") -> DataFrame:
+                    w_local: float = 0.4, w_spec: float = 0.6, id_col: str = "doc_id",
+                    limits: DataFrame | None = None) -> DataFrame:
     """Candidates per (category, beam) with all scores, ``rank`` and ``final_rank``.
 
+    ``limits`` (category, n_candidates) may ask for fewer than ``top_n`` in some categories.
+
     ``texts``: (category, doc, text) used for TF-IDF; ``beams``: (category,
     beam_id, query); ``corpus_lemmas``: (doc, term) of the whole corpus;
     ``n_corpus``: one row ``n``; ``global_scores``: (term, score) or None.
@@ -164,6 +159,9 @@ def rank_candidates(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame
                   max_features=1000, lexicon=lexicon)
     cands = local.top(top_n).select("category", F.col("term").alias("word"),
                                     F.col("score").alias("local_tfidf"), F.col("rank").alias("tfidf_rank"))
+    if limits is not None:
+        cands = (cands.join(limits, "category").where(F.col("tfidf_rank") <= F.col("n_candidates"))
+                 .drop("n_candidates"))
     # Materialise the (small, bounded) candidate set: it feeds three branches and
     # the substring lengths; this is the one action inside the operator.
     filtered = cut_lineage(filter_candidates(cands, beams, lexicon))
@@ -177,7 +175,7 @@ def rank_candidates(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame
     gdf = count_docs(words.select("word").distinct(), pairs, corpus_lemmas, id_col).withColumnRenamed("n", "gdf")
     n_local = texts.groupBy("category").agg(F.countDistinct(id_col).alias("L"))
     spec_in = (filtered.join(ldf, ["category", "word"]).join(gdf, "word")
-               .join(F.broadcast(n_local), "category").crossJoin(F.broadcast(n_corpus.select(F.col("n").alias("G")))))
+               .join(n_local, "category").crossJoin(F.broadcast(n_corpus.select(F.col("n").alias("G")))))
     ratio = (F.col("ldf") / F.col("L")) / (F.col("gdf") / F.col("G") + F.lit(EPS))
     penalty = (F.size(F.split("word", " ")) - 1) * 0.5
     spec = (F.log1p(ratio) - penalty) if global_scores is not None else F.lit(0.0)
@@ -261,14 +259,14 @@ def expand(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame, n_corpu
     same = all_same_query(beams)
     b_same = beams.join(same.where("same_query"), "category", "left_semi")
     b_diff = beams.join(same.where("NOT same_query"), "category", "left_semi")
-    t_same = texts.join(same.where("same_query"), "category", "left_semi")
-    t_diff = texts.join(same.where("NOT same_query"), "category", "left_semi")
-    c_same = rank_candidates(t_same, b_same, corpus_lemmas, n_corpus, global_scores, lexicon,
-                             top_n=50, w_local=w_local, w_spec=w_spec, id_col=id_col)
-    c_diff = rank_candidates(t_diff, b_diff, corpus_lemmas, n_corpus, global_scores, lexicon,
-                             top_n=30, w_local=w_local, w_spec=w_spec, id_col=id_col)
+    # one ranking for all categories, written once: the two assignments read their own part
+    limits = same.select("category", F.when(F.col("same_query"), 50).otherwise(30).alias("n_candidates"))
+    cands = cut_lineage(rank_candidates(texts, beams, corpus_lemmas, n_corpus, global_scores, lexicon,
+                                        top_n=50, w_local=w_local, w_spec=w_spec, id_col=id_col, limits=limits))
+    c_same = cands.join(same.where("same_query"), "category", "left_semi")
+    c_diff = cands.join(same.where("NOT same_query"), "category", "left_semi")
     words = assign_same_query(c_same, b_same).unionByName(assign_distinct_queries(c_diff, b_diff, num_beams))
-    return c_same.unionByName(c_diff), words
+    return cands, words
 
 
 # ---------------------------------------------------------------------------
@@ -277,13 +275,14 @@ def expand(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame, n_corpu
 
 def pair_score_term(index, cands: DataFrame, hits: DataFrame, n_docs: int = 20, *,
                     id_col: str = "doc_id") -> DataFrame:
-    """Mean pair score of ``query + ' ' + word`` over the category's first ``n_docs`` hits.
+    """Mean pair score of ``query + ' ' + word`` over the category's first ``n_docs`` documents.
 
-    ``hits`` has (category, doc, rank); the scorer is BM25 (M4).  Work is
-    bounded by candidates x ``n_docs`` pairs.
+    ``hits`` has (category, doc, rank); a document that several beams hit counts at its best rank, ties by
+    id.  The scorer is BM25 (M4).  Work is bounded by candidates x ``n_docs`` pairs.
     """
     from kestrel.operators.rerank import bm25
-    top = hits.where(F.col("rank") <= n_docs).select("category", id_col).distinct()
+    best = hits.groupBy("category", id_col).agg(F.min("rank").alias("rank"))
+    top = top_n(best, n_docs, [F.asc("rank"), F.asc(id_col)], ["category"], [id_col]).select("category", id_col)
     q = cands.select("category", "beam_id", "word", F.concat_ws(" ", "query", "word").alias("cq"))
     pairs = q.join(top, "category")  # candidates x n_docs per category
     scored = bm25(index, pairs, ["category", "beam_id", "word"], "cq", out="pair_score")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.text import clean_text, first_or_null, parse_categories, prefix_name, size_or_zero
 from kestrel.operators.pseudo import seeded_order
+from kestrel.operators.relational import top_n
 from kestrel.session import spread
 
 BASE_COLS = ["business_id", "name", "city", "state", "stars", "review_count", "categories",
@@ -65,7 +66,7 @@ def sample_exact(df: DataFrame, id_col: str, n: int | None, seed: int = 42) -> D
     """Exactly n rows (or all when n is None or >= count), deterministic md5 order."""
     if n is None:
         return df
-    return df.orderBy(seeded_order(id_col, seed), F.col(id_col)).limit(n)
+    return top_n(df, n, [seeded_order(id_col, seed).asc(), F.asc(id_col)], spread_by=[id_col]).drop("_rn")
 
 
 def prepare_reviews(reviews: DataFrame, businesses: DataFrame | None = None, *,

@@ -53,10 +53,12 @@ def length_stats(df: DataFrame, col: str, std: str = "samp") -> DataFrame:
     """N, mean, median, std (sample or population), min, max and percentiles."""
     x = F.col(col).cast("double")
     sd = F.stddev_samp(x) if std == "samp" else F.stddev_pop(x)
-    aggs = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"),
-            sd.alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
-    aggs += [F.percentile(x, p / 100.0).alias(f"p{p}") for p in PERCENTILES]
-    return df.agg(*aggs)
+    # one buffer for all percentiles
+    shares = F.array(*[F.lit(p / 100.0) for p in [50, *PERCENTILES]])
+    out = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), sd.alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+                 F.percentile(x, shares).alias("_p"))
+    return out.select("n", "mean", F.col("_p")[0].alias("median"), "std", "min", "max",
+                      *[F.col("_p")[i + 1].alias(f"p{p}") for i, p in enumerate(PERCENTILES)])
 
 
 def bin_index(x: Column, edges: Sequence[float]) -> Column:

@@ -3,39 +3,38 @@
 
 Dedup-by-key operators are ``groupBy`` + ``min(struct)``: the partial
 aggregate runs map-side, so a key holding a third of all rows costs one row
-per map task in the shuffle, not a third of the data in one task.  Caps use a
-``row_number() <= n`` window, which Spark plans as ``WindowGroupLimit``
-(partial limit before the shuffle), so a hot class ships at most n rows per
-map task.
+per map task in the shuffle, not a third of the data in one task.  Caps use
+``relational.top_n``, which ranks no class in one task, at any cap.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import map_category_to_base, normalize_text, strip_ws
+from kestrel.operators.relational import top_n
 
 
-def best_per_id(df: DataFrame, id_col: str, score_col: str, tie_col: str) -> DataFrame:
+def best_per_id(df: DataFrame, id_col: str | list[str], score_col: str, tie_col: str) -> DataFrame:
     """Keep, per id, the row with the highest score; ties -> smallest ``tie_col``.
 
     A null score loses to any number (sorts last, as a descending sort would).
     """
-    others = [c for c in df.columns if c != id_col]
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    others = [c for c in df.columns if c not in ids]
     key = F.struct(F.coalesce(-F.col(score_col), F.lit(float("inf"))).alias("_k1"),
                    F.col(tie_col).alias("_k2"),
                    *[F.col(c) for c in others])
-    return (df.groupBy(id_col).agg(F.min(key).alias("_b"))
-            .select(id_col, *[F.col(f"_b.{c}").alias(c) for c in others]))
+    return (df.groupBy(*ids).agg(F.min(key).alias("_b"))
+            .select(*ids, *[F.col(f"_b.{c}").alias(c) for c in others]))
 
 
 def cap_per_class(df: DataFrame, label_col: str, n: int | None, score_col: str, id_col: str) -> DataFrame:
     """Top n rows per class by score (desc), id ascending on ties; None = no cap."""
     if n is None:
         return df
-    w = Window.partitionBy(label_col).orderBy(F.desc(score_col), F.asc(id_col))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return top_n(df, n, [F.desc(score_col), F.asc(id_col)], [label_col], [id_col]).drop("_rn")
 
 
 def seeded_order(id_col: str, seed: int) -> F.Column:
@@ -47,8 +46,7 @@ def random_cap_per_class(df: DataFrame, label_col: str, n: int | None, id_col: s
     """Seeded random n rows per class."""
     if n is None:
         return df
-    w = Window.partitionBy(label_col).orderBy(seeded_order(id_col, seed), F.col(id_col))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return top_n(df, n, [seeded_order(id_col, seed).asc(), F.asc(id_col)], [label_col], [id_col]).drop("_rn")
 
 
 def dedup_text(df: DataFrame, text_col: str, order_cols: list[str]) -> DataFrame:

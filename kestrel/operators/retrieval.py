@@ -1,14 +1,13 @@
 """Vector retrieval: exact top-k (L1), IVF top-k (L2), threshold (P11), id join.
 
 Exact top-k scores every vector against every query, so it is written as an
-Arrow-batched ``mapInPandas`` (one BLAS matmul per batch) that keeps only a
-partial top-k per query and input partition.  Only ``partitions x queries x k``
-rows reach the shuffle; a window with ``row_number <= k`` (planned as
-``WindowGroupLimit``) finishes the job.  Many input partitions get one extra
-tree level so no single task sorts more than ``fanout x k`` rows per query.
-
-The query matrix travels inside the task closure.  Its size is checked first;
-above the limit the query set is split into hash chunks, one pass each.
+Arrow-batched ``mapInPandas`` (a BLAS matmul per batch and block of queries) that
+keeps only a partial top-k per query and input partition.  Only ``partitions x queries x k``
+rows reach the shuffle, where a tournament (``relational.top_n``) finishes the job.
+
+The query matrix travels inside the task closure.  The query set is counted first and
+split into as many hash chunks as its size asks for, one collect and one pass each, so what a
+chunk holds is bounded however many queries there are.
 """
 
 from __future__ import annotations
@@ -18,15 +17,16 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.vectors import dot, l2_normalize
-from kestrel.session import spread
+from kestrel.operators.relational import top_n
+from kestrel.session import cut_lineage, spread
 
 MAX_QUERY_BYTES = 64 * 1024 * 1024  # query matrix shipped with each task
-MAX_QUERY_ROWS = 100_000
+QUERY_BLOCK = 256  # queries scored against a batch at a time
 SCORE_DIGITS = 9  # scores are rounded before ranking so engines agree on ties
 
 
@@ -48,10 +48,11 @@ def _partial_topk_fn(qmat: np.ndarray, qkeys: pd.DataFrame, k: int, id_col: str,
             ids = pdf[id_col].to_numpy()
             vecs = pdf[vec_col].to_numpy()
             x = np.stack([np.asarray(v, dtype=np.float64) for v in vecs])
-            scores = np.round(x @ qmat.T, SCORE_DIGITS)
-            b = scores.shape[0]
+            b = len(x)
             for j in range(nq):
-                s = scores[:, j]
+                if j % QUERY_BLOCK == 0:
+                    scores = np.round(x @ qmat[j:j + QUERY_BLOCK].T, SCORE_DIGITS)
+                s = scores[:, j % QUERY_BLOCK]
                 if b > k:
                     thr = np.partition(s, b - k)[b - k]
                     m = s >= thr  # keep boundary ties; the id order settles them
@@ -89,7 +90,7 @@ def _compact(ids_list, sc_list, k):
 
 def topk_exact(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
                vec_col: str = "embedding", key_cols: Sequence[str] = ("qid",),
-               qvec_col: str = "qvec", fanout: int = 256,
+               qvec_col: str = "qvec",
                max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """L1: for each query, the k vectors with the highest inner product.
 
@@ -99,45 +100,31 @@ def topk_exact(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str =
     """
     key_cols = list(key_cols)
     q = queries.select(*key_cols, qvec_col)
-    # One bounded collect: at most MAX_QUERY_ROWS + 1 rows reach the driver.
-    qpdf = q.limit(MAX_QUERY_ROWS + 1).toPandas()
-    if len(qpdf) == 0:
+    n, dim = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(qvec_col)), F.lit(0))).first()
+    if n == 0:
         return _empty_hits(vectors, queries, id_col, key_cols)
-    dim = len(qpdf[qvec_col].iloc[0])
-    if len(qpdf) <= MAX_QUERY_ROWS and len(qpdf) * dim * 8 <= max_query_bytes:
-        return _topk_pass(vectors, qpdf, q.schema, k, id_col, vec_col, key_cols, qvec_col, fanout)
-    # Too many queries to ship at once: hash chunks, one bounded collect and one pass each.
-    n_chunks = max(2, math.ceil(max(len(qpdf), MAX_QUERY_ROWS) * dim * 8 / max_query_bytes) * 4)
+    # chunks of half the limit on average, so that uneven hashing stays below it
+    size = n * dim * 8
+    n_chunks = 1 if size <= max_query_bytes else math.ceil(2 * size / max_query_bytes)
     out = None
     for c in range(n_chunks):
-        part = q.where(F.pmod(F.hash(*key_cols), F.lit(n_chunks)) == c).toPandas()
+        part = q.where(F.pmod(F.xxhash64(*key_cols), F.lit(n_chunks)) == c).toPandas()
         if len(part) == 0:
             continue
-        r = _topk_pass(vectors, part, q.schema, k, id_col, vec_col, key_cols, qvec_col, fanout)
+        r = _topk_pass(vectors, part, q.schema, k, id_col, vec_col, key_cols, qvec_col)
         out = r if out is None else out.unionByName(r)
     return out
 
 
-def _topk_pass(vectors, qpdf, qschema, k, id_col, vec_col, key_cols, qvec_col, fanout):
+def _topk_pass(vectors, qpdf, qschema, k, id_col, vec_col, key_cols, qvec_col):
     qmat = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf[qvec_col]])
     keys = qpdf[key_cols].reset_index(drop=True)
     schema = T.StructType(
         [vectors.schema[id_col], T.StructField("score", T.DoubleType())]
         + [qschema[c] for c in key_cols])
     fn = _partial_topk_fn(qmat, keys, k, id_col, vec_col, key_cols)
-    src = spread(vectors.select(id_col, vec_col))
-    partial = src.mapInPandas(fn, schema)
-    n_parts = src.rdd.getNumPartitions()
-    order = [F.desc("score"), F.asc(id_col)]
-    if n_parts > fanout:
-        width = math.ceil(n_parts / fanout)
-        partial = partial.withColumn("_grp", (F.spark_partition_id() / F.lit(width)).cast("int"))
-        w1 = Window.partitionBy(*key_cols, "_grp").orderBy(*order)
-        partial = (partial.withColumn("_r", F.row_number().over(w1))
-                   .where(F.col("_r") <= k).drop("_r", "_grp"))
-    w = Window.partitionBy(*key_cols).orderBy(*order)
-    return (partial.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
+    partial = spread(vectors.select(id_col, vec_col)).mapInPandas(fn, schema)
+    return (top_n(partial, k, [F.desc("score"), F.asc(id_col)], key_cols, [id_col], "rank")
             .select(*key_cols, id_col, "score", "rank"))
 
 
@@ -175,15 +162,14 @@ def build_ivf(vectors: DataFrame, nlist: int | None = None, *, vec_col: str = "e
               seed: int = 42, max_iter: int = 20):
     """L2 build: KMeans coarse quantiser; returns (vectors + cluster_id, centroids).
 
-    The vector table should then be written ``partitionBy('cluster_id')`` so
-    probes prune whole directories.
+    ``write_ivf`` stores the vectors by list, so that probes prune whole folders.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     n = vectors.count()
     nlist = nlist or default_nlist(n)
-    feats = vectors.withColumn("_f", array_to_vector(vec_col))
+    feats = cut_lineage(vectors).withColumn("_f", array_to_vector(vec_col))  # KMeans reads it many times
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_f",
                    predictionCol="cluster_id").fit(feats)
     assigned = model.transform(feats).drop("_f").withColumn("cluster_id", F.col("cluster_id").cast("int"))
@@ -194,6 +180,17 @@ def build_ivf(vectors: DataFrame, nlist: int | None = None, *, vec_col: str = "e
     return assigned, cents
 
 
+def write_ivf(assigned: DataFrame, centroids: DataFrame, path: str) -> None:
+    """K5: the index as tables: vectors partitioned by list, and the lists' centroids."""
+    assigned.write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/vectors")
+    centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def read_ivf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """K5: a written index."""
+    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/centroids")
+
+
 def topk_ivf(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int = 1, *,
              id_col: str = "id", vec_col: str = "embedding", key_cols: Sequence[str] = ("qid",),
              qvec_col: str = "qvec") -> DataFrame:
@@ -202,9 +199,9 @@ def topk_ivf(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: i
     probes = topk_exact(centroids, queries, nprobe, id_col="cluster_id", vec_col="centroid",
                         key_cols=key_cols, qvec_col=qvec_col).select(*key_cols, "cluster_id")
     probes = probes.join(queries.select(*key_cols, qvec_col), key_cols)
-    # probes hold queries x nprobe rows (bounded by the checked query set): broadcast them.
+    # how many queries there are is the caller's: the join strategy follows the measured sizes
     pairs = (assigned.select(id_col, vec_col, "cluster_id")
-             .join(F.broadcast(probes), "cluster_id")
+             .join(probes, "cluster_id")
              .withColumn("score", F.round(dot(vec_col, qvec_col), SCORE_DIGITS)))
     return (topk_window(pairs, k, key_cols, "score", id_col)
             .select(*key_cols, id_col, "score", "rank"))

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.operators.pseudo import seeded_order
+from kestrel.operators.relational import null_safe_join
+from kestrel.session import cut_lineage
 
 PREFIX_HEX = 4  # 65,536 buckets per stratum
 
@@ -37,7 +39,8 @@ def _ranked(df: DataFrame, id_col: str, stratum: str | None, seed: int, prefix:
     buckets = (buckets.withColumn("_off", F.coalesce(F.sum("_cnt").over(running), F.lit(0)))
                .withColumn("_n", F.sum("_cnt").over(per_stratum)).drop("_cnt"))
     within = Window.partitionBy("_s", "_b").orderBy("_key", id_col)
-    return (keyed.join(buckets, ["_s", "_b"])
+    # rows without a stratum are a stratum of their own
+    return (null_safe_join(keyed, buckets, ["_s", "_b"])
             .withColumn("_rank", F.col("_off") + F.row_number().over(within))
             .drop("_off", "_key", "_b"))
 
@@ -86,24 +89,32 @@ def tiny_class_split(df: DataFrame, id_col: str, label_col: str, val_frac: float
     """``n_val = max(1, floor(n*frac))`` per class (a one-row class goes to val).
 
     If no row lands in train, the first half of the validation rows (class
-    order, then rank) move to train; that branch needs one count and only
-    touches validation rows, which number one per class in that case.
+    order, then rank) move to train.  Rows without a label are left out, as a group-by on
+    the label leaves them out; ``unlabelled_count`` tells how many.
     """
     def val_n(n):
         return F.when(n > 1, F.greatest(F.lit(1), F.floor(n.cast("double") * F.lit(val_frac)))).otherwise(F.lit(1)).cast("bigint")
 
-    r = _ranked(df, id_col, label_col, seed)
+    r = _ranked(df.where(F.col(label_col).isNotNull()), id_col, label_col, seed)
     out = r.withColumn("split", F.when(F.col("_rank") <= val_n(F.col("_n")), "val").otherwise("train"))
-    out = out.drop("_n", "_s").cache()
-    if out.where(F.col("split") == "train").limit(1).count() == 0:
-        w = Window.orderBy(label_col, "_rank")  # validation rows only, one per class here
+    out = cut_lineage(out.drop("_n", "_s"))
+    if out.where(F.col("split") == "train").isEmpty():
+        # a row's place is its rank behind the classes before its own: only the K classes are ordered in one task
+        sizes = out.groupBy(label_col).agg(F.count(F.lit(1)).alias("_size"))
+        before = Window.orderBy(label_col).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
         total = out.count()
-        out = (out.withColumn("_pos", F.row_number().over(w))
-               .withColumn("split", F.when(F.col("_pos") <= F.lit(total // 2), "train").otherwise("val"))
-               .drop("_pos"))
+        out = (out.join(sizes, label_col)
+               .withColumn("split", F.when(F.col("_before") + F.col("_rank") <= F.lit(total // 2), "train").otherwise("val"))
+               .drop("_before"))
     return out.drop("_rank")
 
 
+def unlabelled_count(df: DataFrame, label_col: str) -> DataFrame:
+    """Rows that ``tiny_class_split`` leaves out."""
+    return df.agg(F.count_if(F.col(label_col).isNull()).alias("n_unlabelled"))
+
+
 def split_report(df: DataFrame, stratum: str | None, split_col: str = "split") -> DataFrame:
     """Rows per (split, stratum)."""
     keys = [split_col] + ([stratum] if stratum else [])

@@ -15,7 +15,7 @@ all documents of the group):
 Plan: one ``explode`` + partial-aggregated ``groupBy(group, doc, token)``
 builds the postings (the largest shuffle); the lemma table is computed on the
 distinct vocabulary only and joined to the aggregated postings; ``df/cf`` is a
-second partial aggregate; the vocabulary cap is a ``WindowGroupLimit``; the
+second partial aggregate; the vocabulary cap is a tournament (``relational.top_n``); the
 kept-term table is bounded by groups x ``max_features``, so joining it is
 cheap; the per-document norm is a window on (group, doc).
 """
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import STOP_WORDS, lemma_map, tokens
+from kestrel.operators.relational import null_safe_join, top_n
 from kestrel.session import cut_lineage, spread
 
 SCORE_DIGITS = 9
@@ -98,9 +99,11 @@ class TfidfResult:
 
     def top(self, n: int | None) -> DataFrame:
         """L4: top-n terms per group by mean score (desc), term ascending on ties."""
-        w = Window.partitionBy(*self.group_cols).orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc("term"))
-        ranked = self.terms.withColumn("rank", F.row_number().over(w))
-        return ranked if n is None else ranked.where(F.col("rank") <= n)
+        order = [F.desc(F.round("score", SCORE_DIGITS)), F.asc("term")]
+        if n is None:  # all kept terms, which ``max_features`` bounds
+            w = Window.partitionBy(*(self.group_cols or [F.lit(0)])).orderBy(*order)
+            return self.terms.withColumn("rank", F.row_number().over(w))
+        return top_n(self.terms, n, order, self.group_cols, ["term"], "rank")
 
 
 def tfidf(docs: DataFrame, group_cols: Sequence[str] = (), *, id_col: str = "doc_id", text_col: str = "text",
@@ -118,19 +121,18 @@ def tfidf(docs: DataFrame, group_cols: Sequence[str] = (), *, id_col: str = "doc
     min_df = F.when(F.col("n") < 5, F.lit(1)).otherwise(F.lit(2))
     max_cnt = F.lit(max_df) * F.col("n").cast("double")
     stats = (p.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-             .join(F.broadcast(ndocs), g)  # one row per group
+             .transform(lambda s: null_safe_join(s, ndocs, g))  # one row per group, also for a null group
              .where((max_cnt >= min_df) & (F.col("df") >= min_df) & (F.col("df") <= max_cnt)))
     if max_features is not None:
-        wcap = Window.partitionBy(*g).orderBy(F.desc("cf"), F.asc("term"))
-        stats = stats.withColumn("_r", F.row_number().over(wcap)).where(F.col("_r") <= max_features).drop("_r")
+        stats = top_n(stats, max_features, [F.desc("cf"), F.asc("term")], g, ["term"]).drop("_rn")
     stats = stats.withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-    weights = (p.join(stats.select(*g, "term", "idf", "n"), g + ["term"])
+    weights = (null_safe_join(p, stats.select(*g, "term", "idf", "n"), g + ["term"])
                .withColumn("w", F.col("tf") * F.col("idf")))
     per_doc = Window.partitionBy(*g, id_col)
     weights = weights.withColumn("wn", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))
     scores = weights.groupBy(*g, "term").agg((F.sum("wn") / F.first("n")).alias("score"))
-    terms = stats.select(*g, "term", "df", "cf").join(scores, g + ["term"])
-    summary = (ndocs.join(stats.groupBy(*g).agg(F.count(F.lit(1)).alias("total_unique_terms")), g, "left")
+    terms = null_safe_join(stats.select(*g, "term", "df", "cf"), scores, g + ["term"])
+    summary = (null_safe_join(ndocs, stats.groupBy(*g).agg(F.count(F.lit(1)).alias("total_unique_terms")), g, "left")
                .select(*g, F.coalesce("total_unique_terms", F.lit(0)).cast("bigint").alias("total_unique_terms"),
                        F.col("n").alias("total_documents")))
     if g == ["_g"]:

@@ -13,12 +13,15 @@ from pyspark.sql import SparkSession
 
 from kestrel.plans.rounds import Corpus, prepare_corpus
 from kestrel.sources import driver
+from kestrel.sources.io import source_fingerprint
 
-_CORPORA: dict[tuple[str, str], Corpus] = {}
+_CORPORA: dict[tuple[str, str, str], Corpus] = {}
 
 
 def corpus_for(spark: SparkSession, sf_dir: str) -> Corpus:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    # new data under the same path is another corpus
+    root = sf_dir.rstrip("/")
+    key = (spark.sparkContext.applicationId, root, source_fingerprint(spark, f"{root}/documents.parquet"))
     if key not in _CORPORA:
         docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text")
         _CORPORA[key] = prepare_corpus(docs)

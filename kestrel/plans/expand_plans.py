@@ -186,7 +186,9 @@ _BM = ("ln(1 + (nd.n - i.df + 0.5::DOUBLE) / (i.df + 0.5::DOUBLE)) * dw.tf * 2.2
 xq AS (SELECT category || '|' || beam_id::VARCHAR || '|' || word AS xid, category, beam_id, word,
               query || ' ' || word AS xquery FROM cand),
 {postings_sql('x_', 'xq', 'xid', 'xquery', 'lexv')},
-top20 AS (SELECT DISTINCT category, doc_id FROM hits WHERE rank <= {N_PAIR_DOCS}),
+top20 AS (SELECT category, doc_id FROM (
+  SELECT category, doc_id, row_number() OVER (PARTITION BY category ORDER BY min(rank), doc_id) AS place FROM hits GROUP BY category, doc_id)
+  WHERE place <= {N_PAIR_DOCS}),
 xp AS (SELECT x.xid, t.doc_id FROM xq x JOIN top20 t ON t.category = x.category),
 xt AS (SELECT DISTINCT pid AS xid, term FROM x_post),
 bmx AS (

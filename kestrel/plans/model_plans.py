@@ -12,6 +12,7 @@ from kestrel.plans.registry import register
 from kestrel.plans.rerank_plans import BASE, first_stage
 from kestrel.plans.retrieval_plans import centroid_hits
 from kestrel.plans.sqlparts import WS_CLASS
+from kestrel.session import cut_lineage
 from kestrel.sources import driver
 
 CONF_T, MIN_DOCS = 0.6, 50
@@ -54,7 +55,7 @@ def similarity_audit_check(spark, sf_dir):
 
 def _lang_model(spark, sf_dir):
     docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
-    split = train_dev_test_split(docs, "doc_id", "label").cache()
+    split = cut_lineage(train_dev_test_split(docs, "doc_id", "label"))
     train = split.where("split = 'train'")
     dev = split.where("split = 'dev'")
     test = split.where("split = 'test'")

@@ -18,7 +18,7 @@ BEAM_QUERIES = [
     ("es", 1, "para"), ("es", 2, "para mente"), ("es", 3, "para ción"),
     ("fr", 1, "pour"), ("fr", 2, "pour dans"), ("fr", 3, "pour avec"),
 ]
-K1, K2, CE_T = 50, 30, 0.0
+K1, K2, CE_T = 50, 30, 2.0
 KEYS = ["category", "beam_id"]
 
 _VALUES = ", ".join(f"('{c}', {b}, '{q}')" for c, b, q in BEAM_QUERIES)

@@ -6,6 +6,7 @@ from kestrel.operators.split import train_dev_test_split
 from kestrel.plans.registry import register
 from kestrel.plans.rounds import RoundConfig, round_document, run_rounds
 from kestrel.sources import driver
+from kestrel.sources.io import source_fingerprint
 
 # Fixed test configuration: one category per language, seeded with a word of that language.
 CATEGORY_SEEDS = {"de": "sich", "en": "rewh", "es": "para", "fr": "pour"}
@@ -16,7 +17,8 @@ _RUNS: dict = {}
 
 def two_rounds(spark, sf_dir):
     """Two rounds per (session, input); both round checks read the same written round tables."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    root = sf_dir.rstrip("/")
+    key = (spark.sparkContext.applicationId, root, source_fingerprint(spark, f"{root}/documents.parquet"))
     if key not in _RUNS:
         _RUNS[key] = _two_rounds(spark, sf_dir)
     return _RUNS[key]

@@ -8,7 +8,7 @@ driver loops are over rounds and, inside X10, over beam numbers.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +38,6 @@ class RoundConfig:
     w_spec: float = 0.6
     reg_grid: tuple = (0.0, 0.01)
     train_model: bool = True
-    extra: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -130,7 +129,7 @@ def round_document(res: RoundResult, cfg: RoundConfig) -> DataFrame:
     beams = res.beams.groupBy("category").agg(F.array_sort(F.collect_list(F.struct(
         "beam_id", "query", "suggested_word", "expanded_query"))).alias("beams"))
     counts = res.hits.groupBy("category").agg(F.count(F.lit(1)).alias("total_after_merging"))
-    per_cat = (beams.join(counts, "category", "left")
+    per_cat = (beams.join(counts, "category", "left").withColumn("total_after_merging", F.coalesce("total_after_merging", F.lit(0)))
                .withColumn("num_beams", F.lit(cfg.num_beams))
                .withColumn("beam_strategy", F.lit(cfg.strategy))
                .withColumn("total_biencoder_retrieved", F.lit(cfg.k_first)))
@@ -155,10 +154,6 @@ def single_query_report(index: SparseIndex, docs: DataFrame, spark: SparkSession
     return hits, cands
 
 
-__all__ = ["RoundConfig", "RoundResult", "Corpus", "prepare_corpus", "run_round", "run_rounds",
-           "round_document", "single_query_report", "min_score"]
-
-
 def setup_corpus(reviews: DataFrame, stratum: str | None = "label", dev_size: float = 0.15, test_size: float = 0.2,
                  seed: int = 42, id_col: str = "review_id") -> tuple[DataFrame, Corpus]:
     """Stratified 3-way split (L8), then the index over the train split only (M1, K5).

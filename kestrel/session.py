@@ -8,6 +8,7 @@ own directory when (and only when) none is configured.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -52,8 +53,9 @@ def get_session(master: str | None = None, app: str = "kestrel",
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Make sure a checkpoint directory is set and return it.
 
-    The cluster's ``spark.checkpoint.dir`` wins.  Only when nothing is set
-    (local runs, tests) do we create one under the local temp folder.
+    The cluster's ``spark.checkpoint.dir`` wins.  Only in local mode, where one
+    machine is all there is, is a temp folder made when nothing is set; a cluster
+    without the setting is an error, since its machines would not see each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
+    if fallback is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     path = fallback or tempfile.mkdtemp(prefix="kestrel-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
@@ -77,13 +81,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work (tokenising, vector scoring) enough tasks.
 
-    Only when the input has fewer partitions than the cluster's default
-    parallelism (a small file, one row group) is it round-robin repartitioned;
-    a large input already split into many files is left untouched, so no
-    shuffle of the raw data is added at scale.
+    Only when the input is read from fewer files than the cluster's default
+    parallelism is it round-robin repartitioned; a large input already split into
+    many files is left untouched, so no shuffle of the raw data is added at scale.
+    The file list is known to the driver: no job runs.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if len(df.inputFiles()) < target:
         return df.repartition(target)
     return df
 

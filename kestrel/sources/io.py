@@ -8,6 +8,8 @@ session, so the same code works on local disk and on shared cluster storage.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def source_fingerprint(spark: SparkSession, path: str) -> str:
+    """What tells one state of a file or folder from another: names, sizes and times of its files."""
+    fs, p = _fs(spark, path)
+    seen, files = fs.listFiles(p, True), []
+    while seen.hasNext():
+        st = seen.next()
+        files.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:16]
+
+
 def classify_files(spark: SparkSession, directory: str, order=TABLE_ORDER) -> dict[str, str]:
     """Map ``.json`` files of a directory to logical tables by case-insensitive
     substring of the file name; the first table name in ``order`` that matches wins."""
@@ -93,7 +105,10 @@ def read_json_table(spark: SparkSession, path: str, schema: T.StructType, limit:
     else:
         df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     if limit:
-        df = df.limit(limit)
+        # the first records in file order, whichever task is done first
+        where = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+        places = [f"_at{i}" for i in range(len(where))]
+        df = df.select("*", *[c.alias(p) for c, p in zip(where, places)]).orderBy(*places).limit(limit).drop(*places)
     return df
 
 
@@ -183,20 +198,25 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def search_results(hits: DataFrame, threshold: float, query_col: str = "query", score_col: str = "cosine_similarity",
-                   id_col: str = "review_id") -> DataFrame:
-    """K2: per query: threshold, retrieved, above threshold, and the kept reviews (score order)
-    with useful/funny/cool defaulting to 0.  One row per query, at most k reviews each."""
+                   id_col: str = "review_id", queries: DataFrame | None = None) -> DataFrame:
+    """K2: per query: threshold, retrieved, above threshold, and the kept reviews (best score first, then
+    id) with useful/funny/cool defaulting to 0.  One row per query, at most k reviews each; a query of
+    ``queries`` without hits gets a row with totals 0."""
     cols = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") if c in hits.columns else F.lit(0).cast("bigint")
             for c in ("useful", "funny", "cool")}
     h = hits.withColumns(cols)
     keep = F.col(score_col) >= F.lit(threshold)
-    review = F.struct(F.col(score_col).alias("_s"), F.col(id_col).alias("review_id"),
+    review = F.struct((-F.col(score_col)).alias("_s"), F.col(id_col).alias("review_id"),
                       *[F.col(c) for c in ("business_id", "stars", "text") if c in hits.columns],
                       F.col(score_col).alias("cosine_similarity"), "useful", "funny", "cool")
     agg = h.groupBy(query_col).agg(
         F.count(F.lit(1)).alias("total_retrieved"),
         F.count_if(keep).alias("total_above_threshold"),
-        F.sort_array(F.collect_list(F.when(keep, review)), asc=False).alias("_r"))
+        F.sort_array(F.collect_list(F.when(keep, review))).alias("_r"))
+    if queries is not None:
+        agg = (queries.select(query_col).distinct().join(agg, query_col, "left")
+               .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("total_retrieved", "total_above_threshold")})
+               .withColumn("_r", F.coalesce("_r", F.array().cast(agg.schema["_r"].dataType))))
     return agg.select(F.col(query_col).alias("query"), F.lit(threshold).alias("similarity_threshold"),
                       "total_retrieved", "total_above_threshold",
                       F.transform("_r", lambda r: r.dropFields("_s")).alias("reviews"))

@@ -2,14 +2,16 @@
 
 The reference reads line-JSON in bounded chunks and keeps a running count,
 optionally stopping early.  Here a file-source stream with
-``maxFilesPerTrigger`` bounds each micro-batch, ``trigger(availableNow=True)``
-processes what is there and stops, ``foreachBatch`` appends each batch to a
-Parquet table (idempotent by batch id through the checkpoint), and the
-running count is the sum of ``numInputRows`` in the query progress.
+``maxFilesPerTrigger`` bounds each micro-batch and ``trigger(availableNow=True)``
+processes what is there and stops.  ``foreachBatch`` writes each batch to the
+folder ``batch_id=N`` of a Parquet table and replaces what is there, so a batch
+that is replayed after a crash is stored once.  The running count is taken from
+the written batches, whatever their number.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -23,35 +25,41 @@ def stream_json_table(spark: SparkSession, path: str, schema: T.StructType,
             .option("maxFilesPerTrigger", max_files_per_trigger).json(path))
 
 
+class _Enough(Exception):
+    """Raised in place of a batch that is no longer wanted; its offsets stay uncommitted."""
+
+
 def ingest(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
            max_files_per_trigger: int = 1, max_rows: int | None = None) -> int:
-    """Append every micro-batch to ``sink`` (Parquet) and return the running row count.
+    """Write every micro-batch to ``sink`` (Parquet, partitioned by ``batch_id``) and return the rows written.
 
     ``max_rows`` stops the stream after the first micro-batch that reaches it
-    (the reference's early stop); rows already read are kept whole.
+    (the reference's early stop); rows already read are kept whole, and a later
+    call with the same checkpoint goes on behind them.
     The checkpoint must live on shared storage so a restarted job resumes.
     """
     stream = stream_json_table(spark, source, schema, max_files_per_trigger)
-    seen = {"rows": 0}
+    rows: dict[int, int] = {}
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(sink)
+        if max_rows is not None and sum(rows.values()) >= max_rows:
+            raise _Enough
+        path = f"{sink}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        rows[batch_id] = batch.sparkSession.read.schema(schema).parquet(path).count()
 
     q = (stream.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     try:
-        while q.isActive:
-            q.awaitTermination(1)
-            seen["rows"] = sum(p.get("numInputRows", 0) for p in q.recentProgress)
-            if max_rows is not None and seen["rows"] >= max_rows:
-                q.stop()
-                break
+        q.awaitTermination()
+    except StreamingQueryException:
+        if max_rows is None or sum(rows.values()) < max_rows:
+            raise
     finally:
         if q.isActive:
             q.stop()
-    seen["rows"] = sum(p.get("numInputRows", 0) for p in q.recentProgress)
-    return int(seen["rows"])
+    return sum(rows.values())
 
 
 __all__ = ["stream_json_table", "ingest", "CORRUPT"]

@@ -24,6 +24,14 @@ def test_three_way_split_sizes_and_disjoint(spark):
     assert rep.get(("test", "one"), 0) == 0 and rep[("train", "one")] == 1
 
 
+def test_rows_without_a_stratum_are_split_too(spark):
+    df = spark.range(100).selectExpr("id", "CASE WHEN id % 4 > 0 THEN concat('s', id % 4) END AS label")
+    out = train_dev_test_split(df, "id", "label")
+    assert out.count() == 100
+    rep = {(r.split, r.label): r.n for r in split_report(out, "label").collect()}
+    assert rep["test", None] == 5
+
+
 def test_split_is_deterministic(spark):
     a = train_dev_test_split(_classes(spark), "id", "label").orderBy("id").collect()
     b = train_dev_test_split(_classes(spark), "id", "label").orderBy("id").collect()
