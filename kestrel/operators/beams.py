@@ -31,6 +31,9 @@ def carry_over(current: DataFrame, previous: DataFrame | None, num_beams: int) -
     cur = current.where(F.col("beam_id") <= num_beams)
     if previous is None:
         return cur
+    if "beam_id" not in previous.columns:  # the old form: one expanded query per category, for all its beams
+        one = previous.groupBy("category").agg(F.min("expanded_query").alias("_prev"))
+        return cur.join(one, "category", "left").withColumn("query", F.coalesce("_prev", "query")).drop("_prev")
     prev = previous.select("category", "beam_id", F.col("expanded_query").alias("_prev"))
     return (cur.join(prev, ["category", "beam_id"], "left")
             .withColumn("query", F.coalesce(F.col("_prev"), F.col("query"))).drop("_prev"))

@@ -91,5 +91,15 @@ def legacy_training_set(hits: DataFrame, base_labels: list[str], cap: int | None
     return random_cap_per_class(deduped, "label", cap, id_col, seed)
 
 
-__all__ = ["best_per_id", "cap_per_class", "random_cap_per_class", "dedup_text", "nonempty_text",
+def legacy_training_split(hits: DataFrame, base_labels: list[str], cap: int | None = 2000, val_frac: float = 0.1, seed: int = 42, *,
+                          id_col: str = "review_id", category_col: str = "category") -> DataFrame:
+    """G9 to its end: the training set with label ids (J11) and its train / val split."""
+    from kestrel.operators.split import tiny_class_split
+    from kestrel.session import cut_lineage
+    from kestrel.sources.io import label_map
+    chosen = cut_lineage(legacy_training_set(hits, base_labels, cap, seed, id_col=id_col, category_col=category_col))
+    return tiny_class_split(chosen.join(label_map(chosen), "label"), id_col, "label", val_frac, seed)
+
+
+__all__ = ["legacy_training_split", "best_per_id", "cap_per_class", "random_cap_per_class", "dedup_text", "nonempty_text",
            "pseudo_labels", "dedup_effect", "legacy_training_set", "seeded_order", "normalize_text"]

@@ -7,18 +7,23 @@ from kestrel.functions.text import tokens, truncate
 from kestrel.operators.diagnose import duplicate_detail, gate_effect
 from kestrel.operators.evaluate import attach_predictions, by_confidence, calibration_report, confusion_matrix, label_slice, stage_counts
 from kestrel.operators.prepare import null_label_count, prepare_reviews, single_target, value_counts
-from kestrel.operators.pseudo import cap_per_class, random_cap_per_class
-from kestrel.operators.retrieval import build_ivf, read_ivf, topk_ivf, write_ivf
+from kestrel.operators.encode import embed
+from kestrel.operators.pseudo import cap_per_class, legacy_training_split, random_cap_per_class
+from kestrel.operators.retrieval import build_ivf, read_ivf, topk_exact, topk_ivf, write_ivf
 from kestrel.operators.split import split_report, train_dev_test_split, unlabelled_count
 from kestrel.operators.tfidf import tfidf
 from kestrel.plans.diagnose_plans import BOTH, GATE_T, _hits, _pred
 from kestrel.plans.evaluate_plans import CAL_SQL, PRED_SQL, centroid_predictions
 from kestrel.plans.io_plans import DOC_SCHEMA
 from kestrel.plans.prepare_plans import BIZ_CTE, REVIEWS_CTE, TARGETS
+from kestrel.plans.corpus_cache import corpus_for
+from kestrel.plans.expand_plans import NUM_BEAMS, ROUND0_BEAMS, SEEDS
+from kestrel.plans.pseudo_plans import BASE_LABELS, HITS_SQL, labelled_hits
 from kestrel.plans.registry import register
-from kestrel.plans.rerank_plans import BASE, first_stage
+from kestrel.plans.rerank_plans import BASE, BEAM_QUERIES, CE_T, K1, K2, beam_query_df, first_stage
 from kestrel.plans.retrieval_plans import K, T
-from kestrel.plans.sqlparts import clean_sql, tokens_sql, topk_hits_cte
+from kestrel.plans.rounds import RoundConfig, round_document, run_round, save_round
+from kestrel.plans.sqlparts import bm25_sql, clean_sql, retrieve_sql, sparse_index_sql, sql_list, tokens_sql, topk_hits_cte
 from kestrel.plans.split_plans import DEV_RATIO
 from kestrel.plans.tfidf_plans import tfidf_sql_ctes
 from kestrel.session import cut_lineage, shared_dir
@@ -309,3 +314,75 @@ def ivf_all_lists(spark, sf_dir):
     assigned, cents = read_ivf(spark, path)
     hits = topk_ivf(assigned, cents, driver.centroid_queries(vecs), K, nprobe=8, key_cols=["category"])
     return hits.select("category", "id", F.round("score", 6).alias("score"), "rank")
+
+
+# --- encoder, legacy training set, round documents ----------------------------
+
+DIM, TOP = 64, 20
+_QUERIES = ", ".join(f"('{c}', {b}, '{q}')" for c, b, q in BEAM_QUERIES)
+
+
+def _hashed_sql(p: str, src: str, key: str, text: str) -> str:
+    """CTE ``{p}v(key, b, x)``: unit vectors of hashed word counts, their non-zero places."""
+    return f"""
+{p}t AS (SELECT {key} AS key, unnest({tokens_sql(text)}) AS term FROM {src}),
+{p}c AS (SELECT key, ('0x' || left(md5(term), 6))::BIGINT % {DIM} AS b, count(*) AS n FROM {p}t GROUP BY ALL),
+{p}v AS (SELECT key, b, n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS x FROM {p}c)"""
+
+
+@register("hash_embed_topk", f"""
+WITH qs AS (SELECT category || '|' || beam_id::VARCHAR AS qid, query FROM (VALUES {_QUERIES}) AS v(category, beam_id, query)),
+{_hashed_sql('d', 'documents', 'doc_id', 'text')}, {_hashed_sql('q', 'qs', 'qid', 'query')},
+hit AS (SELECT q.key AS qid, d.key AS doc_id, sum(q.x * d.x) AS s FROM qv q JOIN dv d ON q.b = d.b GROUP BY ALL),
+every AS (SELECT qs.qid, documents.doc_id, round(coalesce(hit.s, 0.0), 9) AS score
+          FROM qs CROSS JOIN documents LEFT JOIN hit ON hit.qid = qs.qid AND hit.doc_id = documents.doc_id)
+SELECT qid, doc_id, round(score, 6) AS score, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM every) WHERE rank <= {TOP}
+""")
+def hash_embed_topk(spark, sf_dir):
+    """M1, M2, L1: documents and queries through the default encoder, exact top-k."""
+    docs = embed(_docs(spark, sf_dir, "text"), dim=DIM).select("doc_id", "embedding")
+    queries = embed(beam_query_df(spark).withColumn("qid", F.concat_ws("|", "category", F.col("beam_id").cast("string"))), "query", dim=DIM, out="qvec")
+    hits = topk_exact(docs, queries, TOP, id_col="doc_id", key_cols=["qid"])
+    return hits.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("legacy_training_split", f"""{HITS_SQL},
+m AS (SELECT review_id, text, coalesce((SELECT arg_max(b, length(b) * 1000 - i) FROM
+        (SELECT unnest({sql_list(BASE_LABELS)}) AS b, unnest(generate_series(1, {len(BASE_LABELS)})) AS i) WHERE instr(lower(label), b) > 0), lower(label)) AS label FROM lh),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY review_id, label) AS r FROM m WHERE text <> '') WHERE r = 1),
+rk AS (SELECT review_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || review_id::VARCHAR), review_id) AS rnk,
+              count(*) OVER (PARTITION BY label) AS n, (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS label_id FROM dd)
+SELECT review_id, label, label_id, CASE WHEN rnk <= (CASE WHEN n > 1 THEN greatest(1, floor(n * 0.2)) ELSE 1 END) THEN 'val' ELSE 'train' END AS split FROM rk
+""")
+def legacy_training_split_check(spark, sf_dir):
+    """Label ids (J11) and the split (L9) at its end, under the default cap of 2,000."""
+    h = labelled_hits(spark, sf_dir).withColumnRenamed("label", "category")
+    return legacy_training_split(h, BASE_LABELS, BIG_CAP, 0.2).select("review_id", "label", "label_id", "split")
+
+
+_SEEDS = ", ".join(f"('{c}', {b}, '{q}')" for c, b, q in ROUND0_BEAMS)
+
+
+@register("round0_document", f"""WITH {sparse_index_sql()}, {retrieve_sql(_SEEDS, K1)}, {bm25_sql()},
+rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY ce_score DESC, rank) AS ce_rank FROM ce)
+       WHERE ce_rank <= {K2} AND ce_score >= {CE_T}),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category, doc_id ORDER BY ce_score DESC, beam_id) AS r FROM rr) WHERE r = 1),
+c AS (SELECT category, count(*) AS n FROM u GROUP BY category),
+o AS (SELECT category, doc_id, (row_number() OVER (PARTITION BY category ORDER BY ce_score DESC, doc_id) - 1)::INTEGER AS place FROM u),
+cats AS (SELECT DISTINCT category FROM qv)
+SELECT cats.category, (SELECT count(*) FROM documents) AS total_reviews_corpus, coalesce(c.n, 0) AS total_after_merging,
+       coalesce(c.n, 0) AS filtered_doc_count, coalesce(c.n, 0) AS total_documents, false AS used_model_filtering, 3::BIGINT AS n_beams, o.place, o.doc_id AS review_id
+FROM cats LEFT JOIN c ON c.category = cats.category LEFT JOIN o ON o.category = cats.category
+""")
+def round0_document(spark, sf_dir):
+    """The whole document of a first round without training, stored by round and read back."""
+    corpus = corpus_for(spark, sf_dir)
+    cfg = RoundConfig(SEEDS, NUM_BEAMS, K1, K2, CE_T, train_model=False)
+    res = save_round(run_round(spark, corpus, cfg, 0), shared_dir(spark, "rounds"))
+    doc = round_document(res, cfg, corpus.docs).select("total_reviews_corpus", F.explode("categories").alias("c"))
+    return (doc.select("total_reviews_corpus", "c.*")
+            .select("category", "total_reviews_corpus", "total_after_merging", "filtered_doc_count",
+                    F.col("tfidf_analysis.total_documents").alias("total_documents"), "used_model_filtering",
+                    F.size("beams").cast("long").alias("n_beams"), F.posexplode_outer("reviews").alias("place", "r"))
+            .select("*", F.col("r.review_id").alias("review_id")).drop("r"))

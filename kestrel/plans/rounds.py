@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from kestrel.operators.beams import carry_over, initial_beams, merge_beams
 from kestrel.operators.classify import fit_classifier, predict
-from kestrel.operators.expand import doc_lemmas, expand, gate, rank_candidates
+from kestrel.operators.expand import doc_lemmas, expand, gate, pair_score_term, rank_candidates, three_way_scores, top_candidates
 from kestrel.operators.pseudo import pseudo_labels
 from kestrel.operators.rerank import SparseIndex, bm25, build_index, rerank, retrieve
 from kestrel.operators.retrieval import threshold as min_score
 from kestrel.operators.tfidf import tfidf
 from kestrel.session import cut_lineage
+from kestrel.sources.io import add_tfidf, path_exists, write_table
 
 
 @dataclass
@@ -75,6 +76,32 @@ class RoundResult:
     candidates: DataFrame
     pseudo: DataFrame        # review_id, text, label, ce_score, cosine_similarity
     predictions: DataFrame | None
+    gated: DataFrame | None = None     # category, doc_id: documents that the gate left for expansion
+    top_words: DataFrame | None = None  # category, term, score, rank
+    summary: DataFrame | None = None    # category, total_unique_terms, total_documents
+    used_model: bool = False
+
+
+#: The tables of a round, as they are stored under ``root/round=N/``; the last is written last.
+ROUND_TABLES = ("hits", "gated", "candidates", "pseudo", "top_words", "summary", "predictions", "beams")
+
+
+def save_round(res: RoundResult, root: str) -> RoundResult:
+    """K5, K6: a round's tables under fixed names; the result reads them from there."""
+    spark, at = res.beams.sparkSession, f"{root}/round={res.round}"
+    for name in ROUND_TABLES:
+        if getattr(res, name) is not None:
+            write_table(getattr(res, name), f"{at}/{name}")
+    return load_round(spark, root, res.round)
+
+
+def load_round(spark: SparkSession, root: str, round_no: int) -> RoundResult | None:
+    """A stored round, or None if it was not stored to its end."""
+    at = f"{root}/round={round_no}"
+    if not path_exists(spark, f"{at}/beams/_SUCCESS"):
+        return None
+    tables = {name: spark.read.parquet(f"{at}/{name}") if path_exists(spark, f"{at}/{name}/_SUCCESS") else None for name in ROUND_TABLES}
+    return RoundResult(round_no, used_model=round_no > 0 and path_exists(spark, f"{root}/round={round_no - 1}/predictions/_SUCCESS"), **tables)
 
 
 def run_round(spark: SparkSession, corpus: Corpus, cfg: RoundConfig, round_no: int,
@@ -110,48 +137,77 @@ def run_round(spark: SparkSession, corpus: Corpus, cfg: RoundConfig, round_no: i
             .select(F.col("doc_id").alias("review_id"), "predicted_label_id", "predicted_label", "confidence",
                     "probs")
             .withColumn("round", F.lit(round_no)))
-    return RoundResult(round_no, new_beams, merged, cands, pseudo, predictions)
+    local = tfidf(texts, ["category"], max_features=1000, lexicon=corpus.index.lexicon)
+    return RoundResult(round_no, new_beams, merged, cands, pseudo, predictions, texts.select("category", "doc_id"),
+                       local.top(20), local.summary, prev_pred is not None)
 
 
 def run_rounds(spark: SparkSession, docs: DataFrame, cfg: RoundConfig, n_rounds: int,
-               dev: DataFrame | None = None) -> list[RoundResult]:
-    """Rounds in sequence; each reads the previous round's written tables."""
-    corpus = prepare_corpus(docs)
-    out, prev = [], None
+               dev: DataFrame | None = None, root: str | None = None) -> list[RoundResult]:
+    """Rounds in sequence; each reads the previous round's written tables.
+
+    With ``root`` (shared storage) the tables have fixed names there, and a restarted job goes on after
+    the last round that was stored to its end.
+    """
+    corpus, out, prev = None, [], None
     for r in range(n_rounds):
-        prev = run_round(spark, corpus, cfg, r, prev, dev)
+        stored = load_round(spark, root, r) if root else None
+        if stored is None:
+            corpus = corpus or prepare_corpus(docs)
+            stored = run_round(spark, corpus, cfg, r, prev, dev)
+            stored = save_round(stored, root) if root else stored
+        prev = stored
         out.append(prev)
     return out
 
 
-def round_document(res: RoundResult, cfg: RoundConfig) -> DataFrame:
-    """K3: the nested round result (one row, categories as an array of structs)."""
+def round_document(res: RoundResult, cfg: RoundConfig, docs: DataFrame | None = None) -> DataFrame:
+    """K3: the nested round result (one row, categories as an array of structs).
+
+    ``docs`` (doc_id, text): the corpus, for the reviews' texts and the corpus size.
+    """
     beams = res.beams.groupBy("category").agg(F.array_sort(F.collect_list(F.struct(
         "beam_id", "query", "suggested_word", "expanded_query"))).alias("beams"))
     counts = res.hits.groupBy("category").agg(F.count(F.lit(1)).alias("total_after_merging"))
+    hits = res.hits if docs is None else res.hits.join(docs.select("doc_id", "text"), "doc_id", "left")
+    review = F.struct((-F.col("ce_score")).alias("_s"), F.col("doc_id").alias("review_id"), F.col("score").alias("cosine_similarity"), "ce_score",
+                      *([] if docs is None else ["text"]))
+    reviews = (hits.groupBy("category").agg(F.sort_array(F.collect_list(review)).alias("_r"))
+               .select("category", F.transform("_r", lambda r: r.dropFields("_s")).alias("reviews")))
     per_cat = (beams.join(counts, "category", "left").withColumn("total_after_merging", F.coalesce("total_after_merging", F.lit(0)))
+               .join(reviews, "category", "left").withColumn("used_model_filtering", F.lit(res.used_model)))
+    per_cat = per_cat.withColumn("reviews", F.coalesce("reviews", F.array().cast(per_cat.schema["reviews"].dataType)))
+    if res.gated is not None:
+        left = res.gated.groupBy("category").agg(F.count(F.lit(1)).alias("filtered_doc_count"))
+        per_cat = per_cat.join(left, "category", "left").withColumn("filtered_doc_count", F.coalesce("filtered_doc_count", F.lit(0)))
+    if res.top_words is not None and res.summary is not None:
+        per_cat = add_tfidf(per_cat, res.top_words, res.summary, "category")
+    extra = [c for c in ("reviews", "used_model_filtering", "filtered_doc_count", "tfidf_analysis") if c in per_cat.columns]
+    n = F.lit(docs.count() if docs is not None else None).cast("long")
+    per_cat = (per_cat
                .withColumn("num_beams", F.lit(cfg.num_beams))
                .withColumn("beam_strategy", F.lit(cfg.strategy))
                .withColumn("total_biencoder_retrieved", F.lit(cfg.k_first)))
     return per_cat.agg(F.sort_array(F.collect_list(F.struct(
-        "category", "num_beams", "beam_strategy", "total_biencoder_retrieved", "total_after_merging", "beams")))
+        "category", "num_beams", "beam_strategy", "total_biencoder_retrieved", "total_after_merging", "beams", *extra)))
         .alias("categories")).select(F.lit(res.round).alias("round"), F.lit(cfg.k_first).alias("k_biencoder"),
                                      F.lit(cfg.k_rerank).alias("k_crossencoder"),
-                                     F.lit(cfg.ce_threshold).alias("ce_threshold"),
+                                     F.lit(cfg.ce_threshold).alias("ce_threshold"), n.alias("total_reviews_corpus"),
                                      F.lit(res.round > 0).alias("used_expanded_queries"), "categories")
 
 
-def single_query_report(index: SparseIndex, docs: DataFrame, spark: SparkSession, query: str, k: int = 100,
-                        threshold: float = 0.5, top_n: int = 20) -> tuple[DataFrame, DataFrame]:
-    """One query -> top-k -> similarity threshold -> TF-IDF of the kept texts -> candidates."""
+def single_query_report(corpus: Corpus, spark: SparkSession, query: str, k: int = 100,
+                        threshold: float = 0.5, top_n: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One query -> top-k -> similarity threshold -> TF-IDF of the kept texts -> candidates, scored three ways
+    (X6) -> (hits, candidates, stored top candidates (X7))."""
+    index = corpus.index
     q = spark.createDataFrame([("q", 1, query)], "category string, beam_id int, query string")
     hits = min_score(retrieve(index, q, k, ["category", "beam_id"]), threshold)
-    texts = cut_lineage(hits.select("category", "doc_id").join(docs.select("doc_id", "text"), "doc_id"))
-    lemmas = doc_lemmas(docs, index.lexicon)
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    gs = tfidf(docs, [], max_features=5000).terms.select("term", "score")
-    cands = rank_candidates(texts, q, lemmas, n, gs, index.lexicon, top_n=top_n, w_local=0.6, w_spec=0.4)
-    return hits, cands
+    texts = cut_lineage(hits.select("category", "doc_id").join(corpus.docs, "doc_id"))
+    cands = cut_lineage(rank_candidates(texts, q, corpus.lemmas, corpus.n, corpus.global_scores, index.lexicon,
+                                        top_n=top_n, w_local=0.6, w_spec=0.4))
+    scored = three_way_scores(cands, pair_score_term(index, cands, hits))
+    return hits, scored, top_candidates(scored)
 
 
 def setup_corpus(reviews: DataFrame, stratum: str | None = "label", dev_size: float = 0.15, test_size: float = 0.2,
