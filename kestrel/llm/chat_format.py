@@ -9,7 +9,8 @@ The template writes a turn as ``<|turn|>ROLE\\nTEXT<|end|>\\n``.  Inside roles a
 doubled and a control string gets one after its first character, so reading back is exact.  The loss mask
 is the span of each assistant text in the formatted conversation, in characters.
 
-Turns of a conversation are ordered by turn, then role, then text; a null turn comes first, a
+Role names of other layouts (``human``, ``gpt`` ...) become the canonical ones; rows that are turns already
+keep theirs.  Turns of a conversation are ordered by turn, then role, then text; a null turn comes first, a
 repeated row is a turn of its own.  A null text or role is empty; rows with a null conversation id are one
 conversation.  Records without a mapping, and broken JSON, are returned by ``unmapped``.  Columns that no
 mapping speaks of are left out.  An empty table gives an empty result.  Formatting a turn needs no other
@@ -211,7 +212,7 @@ def turns_of_table(table: DataFrame) -> DataFrame:
     m = next(m for m in MAPPINGS if m.name == name)
     if m.row:
         turn, role, text = m.row
-        return table.select(F.col(m.key).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), _role(F.col(role)).alias("role"),
+        return table.select(F.col(m.key).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
                             F.coalesce(F.col(text), F.lit("")).alias("text"))
     key = F.col(m.key).cast("long") if m.key in table.columns else F.lit(None).cast("long")
     return _exploded(table.select(key.alias("conv_id"), m.turns(lambda c: F.col(c) if c in table.columns else F.lit(None).cast("string")).alias("turns")))

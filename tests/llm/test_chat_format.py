@@ -25,7 +25,7 @@ def rows():
     bits = ["\\", "<", "[", "|", *C.CONTROL, "a", "é", "🙂", "\n", " ", "\\n", "<\\s>", "turn|>", "/INST]"]
     text = lambda: "".join(rnd.choices(bits, k=rnd.randint(0, 12)))
     out = [(c, t, rnd.choice(["user", "assistant", "system"]), text()) for c in range(60) for t in range(rnd.randint(1, 6))]
-    out += [(100, 0, None, None), (100, None, "assistant", "x"), (101, 0, "odd\nrole\\", "</s>"), (101, 0, "assistant", ""), (None, 0, "user", "no id"),
+    out += [(100, 0, None, None), (100, None, "assistant", "x"), (101, 0, "odd\nrole\\", "</s>"), (104, 0, "human", "as it is"), (101, 0, "assistant", ""), (None, 0, "user", "no id"),
             (102, 1, "user", "tie"), (102, 1, "user", "tie"), (102, 1, "assistant", "tie"), (103, 0, "assistant", "y" * 200_000)]
     rnd.shuffle(out)
     return out

@@ -1,5 +1,6 @@
 import random
 
+from kestrel.llm import blocks, hashing
 from kestrel.llm.suffix_dedup import remove_repeats
 from pyspark.sql import functions as F
 
@@ -33,3 +34,13 @@ def test_matches_brute_force_with_nulls_ties_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_texts_longer_than_a_stretch_of_positions(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ORDER_BITS", hashing.U(10))
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 8)))
+    long = " ".join(word() for _ in range(1500))
+    rows = [(1, long), (2, long[700:4000] + "q" * 2000), (3, "other " + long[650:1800]), (4, "short"), (5, long[::-1]), (6, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert digest(remove_repeats(df)) == sorted(brute.suffix_rows(rows), key=str)
