@@ -32,7 +32,7 @@ from kestrel.sources.io import label_map, load_table, read_csv_table, read_json_
 from kestrel.streaming.ingest import ingest
 
 BIG_CAP = 2000
-MICRO_BATCHES = 110
+MICRO_BATCHES = 104
 
 
 def _docs(spark, sf_dir, *cols):
