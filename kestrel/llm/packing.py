@@ -47,6 +47,11 @@ CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: White space beside the ASCII kind, whose runs chunks would cut.
 WIDE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
+#: The bytes that such white space, or a special token, begins with.
+LEADS = np.zeros(256, bool)
+LEADS[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, ord("<")]] = True
+BLANK = b"\t\n\x0b\x0c\r "
+
 
 class Encoder:
     """Token ids of texts, as the vocabulary file's own tokenizer gives them."""
@@ -60,7 +65,10 @@ class Encoder:
         char |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in char)}
         byte = {c: b for b, c in char.items()}
         self.special = [t["content"].encode() for t in vocabulary["added_tokens"]]
+        assert all(LEADS[t[0]] for t in self.special), "a special token that texts are not searched for"
         ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary["model"]["vocab"].items() if t.encode() not in self.special}
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(t) for t in ranks]
         self.bpe = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = Tokenizer.from_file(path)
         self._reset()
@@ -71,15 +79,25 @@ class Encoder:
         self.begin, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
     def _learn(self, chunks: set[bytes]) -> None:
-        for c in chunks:
-            ids = self.bpe.encode_ordinary(c.decode())
-            k, end = len(self.number), self.used + len(ids)
-            while end > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            if k == len(self.begin):
-                self.begin, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.size))
-            self.pool[self.used:end] = ids
-            self.number[c], self.begin[k], self.size[k], self.used = k, self.used, len(ids), end
+        """Encodes new chunks: those of white space and a word in one call, as no token crosses a chunk's edge."""
+        plain = [c for c in chunks if c[0] in BLANK and c[-1] not in BLANK]
+        ids = np.array(self.bpe.encode_ordinary(b"".join(plain).decode()), np.uint32)
+        after = np.cumsum(self.bytes_of[ids])
+        stops = np.searchsorted(after, np.cumsum([len(c) for c in plain])) + 1 if plain else np.zeros(0, np.int64)
+        rest = [c for c in chunks if c[0] not in BLANK or c[-1] in BLANK]
+        alone = [np.array(self.bpe.encode_ordinary(c.decode()), np.uint32) for c in rest]
+        sizes = np.concatenate([np.diff(stops, prepend=0), np.array([len(x) for x in alone], np.int64)]).astype(np.int64)
+        ids = np.concatenate([ids, *alone])
+        k, n, end = len(self.number), len(sizes), self.used + len(ids)
+        while end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while k + n > len(self.begin):
+            self.begin, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.size))
+        self.pool[self.used:end] = ids
+        self.size[k:k + n] = sizes
+        self.begin[k:k + n] = self.used + np.cumsum(sizes) - sizes
+        self.number.update(zip(plain + rest, range(k, k + n)))
+        self.used = end
 
     def _odd(self, raw: bytes) -> bool:
         return WIDE.search(raw) is not None or any(s in raw for s in self.special)
@@ -87,7 +105,7 @@ class Encoder:
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of concatenated texts, each with ``EOD``, and the id offset of each text."""
         texts = [data[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-        odd = [self._odd(x) for x in texts] if self._odd(data.tobytes()) else [False] * len(texts)
+        odd = [self._odd(x) for x in texts] if LEADS[data].any() and self._odd(data.tobytes()) else [False] * len(texts)
         chunks: list[bytes] = []
         count = []
         for x, o in zip(texts, odd):
