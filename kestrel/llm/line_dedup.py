@@ -33,8 +33,12 @@ def line_ids(keyed: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _repeated(suffixes: DataFrame) -> DataFrame:
-    """Suffixes whose rank occurs twice or more."""
-    again = suffixes.groupBy("rank").count().where("count > 1").select("rank")
+    """Suffixes whose rank occurs twice or more.
+
+    The counts are a table of their own: joined straight from their shuffle, they would tie all suffixes of a rank
+    to one task; so Spark can split a rank that very many suffixes have.
+    """
+    again = cut_lineage(suffixes.groupBy("rank").count().where("count > 1").select("rank"))
     return suffixes.join(again, "rank", "left_semi").select(*KEY, "pos", "rank")
 
 
@@ -63,7 +67,7 @@ def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
 def repeated_runs(keyed: DataFrame, min_lines: int = MIN_LINES, text_col: str = "text") -> DataFrame:
     """(_id, _copy, start, stop): maximal runs of lines that are later copies."""
     suffixes = suffix_ranks(cut_lineage(line_ids(keyed, text_col)), min_lines)
-    earliest = suffixes.groupBy("rank").agg(F.min(F.struct(*KEY, "pos")).alias("first"))
+    earliest = cut_lineage(suffixes.groupBy("rank").agg(F.min(F.struct(*KEY, "pos")).alias("first")))  # see _repeated
     later = suffixes.join(earliest, "rank").where(F.struct(*KEY, "pos") != F.col("first")).select(*KEY, "pos")
     by_doc = Window.partitionBy(*KEY).orderBy("pos")
     apart = F.col("pos") > F.lag("pos").over(by_doc) + min_lines
