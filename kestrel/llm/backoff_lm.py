@@ -1,24 +1,25 @@
-"""LM scoring: a word n-gram model as a weighted backoff automaton.
+"""LM scoring: a word n-gram model with weighted backoff, kept whole in tables.
 
 Training counts every word of the training documents; a word's probability is additive
-(``ALPHA``), with one share for all unknown words.  N-grams of frequent words are smoothed by
-absolute discounting and become states and arcs:
+(``ALPHA``), with one share for all unknown words.  Every n-gram of two or more occurrences is an arc,
+smoothed by absolute discounting: log10 of (n - ``DISCOUNT``) / count of its context.  A context
+that has arcs is a state; its failure arc to the next shorter context has the weight that makes the
+state's probabilities sum to one.  Model tables grow with the corpus and are never gathered.
 
-* a state per context that has arcs, the empty context being state 0;
-* an arc per kept n-gram: log10 probability, and the longest state that its words end in;
-* a failure arc per state to its longest shorter context, with the backoff weight that makes every
-  state's probabilities sum to one.
+Reading a word means following failure arcs from the longest context until an arc is found.  As the
+n-gram without its first word is kept whenever the n-gram is, that sum splits by n-gram:
 
-A document is read once, left to right: at every word the state follows failure arcs until it has
-an arc, adds up the weights, and goes on.  Documents of a batch are joined to one stream, which is
-cut into strips that advance in step; a strip starts ``order - 1`` tokens early to find its state.
+* every context of the word adds its failure weight, if it is a state;
+* every kept n-gram that ends at the word adds its arc weight less what the way without it would give.
 
-What is broadcast is bounded by definition, whatever the corpus: head words have a relative
-frequency of ``HEAD_SHARE`` or more, so there are at most 1 / ``HEAD_SHARE``; kept n-grams of one
-order have a share of ``ARC_SHARE`` or more, so there are at most 1 / ``ARC_SHARE`` (and a single
-occurrence is never kept).  All other words have no arcs and only the empty context knows them: they
-leave the task as (word, document, times) rows and meet their counts in a join, in which by the same
-definition no key is hot.
+So each n-gram has one number, whatever the text around it (its own share, and its failure weight for
+the word that follows), and a text's score is the sum over its n-grams.  N-grams leave the scoring task
+as (n-gram, document, times) rows and meet their numbers in a join.  The hot head is only a short
+cut: words with a share of ``HEAD_SHARE`` or more and n-grams with ``ARC_SHARE`` or more are looked up in a
+broadcast, at most 1 / share of them by definition, so that no key of the join is hot.
+
+``head_share`` and ``arc_share`` of ``score`` prune the model for those who want a small one: n-grams of
+words below the first, or themselves below the second, get no arc.  Both are 0 by default.
 
 A null or empty text has the end token only.  A null id counts as the id '' (held out).  Repeated
 rows are trained on as often as they are listed; ids: ``texts.keyed``.  An empty table
@@ -28,87 +29,29 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kestrel.llm import hashing as H, texts as T
+from kestrel.llm.decontaminate import Lookup
 from kestrel.llm.tally import Tally
 from kestrel.session import cut_lineage
 
 ALPHA = 0.1
 ORDER = 3
 DISCOUNT = 0.75
+LEAST = 2
 HEAD_SHARE = 1e-5
 ARC_SHARE = 1e-6
-#: The end token; no word has this hash but by chance of 2**-64.
-END = 0
-STRIPS = 1024
+#: The end token and the start of a text; no word has these hashes but by chance of 2**-63.
+END, START = 0, 1
+#: Strips of text, and n-grams, that a task counts at most before it gives out what it has.
+STRIPS, GRAMS = 1024, 2_000_000
 HELD_SHARES = 10
 
 
-@dataclass
-class Automaton:
-    """Symbols: 0 none (a word without arcs), 1 text start, 2... head words.  States: 0 is the empty context."""
-
-    words: np.ndarray      # sorted hashes of head words
-    arc: np.ndarray        # sorted state * symbols + symbol
-    weight: np.ndarray     # log10 probability of the arc
-    target: np.ndarray     # state after it
-    fail: np.ndarray       # next shorter context of a state
-    backoff: np.ndarray    # log10 weight of that failure arc
-    start: int             # state at the start of a text
-    order: int
-
-    @property
-    def symbols(self) -> int:
-        return len(self.words) + 2
-
-    def encode(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 2, 0)
-
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One token for each state: log10 weights added on the way, and the states after it."""
-        gained = np.zeros(len(state))
-        after = np.zeros(len(state), np.int64)
-        live = np.arange(len(state))
-        while len(live):
-            key = state[live] * self.symbols + symbol[live]
-            at = np.minimum(np.searchsorted(self.arc, key), max(0, len(self.arc) - 1))
-            hit = (self.arc[at] == key) & (symbol[live] > 0) if len(self.arc) else np.zeros(len(live), bool)
-            gained[live[hit]] += self.weight[at[hit]]
-            after[live[hit]] = self.target[at[hit]]
-            live = live[~hit]
-            live = live[state[live] > 0]  # the empty context has no failure arc: its word meets its count elsewhere
-            gained[live] += self.backoff[state[live]]
-            state = state.copy() if len(live) else state
-            state[live] = self.fail[state[live]]
-        return gained, after
-
-    def traverse(self, symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Weight gained at each token of a stream of texts; ``first`` marks tokens that begin a text."""
-        n, warm = len(symbol), self.order - 1
-        width = -(-n // STRIPS)
-        begin = np.arange(0, n, max(1, width))
-        out = np.zeros(n)
-        state = np.zeros(len(begin), np.int64)
-        for offset in range(-warm, width):
-            at = begin + offset
-            on = (at >= 0) & (at < n)
-            on[:] &= (offset < 0) | (offset < np.append(begin[1:], n) - begin)
-            a = at[on]
-            gained, after = self.step(np.where(first[a], self.start, state[on]), symbol[a])
-            state[on] = after
-            if offset >= 0:
-                out[a] = gained
-        return out
-
-
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of concatenated texts, an end after each, and the token offset of each text."""
     data = H.LOWER[data]
@@ -140,148 +83,126 @@ def _counted(train: DataFrame, grams) -> DataFrame:
     return train.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _gram_ids(symbol: np.ndarray, offsets: np.ndarray, kept: list[np.ndarray], symbols: int) -> list[np.ndarray]:
-    """For each order, the number of the kept n-gram that ends at each token, or -1.
+def _streams(tok: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Texts with their start: tokens, text of each, token's place in its text (start 0), hashes of the n-grams that end there.
 
-    Order 1 numbers are the symbols; the n-gram of order m + 1 is coded as (number of its first m
-    words) * symbols + symbol.
+    The hash of an n-gram that would reach before the start is of no use.
     """
-    grams = [np.where(symbol > 0, symbol, -1)]
-    for codes in kept:
-        before = np.empty(len(symbol), np.int64)
-        before[1:] = grams[-1][:-1]
-        # before a text stands the start symbol, and nothing before that
-        before[offsets[:-1]] = 1 if len(grams) == 1 else -1
-        if len(grams) == 2:
-            second = offsets[:-1][np.diff(offsets) > 1] + 1
-            before[second] = grams[1][second - 1]
-        code = before * symbols + symbol
-        at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
-        hit = (before >= 0) & (symbol > 0) & (codes[at] == code) if len(codes) else np.zeros(len(symbol), bool)
-        grams.append(np.where(hit, at, -1))
-    return grams
-
-
-def train_automaton(train: DataFrame, counts: DataFrame, total: int, vocabulary: int, order: int = ORDER,
-                    head_share: float = HEAD_SHARE, arc_share: float = ARC_SHARE) -> Automaton:
-    """The automaton of the training texts; ``counts``: (gram, n) of all words, ends included."""
-    spark = train.sparkSession
-    head = counts.where(F.col("n") >= head_share * total).toPandas()  # at most 1 / head_share rows
-    words = np.sort(head["gram"].to_numpy().astype(np.int64).view(np.uint64))
-    place = np.searchsorted(words, head["gram"].to_numpy().astype(np.int64).view(np.uint64))
-    n1 = np.zeros(len(words) + 2)
-    n1[place + 2] = head["n"].to_numpy()
-    n1[1] = n1[int(np.searchsorted(words, H.U(END))) + 2] if END in words else 0  # starts are as many as ends
-    symbols = len(words) + 2
-    kept: list[np.ndarray] = []
-    count = [n1]
-    for _ in range(order - 1):
-        known = spark.sparkContext.broadcast((words, kept))
-
-        def grams(tok, off, known=known):
-            w, levels = known.value
-            empty = np.zeros(0)
-            a = Automaton(w, empty, empty, empty, empty, empty, 0, 0)
-            symbol = a.encode(tok)
-            ids = _gram_ids(symbol, off, levels, a.symbols)[-1]
-            before = np.empty(len(ids), np.int64)
-            before[1:] = ids[:-1]
-            before[off[:-1]] = 1 if not levels else -1
-            ok = (before >= 0) & (symbol > 0)
-            return (before[ok] * a.symbols + symbol[ok]).view(np.uint64)
-
-        least = max(2.0, arc_share * total)
-        found = _counted(train, grams).where(F.col("n") >= least).toPandas()  # at most 1 / arc_share rows
-        found = found.sort_values("gram")
-        kept.append(found["gram"].to_numpy().astype(np.int64))
-        count.append(found["n"].to_numpy().astype(float))
-        known.destroy()
-    return _smooth(words, kept, count, symbols, total, vocabulary, order)
-
-
-def _smooth(words, kept, count, symbols, total, vocabulary, order) -> Automaton:
-    """Absolute discounting, lowest order first; every kept n-gram is an arc of its context's state."""
-    base = np.log10((count[0] + ALPHA) / (total + ALPHA * (vocabulary + 1)))
-    # contexts of order m are n-grams of order m; those with arcs become states 1, 2, ...
-    state_of, states = [], 1
-    for level in range(1, order):
-        size = symbols if level == 1 else len(kept[level - 2])
-        has = np.zeros(size, bool)
-        has[kept[level - 1] // symbols] = True
-        number = np.full(size, -1, np.int64)
-        number[has] = states + np.arange(int(has.sum()))
-        states += int(has.sum())
-        state_of.append(number)
-    fail, backoff = np.zeros(states, np.int64), np.zeros(states)
-    parts = [Automaton(words, np.arange(2, symbols), base[2:], np.maximum(state_of[0][2:], 0) if order > 1 else np.zeros(symbols - 2, np.int64),
-                       fail, backoff, 0, order)] if symbols > 2 else []
-    suffix = [np.full(symbols, -1, np.int64)]  # for each n-gram, the number of the n-gram without its first word
-    automaton = _joined(words, parts, fail, backoff, 0, order)
-    for level in range(1, order):
-        codes, n = kept[level - 1], count[level]
-        context, symbol = codes // symbols, codes % symbols
-        number = state_of[level - 1]
-        # the shorter context of an order-m context, as a state
-        if level > 1:
-            own = np.flatnonzero(number >= 0)
-            fail[number[own]] = _longest(own, level, suffix, state_of)
-        source = number[context]
-        lower, _ = automaton.step(fail[source], symbol)
-        seen = count[level - 1][context]
-        p = (n - DISCOUNT) / seen
-        sums = np.bincount(source, p, states), np.bincount(source, 10.0 ** lower, states)
-        own = number[number >= 0]
-        backoff[own] = np.log10(np.maximum(1 - sums[0][own], 1e-9) / np.maximum(1 - sums[1][own], 1e-9))
-        # the n-gram without its first word, one order below
-        tail = np.full(len(codes), -1, np.int64)
-        if level == 1:
-            tail = symbol.astype(np.int64)
-        elif len(kept[level - 2]):
-            shorter = suffix[level - 1][context]
-            code = shorter * symbols + symbol
-            at = np.minimum(np.searchsorted(kept[level - 2], code), len(kept[level - 2]) - 1)
-            tail = np.where((shorter >= 0) & (kept[level - 2][at] == code), at, -1)
-        suffix.append(tail)
-        to = _target(np.arange(len(codes)), level + 1, symbol, suffix, state_of, order)
-        parts.append(Automaton(words, source * symbols + symbol, np.log10(p), to, fail, backoff, 0, order))
-        automaton = _joined(words, parts, fail, backoff, 0, order)
-    start = max(0, int(state_of[0][1])) if order > 1 else 0
-    return _joined(words, parts, fail, backoff, start, order)
-
-
-def _longest(gram: np.ndarray, level: int, suffix: list[np.ndarray], state_of: list[np.ndarray]) -> np.ndarray:
-    """State of the longest proper suffix context of n-grams of order ``level``."""
-    out = np.zeros(len(gram), np.int64)
-    todo, at = np.arange(len(gram)), gram
-    for m in range(level, 1, -1):
-        at = suffix[m - 1][at]
-        ok = at >= 0
-        state = np.where(ok, state_of[m - 2][np.maximum(at, 0)], -1)
-        out[todo[state >= 0]] = state[state >= 0]
-        go = ok & (state < 0)
-        todo, at = todo[go], at[go]
-    return out
-
-
-def _target(gram, level, symbol, suffix, state_of, order) -> np.ndarray:
-    """State after an arc: the longest context among the n-gram itself and its suffixes."""
-    if level < order:
-        own = state_of[level - 1][gram]
-        return np.where(own >= 0, own, _longest(gram, level, suffix, state_of))
-    return _longest(gram, level, suffix, state_of)
-
-
-def _joined(words, parts, fail, backoff, start, order) -> Automaton:
-    cat = lambda f, t: np.concatenate([getattr(p, f) for p in parts]) if parts else np.zeros(0, t)
-    arc, weight, target = cat("arc", np.int64), cat("weight", float), cat("target", np.int64)
-    by = np.argsort(arc)
-    return Automaton(words, arc[by], weight[by], target[by], fail, backoff, start, order)
-
-
-SCORED = "word long, doc_id long, copy int, times long, n_tokens long, n_known long, base double, score double"
-
-
-def score(docs: DataFrame, order: int = ORDER, head_share: float = HEAD_SHARE, arc_share: float = ARC_SHARE,
+    n = np.diff(off) + 1
+    begin = np.concatenate([[0], np.cumsum(n)])
+    stream = np.full(begin[-1], START, np.uint64)
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(stream)) - begin[owner]
+    stream[place > 0] = tok
+    p, at = H.prefix(stream), np.arange(len(stream))
+    return stream, owner, place, [H.ranges(p, np.maximum(at - m + 1, 0), at + 1) for m in range(1, order + 1)]
+
+
+#: The word of one token as it appears among n-grams.
+def _word(h: int) -> int:
+    return int(H.ranges(H.prefix(np.array([h], np.uint64)), np.array([0]), np.array([1])).view(np.int64)[0])
+
+
+def _arcs(train: DataFrame, head: np.ndarray | None, least: float, order: int) -> DataFrame:
+    """(m, gram, ctx, tail, n): n-grams of 2 to ``order`` words that occur ``least`` times, without their last and first word."""
+    spark, names = train.sparkSession, ["m", "gram", "ctx", "tail", "n"]
+    shared = spark.sparkContext.broadcast(head)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held = shared.value, []
+
+        def folded():
+            m, gram, ctx, tail, n = (np.concatenate(x) for x in zip(*held))
+            _, first, at = np.unique(gram, return_index=True, return_inverse=True)
+            return m[first], gram[first], ctx[first], tail[first], np.bincount(at, weights=n).astype(np.int64)
+
+        def out():
+            cols = folded()
+            held.clear()
+            for lo in range(0, len(cols[0]), 100_000):
+                m, *rest = (c[lo:lo + 100_000] for c in cols)
+                yield pa.RecordBatch.from_arrays([pa.array(m), *(pa.array(c.view(np.int64)) for c in rest)], names=names)
+
+        strips, size = 0, 0
+        for batch in batches:
+            data, off = T.utf8(batch.column("text"))
+            for lo, hi in T.pieces(off):
+                stream, _, place, grams = _streams(*tokens(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]), order)
+                bad = np.concatenate([[0], np.cumsum(~np.isin(stream, words) & (place > 0))]) if words is not None else None
+                for m in range(2, order + 1):
+                    at = np.flatnonzero(place >= m - 1)
+                    if bad is not None:
+                        at = at[bad[at + 1] == bad[at + 1 - m]]
+                    gram, first, n = np.unique(grams[m - 1][at], return_index=True, return_counts=True)
+                    at = at[first]
+                    held.append((np.full(len(at), m, np.int32), gram, grams[m - 2][at - 1], grams[m - 2][at], n))
+                    size += len(at)
+                strips += 1
+                if held and (strips % STRIPS == 0 or size > GRAMS):
+                    held[:] = [folded()]
+                    size = len(held[0][0])
+                    if strips % STRIPS == 0 or 2 * size > GRAMS:
+                        yield from out()
+                        size = 0
+        if held:
+            yield from out()
+
+    rows = train.select("text").mapInArrow(run, "m int, gram long, ctx long, tail long, n long")
+    return rows.groupBy("m", "gram", "ctx", "tail").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def train_tables(train: DataFrame, counts: DataFrame, total: int, vocabulary: int, order: int = ORDER,
+                 head_share: float = 0.0, arc_share: float = 0.0) -> tuple[DataFrame, float]:
+    """(m, gram, n, base, value) of every word and kept n-gram, and the failure weight of the start of a text.
+
+    ``counts``: (gram, n) of all words, ends included.  Steps on the same key are tables of their own,
+    so that Spark can split a key that very many n-grams share.
+    """
+    head = None
+    if head_share * total > 1:
+        head = counts.where(F.col("n") >= head_share * total).select("gram").toPandas()["gram"].to_numpy().astype(np.int64).view(np.uint64)  # at most 1 / head_share rows
+    base = F.log10((F.col("n") + ALPHA) / F.lit(total + ALPHA * (vocabulary + 1)))
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+            at = np.arange(len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(H.ranges(H.prefix(h), at, at + 1).view(np.int64)), batch.column("n")], names=["gram", "n"])
+
+    words = cut_lineage(counts.mapInArrow(renamed, "gram long, n long").withColumn("lp", base))
+    levels = [words.select(F.lit(1).alias("m"), "gram", "n", F.col("lp").alias("base"), F.col("lp").alias("own"))]
+    if order == 1:
+        return cut_lineage(levels[0].withColumnRenamed("own", "value")), 0.0
+    arcs = cut_lineage(_arcs(train, head, max(float(LEAST), arc_share * total), order))
+    # starts are as many as ends
+    starts = words.where(F.col("gram") == _word(END)).select(F.lit(_word(START)).alias("gram"), "n", F.lit(0.0).alias("lp"))
+    shorter, start, tables = words.unionByName(starts), 0.0, []
+    for m in range(2, order + 1):
+        low = shorter.select(F.col("gram").alias("tail"), F.col("lp").alias("low"))
+        level = cut_lineage(arcs.where(F.col("m") == m).join(low, "tail").select("gram", "ctx", "n", "low"))
+        sums = level.groupBy("ctx").agg(F.sum(F.col("n") - DISCOUNT).alias("mass"), F.sum(F.pow(F.lit(10.0), F.col("low"))).alias("under"))
+        seen = shorter.select(F.col("gram").alias("ctx"), F.col("n").alias("seen"))
+        left, free = F.greatest(1 - F.col("mass") / F.col("seen"), F.lit(1e-9)), F.greatest(1 - F.col("under"), F.lit(1e-9))
+        states = cut_lineage(sums.join(seen, "ctx").select("ctx", "seen", F.log10(left / free).alias("fail")))
+        if m == 2:
+            found = states.where(F.col("ctx") == _word(START)).first()
+            start = found.fail if found else 0.0
+        lp = F.log10((F.col("n") - DISCOUNT) / F.col("seen"))
+        shorter = cut_lineage(level.join(states, "ctx").select("gram", "n", lp.alias("lp"), (lp - F.col("fail") - F.col("low")).alias("own")))
+        below = levels[-1].join(states.select(F.col("ctx").alias("gram"), "fail"), "gram", "left")
+        tables.append(below.select("m", "gram", "n", "base", (F.col("own") + F.coalesce("fail", F.lit(0.0))).alias("value")))
+        levels.append(shorter.select(F.lit(m).alias("m"), "gram", "n", F.lit(None).cast("double").alias("base"), "own"))
+    tables.append(levels[-1].withColumnRenamed("own", "value"))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return cut_lineage(out), start
+
+
+SCORED = "gram long, doc_id long, copy int, m int, times long, n_tokens long, n_known long, base double, score double"
+
+
+def score(docs: DataFrame, order: int = ORDER, head_share: float = 0.0, arc_share: float = 0.0,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row (log10)."""
     spark = docs.sparkSession
@@ -289,52 +210,58 @@ def score(docs: DataFrame, order: int = ORDER, head_share: float = HEAD_SHARE, a
     train = keyed.where("not held_out")
     counts = cut_lineage(_counted(train, lambda tok, off: tok))
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    automaton = train_automaton(train, counts, total, vocabulary, order, head_share, arc_share)
-    head = counts.where(F.col("n") >= head_share * total).toPandas()
-    n = np.zeros(automaton.symbols)
-    n[automaton.encode(head["gram"].to_numpy().astype(np.int64).view(np.uint64))] = head["n"].to_numpy()
-    logs = np.log10((n + ALPHA) / (total + ALPHA * (vocabulary + 1)))
-    logs[0] = 0.0
-    shared = spark.sparkContext.broadcast((automaton, logs))
+    model, start = train_tables(train, counts, total, vocabulary, order, head_share, arc_share)
+    share = F.when(F.col("m") == 1, F.lit(HEAD_SHARE)).otherwise(F.lit(ARC_SHARE))
+    hot = model.where(F.col("n") >= share * total).select("gram", "base", "value").toPandas()  # at most 1 / share rows an order
+    keys = hot["gram"].to_numpy().astype(np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((keys[by], hot["base"].fillna(0.0).to_numpy(float)[by], hot["value"].to_numpy(float)[by]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, base = shared.value
+        held, base, value = shared.value
+        known = Lookup(held) if len(held) else None
         for batch in batches:
             data, off = T.utf8(batch.column("text"))
             ids, copies = batch.column("doc_id").to_numpy(), batch.column("copy").to_numpy()
             for lo, hi in T.pieces(off, T.CHUNK // 2):
                 tok, at = tokens(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-                symbol = model.encode(tok)
-                first = np.zeros(len(tok), bool)
-                first[at[:-1]] = True
-                gained = model.traverse(symbol, first)
-                d, c = ids[lo:hi], copies[lo:hi]
-                sums = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  every text has its end token
-                zero = np.zeros(hi - lo, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(H.mix(d.view(np.uint64) ^ H.U(1)).view(np.int64)), pa.array(d), pa.array(c), pa.array(zero), pa.array(np.diff(at)),
-                     pa.array(sums((symbol > 0).astype(np.int64))), pa.array(sums(base[symbol])), pa.array(sums(gained))], names=NAMES)
-                rare = np.flatnonzero(symbol == 0)
-                if not len(rare):
-                    continue
-                text = np.searchsorted(at, rare, side="right") - 1
-                by = np.lexsort((tok[rare], text))
-                text, word = text[by], tok[rare][by]
-                new = np.ones(len(by), bool)
-                new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1])
-                begin = np.flatnonzero(new)
-                none, nil = np.zeros(len(begin), np.int64), np.zeros(len(begin))
+                d, c, n = ids[lo:hi], copies[lo:hi], hi - lo
+                _, owner, place, grams = _streams(tok, at, order)
+                sums = np.zeros((3, n))
+                sums[2] = start
+                rest = []
+                for m in range(1, order + 1):
+                    ends = np.flatnonzero(place >= max(1, m - 1))
+                    gram, text = grams[m - 1][ends], owner[ends]
+                    cold = np.ones(len(gram), bool)
+                    if known is not None:
+                        hit, where = known(gram)
+                        cold[hit] = False
+                        sums[2] += np.bincount(text[hit], value[where], n)
+                        if m == 1:
+                            sums[0] += np.bincount(text[hit], minlength=n)
+                            sums[1] += np.bincount(text[hit], base[where], n)
+                    gram, text = gram[cold], text[cold]
+                    _, first, times = np.unique(gram ^ H.mix(text.astype(np.uint64) + H.U(7)), return_index=True, return_counts=True)
+                    rest.append((gram[first], text[first], np.full(len(first), m, np.int32), times))
+                gram, text, m, times = (np.concatenate(x) for x in zip(*rest))
+                zero, none, nil = np.zeros(n, np.int64), np.zeros(len(gram), np.int64), np.zeros(len(gram))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(word[begin].view(np.int64)), pa.array(d[text[begin]]), pa.array(c[text[begin]]),
-                     pa.array(np.diff(np.append(begin, len(by)))), pa.array(none), pa.array(none), pa.array(nil), pa.array(nil)], names=NAMES)
+                    [pa.array(H.mix(d.view(np.uint64) ^ H.U(1)).view(np.int64)), pa.array(d), pa.array(c), pa.array(zero.astype(np.int32)), pa.array(zero),
+                     pa.array(np.diff(at)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=NAMES)
+                if len(gram):
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(d[text]), pa.array(c[text]), pa.array(m), pa.array(times),
+                                                      pa.array(none), pa.array(none), pa.array(nil), pa.array(nil)], names=NAMES)
 
     NAMES = [f.split()[0] for f in SCORED.split(", ")]
     rows = T.distinct(keyed).mapInArrow(run, SCORED)
-    n_word = F.coalesce(F.col("n"), F.lit(0))
-    log = F.col("times") * F.log10((n_word + ALPHA) / F.lit(total + ALPHA * (vocabulary + 1)))
-    met = rows.join(counts.withColumnRenamed("gram", "word"), "word", "left")
+    unknown = float(np.log10(ALPHA / (total + ALPHA * (vocabulary + 1))))
+    word = F.col("m") == 1
+    met = (rows.join(model.select("gram", F.col("base").alias("b"), F.col("value").alias("v")), "gram", "left")
+           .where(F.col("v").isNotNull() | (F.col("m") < 2)))  # an n-gram without an arc adds nothing
     per_doc = met.groupBy("doc_id", "copy").agg(
-        F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(n_word > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + log).alias("base_score"), F.sum(F.col("score") + log).alias("score"))
+        F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(word & F.col("v").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("base") + F.when(word, F.col("times") * F.coalesce("b", F.lit(unknown))).otherwise(0.0)).alias("base_score"),
+        F.sum(F.col("score") + F.when(F.col("m") > 0, F.col("times") * F.coalesce("v", F.lit(unknown))).otherwise(0.0)).alias("score"))
     return (keyed.select("doc_id", "copy", "held_out").join(per_doc, ["doc_id", "copy"])
             .select(T.public_id(), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"))

@@ -93,3 +93,15 @@ def test_held_out_text_is_likelier_than_by_words_alone(spark):
 
 def test_empty_table(spark):
     assert L.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rare_words_and_n_grams_keep_their_arcs_however_large_the_corpus(spark, monkeypatch):
+    rows = texts(4) + [(200 + i, "quite rare pair of words") for i in range(4)] + [(300 + i, "the cat ran " * 15000) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    uni, total, v, p = model(rows, 3, 0, 0)
+    want = {i: sum(math.log10(p(tuple(["<s>", *split(t)][max(0, k - 1):k + 1]), w)) for k, w in enumerate(split(t))) for i, t in rows if i and 200 <= i < 300}
+    for share in (1e-6, 0.01):  # what is broadcast does not change scores
+        monkeypatch.setattr(L, "HEAD_SHARE", share)
+        monkeypatch.setattr(L, "ARC_SHARE", share)
+        got = {r.doc_id: r.score for r in L.score(df).where("doc_id >= 200 and doc_id < 300").collect()}
+        assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()))
