@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window
 
 from kestrel.llm import hashing as H, texts as T
 from kestrel.llm.tally import Tally
@@ -131,7 +131,10 @@ PASSAGE = "doc_id long, copy int, start long, words array<long>, grams array<lon
 
 
 def passages(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Passages of the documents around seeds: their words' hashes and the seeds they hold."""
+    """Passages of the documents around seeds: their words' hashes and the seeds they hold.
+
+    ``docs`` has every document once.
+    """
     spark, found = docs.sparkSession, []
     reach = chosen.groupBy("gram").agg(F.max("place").alias("before"), F.max(F.col("size") - F.col("place")).alias("after"))
     for block in _blocks(reach, ["gram", "before", "after"]):
@@ -171,7 +174,25 @@ def passages(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                          pa.array(texts, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "copy", "start", "words", "grams"])
 
         found.append(docs.select("doc_id", "copy", "text").mapInArrow(run, PASSAGE))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], PASSAGE)
+    if not found:
+        return spark.createDataFrame([], PASSAGE)
+    return found[0] if len(found) == 1 else _merged(reduce(DataFrame.unionByName, found))
+
+
+def _merged(cut: DataFrame) -> DataFrame:
+    """Passages of several scans, those that overlap as one, as a single scan would have cut them."""
+    before = Window.partitionBy("doc_id", "copy").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.col("start") >= F.max(F.col("start") + F.size("words")).over(before)
+    island = F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(Window.partitionBy("doc_id", "copy").orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
+    met = (cut.withColumn("_island", island).groupBy("doc_id", "copy", "_island")
+           .agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("start", "words", "grams"))).alias("_parts")))
+
+    def stitched(have, part):
+        known = F.col("start") + F.size(have) - part["start"]  # words of the part that are there already
+        return F.concat(have, F.slice(part["words"], (known + 1).cast("int"), F.greatest(F.lit(0), (F.size(part["words"]) - known).cast("int"))))
+
+    words = F.aggregate(F.slice("_parts", 2, F.size("_parts")), F.col("_parts")[0]["words"], stitched)
+    return met.select("doc_id", "copy", "start", words.alias("words"), F.array_distinct(F.flatten("_parts.grams")).alias("grams"))
 
 
 def align(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -236,7 +257,7 @@ def _leaks(keyed: DataFrame, items: DataFrame, threshold: float, item_col: str,
     own = cut_lineage(own.select(F.monotonically_increasing_id().alias("item"), F.col("_id").alias("item_id"),
                                  F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     chosen = seeds(keyed, own)
-    cut = cut_lineage(passages(keyed, chosen).dropDuplicates(["doc_id", "copy", "start"]))
+    cut = cut_lineage(passages(T.distinct(keyed), chosen))
     place = ["doc_id", "copy", "start"]
     met = (cut.select(*place, F.explode("grams").alias("gram")).join(chosen.select("gram", "item").distinct(), "gram")
            .select(*place, "item").distinct())
@@ -258,6 +279,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that hold no copy of an item, with all their columns."""
     keys = T.with_keys(docs, id_col, text_col)
-    keyed = keys.select(F.col("_id").alias("doc_id"), F.col("_copy").alias("copy"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = keys.select(F.col("_id").alias("doc_id"), F.col("_copy").alias("copy"), F.col("_listing").alias("listing"),
+                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = cut_lineage(_leaks(keyed, items, threshold, item_col, item_text_col).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct())
     return keys.join(found, ["_id", "_copy"], "left_anti").select(*docs.columns)

@@ -79,6 +79,23 @@ def test_a_benchmark_beyond_one_scan(spark, monkeypatch):
     assert sorted(map(str, D.leaks(d, b).collect())) == one
 
 
+def test_touching_leaks_of_several_scans_are_all_found(spark, monkeypatch):
+    rnd = random.Random(2)
+    text = lambda n: ["".join(rnd.choice("abcdefg") for _ in range(8)) for _ in range(n)]
+    items, docs = [], []
+    for k in range(8):
+        short, long, far = text(4), text(12), text(30)
+        items += [(3 * k, " ".join(short)), (3 * k + 1, " ".join(long)), (3 * k + 2, " ".join(far))]
+        edited = long[:3] + text(2) + long[5:]
+        docs.append((k, " ".join(short + edited + far[:14] + text(7) + far[14:] + text(9))))
+    docs.append(docs[0])
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, D.leaks(d, b).collect()), key=str)
+    assert {(r[0], r[1]) for r in one} == {(k, 3 * k + j) for k in range(8) for j in range(3)}
+    monkeypatch.setattr(D, "SEEDS", 60)
+    assert sorted(map(tuple, D.leaks(d, b).collect()), key=str) == one
+
+
 def test_empty_tables(spark):
     d, b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     full = spark.createDataFrame([(1, "some words are here")], "doc_id long, text string")
