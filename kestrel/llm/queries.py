@@ -163,3 +163,10 @@ def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         entry("host", k % 200, state), entry("host", k % 200 + 90, F.lit("off")),
         entry("parent", k % 300, F.lit("block")), entry("parent", k % 300 + 30, F.lit("off")))).alias("e")).select("e.*")
     return U.judge(captures, entries).select("page_id", "host", "fetched_on", "verdict", "matched", "since")
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from kestrel.llm.token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
