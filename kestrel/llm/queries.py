@@ -199,3 +199,78 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.session import cut_lineage
     index = cut_lineage(build_index(table(spark, sf_dir, "documents")))
     return search(index, table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256))::BIGINT AS i)),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hit AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h FROM keyed CROSS JOIN crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit WHERE h <> 0),
+placed AS (
+  SELECT *, row_number() OVER w AS pos, left(role, 1) AS i, lag(left(role, 1)) OVER w AS before,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ended
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+faulty AS (
+  SELECT *, CASE WHEN ended = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM faulty GROUP BY conv_id),
+moves AS (SELECT * FROM (VALUES (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')) m(p, q, role)),
+waits AS (
+  SELECT p, p AS q, 0 AS cost, '' AS audit FROM moves
+  UNION ALL SELECT p, q, 3, 'I' FROM moves
+  UNION ALL SELECT a.p, b.q, 6, 'II' FROM moves a JOIN moves b ON b.p = a.q),
+edits AS (
+  SELECT w.p, e.q, e.i, e.gone, w.cost + e.cost AS cost, w.audit || e.audit AS audit
+  FROM waits w JOIN (
+    SELECT p, p AS q, NULL AS i, NULL AS gone, 4 AS cost, 'D' AS audit FROM moves
+    UNION ALL SELECT p, q, NULL, false, 3, 'R' FROM moves
+    UNION ALL SELECT p, q, role, false, 0, 'K' FROM moves
+    UNION ALL SELECT 0, 1, 's', false, 0, 'K') e ON e.p = w.q),
+dp AS (
+  SELECT conv_id, n, 0::BIGINT AS pos, 0 AS st, {'c': 0, 'a': ''} AS v FROM counts
+  UNION ALL
+  SELECT d.conv_id, d.n, d.pos + 1, e.q,
+    min({'c': d.v.c + e.cost + CASE WHEN f.fault = 'truncated' AND NOT ends_with(e.audit, 'D') THEN 3 ELSE 0 END, 'a': d.v.a || e.audit})
+  FROM dp d JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.pos = d.pos + 1
+    JOIN edits e ON e.p = d.st AND (e.i IS NULL OR e.i = f.i) AND (e.gone IS NULL OR f.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY d.conv_id, d.n, d.pos, e.q),
+best AS (
+  SELECT d.conv_id, min({'c': d.v.c + w.cost, 'a': d.v.a || w.audit}) AS v
+  FROM dp d JOIN waits w ON w.p = d.st WHERE d.pos = d.n AND (w.q = 3 OR (w.q = 0 AND d.st = 0)) GROUP BY d.conv_id),
+ops AS (SELECT conv_id, unnest(string_split(v.a, '')) AS op, unnest(range(length(v.a))) AS nr FROM best WHERE v.a <> ''),
+aligned AS (
+  SELECT *, sum((op <> 'I')::INT) OVER w AS pos, sum((op <> 'D')::INT) OVER w AS said
+  FROM ops WINDOW w AS (PARTITION BY conv_id ORDER BY nr)),
+said AS (
+  SELECT a.conv_id, a.nr, a.op, a.said - 1 AS said, f.role, f.i, CASE WHEN a.op = 'I' THEN '' ELSE f.text END AS text,
+    max((a.op = 'K' AND f.i = 's')::INT) OVER (PARTITION BY a.conv_id) AS led
+  FROM aligned a LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM a.conv_id AND f.pos = a.pos AND a.op <> 'I' WHERE a.op <> 'D'),
+repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN op = 'K' THEN role WHEN (said - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY nr) AS r
+  FROM said GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(b.v.c, 0)::BIGINT AS cost, coalesce(b.v.a, '') AS audit, sha256(coalesce(r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+  LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+@query(sql=OP13_SQL)
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.turn_repair import damage, repair
+    turns = table(spark, sf_dir, "conversations")
+    return repair(damage(turns), turns)
