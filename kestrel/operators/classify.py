@@ -2,10 +2,8 @@
 
 * ``nearest_centroid``: softmax over cosine to per-class centroids (Arrow
   batch matmul in ``mapInPandas``; the centroid matrix is K x d, as wide as one row of the result).
-* ``fit_classifier``: Spark ML pipeline (tokens -> HashingTF -> IDF ->
-  multinomial logistic regression).  Label smoothing is the same loss as
-  replicating each row over the K classes with weights 1-eps+eps/K (own class)
-  and eps/K (others).  The model is chosen on the dev set by macro-F1.
+* ``fit_classifier``: multinomial regression over hashed TF-IDF terms with smoothed targets
+  (``soft_targets``).  The model is chosen on the dev set by macro-F1.
 * ``predict``: probabilities -> label, confidence and a label->prob map.
 """
 
@@ -19,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrel.functions.text import tokens
 from kestrel.functions.vectors import argmax
-from kestrel.session import spread
+from kestrel.operators.soft_targets import TextModel, fit_grid, hashed_terms, probabilities
+from kestrel.session import cut_lineage, spread
 
 CENTROID_BLOCK = 1024  # classes scored against a batch at a time
 
@@ -63,49 +61,34 @@ def with_prediction(df: DataFrame, labels: Sequence[str], probs_col: str = "prob
             .withColumn("probs", F.map_from_arrays(lab, F.col(probs_col))))
 
 
-def _features(df: DataFrame, text_col: str) -> DataFrame:
-    return df.withColumn("_tokens", tokens(text_col))
-
-
 def fit_classifier(train: DataFrame, dev: DataFrame, *, text_col: str = "text", label_col: str = "label",
                    smoothing: float = 0.1, reg_grid: Sequence[float] = (0.0, 0.01, 0.1),
-                   num_features: int = 1 << 18, max_iter: int = 50):
-    """M6: fit on pseudo labels, choose by macro-F1 on the dev set. Returns (model, labels, dev_f1)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF
+                   num_features: int = 1 << 18, max_iter: int = 50, idx_col: str | None = None):
+    """M6: fit on pseudo labels, choose by macro-F1 on the dev set. Returns (model, labels, dev_f1).
 
+    ``idx_col``: hashed terms that both tables already carry (``hashed_terms``); else they are made from the text, once.
+    """
     from kestrel.operators.evaluate import metrics
 
-    labels = sorted(r[0] for r in train.select(label_col).distinct().collect())  # K labels, alphabetical
-    k = len(labels)
+    labels = sorted(r[0] for r in train.select(label_col).where(F.col(label_col).isNotNull()).distinct().collect())  # K labels, alphabetical
     dev = dev.where(F.col(label_col).isin(labels))  # P14: only labels the model can predict
-    lab_idx = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label_col)) - 1
-    base = _features(train, text_col).withColumn("_y", lab_idx.cast("double"))
-    # label smoothing as weighted replication over the K classes
-    rep = base.withColumn("_cls", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn(
-        "_w", F.when(F.col("_cls") == F.col("_y"), 1 - smoothing + smoothing / k).otherwise(smoothing / k)
-    ).withColumn("_target", F.col("_cls").cast("double"))
+
+    def hashed(df):
+        d = df.withColumn("_idx", F.col(idx_col)) if idx_col else hashed_terms(df, text_col, num_features)
+        return d.select(F.col(label_col).alias("true_label"), "_idx")
+
+    models = fit_grid(hashed(train), labels, "true_label", smoothing=smoothing, reg_grid=reg_grid, num_features=num_features, max_iter=max_iter)
+    held = cut_lineage(hashed(dev))
     best = None
-    for reg in reg_grid:
-        pipe = Pipeline(stages=[
-            HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
-            IDF(inputCol="_tf", outputCol="_feat"),
-            LogisticRegression(featuresCol="_feat", labelCol="_target", weightCol="_w", family="multinomial",
-                               regParam=reg, maxIter=max_iter, probabilityCol="_prob"),
-        ])
-        model = pipe.fit(rep)
-        pred = predict(model, labels, dev, text_col).withColumn("true_label", F.col(label_col))
-        f1 = metrics(pred).first()["f1_macro"] or 0.0
+    for model in models:
+        f1 = metrics(with_prediction(probabilities(held, model), labels, "_p")).first()["f1_macro"] or 0.0
         if best is None or f1 > best[2]:
             best = (model, labels, f1)
     return best
 
 
-def predict(model, labels: Sequence[str], df: DataFrame, text_col: str = "text") -> DataFrame:
-    """M7/M8: add predicted_label_id, predicted_label, confidence, probs."""
-    from pyspark.ml.functions import vector_to_array
-    out = model.transform(_features(df, text_col))
-    out = out.withColumn("_p", vector_to_array("_prob"))
-    keep = [c for c in df.columns]
-    return with_prediction(out.select(*keep, "_p"), labels, "_p").drop("_p")
+def predict(model: TextModel, labels: Sequence[str], df: DataFrame, text_col: str = "text",
+            idx_col: str | None = None) -> DataFrame:
+    """M7/M8: add predicted_label_id, predicted_label, confidence, probs (``idx_col`` as in ``fit_classifier``; it is used up)."""
+    d = df.withColumnRenamed(idx_col, "_idx") if idx_col else hashed_terms(df, text_col, model.weights.shape[1])
+    return with_prediction(probabilities(d, model), labels, "_p").drop("_p")

@@ -154,10 +154,10 @@ def label_slice(pred: DataFrame, label: str, n: int = 100, label_col: str = "tru
 
 
 def calibration_report(rows: DataFrame, pred: DataFrame, bins: int = 10, id_col: str = "review_id") -> dict[str, DataFrame]:
-    """Join predictions to all rows (J4), order by confidence (L11), flag correctness (F25), bin."""
+    """Join predictions to all rows (J4), order by confidence (L11), flag correctness (F25), bin (A17), also by predicted label."""
     joined = attach_predictions(rows, pred, id_col).withColumn("correct", correct_flag())
     return {"rows": by_confidence(joined, id_col=id_col), "bins": calibration(joined, bins),
-            "bins_by_label": calibration(joined, bins, by="true_label")}
+            "bins_by_label": calibration(joined, bins, by="predicted_label")}
 
 
 def stage_counts(**stages: DataFrame) -> DataFrame:

@@ -222,14 +222,14 @@ def confidence_order(spark, sf_dir):
 
 
 @register("calibration_pipeline", CAL_SQL + """
-SELECT true_label, bin, round(avg(correct), 6) AS accuracy, count(*) AS n FROM bb GROUP BY true_label, bin
+SELECT predicted_label, bin, round(avg(correct), 6) AS accuracy, count(*) AS n FROM bb GROUP BY predicted_label, bin
 """)
 def calibration_pipeline(spark, sf_dir):
-    """Predictions attached to all rows, ordered, flagged and binned by true label."""
+    """Predictions attached to all rows, ordered, flagged and binned by predicted label."""
     p = centroid_predictions(spark, sf_dir)
     rows = p.select("id", "true_label")
     out = calibration_report(rows, p.drop("true_label"), id_col="id")["bins_by_label"]
-    return out.select("true_label", "bin", F.round("accuracy", 6).alias("accuracy"), "n")
+    return out.select("predicted_label", "bin", F.round("accuracy", 6).alias("accuracy"), "n")
 
 
 @register("attached_predictions", PRED_SQL + """

@@ -20,9 +20,13 @@ from kestrel.operators.pseudo import pseudo_labels
 from kestrel.operators.rerank import SparseIndex, bm25, build_index, rerank, retrieve
 from kestrel.operators.retrieval import threshold as min_score
 from kestrel.operators.tfidf import tfidf
-from kestrel.session import cut_lineage
+from kestrel.operators.soft_targets import hashed_terms
+from kestrel.session import cut_lineage, spread
 from kestrel.sources.io import add_tfidf, path_exists, write_table
 
+#: Hashed features of the rounds' classifier.
+NUM_FEATURES = 1 << 16
+
 
 @dataclass
 class RoundConfig:
@@ -49,6 +53,7 @@ class Corpus:
     lemmas: DataFrame        # doc_id, term (all tokens, lemmatised)
     n: DataFrame             # one row n
     global_scores: DataFrame  # term, df, cf, score (cap 5000)
+    hashed: DataFrame        # doc_id, idx: the classifier's features (M6, M7)
 
 
 def prepare_corpus(docs: DataFrame) -> Corpus:
@@ -65,7 +70,8 @@ def prepare_corpus(docs: DataFrame) -> Corpus:
     n = cut_lineage(docs.agg(F.count(F.lit(1)).alias("n")))
     gs = cut_lineage(tfidf(docs, [], max_features=5000, post=index.postings).terms
                      .select("term", "df", "cf", "score"))
-    return Corpus(docs, index, lemmas, n, gs)
+    hashed = cut_lineage(hashed_terms(spread(docs), "text", NUM_FEATURES, "idx").select("doc_id", "idx"))
+    return Corpus(docs, index, lemmas, n, gs, hashed)
 
 
 @dataclass
@@ -130,10 +136,11 @@ def run_round(spark: SparkSession, corpus: Corpus, cfg: RoundConfig, round_no: i
     pseudo = cut_lineage(pseudo_labels(hits_text, cfg.samples_per_class))
     predictions = None
     if cfg.train_model and dev is not None:  # M6 + M7 (K6)
-        model, labels, _ = fit_classifier(pseudo, dev, reg_grid=cfg.reg_grid, max_iter=30,
-                                          num_features=1 << 16)
+        labelled = pseudo.select(F.col("review_id").alias("doc_id"), "label").join(corpus.hashed, "doc_id")
+        model, labels, _ = fit_classifier(labelled, hashed_terms(dev, "text", NUM_FEATURES, "idx"), reg_grid=cfg.reg_grid, max_iter=30,
+                                          num_features=NUM_FEATURES, idx_col="idx")
         predictions = cut_lineage(
-            predict(model, labels, corpus.docs)
+            predict(model, labels, corpus.hashed, idx_col="idx")
             .select(F.col("doc_id").alias("review_id"), "predicted_label_id", "predicted_label", "confidence",
                     "probs")
             .withColumn("round", F.lit(round_no)))
