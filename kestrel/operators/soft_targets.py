@@ -41,12 +41,13 @@ def hashed_terms(df: DataFrame, text_col: str = "text", num_features: int = 1 <<
 
 
 def inverse_frequencies(table: DataFrame, num_features: int, idx_col: str = "_idx") -> np.ndarray:
-    """ln((n + 1) / (df + 1)) of every index; at most ``num_features`` rows reach the driver."""
+    """ln((n + 1) / (df + 1)) of every index, infinite where it does not occur; at most ``num_features`` rows reach the driver."""
     n = table.count()
-    df = np.zeros(num_features)
+    df = np.full(num_features, -1.0)
     for r in table.select(F.explode(F.array_distinct(idx_col)).alias("i")).groupBy("i").count().toLocalIterator():
         df[r[0]] = r[1]
-    return np.log((n + 1) / (df + 1))
+    with np.errstate(divide="ignore"):
+        return np.log((n + 1) / (df + 1))
 
 
 def _entries(col: pa.Array, num_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,25 +65,46 @@ def _scores(row: np.ndarray, idx: np.ndarray, value: np.ndarray, n: int, weights
     return e / e.sum(axis=1, keepdims=True)
 
 
-def evaluate(table: DataFrame, idf: np.ndarray, points: Sequence[np.ndarray], n_labels: int, smoothing: float) -> list[tuple[float, np.ndarray]]:
-    """(sum of losses, gradient) of each point over (``_y``, ``_idx``, ``_w``), in one scan.
+def compacted(table: DataFrame, idf: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(``_y``, ``_w``, ``_at``, ``_value``) of every row, written once, and the indices that occur at all.
 
-    A point is labels x (features + 1), the bias last.
+    ``_at`` holds a row's distinct places among those indices, ``_value`` count times idf.
     """
-    num_features = len(idf)
-    shared = table.sparkSession.sparkContext.broadcast((idf, np.stack(points)))
+    used = np.flatnonzero(np.isfinite(idf))
+    place = np.zeros(len(idf), np.int32)
+    place[used] = np.arange(len(used))
+    shared = table.sparkSession.sparkContext.broadcast((place, idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, idf = shared.value
+        for batch in batches:
+            row, idx, count = _entries(batch.column(2), len(idf))
+            off = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(off, pa.array(place[idx])),
+                                              pa.ListArray.from_arrays(off, pa.array(count * idf[idx]))], ["_y", "_w", "_at", "_value"])
+
+    return cut_lineage(table.select("_y", "_w", "_idx").mapInArrow(run, "_y int, _w double, _at array<int>, _value array<double>")), used
+
+
+def evaluate(table: DataFrame, points: Sequence[np.ndarray], smoothing: float) -> list[tuple[float, np.ndarray]]:
+    """(sum of losses, gradient) of each point over a ``compacted`` table, in one scan.
+
+    A point is labels x (used indices + 1), the bias last.
+    """
+    n_labels, num_features = points[0].shape[0], points[0].shape[1] - 1
+    shared = table.sparkSession.sparkContext.broadcast(np.stack(points))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, at = shared.value
+        at = shared.value
         grad, loss, seen = np.zeros_like(at), np.zeros(len(at)), False
         for batch in batches:
             n = len(batch)
             if not n:
                 continue
             seen = True
-            y, w = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            row, idx, count = _entries(batch.column(1), num_features)
-            value = count * idf[idx]
+            y, w = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            row = np.repeat(np.arange(n), batch.column(2).value_lengths().to_numpy())
+            idx, value = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
             target = np.full((n, n_labels), smoothing / n_labels)
             target[np.arange(n), y] += 1 - smoothing
             for m, point in enumerate(at):
@@ -106,16 +128,17 @@ def evaluate(table: DataFrame, idf: np.ndarray, points: Sequence[np.ndarray], n_
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([b.tobytes() for b in total.values()], pa.binary())], ["block", "body"])
 
     schema = "block int, body binary"
-    rows = table.select("_y", "_idx", "_w").mapInArrow(partial, schema).repartition("block").mapInArrow(summed, schema).collect()
+    rows = table.select("_y", "_w", "_at", "_value").mapInArrow(partial, schema).repartition("block").mapInArrow(summed, schema).collect()
     grad, loss = np.zeros((len(points), n_labels, num_features + 1)), np.zeros(len(points))
     for block, body in rows:
         part = np.frombuffer(body)
         if block < 0:
-            loss, grad[:, :, -1] = part[:len(points)], part[len(points):].reshape(len(points), n_labels)
+            loss += part[:len(points)]
+            grad[:, :, -1] += part[len(points):].reshape(len(points), n_labels)
         else:
             lo = block * FEATURE_BLOCK
             hi = min(lo + FEATURE_BLOCK, num_features)
-            grad[:, :, lo:hi] = part.reshape(len(points), n_labels, hi - lo)
+            grad[:, :, lo:hi] += part.reshape(len(points), n_labels, hi - lo)
     shared.unpersist()
     return list(zip(loss.tolist(), grad))
 
@@ -168,15 +191,16 @@ def fit_grid(train: DataFrame, labels: Sequence[str], label_col: str = "label",
     rows = train.where(F.col(label_col).isin(list(labels))).select(
         (F.array_position(names, F.col(label_col)) - 1).cast("int").alias("_y"), "_idx",
         (F.col(weight_col) if weight_col else F.lit(1.0)).cast("double").alias("_w"))
-    table = cut_lineage(spread(rows))
+    rows = cut_lineage(spread(rows))
+    idf = inverse_frequencies(rows, num_features)
+    table, used = compacted(rows, idf)
     n = table.agg(F.sum("_w")).first()[0] or 1.0
-    idf = inverse_frequencies(table, num_features)
     k = len(labels)
-    runs = [lbfgs(np.zeros((k, num_features + 1)), max_iter, tol) for _ in reg_grid]
+    runs = [lbfgs(np.zeros((k, len(used) + 1)), max_iter, tol) for _ in reg_grid]
     asked, ended = {m: next(r) for m, r in enumerate(runs)}, {}
     while asked:
         order = list(asked)
-        found = evaluate(table, idf, [asked[m] for m in order], k, smoothing)
+        found = evaluate(table, [asked[m] for m in order], smoothing)
         for m, (loss, grad) in zip(order, found):
             free = asked[m].copy()
             free[:, -1] = 0
@@ -185,7 +209,13 @@ def fit_grid(train: DataFrame, labels: Sequence[str], label_col: str = "label",
             except StopIteration as end:
                 ended[m] = end.value
                 del asked[m]
-    return [TextModel(list(labels), ended[m][0][:, :-1] * idf, ended[m][0][:, -1].copy(), ended[m][1]) for m in range(len(runs))]
+    models = []
+    for m in range(len(runs)):
+        point, loss = ended[m]
+        weights = np.zeros((k, num_features))
+        weights[:, used] = point[:, :-1] * idf[used]
+        models.append(TextModel(list(labels), weights, point[:, -1].copy(), float(loss)))
+    return models
 
 
 def probabilities(df: DataFrame, model: TextModel, idx_col: str = "_idx", out: str = "_p") -> DataFrame:
