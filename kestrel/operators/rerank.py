@@ -42,15 +42,17 @@ class SparseIndex:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 materialize: bool = True, raw: DataFrame | None = None, lexicon: DataFrame | None = None,
-                lemmas: DataFrame | None = None) -> SparseIndex:
+                lemmas: DataFrame | None = None, put: Callable[[DataFrame, str], DataFrame] | None = None) -> SparseIndex:
     """M1: encode a corpus as normalised TF-IDF postings.
 
     The postings and lexicon are written once (Parquet in the shared
     checkpoint folder) so every query, beam and round reuses one tokenisation
     of the corpus, as the reference reuses its saved index.  ``raw``
     (doc, token, tf), ``lexicon`` and ``lemmas`` may be passed in when the
-    caller already has them for the same corpus.
+    caller already has them for the same corpus.  ``put`` (table, name) writes a table where it should last and
+    returns it as read from there.
     """
+    put = put or (lambda df, name: cut_lineage(df))
     if raw is None:
         raw = raw_postings(docs.select(id_col, text_col).withColumn("_g", F.lit(0)), ["_g"], id_col, text_col)
         if materialize:
@@ -62,27 +64,27 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lex = cut_lineage(lex)
     post = apply_term_rules(raw, ["_g"], id_col, lex, lemmas).drop("_g")
     if materialize:
-        post = cut_lineage(post)
+        post = put(post, "postings")
     # each table is written before the ones that read it, so nothing is computed twice
     dl = post.groupBy(id_col).agg(F.sum("tf").alias("dl"))
     if materialize:
-        dl = cut_lineage(dl)
+        dl = put(dl, "doc_lengths")
     n = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(dl.agg(F.sum("dl").alias("_tot"))).select(
         "n", (F.col("_tot") / F.col("n")).alias("avgdl"))  # two one-row aggregates
     if materialize:
-        n = cut_lineage(n)
+        n = put(n, "n_docs")
     terms = (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
              .crossJoin(F.broadcast(n.select("n")))  # one-row scalar
              .withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
              .drop("n"))
     if materialize:
-        terms = cut_lineage(terms)
+        terms = put(terms, "terms")
     w = post.join(terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
     per_doc = Window.partitionBy(id_col)
     weights = (w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))
                .select(id_col, "term", "tf", "weight"))
     if materialize:
-        weights = cut_lineage(weights)
+        weights = put(weights, "weights")
     return SparseIndex(weights, terms, dl, lex, n, id_col, post)
 
 

@@ -22,7 +22,7 @@ from kestrel.plans.pseudo_plans import BASE_LABELS, HITS_SQL, labelled_hits
 from kestrel.plans.registry import register
 from kestrel.plans.rerank_plans import BASE, BEAM_QUERIES, CE_T, K1, K2, beam_query_df, first_stage
 from kestrel.plans.retrieval_plans import K, T
-from kestrel.plans.rounds import RoundConfig, round_document, run_round, save_round
+from kestrel.plans.rounds import RoundConfig, run_round, save_round, write_round_document
 from kestrel.plans.sqlparts import bm25_sql, clean_sql, retrieve_sql, sparse_index_sql, sql_list, tokens_sql, topk_hits_cte
 from kestrel.plans.split_plans import DEV_RATIO
 from kestrel.plans.tfidf_plans import tfidf_sql_ctes
@@ -376,13 +376,12 @@ SELECT cats.category, (SELECT count(*) FROM documents) AS total_reviews_corpus,
 FROM cats LEFT JOIN c ON c.category = cats.category LEFT JOIN o ON o.category = cats.category
 """)
 def round0_document(spark, sf_dir):
-    """The whole document of a first round without training, stored by round and read back."""
+    """The document of a first round without training, stored by round and category as JSON and read back."""
     corpus = corpus_for(spark, sf_dir)
     cfg = RoundConfig(SEEDS, NUM_BEAMS, K1, K2, CE_T, train_model=False)
     res = save_round(run_round(spark, corpus, cfg, 0), shared_dir(spark, "rounds"))
-    doc = round_document(res, cfg, corpus.docs).select("total_reviews_corpus", F.explode("categories").alias("c"))
-    return (doc.select("total_reviews_corpus", "c.*")
-            .select("category", "total_reviews_corpus", "total_after_merging", "filtered_doc_count",
+    doc = write_round_document(res, cfg, shared_dir(spark, "document"), corpus.docs)
+    return (doc.select("category", "total_reviews_corpus", "total_after_merging", "filtered_doc_count",
                     F.col("tfidf_analysis.total_documents").alias("total_documents"), "used_model_filtering",
                     F.size("beams").cast("long").alias("n_beams"), F.posexplode_outer("reviews").alias("place", "r"))
             .select("*", F.col("r.review_id").alias("review_id")).drop("r"))

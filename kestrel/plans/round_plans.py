@@ -4,7 +4,11 @@ from pyspark.sql import functions as F
 
 from kestrel.operators.split import train_dev_test_split
 from kestrel.plans.registry import register
-from kestrel.plans.rounds import RoundConfig, round_document, run_rounds
+from kestrel.plans.rerank_plans import CE_T, K1, K2
+from kestrel.plans.rounds import RoundConfig, round_document, run_folder, run_rounds
+from kestrel.plans.run_store import manifest
+from kestrel.plans.sqlparts import bm25_sql, retrieve_sql, sparse_index_sql
+from kestrel.session import shared_dir
 from kestrel.sources import driver
 from kestrel.sources.io import source_fingerprint
 
@@ -42,6 +46,33 @@ def round_beams(spark, sf_dir):
 
 @register("round_document")
 def round_document_check(spark, sf_dir):
-    """K3: nested result of the last round, as JSON text."""
+    """K3: nested result of the last round, a row per category, as JSON text."""
     cfg, res = two_rounds(spark, sf_dir)
-    return round_document(res[-1], cfg).select("round", F.to_json("categories").alias("categories"))
+    doc = round_document(res[-1], cfg)
+    return doc.select("round", "category", F.to_json(F.struct(*[c for c in doc.columns if c not in ("round", "category")])).alias("document"))
+
+
+_BEAMS = ", ".join(f"('{c}', {b}, '{q}')" for c, q in CATEGORY_SEEDS.items() for b in (1, 2, 3))
+HIGH_T = 2 * CE_T
+
+
+@register("round_resume", f"""WITH {sparse_index_sql()}, {retrieve_sql(_BEAMS, K1)}, {bm25_sql()},
+rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY ce_score DESC, rank) AS ce_rank FROM ce) WHERE ce_rank <= {K2}),
+n AS (SELECT t.name, rr.category, count(DISTINCT doc_id) AS n_hits
+      FROM rr JOIN (VALUES ('first', {CE_T}, false), ('again', {CE_T}, true), ('other threshold', {HIGH_T}, false), ('first again', {CE_T}, true)) t(name, least, reread)
+      ON ce_score >= least GROUP BY ALL)
+SELECT n.name AS run, category, n_hits, t.reread FROM n
+JOIN (VALUES ('first', false), ('again', true), ('other threshold', false), ('first again', true)) t(name, reread) ON t.name = n.name
+""")
+def round_resume(spark, sf_dir):
+    """A stored run is read again, another setting under the same root is another run."""
+    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text")
+    root, out = shared_dir(spark, "runs"), None
+    for name, least in (("first", CE_T), ("again", CE_T), ("other threshold", HIGH_T), ("first again", CE_T)):
+        cfg = RoundConfig(CATEGORY_SEEDS, 3, K1, K2, least, train_model=False)
+        run, _ = run_folder(docs, cfg, None, root)
+        reread = manifest(spark, f"{run}/round=0") is not None
+        hits = run_rounds(spark, docs, cfg, 1, root=root)[0].hits
+        n = hits.groupBy("category").agg(F.countDistinct("doc_id").alias("n_hits")).select(F.lit(name).alias("run"), "category", "n_hits", F.lit(reread).alias("reread"))
+        out = n if out is None else out.unionByName(n)
+    return out

@@ -8,7 +8,7 @@ driver loops are over rounds and, inside X10, over beam numbers.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,8 @@ from kestrel.operators.retrieval import threshold as min_score
 from kestrel.operators.tfidf import tfidf
 from kestrel.operators.soft_targets import hashed_terms
 from kestrel.session import cut_lineage, spread
-from kestrel.sources.io import add_tfidf, path_exists, write_table
+from kestrel.plans.run_store import Part, content_key, key_of
+from kestrel.sources.io import add_tfidf, write_json
 
 #: Hashed features of the rounds' classifier.
 NUM_FEATURES = 1 << 16
@@ -56,21 +57,34 @@ class Corpus:
     hashed: DataFrame        # doc_id, idx: the classifier's features (M6, M7)
 
 
-def prepare_corpus(docs: DataFrame) -> Corpus:
+def prepare_corpus(docs: DataFrame, folder: str | None = None) -> Corpus:
     """Tokenise the corpus once, lemmatise its distinct tokens once, and derive the
-    index (M1), the lemma set (for J9) and the global term scores (X2, K8) from them."""
+    index (M1), the lemma set (for J9) and the global term scores (X2, K8) from them.
+
+    With ``folder`` (shared storage, named by the corpus's content) the tables last: a later call, also of another
+    process, reads them there.
+    """
     from kestrel.functions.text import lemma_map
     from kestrel.operators.tfidf import raw_postings
     docs = docs.select("doc_id", "text")
+    part = Part(docs.sparkSession, folder) if folder else None
+    stored = part.load() if part else None
+    if stored:
+        t, _ = stored
+        index = SparseIndex(t["weights"], t["terms"], t["doc_lengths"], t["lexicon"], t["n_docs"], "doc_id", t["postings"])
+        return Corpus(docs, index, t["lemmas"], t["n"], t["global_scores"], t["hashed"])
+    put = part.put if part else (lambda df, name: cut_lineage(df))
     raw = cut_lineage(raw_postings(docs.withColumn("_g", F.lit(0)), ["_g"], "doc_id", "text"))
-    lex = cut_lineage(raw.select(F.col("token").alias("term")).distinct())
+    lex = put(raw.select(F.col("token").alias("term")).distinct(), "lexicon")
     lem = cut_lineage(lemma_map(lex, "term", lex))
-    index = build_index(docs, raw=raw, lexicon=lex, lemmas=lem)
-    lemmas = cut_lineage(doc_lemmas(docs, lex, raw=raw, lemmas=lem))
-    n = cut_lineage(docs.agg(F.count(F.lit(1)).alias("n")))
-    gs = cut_lineage(tfidf(docs, [], max_features=5000, post=index.postings).terms
-                     .select("term", "df", "cf", "score"))
-    hashed = cut_lineage(hashed_terms(spread(docs), "text", NUM_FEATURES, "idx").select("doc_id", "idx"))
+    index = build_index(docs, raw=raw, lexicon=lex, lemmas=lem, put=put)
+    lemmas = put(doc_lemmas(docs, lex, raw=raw, lemmas=lem), "lemmas")
+    n = put(docs.agg(F.count(F.lit(1)).alias("n")), "n")
+    gs = put(tfidf(docs, [], max_features=5000, post=index.postings).terms
+             .select("term", "df", "cf", "score"), "global_scores")
+    hashed = put(hashed_terms(spread(docs), "text", NUM_FEATURES, "idx").select("doc_id", "idx"), "hashed")
+    if part:
+        part.publish()
     return Corpus(docs, index, lemmas, n, gs, hashed)
 
 
@@ -88,26 +102,45 @@ class RoundResult:
     used_model: bool = False
 
 
-#: The tables of a round, as they are stored under ``root/round=N/``; the last is written last.
+#: The tables of a round, as they are stored under ``root/round=N/``.
 ROUND_TABLES = ("hits", "gated", "candidates", "pseudo", "top_words", "summary", "predictions", "beams")
 
 
 def save_round(res: RoundResult, root: str) -> RoundResult:
-    """K5, K6: a round's tables under fixed names; the result reads them from there."""
-    spark, at = res.beams.sparkSession, f"{root}/round={res.round}"
+    """K5, K6: a round's tables, then their manifest; the result reads them from there."""
+    spark = res.beams.sparkSession
+    part = Part(spark, f"{root}/round={res.round}")
     for name in ROUND_TABLES:
         if getattr(res, name) is not None:
-            write_table(getattr(res, name), f"{at}/{name}")
+            part.put(getattr(res, name), name)
+    part.publish(round=res.round, used_model=res.used_model)
     return load_round(spark, root, res.round)
 
 
 def load_round(spark: SparkSession, root: str, round_no: int) -> RoundResult | None:
     """A stored round, or None if it was not stored to its end."""
-    at = f"{root}/round={round_no}"
-    if not path_exists(spark, f"{at}/beams/_SUCCESS"):
+    stored = Part(spark, f"{root}/round={round_no}").load()
+    if stored is None:
         return None
-    tables = {name: spark.read.parquet(f"{at}/{name}") if path_exists(spark, f"{at}/{name}/_SUCCESS") else None for name in ROUND_TABLES}
-    return RoundResult(round_no, used_model=round_no > 0 and path_exists(spark, f"{root}/round={round_no - 1}/predictions/_SUCCESS"), **tables)
+    tables, told = stored
+    return RoundResult(round_no, used_model=told["used_model"], **{name: tables.get(name) for name in ROUND_TABLES})
+
+
+def run_folder(docs: DataFrame, cfg: RoundConfig, dev: DataFrame | None, root: str) -> tuple[str, str]:
+    """(folder of the run, folder of its corpus) under ``root``, named by what they are made from."""
+    corpus = key_of(content_key(docs.select("doc_id", "text")))
+    run = key_of(corpus, content_key(dev), asdict(cfg))
+    return f"{root}/run={run}", f"{root}/corpus={corpus}"
+
+
+def stored_predictions(spark: SparkSession, run: str, n_rounds: int) -> DataFrame | None:
+    """K6: the predictions of all stored rounds of a run, with their round number."""
+    out = None
+    for r in range(n_rounds):
+        res = load_round(spark, run, r)
+        if res is not None and res.predictions is not None:
+            out = res.predictions if out is None else out.unionByName(res.predictions)
+    return out
 
 
 def run_round(spark: SparkSession, corpus: Corpus, cfg: RoundConfig, round_no: int,
@@ -153,23 +186,26 @@ def run_rounds(spark: SparkSession, docs: DataFrame, cfg: RoundConfig, n_rounds:
                dev: DataFrame | None = None, root: str | None = None) -> list[RoundResult]:
     """Rounds in sequence; each reads the previous round's written tables.
 
-    With ``root`` (shared storage) the tables have fixed names there, and a restarted job goes on after
-    the last round that was stored to its end.
+    With ``root`` (shared storage) a run's tables lie in a folder named by its corpus, development set and settings
+    (``run_store``); a restarted job goes on after the last round that was stored to its end, and a job with other rows or
+    settings starts anew beside it.
     """
+    run, corpus_at = run_folder(docs, cfg, dev, root) if root else (None, None)
     corpus, out, prev = None, [], None
     for r in range(n_rounds):
-        stored = load_round(spark, root, r) if root else None
+        stored = load_round(spark, run, r) if run else None
         if stored is None:
-            corpus = corpus or prepare_corpus(docs)
+            corpus = corpus or prepare_corpus(docs, corpus_at)
             stored = run_round(spark, corpus, cfg, r, prev, dev)
-            stored = save_round(stored, root) if root else stored
+            stored = save_round(stored, run) if run else stored
         prev = stored
         out.append(prev)
     return out
 
 
 def round_document(res: RoundResult, cfg: RoundConfig, docs: DataFrame | None = None) -> DataFrame:
-    """K3: the nested round result (one row, categories as an array of structs).
+    """K3: the nested round result, one row per category, with its reviews (at most beams x ``k_rerank``), beams, words (K4)
+    and best expansion candidates (X7).
 
     ``docs`` (doc_id, text): the corpus, for the reviews' texts and the corpus size.
     """
@@ -189,18 +225,27 @@ def round_document(res: RoundResult, cfg: RoundConfig, docs: DataFrame | None =
         per_cat = per_cat.join(left, "category", "left").withColumn("filtered_doc_count", F.coalesce("filtered_doc_count", F.lit(0)))
     if res.top_words is not None and res.summary is not None:
         per_cat = add_tfidf(per_cat, res.top_words, res.summary, "category")
-    extra = [c for c in ("reviews", "used_model_filtering", "filtered_doc_count", "tfidf_analysis") if c in per_cat.columns]
+    per_cat = per_cat.join(stored_candidates(res.candidates), "category", "left")
+    extra = [c for c in ("reviews", "used_model_filtering", "filtered_doc_count", "tfidf_analysis", "query_expansion") if c in per_cat.columns]
     n = F.lit(docs.count() if docs is not None else None).cast("long")
-    per_cat = (per_cat
-               .withColumn("num_beams", F.lit(cfg.num_beams))
-               .withColumn("beam_strategy", F.lit(cfg.strategy))
-               .withColumn("total_biencoder_retrieved", F.lit(cfg.k_first)))
-    return per_cat.agg(F.sort_array(F.collect_list(F.struct(
-        "category", "num_beams", "beam_strategy", "total_biencoder_retrieved", "total_after_merging", "beams", *extra)))
-        .alias("categories")).select(F.lit(res.round).alias("round"), F.lit(cfg.k_first).alias("k_biencoder"),
-                                     F.lit(cfg.k_rerank).alias("k_crossencoder"),
-                                     F.lit(cfg.ce_threshold).alias("ce_threshold"), n.alias("total_reviews_corpus"),
-                                     F.lit(res.round > 0).alias("used_expanded_queries"), "categories")
+    return per_cat.select(
+        F.lit(res.round).alias("round"), "category", F.lit(cfg.k_first).alias("k_biencoder"), F.lit(cfg.k_rerank).alias("k_crossencoder"),
+        F.lit(cfg.ce_threshold).alias("ce_threshold"), n.alias("total_reviews_corpus"), F.lit(res.round > 0).alias("used_expanded_queries"),
+        F.lit(cfg.num_beams).alias("num_beams"), F.lit(cfg.strategy).alias("beam_strategy"), F.lit(cfg.k_first).alias("total_biencoder_retrieved"),
+        "total_after_merging", "beams", *extra)
+
+
+def stored_candidates(cands: DataFrame, n: int = 10) -> DataFrame:
+    """(category, query_expansion): the first ``n`` candidates of each beam."""
+    best = top_candidates(cands, n)
+    return best.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("beam_id", "top_candidates"))).alias("query_expansion"))
+
+
+def write_round_document(res: RoundResult, cfg: RoundConfig, path: str, docs: DataFrame | None = None) -> DataFrame:
+    """K3: the document as JSON lines in a folder per round and category; returned as read from there."""
+    doc = round_document(res, cfg, docs)
+    write_json(doc, path, ["round", "category"])
+    return doc.sparkSession.read.schema(doc.schema).json(path)
 
 
 def single_query_report(corpus: Corpus, spark: SparkSession, query: str, k: int = 100,
