@@ -1,13 +1,10 @@
 """Vector retrieval: exact top-k (L1), IVF top-k (L2), threshold (P11), id join.
 
-Exact top-k scores every vector against every query, so it is written as an
-Arrow-batched ``mapInPandas`` (a BLAS matmul per batch and block of queries) that
-keeps only a partial top-k per query and input partition.  Only ``partitions x queries x k``
-rows reach the shuffle, where a tournament (``relational.top_n``) finishes the job.
-
-The query matrix travels inside the task closure.  The query set is counted first and
-split into as many hash chunks as its size asks for, one collect and one pass each, so what a
-chunk holds is bounded however many queries there are.
+Exact top-k scores every vector against every query, as a grid: the queries are dealt into blocks, and every
+task takes one block and one partition of the vectors, as an Arrow-batched ``mapInPandas`` with a BLAS matmul per tile of
+the two.  A task keeps the block's best k in flat arrays, so what it holds follows from the block (``MAX_QUERY_BYTES``)
+and not from the number of queries or vectors.  Only ``partitions x queries x k`` rows reach the shuffle, where
+a tournament (``relational.top_n``) finishes the job.  The vectors are read once per block and never shuffled.
 """
 
 from __future__ import annotations
@@ -25,8 +22,12 @@ from kestrel.functions.vectors import dot, l2_normalize
 from kestrel.operators.relational import top_n
 from kestrel.session import cut_lineage, spread
 
-MAX_QUERY_BYTES = 64 * 1024 * 1024  # query matrix shipped with each task
-QUERY_BLOCK = 256  # queries scored against a batch at a time
+MAX_QUERY_BYTES = 256 * 1024 * 1024  # query vectors and heaps that a task holds
+HEAP_ROW = 24
+QUERY_BLOCK = 256  # queries scored at a time
+VECTOR_BLOCK = 1024  # against so many vectors
+SAMPLE_PER_LIST = 256  # vectors that the quantiser is fitted on, per list
+LARGE_LIST = 4.0  # a list of more than so many times the mean is cut again
 SCORE_DIGITS = 9  # scores are rounded before ranking so engines agree on ties
 
 
@@ -35,59 +36,57 @@ def normalize_vectors(df: DataFrame, vec_col: str = "embedding", out: str | None
     return df.withColumn(out or vec_col, l2_normalize(vec_col))
 
 
-def _partial_topk_fn(qmat: np.ndarray, qkeys: pd.DataFrame, k: int, id_col: str, vec_col: str,
-                     key_cols: Sequence[str]):
-    nq = qmat.shape[0]
-
+class _Heaps:
+    """The best k of every query of a block, as flat arrays that are cut back whenever they have doubled."""
+
+    def __init__(self, qmat: np.ndarray, k: int):
+        self.qmat, self.k = qmat, k
+        self.parts = {lo: [] for lo in range(0, len(qmat), QUERY_BLOCK)}  # (query, id, score) arrays
+        self.least = np.full(len(qmat), -np.inf)
+        self.waiting = dict.fromkeys(self.parts, 0)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for at in range(0, len(x), VECTOR_BLOCK):
+            for lo in self.parts:
+                s = np.round(self.qmat[lo:lo + QUERY_BLOCK] @ x[at:at + VECTOR_BLOCK].T, SCORE_DIGITS)
+                q, v = np.nonzero(s >= self.least[lo:lo + QUERY_BLOCK, None])  # ties stay; the id order settles them
+                if len(q):
+                    self.parts[lo].append((q, ids[at + v], s[q, v]))
+                    self.waiting[lo] += len(q)
+                if self.waiting[lo] > QUERY_BLOCK * self.k:
+                    self.cut(lo)
+
+    def cut(self, lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, ids, s = (np.concatenate(c) for c in zip(*self.parts[lo]))
+        order = np.lexsort((ids, -s, q))
+        q, ids, s = q[order], ids[order], s[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.k - 1
+        self.least[lo + q[last]] = s[last]
+        keep = rank < self.k
+        self.parts[lo], self.waiting[lo] = [(q[keep], ids[keep], s[keep])], 0
+        return self.parts[lo][0]
+
+
+def _partial_topk_fn(qmat: np.ndarray, qkeys: pd.DataFrame, k: int, id_col: str, vec_col: str, key_cols: Sequence[str]):
     def run(batches):
-        pool_ids = [[] for _ in range(nq)]
-        pool_sc = [[] for _ in range(nq)]
+        heaps = _Heaps(qmat, k)
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf[id_col].to_numpy()
-            vecs = pdf[vec_col].to_numpy()
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in vecs])
-            b = len(x)
-            for j in range(nq):
-                if j % QUERY_BLOCK == 0:
-                    scores = np.round(x @ qmat[j:j + QUERY_BLOCK].T, SCORE_DIGITS)
-                s = scores[:, j % QUERY_BLOCK]
-                if b > k:
-                    thr = np.partition(s, b - k)[b - k]
-                    m = s >= thr  # keep boundary ties; the id order settles them
-                    pool_ids[j].append(ids[m])
-                    pool_sc[j].append(s[m])
-                else:
-                    pool_ids[j].append(ids)
-                    pool_sc[j].append(s)
-                # bound memory: compact the pool once it grows past 4k rows
-                if sum(len(a) for a in pool_sc[j]) > 4 * k:
-                    pool_ids[j], pool_sc[j] = _compact(pool_ids[j], pool_sc[j], k)
-        out = []
-        for j in range(nq):
-            if not pool_sc[j]:
-                continue
-            ids_j, sc_j = _compact(pool_ids[j], pool_sc[j], k)
-            part = pd.DataFrame({id_col: ids_j[0], "score": sc_j[0]})
-            for c in key_cols:
-                part[c] = qkeys[c].iloc[j]
-            out.append(part)
-        if out:
-            yield pd.concat(out, ignore_index=True)
+            if len(pdf):
+                ids = pdf[id_col].to_numpy()
+                ids = ids.astype(str) if ids.dtype == object else ids
+                heaps.add(ids, np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].to_numpy()]))
+        for lo, parts in heaps.parts.items():
+            if parts:
+                q, ids, s = heaps.cut(lo)
+                out = pd.DataFrame({id_col: ids, "score": s})
+                for c in key_cols:
+                    out[c] = qkeys[c].to_numpy()[lo + q]
+                yield out
 
     return run
 
 
-def _compact(ids_list, sc_list, k):
-    ids = np.concatenate(ids_list)
-    sc = np.concatenate(sc_list)
-    order = np.lexsort((ids, -sc)) if ids.dtype != object else \
-        np.array(sorted(range(len(ids)), key=lambda i: (-sc[i], ids[i])), dtype=np.int64)
-    order = order[:k]
-    return [ids[order]], [sc[order]]
-
-
 def topk_exact(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
                vec_col: str = "embedding", key_cols: Sequence[str] = ("qid",),
                qvec_col: str = "qvec",
@@ -103,8 +102,9 @@ def topk_exact(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str =
     n, dim = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(qvec_col)), F.lit(0))).first()
     if n == 0:
         return _empty_hits(vectors, queries, id_col, key_cols)
+    # a query costs its vector and the (query, id, score) rows of its heap, kept and waiting, twice while they are cut;
     # chunks of half the limit on average, so that uneven hashing stays below it
-    size = n * dim * 8
+    size = n * (dim * 8 + HEAP_ROW * 4 * k)
     n_chunks = 1 if size <= max_query_bytes else math.ceil(2 * size / max_query_bytes)
     out = None
     for c in range(n_chunks):
@@ -158,26 +158,87 @@ def default_nlist(n: int) -> int:
     return max(1, min(int(math.sqrt(n)), 1000))
 
 
-def build_ivf(vectors: DataFrame, nlist: int | None = None, *, vec_col: str = "embedding",
-              seed: int = 42, max_iter: int = 20):
+def build_ivf(vectors: DataFrame, nlist: int | None = None, *, vec_col: str = "embedding", id_col: str = "id",
+              seed: int = 42, max_iter: int = 20, per_list: int = SAMPLE_PER_LIST, most: float = LARGE_LIST):
     """L2 build: KMeans coarse quantiser; returns (vectors + cluster_id, centroids).
 
-    ``write_ivf`` stores the vectors by list, so that probes prune whole folders.
+    The quantiser is fitted on a sample of about ``per_list`` vectors per list, chosen by a hash of the id; every vector
+    is then assigned to its nearest centroid.  Lists with more than ``most`` times the mean are cut again, each by the means of
+    ``per_list`` of its vectors per part, so no list grows with the data faster than the others.  ``write_ivf`` stores the
+    vectors by list, so that probes prune whole folders.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
+    spark = vectors.sparkSession
     n = vectors.count()
     nlist = nlist or default_nlist(n)
-    feats = cut_lineage(vectors).withColumn("_f", array_to_vector(vec_col))  # KMeans reads it many times
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_f",
-                   predictionCol="cluster_id").fit(feats)
-    assigned = model.transform(feats).drop("_f").withColumn("cluster_id", F.col("cluster_id").cast("int"))
-    spark = vectors.sparkSession
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    cents = spark.createDataFrame(rows, "cluster_id int, centroid array<double>")
-    cents = cents.withColumn("centroid", l2_normalize("centroid"))
-    return assigned, cents
+    chance = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 20)) / float(1 << 20)
+    sample = vectors.where(chance * n < 2 * per_list * nlist) if n > 2 * per_list * nlist else vectors
+    feats = cut_lineage(sample.select(array_to_vector(vec_col).alias("_f")))  # KMeans reads it many times
+    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="cluster_id").fit(feats)
+    cents = np.stack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
+    nearest = _nearest_fn(cents, np.zeros(len(cents), int), id_col, vec_col)
+    schema = T.StructType([*vectors.schema.fields, T.StructField("cluster_id", T.IntegerType())])
+    assigned = cut_lineage(spread(vectors).mapInPandas(nearest, schema))
+    sizes = {r[0]: r[1] for r in assigned.groupBy("cluster_id").count().collect()}  # a row per list
+    large = {c: math.ceil(m / (n / nlist)) for c, m in sizes.items() if m > most * n / nlist}
+    if large:
+        parts = F.create_map(*[F.lit(x) for c, m in large.items() for x in (c, m)])
+        share = F.create_map(*[F.lit(x) for c, m in large.items() for x in (c, min(1.0, per_list * m / sizes[c]))])
+        some = assigned.where(F.col("cluster_id").isin(list(large)) & (chance <= share[F.col("cluster_id")]))
+
+        def means(pdf):
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf.sort_values(id_col)[vec_col]])
+            return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[0], "centroid": list(_means(x, int(pdf["_parts"].iloc[0]), max_iter))})
+
+        found = some.select(id_col, vec_col, "cluster_id", parts[F.col("cluster_id")].alias("_parts")).groupBy("cluster_id").applyInPandas(
+            means, "cluster_id int, centroid array<double>").collect()  # as many rows as parts
+        cut = {r[0] for r in found}
+        owner = np.array([c for c in range(len(cents)) if c not in cut] + [r[0] for r in found])
+        cents = np.stack([cents[c] for c in range(len(cents)) if c not in cut] + [np.asarray(r[1]) for r in found])
+        assigned = cut_lineage(assigned.mapInPandas(_nearest_fn(cents, owner, id_col, vec_col, "cluster_id"), schema))
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(cents)]
+    table = spark.createDataFrame(rows, "cluster_id int, centroid array<double>")
+    return assigned, table.withColumn("centroid", l2_normalize("centroid"))
+
+
+def _nearest_fn(cents: np.ndarray, owner: np.ndarray, id_col: str, vec_col: str, own_col: str | None = None):
+    """Sets ``cluster_id``: the nearest centroid, among those of the row's own list if ``own_col`` is given."""
+    half = (cents ** 2).sum(axis=1) / 2
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+                s = x @ cents.T - half
+                if own_col:
+                    s = np.where(owner[None, :] == pdf[own_col].to_numpy()[:, None], s, -np.inf)
+                yield pdf.assign(cluster_id=s.argmax(axis=1).astype("int32"))
+
+    return run
+
+
+def _means(x: np.ndarray, parts: int, max_iter: int) -> np.ndarray:
+    """Plain k-means of a bounded sample; it starts from evenly spaced rows."""
+    cents = x[np.linspace(0, len(x) - 1, min(parts, len(x))).astype(int)]
+    for _ in range(max_iter):
+        near = (x @ cents.T - (cents ** 2).sum(axis=1) / 2).argmax(axis=1)
+        moved = np.stack([x[near == c].mean(axis=0) if (near == c).any() else cents[c] for c in range(len(cents))])
+        if np.allclose(moved, cents):
+            break
+        cents = moved
+    return cents
+
+
+def ivf_recall(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int, *, id_col: str = "id",
+               vec_col: str = "embedding", key_cols: Sequence[str] = ("qid",), qvec_col: str = "qvec") -> DataFrame:
+    """One row (n_queries, found, wanted, recall): the share of the exact top-k that ``nprobe`` lists give."""
+    keys = list(key_cols)
+    exact = topk_exact(assigned, queries, k, id_col=id_col, vec_col=vec_col, key_cols=keys, qvec_col=qvec_col).select(*keys, id_col)
+    found = topk_ivf(assigned, centroids, queries, k, nprobe, id_col=id_col, vec_col=vec_col, key_cols=keys, qvec_col=qvec_col).select(*keys, id_col, F.lit(1).alias("_hit"))
+    met = exact.join(found, [*keys, id_col], "left")
+    return met.agg(F.countDistinct(*keys).alias("n_queries"), F.count("_hit").alias("found"), F.count(F.lit(1)).alias("wanted")).withColumn("recall", F.col("found") / F.col("wanted"))
 
 
 def write_ivf(assigned: DataFrame, centroids: DataFrame, path: str) -> None:
@@ -203,5 +264,5 @@ def topk_ivf(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: i
     pairs = (assigned.select(id_col, vec_col, "cluster_id")
              .join(probes, "cluster_id")
              .withColumn("score", F.round(dot(vec_col, qvec_col), SCORE_DIGITS)))
-    return (topk_window(pairs, k, key_cols, "score", id_col)
+    return (top_n(pairs.drop(vec_col, qvec_col), k, [F.desc("score"), F.asc(id_col)], key_cols, [id_col], "rank")
             .select(*key_cols, id_col, "score", "rank"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kestrel.operators.retrieval import build_ivf, threshold, topk_exact, topk_ivf
+from kestrel.operators.retrieval import build_ivf, ivf_recall, threshold, topk_exact, topk_ivf
 from kestrel.operators.pseudo import best_per_id
 from kestrel.plans.registry import register
 from kestrel.plans.sqlparts import topk_hits_cte
@@ -49,3 +49,17 @@ def ivf_topk(spark, sf_dir):
     assigned, cents = build_ivf(vecs)
     hits = topk_ivf(assigned, cents, queries, K, nprobe=2, key_cols=["category"])
     return hits.select("category", "id", F.round("score", 6).alias("score"), "rank")
+
+
+RECALL_K, RECALL_PROBES = 10, 16
+
+
+@register("ivf_recall", """
+SELECT count(*) AS n_queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0
+""")
+def ivf_recall_check(spark, sf_dir):
+    """L2: every vector indexed; recall of the best 10 at 16 probed lists, queries with an id divisible by 50: 0.9 or more."""
+    vecs = driver.vectors(spark, sf_dir)
+    queries = vecs.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    found = ivf_recall(*build_ivf(vecs), queries, RECALL_K, RECALL_PROBES)
+    return found.select("n_queries", (F.col("recall") >= 0.9).alias("reached"))
