@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Up to so many rows a window over a group is limited on the map side by Spark itself.
+WINDOW_LIMIT = 1000
 #: Rows of a group are ranked in so many parts first, then the survivors in fewer.
 TOURNAMENT = (1024, 32)
 
@@ -36,3 +38,24 @@ def top_n(df: DataFrame, n: int, order: Sequence[Column], group_cols: Sequence[s
         out = out.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n).drop(rank_col, "_part")
     w = Window.partitionBy(*(g or [F.lit(0)])).orderBy(*order)
     return out.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+
+
+def best_n(df: DataFrame, n: int, order: Sequence[Column], group_cols: Sequence[str], spread_by: Sequence[str], rank_col: str = "rank") -> DataFrame:
+    """The first ``n`` rows of every group: one limited window where Spark limits it before the shuffle, else ``top_n``."""
+    if n > WINDOW_LIMIT:
+        return top_n(df, n, order, group_cols, spread_by, rank_col)
+    w = Window.partitionBy(*group_cols).orderBy(*order)
+    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+
+
+def late_rows(df: DataFrame, narrow: Sequence[Column], choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``df`` that ``choose`` picks from the ``narrow`` columns alone: whole rows are fetched only for the picked ones.
+
+    A row is known by two 64-bit hashes of all its columns.  Rows that agree in everything are one row picked several times.
+    ``df`` is read twice, its wide columns are moved only for what is picked.
+    """
+    cols = df.columns
+    hashes = [F.xxhash64(F.lit(1), *cols).alias("_h1"), F.xxhash64(F.lit(2), *cols).alias("_h2")]
+    picked = choose(df.select(*narrow, *hashes)).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_times"))
+    rows = df.select("*", *hashes).join(picked, ["_h1", "_h2"]).dropDuplicates(["_h1", "_h2"])
+    return rows.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_again")).drop("_again")

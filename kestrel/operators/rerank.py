@@ -2,15 +2,14 @@
 
 Default encoder (M1/M2): the TF-IDF weights of :mod:`kestrel.operators.tfidf`
 over the whole corpus, L2-normalised per document.  A document "vector" is its
-rows of the postings table ``(doc, term, weight)``; a query is encoded with
+rows of the postings table ``(doc, term, weight)``, which is written in buckets of terms and sorted
+by term, so that a query reads only its terms' part of it.  A query is encoded with
 the same idf.  Cosine similarity is then ``sum(wq * wd)`` over shared terms:
-an equi-join of the (small, broadcast) query-term table to the postings,
-aggregated per (query, doc) with a partial aggregate, and a ``WindowGroupLimit``
-top-k.  No query x document product is ever formed.
+an equi-join of the query-term table to the postings, aggregated per (query, doc) with a partial aggregate, and
+a top-k.  No query x document product is ever formed; which side of a join is broadcast follows from measured sizes.
 
 Pair scorer (M4): BM25 (k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) /
-(df + 0.5))) from the same postings.  Hits are at most queries x k rows, so
-the hit-term table is broadcast against the postings.  A user scorer can be
+(df + 0.5))) from the same postings, read by their terms.  A user scorer can be
 plugged in as an Arrow ``pandas_udf`` over (query, text).
 """
 
@@ -23,15 +22,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.operators.tfidf import apply_term_rules, postings, raw_postings
-from kestrel.session import cut_lineage
+from kestrel.operators.relational import best_n
+from kestrel.session import cut_lineage, shared_dir
+from kestrel.sources.io import write_table
 
 SCORE_DIGITS = 9
+BUCKETS = 64
+#: So many query terms are also given to the scan itself.
+FEW_TERMS = 1000
 
 
 @dataclass
 class SparseIndex:
     """Corpus statistics and normalised document weights."""
-    weights: DataFrame   # id, term, tf, weight
+    weights: DataFrame   # id, term, tf, weight, bucket
     terms: DataFrame     # term, df, idf
     docs: DataFrame      # id, dl (terms after the term rules)
     lexicon: DataFrame   # term (all corpus tokens)
@@ -40,19 +44,44 @@ class SparseIndex:
     postings: DataFrame | None = None  # id, term, tf (after the term rules)
 
 
+def bucket_of(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _scratch(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    if not by:
+        return cut_lineage(df)
+    path = shared_dir(df.sparkSession, name)
+    write_table(df, path, by)
+    return df.sparkSession.read.parquet(path)
+
+
+def lists_of(index: SparseIndex, terms: DataFrame) -> DataFrame:
+    """The postings of the buckets that hold ``terms`` (column term), and of the terms alone while they are few.
+
+    At most ``BUCKETS`` bucket numbers and ``FEW_TERMS`` terms reach the driver; they prune folders and row groups, the join that
+    follows decides the rows.
+    """
+    wanted = terms.select("term").distinct()
+    buckets = [r[0] for r in wanted.select(bucket_of("term").alias("b")).distinct().collect()]
+    part = index.weights.where(F.col("bucket").isin(buckets)) if buckets else index.weights.limit(0)
+    few = [r[0] for r in wanted.limit(FEW_TERMS + 1).collect()]
+    return part.where(F.col("term").isin(few)) if 0 < len(few) <= FEW_TERMS else part
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 materialize: bool = True, raw: DataFrame | None = None, lexicon: DataFrame | None = None,
-                lemmas: DataFrame | None = None, put: Callable[[DataFrame, str], DataFrame] | None = None) -> SparseIndex:
+                lemmas: DataFrame | None = None, put: Callable[..., DataFrame] | None = None) -> SparseIndex:
     """M1: encode a corpus as normalised TF-IDF postings.
 
     The postings and lexicon are written once (Parquet in the shared
     checkpoint folder) so every query, beam and round reuses one tokenisation
     of the corpus, as the reference reuses its saved index.  ``raw``
     (doc, token, tf), ``lexicon`` and ``lemmas`` may be passed in when the
-    caller already has them for the same corpus.  ``put`` (table, name) writes a table where it should last and
+    caller already has them for the same corpus.  ``put`` (table, name, partition columns) writes a table where it should last and
     returns it as read from there.
     """
-    put = put or (lambda df, name: cut_lineage(df))
+    put = put or _scratch
     if raw is None:
         raw = raw_postings(docs.select(id_col, text_col).withColumn("_g", F.lit(0)), ["_g"], id_col, text_col)
         if materialize:
@@ -83,8 +112,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_doc = Window.partitionBy(id_col)
     weights = (w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))
                .select(id_col, "term", "tf", "weight"))
+    weights = weights.withColumn("bucket", bucket_of("term"))
     if materialize:
-        weights = put(weights, "weights")
+        # sorted files per bucket: a query's terms name the folders, and the sorted terms the row groups, that it reads
+        weights = put(weights.repartitionByRange("bucket", "term", id_col).sortWithinPartitions("bucket", "term", id_col), "weights", ["bucket"])
     return SparseIndex(weights, terms, dl, lex, n, id_col, post)
 
 
@@ -106,13 +137,12 @@ def retrieve(index: SparseIndex, queries: DataFrame, k: int, key_cols: Sequence[
     """M3: top-k documents per query by cosine of TF-IDF vectors (keys..., id, score, rank)."""
     keys = list(key_cols)
     qt = encode_queries(index, queries, keys, text_col)
-    # queries x query terms is small and bounded by the query set: broadcast it.
-    scored = (index.weights.select(index.id_col, "term", "weight")
-              .join(F.broadcast(qt), "term")
+    qt = cut_lineage(qt)  # read twice: its terms choose the postings, then it meets them
+    scored = (lists_of(index, qt).select(index.id_col, "term", "weight")
+              .join(qt, "term")
               .groupBy(*keys, index.id_col)
               .agg(F.round(F.sum(F.col("weight") * F.col("qweight")), SCORE_DIGITS).alias("score")))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(index.id_col))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best_n(scored, k, [F.desc("score"), F.asc(index.id_col)], keys, [index.id_col])
 
 
 def bm25(index: SparseIndex, hits: DataFrame, key_cols: Sequence[str], query_col: str = "query",
@@ -124,14 +154,15 @@ def bm25(index: SparseIndex, hits: DataFrame, key_cols: Sequence[str], query_col
     qterms = postings(hits.select(*keys, query_col).distinct()
                       .withColumn("_qid", F.to_json(F.struct(*keys))).withColumn("_g", F.lit(0)),
                       ["_g"], "_qid", query_col, index.lexicon, materialize=False).select("_qid", "term")
+    qterms = cut_lineage(qterms)  # read twice, as in retrieve
     pairs = hits.select(*keys, idc).withColumn("_qid", F.to_json(F.struct(*keys)))
     pair_terms = pairs.join(qterms, "_qid")  # hits x query terms: bounded by the hit set
     stats = index.terms.crossJoin(F.broadcast(index.n_docs))  # one-row scalar
     bm_idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf")
     norm = F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    contrib = (F.broadcast(pair_terms)
-               .join(index.weights.select(idc, "term", "tf"), [idc, "term"])
+    contrib = (pair_terms
+               .join(lists_of(index, qterms).select(idc, "term", "tf"), [idc, "term"])
                .join(index.docs, idc)
                .join(stats, "term")
                .withColumn("_c", bm_idf * tf * (k1 + 1) / (tf + norm)))
@@ -164,6 +195,5 @@ def blend(hits: DataFrame, keys: Sequence[str], ce_col: str = "ce_score", first_
 def rerank(hits: DataFrame, k: int, threshold: float | None, keys: Sequence[str], ce_col: str = "ce_score",
            first_rank: str = "rank", out: str = "ce_rank") -> DataFrame:
     """L3 + P12: top-k by re-rank score (ties: first-stage rank), then the inclusive threshold."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(ce_col), F.asc(first_rank))
-    top = hits.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+    top = best_n(hits, k, [F.desc(ce_col), F.asc(first_rank)], keys, [first_rank], out)
     return top if threshold is None else top.where(F.col(ce_col) >= F.lit(threshold))

@@ -17,7 +17,7 @@ from kestrel.operators.beams import carry_over, initial_beams, merge_beams
 from kestrel.operators.classify import fit_classifier, predict
 from kestrel.operators.expand import doc_lemmas, expand, gate, pair_score_term, rank_candidates, three_way_scores, top_candidates
 from kestrel.operators.pseudo import pseudo_labels
-from kestrel.operators.rerank import SparseIndex, bm25, build_index, rerank, retrieve
+from kestrel.operators.rerank import SparseIndex, _scratch, bm25, build_index, rerank, retrieve
 from kestrel.operators.retrieval import threshold as min_score
 from kestrel.operators.tfidf import tfidf
 from kestrel.operators.soft_targets import hashed_terms
@@ -73,7 +73,7 @@ def prepare_corpus(docs: DataFrame, folder: str | None = None) -> Corpus:
         t, _ = stored
         index = SparseIndex(t["weights"], t["terms"], t["doc_lengths"], t["lexicon"], t["n_docs"], "doc_id", t["postings"])
         return Corpus(docs, index, t["lemmas"], t["n"], t["global_scores"], t["hashed"])
-    put = part.put if part else (lambda df, name: cut_lineage(df))
+    put = part.put if part else _scratch
     raw = cut_lineage(raw_postings(docs.withColumn("_g", F.lit(0)), ["_g"], "doc_id", "text"))
     lex = put(raw.select(F.col("token").alias("term")).distinct(), "lexicon")
     lem = cut_lineage(lemma_map(lex, "term", lex))

@@ -9,19 +9,30 @@ processes that make the same part do not write into each other's tables.
 from __future__ import annotations
 
 import hashlib
+import importlib
+import inspect
 import json
 import os
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.session import ensure_checkpoint_dir
-from kestrel.sources.io import _fs, path_exists
+from kestrel.sources.io import _fs, path_exists, write_table
 
-#: Part of every key: raise it when the code of rounds or of the corpus tables gives other results.
-CODE_VERSION = 3
 MANIFEST = "manifest.json"
+#: The modules whose code decides what a corpus or a round holds.
+CODE = ("kestrel.functions.text", "kestrel.operators.beams", "kestrel.operators.classify", "kestrel.operators.expand", "kestrel.operators.pseudo",
+        "kestrel.operators.relational", "kestrel.operators.rerank", "kestrel.operators.soft_targets", "kestrel.operators.tfidf", "kestrel.plans.rounds")
+
+
+@cache
+def code_version() -> str:
+    """A digest of the source of ``CODE``: changed code never reads the tables of older code."""
+    sources = [inspect.getsource(importlib.import_module(m)) for m in CODE]
+    return hashlib.sha256("\n".join(sources).encode()).hexdigest()[:16]
 
 
 def content_key(df: DataFrame | None) -> str:
@@ -36,7 +47,7 @@ def content_key(df: DataFrame | None) -> str:
 
 
 def key_of(*parts) -> str:
-    return hashlib.sha256(json.dumps([CODE_VERSION, *parts], sort_keys=True, default=str).encode()).hexdigest()[:16]
+    return hashlib.sha256(json.dumps([code_version(), *parts], sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
 def shared_root(spark: SparkSession, name: str) -> str:
@@ -69,9 +80,9 @@ class Part:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.tables = spark, folder, {}
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         self.tables[name] = f"{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.folder}/{self.tables[name]}")
+        write_table(df, f"{self.folder}/{self.tables[name]}", by)
         return self.spark.read.parquet(f"{self.folder}/{self.tables[name]}")
 
     def publish(self, **more) -> None:
