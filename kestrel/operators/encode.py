@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,24 +17,23 @@ from kestrel.functions.vectors import l2_normalize
 from kestrel.session import spread
 
 
-@lru_cache(1 << 18)
-def _bucket(term: str, dim: int) -> int:
-    """A term's place: the first 24 bits of its md5, a hash that any engine has."""
-    return int(hashlib.md5(term.encode()).hexdigest()[:6], 16) % dim
-
-
 def hash_embed(df: DataFrame, text_col: str = "text", dim: int = 256, out: str = "embedding") -> DataFrame:
-    """Unit vector of hashed word counts; a text without words is the zero vector.  No shuffle."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            counts = [np.bincount([_bucket(t, dim) for t in words], minlength=dim).astype(np.float64) if len(words) else np.zeros(dim)
-                      for words in pdf["_words"]]
-            yield pdf.drop(columns="_words").assign(**{out: counts})
+    """Unit vector of hashed word counts; a text without words is the zero vector.  No shuffle.
 
+    A word's place is the first 24 bits of its md5, a hash that any engine has, taken in the JVM; the tasks only count places.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col, n = batch.column(batch.num_columns - 1), len(batch)
+            row = np.repeat(np.arange(n), col.value_lengths().to_numpy())
+            counts = np.bincount(row * dim + col.flatten().to_numpy(), minlength=n * dim).astype(np.float64)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(counts))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], [*names, out])
+
+    names = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
-    words = df.withColumn("_words", tokens(F.coalesce(F.col(text_col), F.lit(""))))
-    return spread(words).mapInPandas(run, schema).withColumn(out, l2_normalize(out))
+    place = F.transform(tokens(F.coalesce(F.col(text_col), F.lit(""))), lambda t: (F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long") % dim))
+    return spread(df.withColumn("_places", place)).mapInArrow(run, schema).withColumn(out, l2_normalize(out))
 
 
 def embed(df: DataFrame, text_col: str = "text", encoder: Callable[[Sequence[str]], np.ndarray] | None = None,

@@ -6,12 +6,10 @@ scored by local TF-IDF and by category specificity (substring document
 frequency in the category's texts versus the whole corpus), min-max
 normalised within (category, beam), combined, and assigned to beams.
 
-Substring document frequency (J9) never compares candidates with documents:
-the distinct lemma vocabulary is expanded into its substrings of the
-candidate word lengths only, equi-joined to the candidates (hash join on the
-substring), then joined to the (doc, lemma) table and counted.  Every step is
-an equi-join or a partial aggregate; candidates are bounded by categories x
-``top_n``.
+Substring document frequency (J9) never compares candidates with documents, nor with the vocabulary: a stored k-gram
+index of the lemma vocabulary gives the terms that hold all k-grams of a candidate, ``contains`` decides, and the
+documents of those terms are counted.  Index and (doc, lemma) table lie in buckets by key, so only the parts that the
+candidates name are read; candidates are bounded by categories x ``top_n``.
 """
 
 from __future__ import annotations
@@ -23,10 +21,12 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.text import GENERIC_BLACKLIST, WS_CLASS, lemma_map, valid_candidate
 from kestrel.operators.predictions import dedupe_predictions
+from kestrel.operators.lists import pruned
 from kestrel.operators.relational import top_n
 from kestrel.operators.tfidf import raw_postings, tfidf
 from kestrel.session import cut_lineage
 
+GRAM = 3  # k of the k-gram index
 EPS = 1e-6
 SCORE_DIGITS = 9
 
@@ -70,22 +70,34 @@ def doc_lemmas(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text
             .select(id_col, F.coalesce("lemma", "token").alias("term")).distinct())
 
 
-def substring_pairs(words: DataFrame, vocab: DataFrame) -> DataFrame:
+def gram_index(vocab: DataFrame, lengths: Sequence[int] = range(1, GRAM + 1)) -> DataFrame:
+    """(gram, term): the distinct substrings of every term, of the given lengths."""
+    n = F.explode(F.array(*[F.lit(x) for x in lengths]))
+    return (vocab.select("term").distinct().withColumn("_n", n).where(F.length("term") >= F.col("_n"))
+            .select("term", F.explode(F.array_distinct(_grams("term", F.col("_n")))).alias("gram")).select("gram", "term"))
+
+
+def _grams(c: str, n: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda p: F.substring(F.col(c), p, n))
+
+
+def substring_pairs(words: DataFrame, vocab: DataFrame, grams: DataFrame | None = None) -> DataFrame:
     """(word, term) for every vocabulary term that contains the word.
 
-    The vocabulary is expanded into its substrings of the candidate word
-    lengths only and equi-joined to the (bounded, broadcast) word list.
+    A word's k-grams (k = ``GRAM``, or its length if that is less) are looked up in the gram index of the vocabulary; terms that
+    hold all of them are candidates, and ``contains`` decides.  ``grams``: the stored index (``gram_index``); without it one is
+    made of the lengths that the words need.
     """
-    lengths = sorted({r[0] for r in words.select(F.length("word")).distinct().collect() if r[0]})
-    wd = words.select("word").distinct()
-    if not lengths:
-        return wd.withColumn("term", F.lit(None).cast("string")).limit(0)
-    vocab = vocab.select("term").distinct()
-    # one pass: every term gives its substrings of all wanted lengths
-    subs = (vocab.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in lengths]))).where(F.length("term") >= F.col("_n"))
-            .withColumn("_p", F.explode(F.sequence(F.lit(1), F.length("term") - F.col("_n") + 1)))
-            .select("term", F.substring("term", F.col("_p"), F.col("_n")).alias("sub")))
-    return subs.join(wd, subs["sub"] == wd["word"]).select("word", "term").distinct()
+    wd = words.select("word").distinct().where("word <> ''")
+    parts = cut_lineage(wd.withColumn("_n", F.least(F.length("word"), F.lit(GRAM)))
+                        .select("word", "_n", F.explode(F.array_distinct(_grams("word", F.col("_n")))).alias("gram")))
+    if grams is None:
+        lengths = sorted(r[0] for r in parts.select("_n").distinct().collect())  # GRAM numbers at most
+        grams = gram_index(vocab, lengths) if lengths else vocab.select(F.lit("").alias("gram"), "term").limit(0)
+    whole = parts.groupBy("word").agg(F.count(F.lit(1)).alias("_all"))
+    met = pruned(grams, parts, "gram").select("gram", "term").join(parts.select("word", "gram"), "gram")
+    both = met.groupBy("word", "term").agg(F.count(F.lit(1)).alias("_k")).join(whole, "word")
+    return both.where((F.col("_k") == F.col("_all")) & F.col("term").contains(F.col("word"))).select("word", "term")
 
 
 def count_docs(words: DataFrame, pairs: DataFrame, dl: DataFrame, id_col: str = "doc_id",
@@ -146,13 +158,13 @@ def filter_candidates(cands: DataFrame, beams: DataFrame, lexicon: DataFrame) ->
 def rank_candidates(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame, n_corpus: DataFrame,
                     global_scores: DataFrame | None, lexicon: DataFrame, *, top_n: int = 50,
                     w_local: float = 0.4, w_spec: float = 0.6, id_col: str = "doc_id",
-                    limits: DataFrame | None = None) -> DataFrame:
+                    limits: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
     """Candidates per (category, beam) with all scores, ``rank`` and ``final_rank``.
 
     ``limits`` (category, n_candidates) may ask for fewer than ``top_n`` in some categories.
 
     ``texts``: (category, doc, text) used for TF-IDF; ``beams``: (category,
-    beam_id, query); ``corpus_lemmas``: (doc, term) of the whole corpus;
+    beam_id, query); ``corpus_lemmas``: (doc, term) of the whole corpus, ``grams``: the gram index of its terms;
     ``n_corpus``: one row ``n``; ``global_scores``: (term, score) or None.
     """
     local = tfidf(texts.select("category", id_col, "text"), ["category"], id_col=id_col,
@@ -167,10 +179,10 @@ def rank_candidates(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame
     filtered = cut_lineage(filter_candidates(cands, beams, lexicon))
     # specificity: local and global substring document frequency
     words = filtered.select("category", "word").distinct()
-    local_dl = (texts.select("category", id_col).distinct()
-                .join(corpus_lemmas, id_col))
     # one (word, term) pair table from the corpus vocabulary serves both counts
-    pairs = cut_lineage(substring_pairs(words, corpus_lemmas))
+    pairs = cut_lineage(substring_pairs(words, corpus_lemmas, grams))
+    corpus_lemmas = pruned(corpus_lemmas, pairs).select(id_col, "term")  # the documents of those terms
+    local_dl = texts.select("category", id_col).distinct().join(corpus_lemmas, id_col)
     ldf = count_docs(words, pairs, local_dl, id_col, ["category"]).withColumnRenamed("n", "ldf")
     gdf = count_docs(words.select("word").distinct(), pairs, corpus_lemmas, id_col).withColumnRenamed("n", "gdf")
     n_local = texts.groupBy("category").agg(F.countDistinct(id_col).alias("L"))
@@ -250,7 +262,8 @@ def all_same_query(beams: DataFrame) -> DataFrame:
 
 def expand(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame, n_corpus: DataFrame,
            global_scores: DataFrame | None, lexicon: DataFrame, num_beams: int, *,
-           w_local: float = 0.4, w_spec: float = 0.6, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+           w_local: float = 0.4, w_spec: float = 0.6, id_col: str = "doc_id",
+           grams: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """X5 + X9/X10 + X11 for every category: returns (candidates, beams with expanded queries).
 
     Categories whose beams share one query use 50 candidates and X9; the
@@ -262,7 +275,7 @@ def expand(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame, n_corpu
     # one ranking for all categories, written once: the two assignments read their own part
     limits = same.select("category", F.when(F.col("same_query"), 50).otherwise(30).alias("n_candidates"))
     cands = cut_lineage(rank_candidates(texts, beams, corpus_lemmas, n_corpus, global_scores, lexicon,
-                                        top_n=50, w_local=w_local, w_spec=w_spec, id_col=id_col, limits=limits))
+                                        top_n=50, w_local=w_local, w_spec=w_spec, id_col=id_col, limits=limits, grams=grams))
     c_same = cands.join(same.where("same_query"), "category", "left_semi")
     c_diff = cands.join(same.where("NOT same_query"), "category", "left_semi")
     words = assign_same_query(c_same, b_same).unionByName(assign_distinct_queries(c_diff, b_diff, num_beams))

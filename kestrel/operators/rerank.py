@@ -22,14 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.operators.tfidf import apply_term_rules, postings, raw_postings
+from kestrel.operators.lists import bucketed, pruned
 from kestrel.operators.relational import best_n
 from kestrel.session import cut_lineage, shared_dir
 from kestrel.sources.io import write_table
 
 SCORE_DIGITS = 9
-BUCKETS = 64
-#: So many query terms are also given to the scan itself.
-FEW_TERMS = 1000
 
 
 @dataclass
@@ -44,10 +42,6 @@ class SparseIndex:
     postings: DataFrame | None = None  # id, term, tf (after the term rules)
 
 
-def bucket_of(term: str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
 def _scratch(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     if not by:
         return cut_lineage(df)
@@ -57,16 +51,8 @@ def _scratch(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame
 
 
 def lists_of(index: SparseIndex, terms: DataFrame) -> DataFrame:
-    """The postings of the buckets that hold ``terms`` (column term), and of the terms alone while they are few.
-
-    At most ``BUCKETS`` bucket numbers and ``FEW_TERMS`` terms reach the driver; they prune folders and row groups, the join that
-    follows decides the rows.
-    """
-    wanted = terms.select("term").distinct()
-    buckets = [r[0] for r in wanted.select(bucket_of("term").alias("b")).distinct().collect()]
-    part = index.weights.where(F.col("bucket").isin(buckets)) if buckets else index.weights.limit(0)
-    few = [r[0] for r in wanted.limit(FEW_TERMS + 1).collect()]
-    return part.where(F.col("term").isin(few)) if 0 < len(few) <= FEW_TERMS else part
+    """The part of the postings that holds ``terms`` (column term)."""
+    return pruned(index.weights, terms)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -112,10 +98,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_doc = Window.partitionBy(id_col)
     weights = (w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))
                .select(id_col, "term", "tf", "weight"))
-    weights = weights.withColumn("bucket", bucket_of("term"))
     if materialize:
         # sorted files per bucket: a query's terms name the folders, and the sorted terms the row groups, that it reads
-        weights = put(weights.repartitionByRange("bucket", "term", id_col).sortWithinPartitions("bucket", "term", id_col), "weights", ["bucket"])
+        weights = put(bucketed(weights, "term", id_col), "weights", ["bucket"])
     return SparseIndex(weights, terms, dl, lex, n, id_col, post)
 
 

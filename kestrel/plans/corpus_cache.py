@@ -29,3 +29,12 @@ def corpus_for(spark: SparkSession, sf_dir: str) -> Corpus:
         folder = f"{shared_root(spark, 'kestrel-corpora')}/corpus={key_of(*key[1:])}"
         _CORPORA[key] = prepare_corpus(docs, folder)
     return _CORPORA[key]
+
+
+def rebuild(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Builds the corpus tables anew, whatever is stored, and has this session use them."""
+    docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text")
+    root = sf_dir.rstrip("/")
+    key = (spark.sparkContext.applicationId, root, source_fingerprint(spark, f"{root}/documents.parquet"))
+    _CORPORA[key] = prepare_corpus(docs)
+    return _CORPORA[key]

@@ -2,34 +2,35 @@
 
 from pyspark.sql import functions as F
 
+from kestrel.operators.beams import merge_beams
 from kestrel.operators.pseudo import (
     best_per_id, dedup_effect, dedup_text, legacy_training_set, nonempty_text, pseudo_labels,
     random_cap_per_class,
 )
 from kestrel.plans.registry import register
-from kestrel.plans.retrieval_plans import centroid_hits
-from kestrel.plans.sqlparts import WS_CLASS, sql_list, topk_hits_cte
+from kestrel.plans.rerank_plans import RERANKED, reranked
+from kestrel.plans.sqlparts import WS_CLASS, sql_list
 from kestrel.sources import driver
 
 CAP = 25
 RANDOM_CAP = 10
-BASE_LABELS = ["label_1", "label_3", "label_5", "label_7", "label_9"]
+BASE_LABELS = ["e", "en", "fr", "r"]
 
 
 def labelled_hits(spark, sf_dir):
-    """Vector hits as retrieval output: (review_id, label, ce_score, cosine_similarity, text)."""
+    """The merged text hits of all beams as retrieval output: (review_id, label, ce_score, cosine_similarity, text)."""
     docs = driver.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), "text")
-    h = centroid_hits(spark, sf_dir).select(F.col("id").alias("review_id"), F.col("category").alias("label"),
-                                            F.col("score").alias("ce_score"),
-                                            F.col("score").alias("cosine_similarity"))
-    return h.join(docs, "review_id")
+    merged = merge_beams(reranked(spark, sf_dir), "union", "doc_id")
+    return merged.select(F.col("doc_id").alias("review_id"), F.col("category").alias("label"), "ce_score",
+                         F.col("score").alias("cosine_similarity")).join(docs, "review_id")
 
 
-HITS_SQL = f"""WITH {topk_hits_cte(60, 0.1)},
+HITS_SQL = f"""{RERANKED},
+mg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category, doc_id ORDER BY ce_score DESC, beam_id) AS m FROM rr) WHERE m = 1),
 lh AS (
-  SELECT h.id AS review_id, h.category AS label, h.score AS ce_score, h.score AS cosine_similarity,
+  SELECT h.doc_id AS review_id, h.category AS label, h.ce_score, h.score AS cosine_similarity,
          regexp_replace(d.text, '^{WS_CLASS}+|{WS_CLASS}+$', '', 'g') AS text
-  FROM hits h JOIN documents d ON d.doc_id = h.id
+  FROM mg h JOIN documents d ON d.doc_id = h.doc_id
 ),
 ne AS (SELECT * FROM lh WHERE text <> ''),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY ce_score DESC, label) AS r FROM ne)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from kestrel.operators.beams import carry_over, initial_beams, merge_beams
 from kestrel.operators.classify import fit_classifier, predict
-from kestrel.operators.expand import doc_lemmas, expand, gate, pair_score_term, rank_candidates, three_way_scores, top_candidates
+from kestrel.operators.expand import doc_lemmas, expand, gate, gram_index, pair_score_term, rank_candidates, three_way_scores, top_candidates
+from kestrel.operators.lists import bucketed
 from kestrel.operators.pseudo import pseudo_labels
 from kestrel.operators.rerank import SparseIndex, _scratch, bm25, build_index, rerank, retrieve
 from kestrel.operators.retrieval import threshold as min_score
@@ -51,9 +52,10 @@ class Corpus:
     """Everything computed once per corpus and reused by every round (K5, K8)."""
     docs: DataFrame          # doc_id, text
     index: SparseIndex
-    lemmas: DataFrame        # doc_id, term (all tokens, lemmatised)
+    lemmas: DataFrame        # doc_id, term (all tokens, lemmatised), bucket
     n: DataFrame             # one row n
     global_scores: DataFrame  # term, df, cf, score (cap 5000)
+    grams: DataFrame         # gram, term: the gram index of the lemmas (J9)
     hashed: DataFrame        # doc_id, idx: the classifier's features (M6, M7)
 
 
@@ -72,20 +74,21 @@ def prepare_corpus(docs: DataFrame, folder: str | None = None) -> Corpus:
     if stored:
         t, _ = stored
         index = SparseIndex(t["weights"], t["terms"], t["doc_lengths"], t["lexicon"], t["n_docs"], "doc_id", t["postings"])
-        return Corpus(docs, index, t["lemmas"], t["n"], t["global_scores"], t["hashed"])
+        return Corpus(docs, index, t["lemmas"], t["n"], t["global_scores"], t["grams"], t["hashed"])
     put = part.put if part else _scratch
     raw = cut_lineage(raw_postings(docs.withColumn("_g", F.lit(0)), ["_g"], "doc_id", "text"))
     lex = put(raw.select(F.col("token").alias("term")).distinct(), "lexicon")
     lem = cut_lineage(lemma_map(lex, "term", lex))
     index = build_index(docs, raw=raw, lexicon=lex, lemmas=lem, put=put)
-    lemmas = put(doc_lemmas(docs, lex, raw=raw, lemmas=lem), "lemmas")
+    lemmas = put(bucketed(doc_lemmas(docs, lex, raw=raw, lemmas=lem), "term", "doc_id"), "lemmas", ["bucket"])
+    grams = put(bucketed(gram_index(lemmas), "gram", "term"), "grams", ["bucket"])
     n = put(docs.agg(F.count(F.lit(1)).alias("n")), "n")
     gs = put(tfidf(docs, [], max_features=5000, post=index.postings).terms
              .select("term", "df", "cf", "score"), "global_scores")
     hashed = put(hashed_terms(spread(docs), "text", NUM_FEATURES, "idx").select("doc_id", "idx"), "hashed")
     if part:
         part.publish()
-    return Corpus(docs, index, lemmas, n, gs, hashed)
+    return Corpus(docs, index, lemmas, n, gs, grams, hashed)
 
 
 @dataclass
@@ -160,7 +163,7 @@ def run_round(spark: SparkSession, corpus: Corpus, cfg: RoundConfig, round_no: i
     texts = cut_lineage(gated.select("category", F.col("review_id").alias("doc_id"))
                         .join(corpus.docs, "doc_id"))
     cands, new_beams = expand(texts, beams, corpus.lemmas, corpus.n, corpus.global_scores, corpus.index.lexicon,
-                              cfg.num_beams, w_local=cfg.w_local, w_spec=cfg.w_spec)
+                              cfg.num_beams, w_local=cfg.w_local, w_spec=cfg.w_spec, grams=corpus.grams)
     new_beams = cut_lineage(new_beams)
     # Pseudo labels from the merged hits
     hits_text = (merged.join(corpus.docs, "doc_id")
@@ -257,7 +260,7 @@ def single_query_report(corpus: Corpus, spark: SparkSession, query: str, k: int
     hits = min_score(retrieve(index, q, k, ["category", "beam_id"]), threshold)
     texts = cut_lineage(hits.select("category", "doc_id").join(corpus.docs, "doc_id"))
     cands = cut_lineage(rank_candidates(texts, q, corpus.lemmas, corpus.n, corpus.global_scores, index.lexicon,
-                                        top_n=top_n, w_local=0.6, w_spec=0.4))
+                                        top_n=top_n, w_local=0.6, w_spec=0.4, grams=corpus.grams))
     scored = three_way_scores(cands, pair_score_term(index, cands, hits))
     return hits, scored, top_candidates(scored)
 

@@ -36,11 +36,45 @@ def test_null_keys_meet(spark):
     assert sorted(map(tuple, null_safe_join(a, b, ["k"]).collect()), key=str) == [("x", 2, 20), (None, 1, 10)]
 
 
+def test_stored_grams_are_read_by_the_words_that_need_them(spark, tmpdir_path):
+    from kestrel.operators.expand import gram_index
+    from kestrel.operators.lists import bucketed
+    vocab = spark.createDataFrame([(t,) for t in ["banana", "nab", "ananas", "nan", "an", "x", "banane", "canal"]], "term string")
+    bucketed(gram_index(vocab), "gram", "term").write.partitionBy("bucket").parquet(f"{tmpdir_path}/g")
+    grams = spark.read.parquet(f"{tmpdir_path}/g")
+    words = spark.createDataFrame([("an",), ("nana",), ("banan",), ("anan",), ("x",), ("nanb",), ("",)], "word string")
+    out = substring_pairs(words, vocab.limit(0), grams)
+    terms = [r.term for r in vocab.collect()]
+    assert sorted(map(tuple, out.collect())) == sorted((w.word, t) for w in words.collect() if w.word for t in terms if w.word in t)
+    assert "PartitionFilters: [bucket" in plan(out) or "PartitionFilters: [isnotnull(bucket" in plan(out)
+
+
+WORKER = """
+import sys
+sys.path.insert(0, {repo!r})
+from kestrel.session import get_session
+from kestrel.operators.encode import embed
+spark = get_session("local[2]", shuffle_partitions=2, driver_memory="2g")
+df = spark.createDataFrame([(1, "red green red"), (2, None)], "id long, text string")
+print("FOUND", embed(df, dim=8).where("id = 1").first().embedding)
+"""
+
+
+def test_embed_runs_on_workers_without_the_package(tmpdir_path):
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", WORKER.format(repo=repo)], cwd=tmpdir_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "FOUND [" in out.stdout, out.stderr[-2000:]
+
+
 def test_substrings_of_all_lengths_in_one_scan(spark, tmpdir_path):
     spark.createDataFrame([("banana",), ("nab",)], "term string").write.parquet(f"{tmpdir_path}/v")
     words = spark.createDataFrame([("an",), ("nan",), ("banana",), ("zz",)], "word string")
     out = substring_pairs(words, spark.read.parquet(f"{tmpdir_path}/v"))
-    assert plan(out).count("FileScan") == 1
+    assert plan(out).count("ReadSchema: struct<term:string>") == 1  # the vocabulary
     assert sorted(map(tuple, out.collect())) == [("an", "banana"), ("banana", "banana"), ("nan", "banana")]
 
 
