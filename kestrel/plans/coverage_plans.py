@@ -351,9 +351,9 @@ def hash_embed_topk(spark, sf_dir):
 m AS (SELECT review_id, text, coalesce((SELECT arg_max(b, length(b) * 1000 - i) FROM
         (SELECT unnest({sql_list(BASE_LABELS)}) AS b, unnest(generate_series(1, {len(BASE_LABELS)})) AS i) WHERE instr(lower(label), b) > 0), lower(label)) AS label FROM lh),
 dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY review_id, label) AS r FROM m WHERE text <> '') WHERE r = 1),
-rk AS (SELECT review_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || review_id::VARCHAR), review_id) AS rnk,
+rq AS (SELECT review_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || review_id::VARCHAR), review_id) AS rnk,
               count(*) OVER (PARTITION BY label) AS n, (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS label_id FROM dd)
-SELECT review_id, label, label_id, CASE WHEN rnk <= (CASE WHEN n > 1 THEN greatest(1, floor(n * 0.2)) ELSE 1 END) THEN 'val' ELSE 'train' END AS split FROM rk
+SELECT review_id, label, label_id, CASE WHEN rnk <= (CASE WHEN n > 1 THEN greatest(1, floor(n * 0.2)) ELSE 1 END) THEN 'val' ELSE 'train' END AS split FROM rq
 """)
 def legacy_training_split_check(spark, sf_dir):
     """Label ids (J11) and the split (L9) at its end, under the default cap of 2,000."""

@@ -33,7 +33,7 @@ def _load_all() -> None:
     from kestrel.plans import (  # noqa: F401
         retrieval_plans, prepare_plans, profile_plans, split_plans, tfidf_plans,
         rerank_plans, expand_plans, pseudo_plans, evaluate_plans, diagnose_plans,
-        model_plans, round_plans, io_plans, coverage_plans,
+        model_plans, round_plans, io_plans, coverage_plans, composite_plans,
     )
 
 

@@ -290,14 +290,17 @@ def length_profile(df: DataFrame, text_col: str = "text", token_counter=None) ->
             "over_limit": over_limit(d, "token_length"), "prefixed": prefix_share(d, text_col)}
 
 
-def diagnose(hits: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> dict:
-    """Duplicate summary, overlap sets, prediction coverage, unexpected hits, gate effect, ambiguity."""
+def diagnose(hits: DataFrame, predictions: DataFrame, threshold: float = 0.5, order_col: str | None = None) -> dict:
+    """Duplicate summary, overlap sets, prediction coverage, unexpected hits, gate effect, ambiguity.
+
+    ``order_col``: which of several predictions of an id is the last and counts (J5).
+    """
     from kestrel.operators.diagnose import (
         category_overlap, duplicate_summary, gate_effect, multi_high_confidence, prediction_coverage,
         unexpected_hits,
     )
     return {"summary": duplicate_summary(hits), "overlap": category_overlap(hits),
             "coverage": prediction_coverage(hits, predictions),
-            "unexpected": unexpected_hits(hits, predictions, threshold),
-            "gate": gate_effect(hits, predictions, threshold),
-            "multi_high_conf": multi_high_confidence(hits, predictions, threshold)}
+            "unexpected": unexpected_hits(hits, predictions, threshold, order_col=order_col),
+            "gate": gate_effect(hits, predictions, threshold, order_col=order_col),
+            "multi_high_conf": multi_high_confidence(hits, predictions, threshold, order_col=order_col)}
