@@ -42,3 +42,14 @@ def test_empty_tables(spark):
     assert U.judge(none, entries).collect() == []
     one = spark.createDataFrame([(1, "http://a.b", DAY, "h", "d")], CAPTURES)
     assert [r.verdict for r in U.judge(one, entries).collect()] == ["pass"]
+
+
+def test_time_of_day_counts(spark):
+    from datetime import datetime
+    at = lambda h, d=1: datetime(2024, 1, d, h)
+    entries = [("a.b", at(9), "block"), ("a.b", at(18), "off"), ("x.a.b", at(12), "allow"), ("a.b", at(7, 3), "allow"), ("a.b", at(7, 3), "block")]
+    rows = [(k, f"http://{h}/", t) for k, (h, t) in enumerate([("a.b", at(8)), ("a.b", at(9)), ("a.b", at(20)), ("x.a.b", at(10)), ("x.a.b", at(13)), ("x.a.b", at(19, 2)), ("a.b", at(1, 3)), ("a.b", at(23, 3))])]
+    out = U.judge(spark.createDataFrame(rows, "page_id long, url string, fetched_on timestamp"), spark.createDataFrame(entries, "domain string, listed_on timestamp, state string"))
+    got = [(r.verdict, r.matched, r.since) for r in out.orderBy("page_id").collect()]
+    assert got == [("pass", None, None), ("block", "a.b", at(9)), ("pass", None, None), ("block", "a.b", at(9)), ("allow", "x.a.b", at(12)), ("allow", "x.a.b", at(12)),
+                   ("pass", None, None), ("block", "a.b", at(7, 3))]
