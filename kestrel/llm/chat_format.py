@@ -11,8 +11,9 @@ is the span of each assistant text in the formatted conversation, in characters.
 
 Role names of other layouts (``human``, ``gpt`` ...) become the canonical ones; rows that are turns already
 keep theirs.  Turns of a conversation are ordered by turn, then role, then text; a null turn comes first, a
-repeated row is a turn of its own.  A null text or role is empty; rows with a null conversation id are one
-conversation.  Records without a mapping, and broken JSON, are returned by ``unmapped``.  Columns that no
+repeated row is a turn of its own.  A null text or role is empty.  A record without a conversation id is a conversation
+of its own, known by its place in the input (``record``; null where there is an id); single rows with a null conversation id
+are one conversation, as nothing else tells which belong together.  Records without a mapping, and broken JSON, are returned by ``unmapped``.  Columns that no
 mapping speaks of are left out.  An empty table gives an empty result.  Formatting a turn needs no other
 turn; offsets and digests are sums along a conversation and are streamed through one task in order.
 """
@@ -186,9 +187,10 @@ def _role(role: Column) -> Column:
 
 
 def _exploded(records: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) of (conv_id, turns)."""
-    return (records.select("conv_id", F.posexplode("turns").alias("turn", "t"))
-            .select("conv_id", F.col("turn").cast("long").alias("turn"), _role(F.col("t.role")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text")))
+    """Rows (conv_id, record, turn, role, text) of (conv_id, turns)."""
+    place = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("record")
+    return (records.select("conv_id", place, "turns").select("conv_id", "record", F.posexplode("turns").alias("turn", "t"))
+            .select("conv_id", "record", F.col("turn").cast("long").alias("turn"), _role(F.col("t.role")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text")))
 
 
 def turns_of_records(records: DataFrame, json_col: str = "record") -> DataFrame:
@@ -212,7 +214,7 @@ def turns_of_table(table: DataFrame) -> DataFrame:
     m = next(m for m in MAPPINGS if m.name == name)
     if m.row:
         turn, role, text = m.row
-        return table.select(F.col(m.key).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
+        return table.select(F.col(m.key).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("record"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
                             F.coalesce(F.col(text), F.lit("")).alias("text"))
     key = F.col(m.key).cast("long") if m.key in table.columns else F.lit(None).cast("long")
     return _exploded(table.select(key.alias("conv_id"), m.turns(lambda c: F.col(c) if c in table.columns else F.lit(None).cast("string")).alias("turns")))
@@ -229,12 +231,12 @@ def unescaped(text: str) -> str:
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """A row per turn: conv_id, place, segment, offset in the conversation, loss_start and loss_stop (null: no loss)."""
+    """A row per turn: conv_id, record, place, segment, offset in the conversation, loss_start and loss_stop (null: no loss)."""
     # in a role a line end is escaped too, as it ends the role
     role = F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n"))
     head = F.concat(F.lit(OPEN), role, F.lit("\n"))
     body = escaped(F.col("text"))
-    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    by_turn = Window.partitionBy("conv_id", "record").orderBy("turn", "role", "text")
     before = by_turn.rowsBetween(Window.unboundedPreceding, -1)
     made = (turns.withColumn("segment", F.concat(head, body, F.lit(CLOSE + "\n")))
             .withColumn("head", F.length(head)).withColumn("body", F.length(body))
@@ -242,7 +244,7 @@ def formatted(turns: DataFrame) -> DataFrame:
             .withColumn("offset", F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0).cast("long"))))
     learnt = F.col("role") == "assistant"
     start = F.col("offset") + F.col("head")
-    return made.select("conv_id", "place", "segment", "offset", F.when(learnt, start).alias("loss_start"), F.when(learnt, start + F.col("body")).alias("loss_stop"))
+    return made.select("conv_id", "record", "place", "segment", "offset", F.when(learnt, start).alias("loss_start"), F.when(learnt, start + F.col("body")).alias("loss_stop"))
 
 
 _SEGMENT = re.compile(re.escape(OPEN) + r"((?:[^\\\n]|\\.)*)\n(.*)" + re.escape(CLOSE) + "\n", re.S)
@@ -266,7 +268,7 @@ def digests(segments: DataFrame) -> DataFrame:
         def close():
             if state:
                 n, turns, chars, loss, total = state
-                done.append((key, n, turns.hexdigest(), chars, loss.hexdigest(), total))
+                done.append((key[0], n, turns.hexdigest(), chars, loss.hexdigest(), total))
 
         def out():
             names = [f.split()[0] for f in DIGEST.split(", ")]
@@ -275,11 +277,11 @@ def digests(segments: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if "sha" in f else pa.int64()) for c, f in zip(cols, names)], names=names)
 
         for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("conv_id", "segment", "offset", "loss_start", "loss_stop"))
-            for conv, segment, offset, start, stop in zip(*cols):
-                if state is None or conv != key:
+            cols = (batch.column(c).to_pylist() for c in ("conv_id", "record", "segment", "offset", "loss_start", "loss_stop"))
+            for conv, record, segment, offset, start, stop in zip(*cols):
+                if state is None or (conv, record) != key:
                     close()
-                    key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    key, state = (conv, record), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 role, text = read_segment(segment)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
@@ -292,4 +294,4 @@ def digests(segments: DataFrame) -> DataFrame:
         close()
         yield out()
 
-    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(run, DIGEST)
+    return segments.repartition("conv_id", "record").sortWithinPartitions("conv_id", "record", "place").mapInArrow(run, DIGEST)

@@ -74,9 +74,9 @@ def test_layouts_are_mapped_by_fingerprint(spark):
 
 def test_typed_tables(spark):
     df = spark.createDataFrame([(4, "hi", "yo", 1)], "conv_id long, prompt string, response string, other int")
-    assert sorted(map(tuple, C.turns_of_table(df).collect())) == [(4, 0, "user", "hi"), (4, 1, "assistant", "yo")]
+    assert sorted(map(tuple, C.turns_of_table(df).select("conv_id", "turn", "role", "text").collect())) == [(4, 0, "user", "hi"), (4, 1, "assistant", "yo")]
     nested = spark.createDataFrame([(1, [("user", "hi")])], "conv_id long, messages array<struct<role:string,content:string>>")
-    assert [tuple(r) for r in C.turns_of_table(nested).collect()] == [(1, 0, "user", "hi")]
+    assert [tuple(r) for r in C.turns_of_table(nested).select("conv_id", "turn", "role", "text").collect()] == [(1, 0, "user", "hi")]
     with pytest.raises(ValueError):
         C.turns_of_table(df.select("prompt"))
 
@@ -85,3 +85,11 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.digests(C.formatted(C.turns_of_table(empty))).collect() == []
     assert C.turns_of_records(spark.createDataFrame([], "record string")).collect() == []
+
+
+def test_records_without_an_id_are_conversations_of_their_own(spark):
+    records = ['{"prompt": "a", "response": "b"}', '{"prompt": "a", "response": "b"}', '{"instruction": "c", "output": "d"}', '{"conv_id": 5, "prompt": "e", "response": "f"}']
+    turns = C.turns_of_records(spark.createDataFrame([(r,) for r in records], "record string").repartition(2))
+    assert sorted((r.conv_id or 0, r.n_turns) for r in C.digests(C.formatted(turns)).collect()) == [(0, 2), (0, 2), (0, 2), (5, 2)]
+    table = spark.createDataFrame([("a", "b"), ("c", "d")], "prompt string, response string")
+    assert [r.n_turns for r in C.digests(C.formatted(C.turns_of_table(table))).collect()] == [2, 2]
