@@ -32,8 +32,10 @@ def pruned(table: DataFrame, wanted: DataFrame, key: str = "term") -> DataFrame:
     """
     if "bucket" not in table.columns:
         return table
-    keys = wanted.select(key).distinct()
-    buckets = [r[0] for r in keys.select(bucket_of(key).alias("b")).distinct().collect()]
-    part = table.where(F.col("bucket").isin(buckets)) if buckets else table.limit(0)
-    few = [r[0] for r in keys.limit(FEW_KEYS + 1).collect()]
-    return part.where(F.col(key).isin(few)) if 0 < len(few) <= FEW_KEYS else part
+    keys = wanted.select(key).distinct().withColumn("_b", bucket_of(key))
+    few = keys.limit(FEW_KEYS + 1).collect()
+    if len(few) <= FEW_KEYS:
+        if not few:
+            return table.limit(0)
+        return table.where(F.col("bucket").isin(sorted({r["_b"] for r in few})) & F.col(key).isin([r[key] for r in few]))
+    return table.where(F.col("bucket").isin([r[0] for r in keys.select("_b").distinct().collect()]))

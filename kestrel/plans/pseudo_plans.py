@@ -10,6 +10,7 @@ from kestrel.operators.pseudo import (
 from kestrel.plans.registry import register
 from kestrel.plans.rerank_plans import RERANKED, reranked
 from kestrel.plans.sqlparts import WS_CLASS, sql_list
+from kestrel.session import cut_lineage
 from kestrel.sources import driver
 
 CAP = 25
@@ -20,7 +21,7 @@ BASE_LABELS = ["e", "en", "fr", "r"]
 def labelled_hits(spark, sf_dir):
     """The merged text hits of all beams as retrieval output: (review_id, label, ce_score, cosine_similarity, text)."""
     docs = driver.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), "text")
-    merged = merge_beams(reranked(spark, sf_dir), "union", "doc_id")
+    merged = cut_lineage(merge_beams(reranked(spark, sf_dir), "union", "doc_id"))  # ids and scores; read twice
     return merged.select(F.col("doc_id").alias("review_id"), F.col("category").alias("label"), "ce_score",
                          F.col("score").alias("cosine_similarity")).join(docs, "review_id")
 
