@@ -64,7 +64,8 @@ def texts(seed=3):
 
 
 def test_matches_plain_recursion_with_nulls_ties_and_repeated_rows(spark, monkeypatch):
-    monkeypatch.setattr(L, "STRIPS", 7)
+    monkeypatch.setattr(L, "SHARD", 300)
+    monkeypatch.setattr(L, "LANE", 5)
     rows = texts()
     df = spark.createDataFrame([(i, t, 1.5, 2) for i, t in rows], "doc_id long, text string, score double, n long").repartition(4)
     for order, head_share, arc_share in ((3, 0.01, 0.002), (4, 0.004, 0.001), (1, 0.01, 0.01)):
@@ -100,8 +101,8 @@ def test_rare_words_and_n_grams_keep_their_arcs_however_large_the_corpus(spark,
     df = spark.createDataFrame(rows, "doc_id long, text string")
     uni, total, v, p = model(rows, 3, 0, 0)
     want = {i: sum(math.log10(p(tuple(["<s>", *split(t)][max(0, k - 1):k + 1]), w)) for k, w in enumerate(split(t))) for i, t in rows if i and 200 <= i < 300}
-    for share in (1e-6, 0.01):  # what is broadcast does not change scores
-        monkeypatch.setattr(L, "HEAD_SHARE", share)
-        monkeypatch.setattr(L, "ARC_SHARE", share)
+    for size, lane in ((1 << 20, 256), (40_000, 7)):  # neither shards nor lanes change scores
+        monkeypatch.setattr(L, "SHARD", size)
+        monkeypatch.setattr(L, "LANE", lane)
         got = {r.doc_id: r.score for r in L.score(df).where("doc_id >= 200 and doc_id < 300").collect()}
         assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()))
