@@ -139,6 +139,17 @@ def _bucketed(table: DataFrame, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and the rank of every key.  (``np.unique`` sorts stably, which takes several times as long.)"""
+    by = np.argsort(keys)
+    ordered = keys[by]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(len(keys), np.int64)
+    rank[by] = np.cumsum(new) - 1
+    return ordered[new], by[new], rank
+
+
 class Answers:
     """What the buckets answered to one shard, in the order in which it asked."""
 
@@ -175,7 +186,13 @@ class Shard:
             at &= self.node[m - 1] > 0
             at[1:] &= self.node[m - 1][:-1] > 0
         at = np.flatnonzero(at)
-        keys, first, slot = np.unique(self.grams[m - 1][at], return_index=True, return_inverse=True)
+        if m == 1:  # by distinct words
+            word = self.word[at]
+            place = np.zeros(self.width, np.int64)
+            place[word] = at
+            keys, first, slot = distinct(self.grams[0][place])
+            return at, slot[word], keys, place[first]
+        keys, first, slot = distinct(self.grams[m - 1][at])
         return at, slot, keys, at[first]
 
     def request(self, m: int, row: dict, bits: int) -> list[tuple]:
@@ -222,7 +239,7 @@ class Shard:
         return (self.count[c][at] - DISCOUNT) / self.count[c - 1][at - 1]
 
     def owed(self, c: int, row: dict, bits: int, answers: Answers, total: int, vocabulary: int) -> list[tuple]:
-        """Request of the failure weights of ``c`` words, with what this shard's own arcs add to them."""
+        """Request of the failure weights after ``c`` words, with what this shard's own arcs add to them."""
         keys, at = self.contexts(c)
         kept, arc = self.arcs(c + 1)
         arc = arc[answers(c + 1, "y", bool)[kept]]
@@ -319,16 +336,16 @@ def _answered(requests: DataFrame) -> DataFrame:
         kind, bucket = rows[0]["kind"], rows[0]["bucket"]
         keys = [unpack_sorted(r["keys"]) for r in rows]
         cut = np.cumsum([0] + [len(k) for k in keys])
-        found, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        found, first, at = distinct(np.concatenate(keys))
 
         def total(field, dtype=np.uint64):
             return np.bincount(at, weights=np.concatenate([unpack(r[field], dtype) for r in rows]), minlength=len(found))
 
         n = total("x")
-        tokens = distinct = 0
+        tokens = words = 0
         if kind < FAIL:
             if kind == 1:
-                tokens, distinct = int(n.sum()), int((n > 0).sum())
+                tokens, words = int(n.sum()), int((n > 0).sum())
             owner = np.zeros(len(at), bool)
             owner[first] = True
             columns = [np.where(n >= min(kind, LEAST), n, 0).astype(np.uint64)[at], owner]
@@ -337,7 +354,7 @@ def _answered(requests: DataFrame) -> DataFrame:
         out = []
         for i, r in enumerate(rows):
             packed = [pack(c[cut[i]:cut[i + 1]]) for c in columns] + [b""] * (3 - len(columns))
-            out.append((r["shard"], kind, bucket, *packed, tokens if i == 0 else 0, distinct if i == 0 else 0))
+            out.append((r["shard"], kind, bucket, *packed, tokens if i == 0 else 0, words if i == 0 else 0))
         return _rows(out, ANSWER)
 
     return cut_lineage(requests.groupBy("kind", "bucket").applyInArrow(run, ANSWER))
