@@ -224,12 +224,22 @@ class Shard:
         kept = self.node[m][self.first[m]] > 0
         return kept, self.first[m][kept]
 
-    def contexts(self, c: int) -> tuple[np.ndarray, np.ndarray]:
-        """States of ``c`` words, a position of each, in order of hash."""
+    def own(self, m: int, answers: Answers) -> np.ndarray:
+        """A position of each kept n-gram that this shard owns."""
+        kept, at = self.arcs(m)
+        return at[answers(m, "y", bool)[kept]]
+
+    def contexts(self, c: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States of ``c`` words whose failure arc is followed here, or that have an arc of ``own``: hash and a position of each, in order of hash."""
+        state = self.node[c]
+        used = np.zeros(self.nodes, bool)
+        used[state[:-1][(self.place[1:] > 0) & (self.node[c + 1][1:] == 0)]] = True
+        used[state[own - 1]] = True
         _, at = self.arcs(c)
         if c == 1:
             at = np.concatenate([np.flatnonzero(self.place == 0)[:1], at])
             at = at[np.argsort(self.grams[0][at])]
+        at = at[used[state[at]]]
         return self.grams[c - 1][at], at
 
     def lower(self, c: int, at: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
@@ -240,9 +250,8 @@ class Shard:
 
     def owed(self, c: int, row: dict, bits: int, answers: Answers, total: int, vocabulary: int) -> list[tuple]:
         """Request of the failure weights after ``c`` words, with what this shard's own arcs add to them."""
-        keys, at = self.contexts(c)
-        kept, arc = self.arcs(c + 1)
-        arc = arc[answers(c + 1, "y", bool)[kept]]
+        arc = self.own(c + 1, answers)
+        keys, at = self.contexts(c, arc)
         state = self.node[c][arc - 1]
         sums = [np.bincount(state, weights=w, minlength=self.nodes)[self.node[c][at]]
                 for w in (np.ones(len(arc)), self.count[c + 1][arc], self.lower(c, arc, total, vocabulary))]
@@ -261,10 +270,11 @@ class Shard:
             weight.append(np.log10(self.lower(m, at, total, vocabulary)))
             end.append(self.node[min(m, top)][at] if self.order > 1 else np.zeros(len(at), np.int64))
         for c in range(1, self.order):
-            _, at = self.contexts(c)
-            state = self.node[c][at]
             if c > 1:
-                back[state] = self.node[c - 1][at]
+                _, at = self.arcs(c)
+                back[self.node[c][at]] = self.node[c - 1][at]
+            _, at = self.contexts(c, self.own(c + 1, answers))
+            state = self.node[c][at]
             arcs, n, under = answers(FAIL + c, "x"), answers(FAIL + c, "y"), answers(FAIL + c, "z", np.float64)
             left = np.maximum(1 - (n - DISCOUNT * arcs) / np.maximum(self.count[c][at], 1), 1e-9)
             fail[state] = np.where(arcs > 0, np.log10(left / np.maximum(1 - under, 1e-9)), 0.0)
