@@ -278,8 +278,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_co
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that hold no copy of an item, with all their columns."""
-    keys = T.with_keys(docs, id_col, text_col)
+    keys = T.carried(docs, id_col, text_col)
     keyed = keys.select(F.col("_id").alias("doc_id"), F.col("_copy").alias("copy"), F.col("_listing").alias("listing"),
-                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+                        F.coalesce(F.col("_text"), F.lit("")).alias("text"))
     found = cut_lineage(_leaks(keyed, items, threshold, item_col, item_text_col).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct())
-    return keys.join(found, ["_id", "_copy"], "left_anti").select(*docs.columns)
+    return keys.join(found, ["_id", "_copy"], "left_anti").select("_row.*")

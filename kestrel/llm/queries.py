@@ -58,14 +58,18 @@ WITH lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
     FROM documents WHERE text IS NOT NULL)),
 runs AS (
-  SELECT doc_id, pos, line,
-    line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS run
+  SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words,
+    line || chr(10) || lead(line, 1) OVER d AS pair, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS run
   FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 starts AS (
-  SELECT *, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS later FROM runs),
+  SELECT *, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS later,
+    words + lead(words) OVER (PARTITION BY doc_id ORDER BY pos) > 50 AND row_number() OVER (PARTITION BY pair ORDER BY doc_id, pos) > 1 AS later_pair,
+    words > 50 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS later_line
+  FROM runs),
 marked AS (
   SELECT doc_id, pos, line,
-    coalesce(bool_or(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), false) AS gone
+    coalesce(bool_or(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), false)
+    OR coalesce(bool_or(later_pair) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), false) OR later_line AS gone
   FROM starts),
 edges AS (
   SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS head FROM marked),

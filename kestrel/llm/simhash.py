@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of every component the document that ``texts.with_keys`` orders first, with all its columns."""
-    keyed = T.with_keys(docs, id_col, text_col)
-    marked = cut_lineage(fingerprints(keyed, ["_id", "_copy"], shingle, text_col))
+    keyed = T.carried(docs, id_col, text_col)
+    marked = cut_lineage(fingerprints(keyed, ["_id", "_copy"], shingle, "_text"))
     prints = cut_lineage(marked.groupBy("fp").agg(F.min(F.struct("_id", "_copy")).alias("first")))
     kept = roots(prints, max_bits).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    return keyed.where("_listing = 1").join(kept, ["_id", "_copy"], "left_semi").select(*docs.columns)
+    return keyed.where("_listing = 1").join(kept, ["_id", "_copy"], "left_semi").select("_row.*")

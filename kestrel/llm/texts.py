@@ -29,6 +29,12 @@ def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             .withColumn("_listing", F.row_number().over(same)))
 
 
+def carried(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row as one struct ``_row``, its ``_text`` and the key of ``with_keys``: no input column can clash with an operator's own."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    return with_keys(docs.select(row, F.col(id_col).alias("_own"), F.col(text_col).alias("_text")), "_own", "_text")
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, copy, listing, text) of every row by ``with_keys``; other columns are left out."""
     return with_keys(docs.select(id_col, text_col), id_col, text_col).select(

@@ -101,3 +101,14 @@ def test_empty_tables(spark):
     full = spark.createDataFrame([(1, "some words are here")], "doc_id long, text string")
     assert D.leaks(d, b).collect() == [] and D.leaks(full, b).collect() == []
     assert D.leaks(d, full.withColumnRenamed("doc_id", "item_id")).collect() == [] and D.without_leaks(full, b).count() == 1
+
+
+def test_columns_named_like_keys_come_back(spark):
+    from kestrel.llm.decontaminate import without_leaks
+    rows = [(i, "some words of text number %d and a few more" % (i * i * 7919), f"a{i}", f"b{i}", 10 * i, "t", "r") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _copy string, _listing long, _text string, _row string")
+    items = spark.createDataFrame([(1, "quite another passage of many words here")], "item_id long, text string")
+    out = without_leaks(df, items)
+    assert out.columns == df.columns
+    got = set(map(tuple, out.collect()))
+    assert got and got <= set(rows)

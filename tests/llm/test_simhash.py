@@ -57,3 +57,13 @@ def test_matches_brute_force_with_nulls_ties_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_columns_named_like_keys_come_back(spark):
+    from kestrel.llm.simhash import keep_one
+    rows = [(i, "some words of text number %d and a few more" % (i * i * 7919), f"a{i}", f"b{i}", 10 * i, "t", "r") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _copy string, _listing long, _text string, _row string")
+    out = keep_one(df)
+    assert out.columns == df.columns
+    got = set(map(tuple, out.collect()))
+    assert got and got <= set(rows)
