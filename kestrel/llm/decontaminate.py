@@ -282,4 +282,4 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     keyed = keys.select(F.col("_id").alias("doc_id"), F.col("_copy").alias("copy"), F.col("_listing").alias("listing"),
                         F.coalesce(F.col("_text"), F.lit("")).alias("text"))
     found = cut_lineage(_leaks(keyed, items, threshold, item_col, item_text_col).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct())
-    return keys.join(found, ["_id", "_copy"], "left_anti").select("_row.*")
+    return keys.join(found, ["_id", "_copy"], "left_anti").select(*T.restored(docs).values())

@@ -101,7 +101,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     joined = keyed.join(runs, KEY, "left").withColumn("_lines", F.split("_text", "\n", -1))
     whole = F.col("_runs").isNull()
     out = joined.withColumn("_new", F.when(whole, F.col("_text")).otherwise(F.array_join(kept, "\n")))
-    cols = {c: F.col("_row").getField(c) for c in docs.columns}
+    cols = T.restored(docs)
     cols[text_col] = F.col("_new")
     if "n_chars" in cols:
         cols["n_chars"] = F.when(whole, cols["n_chars"]).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)

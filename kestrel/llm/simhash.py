@@ -228,4 +228,4 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
     marked = cut_lineage(fingerprints(keyed, ["_id", "_copy"], shingle, "_text"))
     prints = cut_lineage(marked.groupBy("fp").agg(F.min(F.struct("_id", "_copy")).alias("first")))
     kept = roots(prints, max_bits).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    return keyed.where("_listing = 1").join(kept, ["_id", "_copy"], "left_semi").select("_row.*")
+    return keyed.where("_listing = 1").join(kept, ["_id", "_copy"], "left_semi").select(*T.restored(docs).values())

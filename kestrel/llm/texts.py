@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 #: Stands for a null id, so that it orders before every other.
 NULL_ID = -(1 << 63)
@@ -30,9 +30,17 @@ def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def carried(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row as one struct ``_row``, its ``_text`` and the key of ``with_keys``: no input column can clash with an operator's own."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    return with_keys(docs.select(row, F.col(id_col).alias("_own"), F.col(text_col).alias("_text")), "_own", "_text")
+    """Every row with its columns numbered, its ``_text`` and the key of ``with_keys``: no input column can clash with an operator's own.
+
+    ``restored`` gives the columns back.  (One struct would do as well, but would read columns that nobody asks for.)
+    """
+    named = docs.select("*", F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
+    return with_keys(named.toDF(*(f"_in{i}" for i in range(len(docs.columns))), "_own", "_text"), "_own", "_text")
+
+
+def restored(docs: DataFrame) -> dict[str, Column]:
+    """The columns of ``docs`` in a table that ``carried`` made of it."""
+    return {c: F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)}
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
