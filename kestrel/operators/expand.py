@@ -6,9 +6,10 @@ scored by local TF-IDF and by category specificity (substring document
 frequency in the category's texts versus the whole corpus), min-max
 normalised within (category, beam), combined, and assigned to beams.
 
-Substring document frequency (J9) never compares candidates with documents, nor with the vocabulary: a stored k-gram
+Substring document frequency (J9) never compares candidates with documents, nor with the vocabulary: a k-gram
 index of the lemma vocabulary gives the terms that hold all k-grams of a candidate, ``contains`` decides, and the
-documents of those terms are counted.  Index and (doc, lemma) table lie in buckets by key, so only the parts that the
+documents of those terms are counted.  The index is made of the vocabulary when it is asked (it has many rows a term and is much larger
+than what a query meets); the (doc, lemma) table lies in buckets by key, so only the parts that the
 candidates name are read; candidates are bounded by categories x ``top_n``.
 """
 
@@ -23,7 +24,7 @@ from kestrel.functions.text import GENERIC_BLACKLIST, WS_CLASS, lemma_map, valid
 from kestrel.operators.predictions import dedupe_predictions
 from kestrel.operators.lists import pruned
 from kestrel.operators.relational import top_n
-from kestrel.operators.tfidf import raw_postings, tfidf
+from kestrel.operators.tfidf import merge_by_term, raw_counts, shared_terms, tfidf
 from kestrel.session import cut_lineage
 
 GRAM = 3  # k of the k-gram index
@@ -57,17 +58,21 @@ def gate(hits: DataFrame, predictions: DataFrame | None, conf_threshold: float =
 # ---------------------------------------------------------------------------
 
 def doc_lemmas(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               raw: DataFrame | None = None, lemmas: DataFrame | None = None) -> DataFrame:
+               raw: DataFrame | None = None, shared: DataFrame | None = None) -> DataFrame:
     """Distinct (doc, lemma) over *all* tokens (stop words included): the lemmatised text as a set.
 
-    ``raw`` (doc, token, tf) and ``lemmas`` (term, lemma) may be passed in for the same corpus.
+    ``raw`` (doc, token, tf) and ``shared`` (token, term: ``shared_terms``) may be passed in for the same corpus.
     """
     if raw is None:
-        raw = cut_lineage(raw_postings(docs.select(id_col, text_col).withColumn("_g", F.lit(0)), ["_g"], id_col,
-                                       text_col))
-    lem = lemmas if lemmas is not None else lemma_map(raw.select(F.col("token").alias("term")), "term", lexicon)
-    return (raw.join(lem.withColumnRenamed("term", "token"), "token", "left")
-            .select(id_col, F.coalesce("lemma", "token").alias("term")).distinct())
+        raw = cut_lineage(raw_counts(docs, id_col, text_col))
+    if shared is None:
+        shared = cut_lineage(shared_terms(lemma_map(raw.select(F.col("token").alias("term")), "term", lexicon)))
+    return merge_by_term(raw.select(id_col, "token"), shared, lambda s: s.distinct()).select(id_col, "term")
+
+
+def lemma_vocabulary(lexicon: DataFrame, shared: DataFrame) -> DataFrame:
+    """The distinct terms of ``doc_lemmas``."""
+    return merge_by_term(lexicon.select(F.col("term").alias("token")), shared, lambda s: s.distinct())
 
 
 def gram_index(vocab: DataFrame, lengths: Sequence[int] = range(1, GRAM + 1)) -> DataFrame:
@@ -158,13 +163,13 @@ def filter_candidates(cands: DataFrame, beams: DataFrame, lexicon: DataFrame) ->
 def rank_candidates(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame, n_corpus: DataFrame,
                     global_scores: DataFrame | None, lexicon: DataFrame, *, top_n: int = 50,
                     w_local: float = 0.4, w_spec: float = 0.6, id_col: str = "doc_id",
-                    limits: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
+                    limits: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """Candidates per (category, beam) with all scores, ``rank`` and ``final_rank``.
 
     ``limits`` (category, n_candidates) may ask for fewer than ``top_n`` in some categories.
 
     ``texts``: (category, doc, text) used for TF-IDF; ``beams``: (category,
-    beam_id, query); ``corpus_lemmas``: (doc, term) of the whole corpus, ``grams``: the gram index of its terms;
+    beam_id, query); ``corpus_lemmas``: (doc, term) of the whole corpus, ``vocab``: its distinct terms;
     ``n_corpus``: one row ``n``; ``global_scores``: (term, score) or None.
     """
     local = tfidf(texts.select("category", id_col, "text"), ["category"], id_col=id_col,
@@ -180,7 +185,7 @@ def rank_candidates(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame
     # specificity: local and global substring document frequency
     words = filtered.select("category", "word").distinct()
     # one (word, term) pair table from the corpus vocabulary serves both counts
-    pairs = cut_lineage(substring_pairs(words, corpus_lemmas, grams))
+    pairs = cut_lineage(substring_pairs(words, corpus_lemmas if vocab is None else vocab))
     corpus_lemmas = pruned(corpus_lemmas, pairs).select(id_col, "term")  # the documents of those terms
     local_dl = texts.select("category", id_col).distinct().join(corpus_lemmas, id_col)
     ldf = count_docs(words, pairs, local_dl, id_col, ["category"]).withColumnRenamed("n", "ldf")
@@ -263,7 +268,7 @@ def all_same_query(beams: DataFrame) -> DataFrame:
 def expand(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame, n_corpus: DataFrame,
            global_scores: DataFrame | None, lexicon: DataFrame, num_beams: int, *,
            w_local: float = 0.4, w_spec: float = 0.6, id_col: str = "doc_id",
-           grams: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+           vocab: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """X5 + X9/X10 + X11 for every category: returns (candidates, beams with expanded queries).
 
     Categories whose beams share one query use 50 candidates and X9; the
@@ -275,7 +280,7 @@ def expand(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame, n_corpu
     # one ranking for all categories, written once: the two assignments read their own part
     limits = same.select("category", F.when(F.col("same_query"), 50).otherwise(30).alias("n_candidates"))
     cands = cut_lineage(rank_candidates(texts, beams, corpus_lemmas, n_corpus, global_scores, lexicon,
-                                        top_n=50, w_local=w_local, w_spec=w_spec, id_col=id_col, limits=limits, grams=grams))
+                                        top_n=50, w_local=w_local, w_spec=w_spec, id_col=id_col, limits=limits, vocab=vocab))
     c_same = cands.join(same.where("same_query"), "category", "left_semi")
     c_diff = cands.join(same.where("NOT same_query"), "category", "left_semi")
     words = assign_same_query(c_same, b_same).unionByName(assign_distinct_queries(c_diff, b_diff, num_beams))

@@ -1,7 +1,7 @@
 """Tables of lists by key (postings, lemmas, k-grams), written so that a reader of few keys reads little.
 
-Rows lie in folders by a hash bucket of the key and sorted by key inside.  A hot key is spread over several files, as the rows are
-dealt by ranges of (bucket, key, order).
+Rows lie in folders by a hash bucket of the key and sorted by key inside.  A hot key is spread over ``SLICES`` files, as the rows are
+dealt by a hash of bucket and order.  (Ranges would have the table made twice, once for their bounds.)
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 64
+#: Parts that a bucket is written in.
+SLICES = 8
 #: So many wanted keys are also given to the scan itself.
 FEW_KEYS = 1000
 
@@ -21,7 +23,8 @@ def bucket_of(key: str) -> Column:
 def bucketed(df: DataFrame, key: str, *order: str) -> DataFrame:
     """``df`` with its ``bucket``, dealt and sorted for a write partitioned by it."""
     d = df.withColumn("bucket", bucket_of(key))
-    return d.repartitionByRange("bucket", key, *order).sortWithinPartitions("bucket", key, *order)
+    dealt = [F.pmod(F.xxhash64(*order), F.lit(SLICES))] if order else []
+    return d.repartition("bucket", *dealt).sortWithinPartitions("bucket", key, *order)
 
 
 def pruned(table: DataFrame, wanted: DataFrame, key: str = "term") -> DataFrame:

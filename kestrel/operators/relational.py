@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WINDOW_LIMIT = 1000
 #: Rows of a group are ranked in so many parts first, then the survivors in fewer.
 TOURNAMENT = (1024, 32)
+#: Rows of a table that are sent to all tasks.
+SENT = 200_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -21,6 +23,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def join_frequent(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined to ``table`` (one row a key; ``by``: how frequent it is).  A table of up to ``SENT`` rows is sent to all tasks; of a larger
+    one the ``SENT`` most frequent keys are, and only the rows of other keys are shuffled.  Call it on written tables: both are read again."""
+    if table.count() <= SENT:
+        return rows.join(F.broadcast(table), key)
+    often = table.orderBy(F.desc(by), F.asc(key)).limit(SENT)
+    cut = often.agg(F.min(by)).first()[0]
+    often, seldom = table.where(F.col(by) > cut), table.where(F.col(by) <= cut)  # more frequent than the last: SENT at most
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(often), key).unionByName(rest.join(seldom, key))
+
+
 def top_n(df: DataFrame, n: int, order: Sequence[Column], group_cols: Sequence[str] = (), spread_by: Sequence[str] = (),
           rank_col: str = "_rn") -> DataFrame:
     """The first ``n`` rows of every group, with their rank.

@@ -2,9 +2,10 @@
 
 Default encoder (M1/M2): the TF-IDF weights of :mod:`kestrel.operators.tfidf`
 over the whole corpus, L2-normalised per document.  A document "vector" is its
-rows of the postings table ``(doc, term, weight)``, which is written in buckets of terms and sorted
-by term, so that a query reads only its terms' part of it.  A query is encoded with
-the same idf.  Cosine similarity is then ``sum(wq * wd)`` over shared terms:
+rows of the table ``weights`` (doc, term, tf), which is written in buckets of terms and sorted
+by term, so that a query reads only its terms' part of it; a term's idf and a document's norm lie once
+in ``terms`` and ``docs``.  A query is encoded with
+the same idf.  Cosine similarity is then ``sum(wq * tf * idf) / norm`` over shared terms:
 an equi-join of the query-term table to the postings, aggregated per (query, doc) with a partial aggregate, and
 a top-k.  No query x document product is ever formed; which side of a join is broadcast follows from measured sizes.
 
@@ -21,9 +22,10 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.operators.tfidf import apply_term_rules, postings, raw_postings
+from kestrel.functions.text import lemma_map
+from kestrel.operators.tfidf import is_stop, merge_by_term, postings, raw_counts, shared_terms
 from kestrel.operators.lists import bucketed, pruned
-from kestrel.operators.relational import best_n
+from kestrel.operators.relational import best_n, join_frequent, null_safe_join
 from kestrel.session import cut_lineage, shared_dir
 from kestrel.sources.io import write_table
 
@@ -33,9 +35,9 @@ SCORE_DIGITS = 9
 @dataclass
 class SparseIndex:
     """Corpus statistics and normalised document weights."""
-    weights: DataFrame   # id, term, tf, weight, bucket
+    weights: DataFrame   # id, term, tf, bucket
     terms: DataFrame     # term, df, idf
-    docs: DataFrame      # id, dl (terms after the term rules)
+    docs: DataFrame      # id, dl (terms after the term rules), norm (of its tf * idf)
     lexicon: DataFrame   # term (all corpus tokens)
     n_docs: DataFrame    # one row: n, avgdl
     id_col: str
@@ -47,7 +49,7 @@ def _scratch(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame
         return cut_lineage(df)
     path = shared_dir(df.sparkSession, name)
     write_table(df, path, by)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # a table without rows leaves no file to tell it
 
 
 def lists_of(index: SparseIndex, terms: DataFrame) -> DataFrame:
@@ -57,51 +59,41 @@ def lists_of(index: SparseIndex, terms: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 materialize: bool = True, raw: DataFrame | None = None, lexicon: DataFrame | None = None,
-                lemmas: DataFrame | None = None, put: Callable[..., DataFrame] | None = None) -> SparseIndex:
-    """M1: encode a corpus as normalised TF-IDF postings.
+                shared: DataFrame | None = None, put: Callable[..., DataFrame] | None = None) -> SparseIndex:
+    """M1: encode a corpus as TF-IDF postings with the norm of every document.
 
     The postings and lexicon are written once (Parquet in the shared
     checkpoint folder) so every query, beam and round reuses one tokenisation
     of the corpus, as the reference reuses its saved index.  ``raw``
-    (doc, token, tf), ``lexicon`` and ``lemmas`` may be passed in when the
+    (doc, token, tf), ``lexicon`` and ``shared`` (token, term: ``shared_terms``) may be passed in when the
     caller already has them for the same corpus.  ``put`` (table, name, partition columns) writes a table where it should last and
     returns it as read from there.
     """
     put = put or _scratch
+    keep = put if materialize else lambda df, name, by=None: df
     if raw is None:
-        raw = raw_postings(docs.select(id_col, text_col).withColumn("_g", F.lit(0)), ["_g"], id_col, text_col)
-        if materialize:
-            raw = cut_lineage(raw)  # tokenise the corpus once
-    if "_g" not in raw.columns:
-        raw = raw.withColumn("_g", F.lit(0))
-    lex = lexicon if lexicon is not None else raw.select(F.col("token").alias("term")).distinct()
-    if materialize and lexicon is None:
-        lex = cut_lineage(lex)
-    post = apply_term_rules(raw, ["_g"], id_col, lex, lemmas).drop("_g")
-    if materialize:
-        post = put(post, "postings")
+        raw = raw_counts(docs, id_col, text_col)
+        raw = cut_lineage(raw) if materialize else raw  # tokenise the corpus once
+    lex = lexicon if lexicon is not None else keep(raw.select(F.col("token").alias("term")).distinct(), "lexicon")
+    if shared is None:
+        shared = shared_terms(lemma_map(lex, "term", lex))
+        shared = cut_lineage(shared) if materialize else shared
+    kept = raw.where(~is_stop(F.col("token"))).select(id_col, "token", "tf")
+    ruled = merge_by_term(kept, shared, lambda s: s.groupBy(id_col, "term").agg(F.sum("tf").alias("tf")))
+    post = keep(ruled.where(~is_stop(F.col("term")) & (F.length("term") >= 2)).select(id_col, "term", "tf"), "postings")
     # each table is written before the ones that read it, so nothing is computed twice
-    dl = post.groupBy(id_col).agg(F.sum("tf").alias("dl"))
-    if materialize:
-        dl = put(dl, "doc_lengths")
-    n = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(dl.agg(F.sum("dl").alias("_tot"))).select(
-        "n", (F.col("_tot") / F.col("n")).alias("avgdl"))  # two one-row aggregates
-    if materialize:
-        n = put(n, "n_docs")
-    terms = (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-             .crossJoin(F.broadcast(n.select("n")))  # one-row scalar
-             .withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-             .drop("n"))
-    if materialize:
-        terms = put(terms, "terms")
-    w = post.join(terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    per_doc = Window.partitionBy(id_col)
-    weights = (w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_doc)))
-               .select(id_col, "term", "tf", "weight"))
-    if materialize:
-        # sorted files per bucket: a query's terms name the folders, and the sorted terms the row groups, that it reads
-        weights = put(bucketed(weights, "term", id_col), "weights", ["bucket"])
-    return SparseIndex(weights, terms, dl, lex, n, id_col, post)
+    n = docs.count()
+    terms = keep(post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+                 .withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1), "terms")
+    # most rows of a document lie together, so the sums are nearly whole before they are shuffled
+    w = F.col("tf") * F.col("idf")
+    dl = keep(join_frequent(post, terms, "term", "df").groupBy(id_col)
+              .agg(F.sum("tf").alias("dl"), F.sqrt(F.sum(w * w)).alias("norm")), "doc_lengths")
+    total = dl.agg(F.sum("dl").alias("_tot"))
+    n_docs = keep(total.select(F.lit(n).cast("long").alias("n"), (F.col("_tot") / F.lit(n)).alias("avgdl")), "n_docs")
+    # sorted files per bucket: a query's terms name the folders, and the sorted terms the row groups, that it reads
+    weights = keep(bucketed(post, "term", id_col) if materialize else post, "weights", ["bucket"])
+    return SparseIndex(weights, terms, dl, lex, n_docs, id_col, post)
 
 
 def encode_queries(index: SparseIndex, queries: DataFrame, key_cols: Sequence[str],
@@ -114,7 +106,7 @@ def encode_queries(index: SparseIndex, queries: DataFrame, key_cols: Sequence[st
     qw = qp.join(index.terms.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
     per_q = Window.partitionBy("_qid")
     qw = qw.withColumn("qweight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_q)))
-    return qw.join(q.select("_qid", *keys), "_qid").select(*keys, "term", "qweight")
+    return qw.join(q.select("_qid", *keys), "_qid").select(*keys, "term", "idf", "qweight")
 
 
 def retrieve(index: SparseIndex, queries: DataFrame, k: int, key_cols: Sequence[str],
@@ -123,10 +115,12 @@ def retrieve(index: SparseIndex, queries: DataFrame, k: int, key_cols: Sequence[
     keys = list(key_cols)
     qt = encode_queries(index, queries, keys, text_col)
     qt = cut_lineage(qt)  # read twice: its terms choose the postings, then it meets them
-    scored = (lists_of(index, qt).select(index.id_col, "term", "weight")
-              .join(qt, "term")
-              .groupBy(*keys, index.id_col)
-              .agg(F.round(F.sum(F.col("weight") * F.col("qweight")), SCORE_DIGITS).alias("score")))
+    met = (lists_of(index, qt).select(index.id_col, "term", "tf")
+           .join(qt, "term")
+           .groupBy(*keys, index.id_col)
+           .agg(F.sum(F.col("tf") * F.col("idf") * F.col("qweight")).alias("_s")))
+    scored = (null_safe_join(met, index.docs.select(index.id_col, "norm"), [index.id_col])
+              .select(*keys, index.id_col, F.round(F.col("_s") / F.col("norm"), SCORE_DIGITS).alias("score")))
     return best_n(scored, k, [F.desc("score"), F.asc(index.id_col)], keys, [index.id_col])
 
 

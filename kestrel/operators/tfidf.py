@@ -23,16 +23,22 @@ cheap; the per-document norm is a window on (group, doc).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kestrel.functions.text import STOP_WORDS, lemma_map, tokens
 from kestrel.operators.relational import null_safe_join, top_n
 from kestrel.session import cut_lineage, spread
 
 SCORE_DIGITS = 9
+#: Rows of counted tokens that a task gives out together.
+TOKEN_ROWS = 200_000
 
 
 def is_stop(c) -> F.Column:
@@ -57,6 +63,43 @@ def raw_postings(docs: DataFrame, group_cols: Sequence[str], id_col: str, text_c
             .groupBy(*group_cols, id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def raw_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, token, tf) as ``raw_postings`` without groups.  Tokens are counted within their row, so nothing is
+    shuffled where ids are unique; rows that share an id are added up."""
+    docs = docs.select(id_col, text_col)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lens = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            coded = batch.column(1).flatten().dictionary_encode()
+            words = max(1, len(coded.dictionary))
+            key, n = np.unique(np.repeat(np.arange(len(lens)), lens) * words + coded.indices.to_numpy(), return_counts=True)
+            for lo in range(0, len(key), TOKEN_ROWS):
+                part = key[lo:lo + TOKEN_ROWS]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part // words)), coded.dictionary.take(pa.array(part % words)),
+                                                  pa.array(n[lo:lo + TOKEN_ROWS].astype(np.int64))], names=[id_col, "token", "tf"])
+
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("token", T.StringType()), T.StructField("tf", T.LongType())])
+    counted = spread(docs).select(id_col, tokens(text_col).alias("_t")).mapInArrow(count, out)
+    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        return counted
+    return counted.groupBy(id_col, "token").agg(F.sum("tf").alias("tf"))
+
+
+def shared_terms(lemmas: DataFrame) -> DataFrame:
+    """(token, term) of the tokens that may share their term with another one: those with a lemma, and the lemmas themselves."""
+    changed = lemmas.select(F.col("term").alias("token"), F.col("lemma").alias("term"))
+    own = lemmas.select(F.col("lemma").alias("token")).distinct().join(changed, "token", "left_anti")
+    return changed.unionByName(own.withColumn("term", F.col("token")))
+
+
+def merge_by_term(raw: DataFrame, shared: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``raw`` (doc, token, ...) with ``term`` for ``token``.  Only rows of ``shared`` tokens are given to ``merge``,
+    which makes one row per document and term of them; all others are that already and are not moved."""
+    alone = raw.join(shared, "token", "left_anti").withColumnRenamed("token", "term")
+    return alone.unionByName(merge(raw.join(shared, "token").drop("token")))
+
+
 def apply_term_rules(raw: DataFrame, group_cols: Sequence[str], id_col: str, lexicon: DataFrame,
                      lemmas: DataFrame | None = None) -> DataFrame:
     """Stop words out, noun lemma (lexicon join on the distinct tokens), stop words out, length >= 2.

@@ -27,7 +27,7 @@ def corpus_for(spark: SparkSession, sf_dir: str) -> Corpus:
     if key not in _CORPORA:
         docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text")
         folder = f"{shared_root(spark, 'kestrel-corpora')}/corpus={key_of(*key[1:])}"
-        _CORPORA[key] = prepare_corpus(docs, folder)
+        _CORPORA[key] = Corpus(docs, folder)  # its parts are made when they are asked for
     return _CORPORA[key]
 
 

@@ -29,13 +29,13 @@ def _inputs(spark, sf_dir):
     from kestrel.plans.corpus_cache import corpus_for
     corpus = corpus_for(spark, sf_dir)
     texts = cut_lineage(merged.select("category", "doc_id").join(corpus.docs, "doc_id"))
-    return idx, texts, corpus.lemmas, corpus.n, corpus.global_scores, corpus.grams
+    return idx, texts, corpus.lemmas, corpus.n, corpus.global_scores, corpus.vocab
 
 
 def _candidates(spark, sf_dir, beams_rows, top_n):
-    idx, texts, cl, n, gs, grams = _inputs(spark, sf_dir)
+    idx, texts, cl, n, gs, vocab = _inputs(spark, sf_dir)
     beams = spark.createDataFrame(beams_rows, "category string, beam_id int, query string")
-    cands = rank_candidates(texts, beams, cl, n, gs, idx.lexicon, top_n=top_n, w_local=0.4, w_spec=0.6, grams=grams)
+    cands = rank_candidates(texts, beams, cl, n, gs, idx.lexicon, top_n=top_n, w_local=0.4, w_spec=0.6, vocab=vocab)
     return beams, cands
 
 

@@ -8,22 +8,24 @@ driver loops are over rounds and, inside X10, over beam numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.functions.text import lemma_map
 from kestrel.operators.beams import carry_over, initial_beams, merge_beams
 from kestrel.operators.classify import fit_classifier, predict
-from kestrel.operators.expand import doc_lemmas, expand, gate, gram_index, pair_score_term, rank_candidates, three_way_scores, top_candidates
+from kestrel.operators.expand import doc_lemmas, expand, gate, lemma_vocabulary, pair_score_term, rank_candidates, three_way_scores, top_candidates
 from kestrel.operators.lists import bucketed
 from kestrel.operators.pseudo import pseudo_labels
 from kestrel.operators.rerank import SparseIndex, _scratch, bm25, build_index, rerank, retrieve
 from kestrel.operators.retrieval import threshold as min_score
-from kestrel.operators.tfidf import tfidf
+from kestrel.operators.tfidf import raw_counts, shared_terms, tfidf
 from kestrel.operators.soft_targets import hashed_terms
 from kestrel.session import cut_lineage, spread
-from kestrel.plans.run_store import Part, content_key, key_of
+from kestrel.plans.run_store import Part, content_key, key_of, manifest, publish
 from kestrel.sources.io import add_tfidf, write_json
 
 #: Hashed features of the rounds' classifier.
@@ -47,48 +49,94 @@ class RoundConfig:
     train_model: bool = True
 
 
-@dataclass
 class Corpus:
-    """Everything computed once per corpus and reused by every round (K5, K8)."""
-    docs: DataFrame          # doc_id, text
-    index: SparseIndex
-    lemmas: DataFrame        # doc_id, term (all tokens, lemmatised), bucket
-    n: DataFrame             # one row n
-    global_scores: DataFrame  # term, df, cf, score (cap 5000)
-    grams: DataFrame         # gram, term: the gram index of the lemmas (J9)
-    hashed: DataFrame        # doc_id, idx: the classifier's features (M6, M7)
-
+    """Everything computed once per corpus and reused by every round (K5, K8).
 
-def prepare_corpus(docs: DataFrame, folder: str | None = None) -> Corpus:
-    """Tokenise the corpus once, lemmatise its distinct tokens once, and derive the
-    index (M1), the lemma set (for J9) and the global term scores (X2, K8) from them.
+    The corpus is tokenised once and its distinct tokens are lemmatised once; the index (M1), the lemma set (for J9), the global term
+    scores (X2, K8) and the classifier's features (M6, M7) are derived from that, each when it is first asked for: a query
+    that asks for hits alone does not wait for the other tables.
 
-    With ``folder`` (shared storage, named by the corpus's content) the tables last: a later call, also of another
-    process, reads them there.
+    With ``folder`` (shared storage, named by the corpus's content) the tables last, a folder and a manifest for each of these parts: a later
+    call, also of another process, reads them there.
     """
-    from kestrel.functions.text import lemma_map
-    from kestrel.operators.tfidf import raw_postings
-    docs = docs.select("doc_id", "text")
-    part = Part(docs.sparkSession, folder) if folder else None
-    stored = part.load() if part else None
-    if stored:
-        t, _ = stored
-        index = SparseIndex(t["weights"], t["terms"], t["doc_lengths"], t["lexicon"], t["n_docs"], "doc_id", t["postings"])
-        return Corpus(docs, index, t["lemmas"], t["n"], t["global_scores"], t["grams"], t["hashed"])
-    put = part.put if part else _scratch
-    raw = cut_lineage(raw_postings(docs.withColumn("_g", F.lit(0)), ["_g"], "doc_id", "text"))
-    lex = put(raw.select(F.col("token").alias("term")).distinct(), "lexicon")
-    lem = cut_lineage(lemma_map(lex, "term", lex))
-    index = build_index(docs, raw=raw, lexicon=lex, lemmas=lem, put=put)
-    lemmas = put(bucketed(doc_lemmas(docs, lex, raw=raw, lemmas=lem), "term", "doc_id"), "lemmas", ["bucket"])
-    grams = put(bucketed(gram_index(lemmas), "gram", "term"), "grams", ["bucket"])
-    n = put(docs.agg(F.count(F.lit(1)).alias("n")), "n")
-    gs = put(tfidf(docs, [], max_features=5000, post=index.postings).terms
-             .select("term", "df", "cf", "score"), "global_scores")
-    hashed = put(hashed_terms(spread(docs), "text", NUM_FEATURES, "idx").select("doc_id", "idx"), "hashed")
-    if part:
-        part.publish()
-    return Corpus(docs, index, lemmas, n, gs, grams, hashed)
+
+    def __init__(self, docs: DataFrame, folder: str | None = None):
+        self.docs, self.folder, self._parts = docs.select("doc_id", "text"), folder, {}  # doc_id, text
+
+    def _tables(self, name: str, make: Callable[[Callable[..., DataFrame]], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+        """The tables of a part, as stored, or made now: ``make`` is given what writes a table (table, name, partition columns)."""
+        if name not in self._parts:
+            part = Part(self.docs.sparkSession, f"{self.folder}/{name}") if self.folder else None
+            stored = part.load() if part else None
+            if stored:
+                self._parts[name] = stored[0]
+            else:
+                self._parts[name] = make(part.put if part else _scratch)
+                if part:
+                    part.publish()
+        return self._parts[name]
+
+    def _index(self) -> dict[str, DataFrame]:
+        def make(put):
+            raw = put(raw_counts(self.docs), "tokens")
+            lex = put(raw.select(F.col("token").alias("term")).distinct(), "lexicon")
+            shared = put(shared_terms(cut_lineage(lemma_map(lex, "term", lex))), "shared")
+            i = build_index(self.docs, raw=raw, lexicon=lex, shared=shared, put=put)
+            return {"tokens": raw, "lexicon": lex, "shared": shared, "postings": i.postings, "terms": i.terms,
+                    "doc_lengths": i.docs, "n_docs": i.n_docs, "weights": i.weights}
+        return self._tables("index", make)
+
+    def _lemmas(self) -> dict[str, DataFrame]:
+        def make(put):
+            t = self._index()
+            lemmas = doc_lemmas(self.docs, t["lexicon"], raw=t["tokens"], shared=t["shared"])
+            return {"lemmas": put(bucketed(lemmas, "term", "doc_id"), "lemmas", ["bucket"]),
+                    "vocab": put(lemma_vocabulary(t["lexicon"], t["shared"]), "vocab")}
+        return self._tables("lemmas", make)
+
+    @property
+    def index(self) -> SparseIndex:
+        t = self._index()
+        return SparseIndex(t["weights"], t["terms"], t["doc_lengths"], t["lexicon"], t["n_docs"], "doc_id", t["postings"])
+
+    @property
+    def n(self) -> DataFrame:
+        """One row n."""
+        return self._index()["n_docs"].select("n")
+
+    @property
+    def lemmas(self) -> DataFrame:
+        """doc_id, term (all tokens, lemmatised), bucket."""
+        return self._lemmas()["lemmas"]
+
+    @property
+    def vocab(self) -> DataFrame:
+        """The distinct terms of ``lemmas``."""
+        return self._lemmas()["vocab"]
+
+    @property
+    def global_scores(self) -> DataFrame:
+        """term, df, cf, score (cap 5000)."""
+        return self._tables("global_scores", lambda put: {"global_scores": put(
+            tfidf(self.docs, [], max_features=5000, post=self.index.postings).terms.select("term", "df", "cf", "score"), "global_scores")})["global_scores"]
+
+    @property
+    def hashed(self) -> DataFrame:
+        """doc_id, idx: the classifier's features."""
+        return self._tables("hashed", lambda put: {"hashed": put(
+            hashed_terms(spread(self.docs), "text", NUM_FEATURES, "idx").select("doc_id", "idx"), "hashed")})["hashed"]
+
+    def whole(self) -> Corpus:
+        """Makes all parts; with a folder, their tables are listed in its manifest."""
+        self._index(), self._lemmas(), self.global_scores, self.hashed
+        if self.folder and manifest(self.docs.sparkSession, self.folder) is None:
+            publish(self.docs.sparkSession, self.folder, {"tables": {t: part for part, tables in self._parts.items() for t in tables}})
+        return self
+
+
+def prepare_corpus(docs: DataFrame, folder: str | None = None) -> Corpus:
+    """The corpus with all its parts, made or read."""
+    return Corpus(docs, folder).whole()
 
 
 @dataclass
@@ -163,7 +211,7 @@ def run_round(spark: SparkSession, corpus: Corpus, cfg: RoundConfig, round_no: i
     texts = cut_lineage(gated.select("category", F.col("review_id").alias("doc_id"))
                         .join(corpus.docs, "doc_id"))
     cands, new_beams = expand(texts, beams, corpus.lemmas, corpus.n, corpus.global_scores, corpus.index.lexicon,
-                              cfg.num_beams, w_local=cfg.w_local, w_spec=cfg.w_spec, grams=corpus.grams)
+                              cfg.num_beams, w_local=cfg.w_local, w_spec=cfg.w_spec, vocab=corpus.vocab)
     new_beams = cut_lineage(new_beams)
     # Pseudo labels from the merged hits
     hits_text = (merged.join(corpus.docs, "doc_id")
@@ -260,7 +308,7 @@ def single_query_report(corpus: Corpus, spark: SparkSession, query: str, k: int
     hits = min_score(retrieve(index, q, k, ["category", "beam_id"]), threshold)
     texts = cut_lineage(hits.select("category", "doc_id").join(corpus.docs, "doc_id"))
     cands = cut_lineage(rank_candidates(texts, q, corpus.lemmas, corpus.n, corpus.global_scores, index.lexicon,
-                                        top_n=top_n, w_local=0.6, w_spec=0.4, grams=corpus.grams))
+                                        top_n=top_n, w_local=0.6, w_spec=0.4, vocab=corpus.vocab))
     scored = three_way_scores(cands, pair_score_term(index, cands, hits))
     return hits, scored, top_candidates(scored)
 
@@ -274,7 +322,7 @@ def setup_corpus(reviews: DataFrame, stratum: str | None = "label", dev_size: fl
     from kestrel.operators.split import train_dev_test_split
     split = cut_lineage(train_dev_test_split(reviews, id_col, stratum, dev_size, test_size, seed))
     train = split.where(F.col("split") == "train").select(F.col(id_col).alias("doc_id"), "text")
-    return split, prepare_corpus(train)
+    return split, Corpus(train)
 
 
 def length_profile(df: DataFrame, text_col: str = "text", token_counter=None) -> dict:

@@ -18,6 +18,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kestrel.session import ensure_checkpoint_dir
 from kestrel.sources.io import _fs, path_exists, write_table
@@ -78,19 +79,24 @@ class Part:
     """The tables of one folder: written one by one, then published together."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.tables = spark, folder, {}
+        self.spark, self.folder, self.tables, self.schemas = spark, folder, {}, {}
 
     def put(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         self.tables[name] = f"{name}-{uuid.uuid4().hex[:8]}"
         write_table(df, f"{self.folder}/{self.tables[name]}", by)
-        return self.spark.read.parquet(f"{self.folder}/{self.tables[name]}")
+        self.schemas[name] = df.schema.jsonValue()  # a table without rows may leave no file to tell it
+        return self._read(name)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(self.schemas[name])).parquet(f"{self.folder}/{self.tables[name]}")
 
     def publish(self, **more) -> None:
-        publish(self.spark, self.folder, {"tables": self.tables, **more})
+        publish(self.spark, self.folder, {"tables": self.tables, "schemas": self.schemas, **more})
 
     def load(self) -> tuple[dict[str, DataFrame], dict] | None:
         """(tables, manifest), or None if the part was never finished."""
         m = manifest(self.spark, self.folder)
         if m is None:
             return None
-        return {n: self.spark.read.parquet(f"{self.folder}/{at}") for n, at in m["tables"].items()}, m
+        self.tables, self.schemas = m["tables"], m["schemas"]
+        return {name: self._read(name) for name in self.tables}, m
