@@ -1,9 +1,9 @@
 """Text encoder, sparse retrieval and re-ranking.
 
 Default encoder (M1/M2): the TF-IDF weights of :mod:`kestrel.operators.tfidf`
-over the whole corpus, L2-normalised per document.  A document "vector" is its
-rows of the table ``weights`` (doc, term, tf), which is written in buckets of terms and sorted
-by term, so that a query reads only its terms' part of it; a term's idf and a document's norm lie once
+over the whole corpus, L2-normalised per document.  The corpus is stored once, inverted: ``lists`` has for a term blocks of
+(doc, tf), written in buckets of terms and sorted by term, so that a query reads only its terms' part of it.  A document "vector" is
+its rows of the view ``weights`` (doc, term, tf) of that table; a term's idf and a document's norm lie once
 in ``terms`` and ``docs``.  A query is encoded with
 the same idf.  Cosine similarity is then ``sum(wq * tf * idf) / norm`` over shared terms:
 an equi-join of the query-term table to the postings, aggregated per (query, doc) with a partial aggregate, and
@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import lemma_map
-from kestrel.operators.tfidf import is_stop, merge_by_term, postings, raw_counts, shared_terms
+from kestrel.operators.tfidf import block_lexicon, is_stop, one_each, postings, raw_blocks, shared_terms
 from kestrel.operators.lists import bucketed, pruned
-from kestrel.operators.relational import best_n, join_frequent, null_safe_join
+from kestrel.operators.relational import best_n, null_safe_join
 from kestrel.session import cut_lineage, shared_dir
 from kestrel.sources.io import write_table
 
@@ -35,13 +35,14 @@ SCORE_DIGITS = 9
 @dataclass
 class SparseIndex:
     """Corpus statistics and normalised document weights."""
-    weights: DataFrame   # id, term, tf, bucket
+    weights: DataFrame   # id, term, tf (after the term rules), bucket: a view of ``lists``
     terms: DataFrame     # term, df, idf
     docs: DataFrame      # id, dl (terms after the term rules), norm (of its tf * idf)
     lexicon: DataFrame   # term (all corpus tokens)
     n_docs: DataFrame    # one row: n, avgdl
     id_col: str
-    postings: DataFrame | None = None  # id, term, tf (after the term rules)
+    postings: DataFrame | None = None  # id, term, tf: ``weights`` without the bucket
+    lists: DataFrame | None = None  # term, docs (array of id, tf), df, kept (by the term rules), bucket: all terms
 
 
 def _scratch(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
@@ -57,43 +58,71 @@ def lists_of(index: SparseIndex, terms: DataFrame) -> DataFrame:
     return pruned(index.weights, terms)
 
 
+def ruled_lists(blocks: DataFrame, lexicon: DataFrame, shared: DataFrame, id_col: str = "doc_id",
+                written: Callable[[DataFrame], DataFrame] = cut_lineage) -> tuple[DataFrame, DataFrame]:
+    """(lists, terms): ``blocks`` of tokens (``raw_blocks``) as blocks of terms, and (term, df) of the terms that the rules keep.
+
+    Only blocks of ``shared`` tokens are taken apart and added up by document and term; all others are moved whole.  A term that the rules drop (a stop
+    word, a single letter) stays in the lists, as the lemmatised texts hold it, with ``kept`` false.
+    """
+    ok = ~is_stop(F.col("term")) & (F.length("term") >= 2)
+    alone = (lexicon.withColumnRenamed("term", "token").join(shared.select("token"), "token", "left_anti")
+             .select("token", F.col("token").alias("term"), F.col("n").alias("df")).withColumn("kept", ok))
+    whole = blocks.join(alone, "token").select("term", "docs", "df", "kept")
+    tf = F.sum(F.when(~is_stop(F.col("token")), F.col("tf")).otherwise(0))
+    added = written(blocks.join(shared, "token").select("token", "term", F.inline("docs")).groupBy(id_col, "term").agg(tf.alias("tf")))
+    counted = added.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    merged = one_each(added.join(counted, "term").withColumn("kept", ok & (F.col("tf") > 0)), id_col, "term", "df", "kept")
+    terms = alone.where("kept").select("term", "df").unionByName(counted.where(ok & (F.col("df") > 0)))
+    return whole.unionByName(merged), terms
+
+
+def rows_of_lists(lists: DataFrame) -> DataFrame:
+    """(term, id, tf, and bucket if there is one) of the kept terms."""
+    return lists.where("kept").select("term", *[c for c in lists.columns if c == "bucket"], F.inline("docs"))
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                materialize: bool = True, raw: DataFrame | None = None, lexicon: DataFrame | None = None,
+                materialize: bool = True, blocks: DataFrame | None = None, lexicon: DataFrame | None = None,
                 shared: DataFrame | None = None, put: Callable[..., DataFrame] | None = None) -> SparseIndex:
     """M1: encode a corpus as TF-IDF postings with the norm of every document.
 
     The postings and lexicon are written once (Parquet in the shared
     checkpoint folder) so every query, beam and round reuses one tokenisation
-    of the corpus, as the reference reuses its saved index.  ``raw``
-    (doc, token, tf), ``lexicon`` and ``shared`` (token, term: ``shared_terms``) may be passed in when the
+    of the corpus, as the reference reuses its saved index.  ``blocks``
+    (``raw_blocks``), ``lexicon`` (``block_lexicon``) and ``shared`` (token, term: ``shared_terms``) may be passed in when the
     caller already has them for the same corpus.  ``put`` (table, name, partition columns) writes a table where it should last and
     returns it as read from there.
     """
     put = put or _scratch
     keep = put if materialize else lambda df, name, by=None: df
-    if raw is None:
-        raw = raw_counts(docs, id_col, text_col)
-        raw = cut_lineage(raw) if materialize else raw  # tokenise the corpus once
-    lex = lexicon if lexicon is not None else keep(raw.select(F.col("token").alias("term")).distinct(), "lexicon")
+    if blocks is None:
+        blocks = raw_blocks(docs, id_col, text_col)
+        blocks = cut_lineage(blocks) if materialize else blocks  # tokenise the corpus once
+    lex = lexicon if lexicon is not None else keep(block_lexicon(blocks), "lexicon")
     if shared is None:
         shared = shared_terms(lemma_map(lex, "term", lex))
         shared = cut_lineage(shared) if materialize else shared
-    kept = raw.where(~is_stop(F.col("token"))).select(id_col, "token", "tf")
-    ruled = merge_by_term(kept, shared, lambda s: s.groupBy(id_col, "term").agg(F.sum("tf").alias("tf")))
-    post = keep(ruled.where(~is_stop(F.col("term")) & (F.length("term") >= 2)).select(id_col, "term", "tf"), "postings")
     # each table is written before the ones that read it, so nothing is computed twice
+    lists, terms = ruled_lists(blocks, lex, shared, id_col, cut_lineage if materialize else lambda df: df)
+    if materialize:  # sorted files per bucket: a query's terms name the folders, and the sorted terms the row groups, that it reads
+        lists = keep(bucketed(lists.withColumn("_first", F.get("docs", F.lit(0))[id_col]), "term", "_first").drop("_first"), "lists", ["bucket"])
     n = docs.count()
-    terms = keep(post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                 .withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1), "terms")
-    # most rows of a document lie together, so the sums are nearly whole before they are shuffled
-    w = F.col("tf") * F.col("idf")
-    dl = keep(join_frequent(post, terms, "term", "df").groupBy(id_col)
+    idf = F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1
+    terms = keep(terms.withColumn("idf", idf), "terms")
+    # numbers alone are shuffled, after sums by document within a task
+    w = F.col("tf") * idf
+    dl = keep(lists.where("kept").select("df", F.inline("docs")).groupBy(id_col)
               .agg(F.sum("tf").alias("dl"), F.sqrt(F.sum(w * w)).alias("norm")), "doc_lengths")
     total = dl.agg(F.sum("dl").alias("_tot"))
     n_docs = keep(total.select(F.lit(n).cast("long").alias("n"), (F.col("_tot") / F.lit(n)).alias("avgdl")), "n_docs")
-    # sorted files per bucket: a query's terms name the folders, and the sorted terms the row groups, that it reads
-    weights = keep(bucketed(post, "term", id_col) if materialize else post, "weights", ["bucket"])
-    return SparseIndex(weights, terms, dl, lex, n_docs, id_col, post)
+    return index_of(lists, terms, dl, lex, n_docs, id_col)
+
+
+def index_of(lists: DataFrame, terms: DataFrame, dl: DataFrame, lexicon: DataFrame, n_docs: DataFrame, id_col: str = "doc_id") -> SparseIndex:
+    """The index over stored tables."""
+    weights = rows_of_lists(lists)
+    return SparseIndex(weights, terms, dl, lexicon, n_docs, id_col, weights.select(id_col, "term", "tf"), lists)
 
 
 def encode_queries(index: SparseIndex, queries: DataFrame, key_cols: Sequence[str],

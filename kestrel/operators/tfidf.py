@@ -63,27 +63,47 @@ def raw_postings(docs: DataFrame, group_cols: Sequence[str], id_col: str, text_c
             .groupBy(*group_cols, id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def raw_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, token, tf) as ``raw_postings`` without groups.  Tokens are counted within their row, so nothing is
-    shuffled where ids are unique; rows that share an id are added up."""
+def raw_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(token, docs: array of (doc, tf)): a token's rows of an Arrow batch in one row, each (doc, token) in one of them.  Tokens are counted
+    within their batch, so nothing is shuffled where ids are unique; rows that share an id are added up."""
     docs = docs.select(id_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lens = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             coded = batch.column(1).flatten().dictionary_encode()
-            words = max(1, len(coded.dictionary))
-            key, n = np.unique(np.repeat(np.arange(len(lens)), lens) * words + coded.indices.to_numpy(), return_counts=True)
-            for lo in range(0, len(key), TOKEN_ROWS):
-                part = key[lo:lo + TOKEN_ROWS]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part // words)), coded.dictionary.take(pa.array(part % words)),
-                                                  pa.array(n[lo:lo + TOKEN_ROWS].astype(np.int64))], names=[id_col, "token", "tf"])
-
-    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("token", T.StringType()), T.StructField("tf", T.LongType())])
+            rows = max(1, len(lens))
+            key, n = np.unique(coded.indices.to_numpy().astype(np.int64) * rows + np.repeat(np.arange(len(lens)), lens), return_counts=True)
+            starts = np.flatnonzero(np.diff(key // rows, prepend=-1))  # where a token's rows begin
+            ends = np.append(starts[1:], len(key))
+            cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(key), TOKEN_ROWS)), len(starts)))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                a, z = starts[lo], ends[hi - 1]
+                pairs = pa.StructArray.from_arrays([batch.column(0).take(pa.array(key[a:z] % rows)), pa.array(n[a:z].astype(np.int64))], names=[id_col, "tf"])
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key[starts[lo:hi]] // rows)),
+                                                  pa.ListArray.from_arrays(pa.array(np.append(starts[lo:hi], z) - a, pa.int32()), pairs)], names=["token", "docs"])
+
+    pair = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("tf", T.LongType())])
+    out = T.StructType([T.StructField("token", T.StringType()), T.StructField("docs", T.ArrayType(pair))])
     counted = spread(docs).select(id_col, tokens(text_col).alias("_t")).mapInArrow(count, out)
     if docs.groupBy(id_col).count().where("count > 1").isEmpty():
         return counted
-    return counted.groupBy(id_col, "token").agg(F.sum("tf").alias("tf"))
+    return one_each(counted.select("token", F.inline("docs")).groupBy(id_col, "token").agg(F.sum("tf").alias("tf")), id_col, "token")
+
+
+def one_each(rows: DataFrame, id_col: str, *cols: str) -> DataFrame:
+    """``rows`` (doc, tf, ``cols``) as blocks of one document."""
+    return rows.select(*cols, F.array(F.struct(id_col, "tf")).alias("docs"))
+
+
+def raw_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, token, tf) as ``raw_postings`` without groups, by ``raw_blocks``."""
+    return raw_blocks(docs, id_col, text_col).select("token", F.inline("docs")).select(id_col, "token", "tf")
+
+
+def block_lexicon(blocks: DataFrame) -> DataFrame:
+    """(term, n): the distinct tokens, and how many documents hold them."""
+    return blocks.groupBy(F.col("token").alias("term")).agg(F.sum(F.size("docs")).alias("n"))
 
 
 def shared_terms(lemmas: DataFrame) -> DataFrame:

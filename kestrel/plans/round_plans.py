@@ -6,7 +6,7 @@ from kestrel.operators.split import train_dev_test_split
 from kestrel.plans.registry import register
 from kestrel.plans.rerank_plans import CE_T, K1, K2
 from kestrel.plans.rounds import RoundConfig, round_document, run_folder, run_rounds
-from kestrel.plans.run_store import manifest
+from kestrel.plans.run_store import content_key, manifest
 from kestrel.plans.sqlparts import bm25_sql, retrieve_sql, sparse_index_sql
 from kestrel.session import shared_dir
 from kestrel.sources import driver
@@ -67,12 +67,12 @@ JOIN (VALUES ('first', false), ('again', true), ('other threshold', false), ('fi
 def round_resume(spark, sf_dir):
     """A stored run is read again, another setting under the same root is another run."""
     docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text")
-    root, out = shared_dir(spark, "runs"), None
+    root, out, content = shared_dir(spark, "runs"), None, content_key(docs)
     for name, least in (("first", CE_T), ("again", CE_T), ("other threshold", HIGH_T), ("first again", CE_T)):
         cfg = RoundConfig(CATEGORY_SEEDS, 3, K1, K2, least, train_model=False)
-        run, _ = run_folder(docs, cfg, None, root)
+        run, _ = run_folder(docs, cfg, None, root, content)
         reread = manifest(spark, f"{run}/round=0") is not None
-        hits = run_rounds(spark, docs, cfg, 1, root=root)[0].hits
+        hits = run_rounds(spark, docs, cfg, 1, root=root, content=content)[0].hits
         n = hits.groupBy("category").agg(F.countDistinct("doc_id").alias("n_hits")).select(F.lit(name).alias("run"), "category", "n_hits", F.lit(reread).alias("reread"))
         out = n if out is None else out.unionByName(n)
     return out

@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 from kestrel.functions.text import lemma_map
 from kestrel.operators.beams import carry_over, initial_beams, merge_beams
 from kestrel.operators.classify import fit_classifier, predict
-from kestrel.operators.expand import doc_lemmas, expand, gate, lemma_vocabulary, pair_score_term, rank_candidates, three_way_scores, top_candidates
-from kestrel.operators.lists import bucketed
+from kestrel.operators.expand import expand, gate, lemma_vocabulary, pair_score_term, rank_candidates, three_way_scores, top_candidates
 from kestrel.operators.pseudo import pseudo_labels
-from kestrel.operators.rerank import SparseIndex, _scratch, bm25, build_index, rerank, retrieve
+from kestrel.operators.rerank import SparseIndex, _scratch, bm25, build_index, index_of, rerank, retrieve
 from kestrel.operators.retrieval import threshold as min_score
-from kestrel.operators.tfidf import raw_counts, shared_terms, tfidf
+from kestrel.operators.tfidf import block_lexicon, raw_blocks, shared_terms, tfidf
 from kestrel.operators.soft_targets import hashed_terms
 from kestrel.session import cut_lineage, spread
 from kestrel.plans.run_store import Part, content_key, key_of, manifest, publish
@@ -52,7 +51,7 @@ class RoundConfig:
 class Corpus:
     """Everything computed once per corpus and reused by every round (K5, K8).
 
-    The corpus is tokenised once and its distinct tokens are lemmatised once; the index (M1), the lemma set (for J9), the global term
+    The corpus is tokenised once and its distinct tokens are lemmatised once; the index (M1), whose lists are the lemma set (for J9) as well, the global term
     scores (X2, K8) and the classifier's features (M6, M7) are derived from that, each when it is first asked for: a query
     that asks for hits alone does not wait for the other tables.
 
@@ -78,26 +77,21 @@ class Corpus:
 
     def _index(self) -> dict[str, DataFrame]:
         def make(put):
-            raw = put(raw_counts(self.docs), "tokens")
-            lex = put(raw.select(F.col("token").alias("term")).distinct(), "lexicon")
+            blocks = cut_lineage(raw_blocks(self.docs))
+            lex = put(block_lexicon(blocks), "lexicon")
             shared = put(shared_terms(cut_lineage(lemma_map(lex, "term", lex))), "shared")
-            i = build_index(self.docs, raw=raw, lexicon=lex, shared=shared, put=put)
-            return {"tokens": raw, "lexicon": lex, "shared": shared, "postings": i.postings, "terms": i.terms,
-                    "doc_lengths": i.docs, "n_docs": i.n_docs, "weights": i.weights}
+            i = build_index(self.docs, blocks=blocks, lexicon=lex, shared=shared, put=put)
+            return {"lexicon": lex, "shared": shared, "lists": i.lists, "terms": i.terms, "doc_lengths": i.docs, "n_docs": i.n_docs}
         return self._tables("index", make)
 
     def _lemmas(self) -> dict[str, DataFrame]:
-        def make(put):
-            t = self._index()
-            lemmas = doc_lemmas(self.docs, t["lexicon"], raw=t["tokens"], shared=t["shared"])
-            return {"lemmas": put(bucketed(lemmas, "term", "doc_id"), "lemmas", ["bucket"]),
-                    "vocab": put(lemma_vocabulary(t["lexicon"], t["shared"]), "vocab")}
-        return self._tables("lemmas", make)
+        t = self._index()
+        return self._tables("lemmas", lambda put: {"vocab": put(lemma_vocabulary(t["lexicon"], t["shared"]), "vocab")})
 
     @property
     def index(self) -> SparseIndex:
         t = self._index()
-        return SparseIndex(t["weights"], t["terms"], t["doc_lengths"], t["lexicon"], t["n_docs"], "doc_id", t["postings"])
+        return index_of(t["lists"], t["terms"], t["doc_lengths"], t["lexicon"], t["n_docs"])
 
     @property
     def n(self) -> DataFrame:
@@ -107,7 +101,7 @@ class Corpus:
     @property
     def lemmas(self) -> DataFrame:
         """doc_id, term (all tokens, lemmatised), bucket."""
-        return self._lemmas()["lemmas"]
+        return self._index()["lists"].select("term", "bucket", F.inline("docs")).select("doc_id", "term", "bucket")
 
     @property
     def vocab(self) -> DataFrame:
@@ -177,9 +171,12 @@ def load_round(spark: SparkSession, root: str, round_no: int) -> RoundResult | N
     return RoundResult(round_no, used_model=told["used_model"], **{name: tables.get(name) for name in ROUND_TABLES})
 
 
-def run_folder(docs: DataFrame, cfg: RoundConfig, dev: DataFrame | None, root: str) -> tuple[str, str]:
-    """(folder of the run, folder of its corpus) under ``root``, named by what they are made from."""
-    corpus = key_of(content_key(docs.select("doc_id", "text")))
+def run_folder(docs: DataFrame, cfg: RoundConfig, dev: DataFrame | None, root: str, content: str | None = None) -> tuple[str, str]:
+    """(folder of the run, folder of its corpus) under ``root``, named by what they are made from.
+
+    ``content``: the documents' ``content_key``, for a caller that has it; else they are read for it.
+    """
+    corpus = key_of(content or content_key(docs.select("doc_id", "text")))
     run = key_of(corpus, content_key(dev), asdict(cfg))
     return f"{root}/run={run}", f"{root}/corpus={corpus}"
 
@@ -208,16 +205,17 @@ def run_round(spark: SparkSession, corpus: Corpus, cfg: RoundConfig, round_no: i
     # Gate by last round's predictions, then expand every beam
     prev_pred = prev.predictions if prev is not None else None
     gated = gate(merged.withColumnRenamed("doc_id", "review_id"), prev_pred, cfg.conf_threshold, cfg.min_docs)
-    texts = cut_lineage(gated.select("category", F.col("review_id").alias("doc_id"))
-                        .join(corpus.docs, "doc_id"))
+    # the hits' texts (categories x beams x k at most), fetched once: what follows never scans the corpus's texts again
+    hits_text = cut_lineage(merged.join(corpus.docs, "doc_id"))
+    left = gated.select("category", F.col("review_id").alias("doc_id"))
+    texts = cut_lineage(hits_text.select("category", "doc_id", "text").join(left, ["category", "doc_id"], "left_semi"))
     cands, new_beams = expand(texts, beams, corpus.lemmas, corpus.n, corpus.global_scores, corpus.index.lexicon,
                               cfg.num_beams, w_local=cfg.w_local, w_spec=cfg.w_spec, vocab=corpus.vocab)
     new_beams = cut_lineage(new_beams)
     # Pseudo labels from the merged hits
-    hits_text = (merged.join(corpus.docs, "doc_id")
-                 .select(F.col("doc_id").alias("review_id"), "text", F.col("category").alias("label"),
-                         "ce_score", F.col("score").alias("cosine_similarity")))
-    pseudo = cut_lineage(pseudo_labels(hits_text, cfg.samples_per_class))
+    labelled_text = hits_text.select(F.col("doc_id").alias("review_id"), "text", F.col("category").alias("label"),
+                                     "ce_score", F.col("score").alias("cosine_similarity"))
+    pseudo = cut_lineage(pseudo_labels(labelled_text, cfg.samples_per_class))
     predictions = None
     if cfg.train_model and dev is not None:  # M6 + M7 (K6)
         labelled = pseudo.select(F.col("review_id").alias("doc_id"), "label").join(corpus.hashed, "doc_id")
@@ -234,19 +232,19 @@ def run_round(spark: SparkSession, corpus: Corpus, cfg: RoundConfig, round_no: i
 
 
 def run_rounds(spark: SparkSession, docs: DataFrame, cfg: RoundConfig, n_rounds: int,
-               dev: DataFrame | None = None, root: str | None = None) -> list[RoundResult]:
+               dev: DataFrame | None = None, root: str | None = None, content: str | None = None) -> list[RoundResult]:
     """Rounds in sequence; each reads the previous round's written tables.
 
     With ``root`` (shared storage) a run's tables lie in a folder named by its corpus, development set and settings
     (``run_store``); a restarted job goes on after the last round that was stored to its end, and a job with other rows or
-    settings starts anew beside it.
+    settings starts anew beside it.  A corpus part is made when a round asks for it.  ``content``: as in ``run_folder``.
     """
-    run, corpus_at = run_folder(docs, cfg, dev, root) if root else (None, None)
+    run, corpus_at = run_folder(docs, cfg, dev, root, content) if root else (None, None)
     corpus, out, prev = None, [], None
     for r in range(n_rounds):
         stored = load_round(spark, run, r) if run else None
         if stored is None:
-            corpus = corpus or prepare_corpus(docs, corpus_at)
+            corpus = corpus or Corpus(docs, corpus_at)
             stored = run_round(spark, corpus, cfg, r, prev, dev)
             stored = save_round(stored, run) if run else stored
         prev = stored

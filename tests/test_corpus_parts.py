@@ -7,7 +7,7 @@ from kestrel.functions import text as X
 from kestrel.operators import relational as J
 from kestrel.operators import rerank as R
 from kestrel.operators.expand import doc_lemmas, lemma_vocabulary
-from kestrel.operators.tfidf import apply_term_rules, raw_counts, raw_postings, shared_terms
+from kestrel.operators.tfidf import apply_term_rules, raw_blocks, raw_counts, raw_postings, shared_terms
 from kestrel.plans.rounds import Corpus, prepare_corpus
 
 ROWS = [(1, "The cat and the Cats don't eat; boxes, box--fish... foxes"), (2, "cat"), (2, "cats fox 2"), (None, "cats box"), (None, "glass"), (3, None), (4, ""),
@@ -79,3 +79,31 @@ def test_a_part_is_made_when_it_is_asked_for(spark, tmpdir_path):
 def test_a_corpus_without_rows(spark):
     corpus = prepare_corpus(docs_of(spark, []))
     assert corpus.index.weights.count() == corpus.lemmas.count() == corpus.vocab.count() == corpus.hashed.count() == 0
+
+
+def test_blocks_hold_a_token_of_many_documents_in_one_row(spark, monkeypatch):
+    docs = docs_of(spark, [(i, f"common word{'abcdefghij'[i % 10]} common") for i in range(100)]).coalesce(1)
+    monkeypatch.setattr("kestrel.operators.tfidf.spread", lambda d: d)
+    for at_most in (1, 7, 200_000):
+        monkeypatch.setattr("kestrel.operators.tfidf.TOKEN_ROWS", at_most)
+        blocks = raw_blocks(docs)
+        assert blocks.count() == 11
+        assert {r.token: sorted(map(tuple, r.docs)) for r in blocks.collect()}["common"] == [(i, 2) for i in range(100)]
+
+
+def test_the_corpus_is_stored_once(spark, tmpdir_path):
+    """Postings, lemmas and norms read the lists; no other table has a row for a document's term."""
+    corpus = prepare_corpus(docs_of(spark), tmpdir_path + "/c")
+    assert sorted(n.rsplit("-", 1)[0] for n in os.listdir(tmpdir_path + "/c/index") if "-" in n) == ["doc_lengths", "lexicon", "lists", "n_docs", "shared", "terms"]
+    assert not [n for n in os.listdir(tmpdir_path + "/c/lemmas") if n.startswith("lemmas")]
+    lex, shared = corpus.index.lexicon, corpus._index()["shared"]
+    assert rows_of(corpus.lemmas.select("doc_id", "term")) == rows_of(doc_lemmas(docs_of(spark), lex, shared=shared))
+    assert rows_of(corpus.index.terms.select("term", "df")) == rows_of(corpus.index.postings.groupBy("term").count())
+    assert sorted(r.term for r in corpus.index.lists.where("not kept").collect()) == ["and", "do", "the"]
+
+
+def test_a_round_makes_the_parts_that_it_asks_for(spark, tmpdir_path):
+    from kestrel.plans.rounds import RoundConfig, run_rounds
+    run_rounds(spark, docs_of(spark), RoundConfig({"a": "cats"}, 1, 9, 9, None, train_model=False), 1, root=tmpdir_path)
+    made = next(n for n in os.listdir(tmpdir_path) if n.startswith("corpus="))
+    assert sorted(os.listdir(f"{tmpdir_path}/{made}")) == ["global_scores", "index", "lemmas"]
