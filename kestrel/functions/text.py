@@ -188,8 +188,8 @@ def lemma_map(vocab: DataFrame, term_col: str = "term", lexicon: DataFrame | Non
         suffix_ok = suffix_ok | F.col("term").endswith(suf)
     all_terms = vocab.select(F.col(term_col).alias("term"))
     terms = all_terms.where(suffix_ok).distinct()  # only terms a rule can change
-    lex_src = lexicon.select(F.col(term_col).alias("term")) if lexicon is not None else all_terms
-    lex = lex_src.select(F.col("term").alias("cand")).distinct()
+    # a lexicon holds a term once (and a semi join does not mind if not): it is not aggregated again
+    lex = lexicon.select(F.col(term_col).alias("cand")) if lexicon is not None else all_terms.select(F.col("term").alias("cand")).distinct()
     rules = F.array(*[
         F.struct(F.lit(i).alias("rule"),
                  F.when(F.col("term").endswith(suf) & (F.length("term") > len(suf)),

@@ -107,9 +107,12 @@ def substring_pairs(words: DataFrame, vocab: DataFrame, grams: DataFrame | None
 
 def count_docs(words: DataFrame, pairs: DataFrame, dl: DataFrame, id_col: str = "doc_id",
                scope_cols: Sequence[str] = ()) -> DataFrame:
-    """Per word (and scope): documents of ``dl`` (scope..., doc, term) having a term that contains it."""
+    """Per word (and scope): documents of ``dl`` (scope..., doc, term; without a scope also term, docs: array of doc) having a term that contains it."""
     scope = list(scope_cols)
-    hits = dl.join(pairs, "term").select(*scope, id_col, "word").distinct()
+    met = dl.join(pairs, "term")
+    if "docs" in dl.columns:  # blocks meet their words whole, then they are taken apart
+        met = met.select("word", F.explode("docs").alias(id_col))
+    hits = met.select(*scope, id_col, "word").distinct()
     counts = hits.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("n"))
     return (words.select(*scope, "word").distinct()
             .join(counts, scope + ["word"], "left")
@@ -169,7 +172,7 @@ def rank_candidates(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame
     ``limits`` (category, n_candidates) may ask for fewer than ``top_n`` in some categories.
 
     ``texts``: (category, doc, text) used for TF-IDF; ``beams``: (category,
-    beam_id, query); ``corpus_lemmas``: (doc, term) of the whole corpus, ``vocab``: its distinct terms;
+    beam_id, query); ``corpus_lemmas``: (doc, term) of the whole corpus, or its blocks (term, docs: array of (doc, ...)); ``vocab``: its distinct terms;
     ``n_corpus``: one row ``n``; ``global_scores``: (term, score) or None.
     """
     local = tfidf(texts.select("category", id_col, "text"), ["category"], id_col=id_col,
@@ -186,8 +189,13 @@ def rank_candidates(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame
     words = filtered.select("category", "word").distinct()
     # one (word, term) pair table from the corpus vocabulary serves both counts
     pairs = cut_lineage(substring_pairs(words, corpus_lemmas if vocab is None else vocab))
-    corpus_lemmas = pruned(corpus_lemmas, pairs).select(id_col, "term")  # the documents of those terms
-    local_dl = texts.select("category", id_col).distinct().join(corpus_lemmas, id_col)
+    corpus_lemmas = pruned(corpus_lemmas, pairs)  # the documents of those terms
+    if "docs" in corpus_lemmas.columns:
+        corpus_lemmas = corpus_lemmas.select("term", F.col(f"docs.{id_col}").alias("docs"))
+        rows = corpus_lemmas.select("term", F.explode("docs").alias(id_col))
+    else:
+        corpus_lemmas = rows = corpus_lemmas.select(id_col, "term")
+    local_dl = texts.select("category", id_col).distinct().join(rows, id_col)
     ldf = count_docs(words, pairs, local_dl, id_col, ["category"]).withColumnRenamed("n", "ldf")
     gdf = count_docs(words.select("word").distinct(), pairs, corpus_lemmas, id_col).withColumnRenamed("n", "gdf")
     n_local = texts.groupBy("category").agg(F.countDistinct(id_col).alias("L"))

@@ -201,3 +201,25 @@ def tfidf(docs: DataFrame, group_cols: Sequence[str] = (), *, id_col: str = "doc
     if g == ["_g"]:
         terms, summary, g = terms.drop("_g"), summary.drop("_g"), []
     return TfidfResult(terms, summary, g)
+
+
+def corpus_tfidf(lists: DataFrame, n_docs: DataFrame, max_features: int, *, id_col: str = "doc_id", max_df: float = 0.8) -> DataFrame:
+    """(term, df, cf, score): ``tfidf`` without groups over a stored corpus (``lists``: term, docs, kept; ``n_docs``: one row n).
+
+    Frequencies are added up block by block, and only blocks of the ``max_features`` kept terms are taken apart.
+    """
+    kept = lists.where("kept")
+    in_block = F.aggregate(F.col("docs.tf"), F.lit(0).cast("long"), lambda a, x: a + x)
+    n, max_cnt = F.col("n"), F.lit(max_df) * F.col("n").cast("double")
+    min_df = F.when(n < 5, F.lit(1)).otherwise(F.lit(2))
+    stats = (kept.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.sum(in_block).alias("cf"))
+             .crossJoin(F.broadcast(n_docs.select("n")))  # one-row scalar
+             .where((max_cnt >= min_df) & (F.col("df") >= min_df) & (F.col("df") <= max_cnt)))
+    stats = top_n(stats, max_features, [F.desc("cf"), F.asc("term")], (), ["term"], "_k")
+    # max_features rows, read twice; a term is its number in what is shuffled
+    stats = cut_lineage(stats.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1))
+    rows = (kept.join(F.broadcast(stats.select("term", "_k", "idf")), "term").select("_k", "idf", F.inline("docs"))
+            .select(id_col, "_k", (F.col("tf") * F.col("idf")).alias("w")))
+    wn = F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    sums = rows.select("_k", wn.alias("wn")).groupBy("_k").agg(F.sum("wn").alias("_s"))
+    return stats.join(sums, "_k").select("term", "df", "cf", (F.col("_s") / n).alias("score"))

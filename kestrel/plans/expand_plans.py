@@ -29,7 +29,7 @@ def _inputs(spark, sf_dir):
     from kestrel.plans.corpus_cache import corpus_for
     corpus = corpus_for(spark, sf_dir)
     texts = cut_lineage(merged.select("category", "doc_id").join(corpus.docs, "doc_id"))
-    return idx, texts, corpus.lemmas, corpus.n, corpus.global_scores, corpus.vocab
+    return idx, texts, corpus.lemma_blocks, corpus.n, corpus.global_scores, corpus.vocab
 
 
 def _candidates(spark, sf_dir, beams_rows, top_n):

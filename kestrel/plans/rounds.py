@@ -21,7 +21,7 @@ from kestrel.operators.expand import expand, gate, lemma_vocabulary, pair_score_
 from kestrel.operators.pseudo import pseudo_labels
 from kestrel.operators.rerank import SparseIndex, _scratch, bm25, build_index, index_of, rerank, retrieve
 from kestrel.operators.retrieval import threshold as min_score
-from kestrel.operators.tfidf import block_lexicon, raw_blocks, shared_terms, tfidf
+from kestrel.operators.tfidf import block_lexicon, corpus_tfidf, raw_blocks, shared_terms, tfidf
 from kestrel.operators.soft_targets import hashed_terms
 from kestrel.session import cut_lineage, spread
 from kestrel.plans.run_store import Part, content_key, key_of, manifest, publish
@@ -29,6 +29,9 @@ from kestrel.sources.io import add_tfidf, write_json
 
 #: Hashed features of the rounds' classifier.
 NUM_FEATURES = 1 << 16
+#: The parts of a corpus, and what the index's lists are read as.
+PARTS = {"index", "lemmas", "global_scores", "hashed"}
+VIEWS = {"weights": "index", "lemmas": "index"}
 
 
 @dataclass
@@ -56,7 +59,7 @@ class Corpus:
     that asks for hits alone does not wait for the other tables.
 
     With ``folder`` (shared storage, named by the corpus's content) the tables last, a folder and a manifest for each of these parts: a later
-    call, also of another process, reads them there.
+    call, also of another process, reads them there.  Once all parts are made, the folder's own manifest lists their tables and views.
     """
 
     def __init__(self, docs: DataFrame, folder: str | None = None):
@@ -73,6 +76,9 @@ class Corpus:
                 self._parts[name] = make(part.put if part else _scratch)
                 if part:
                     part.publish()
+            if self.folder and self._parts.keys() >= PARTS and manifest(self.docs.sparkSession, self.folder) is None:
+                tables = {t: part for part, tables in self._parts.items() for t in tables}
+                publish(self.docs.sparkSession, self.folder, {"tables": tables | VIEWS})
         return self._parts[name]
 
     def _index(self) -> dict[str, DataFrame]:
@@ -103,6 +109,11 @@ class Corpus:
         """doc_id, term (all tokens, lemmatised), bucket."""
         return self._index()["lists"].select("term", "bucket", F.inline("docs")).select("doc_id", "term", "bucket")
 
+    @property
+    def lemma_blocks(self) -> DataFrame:
+        """term, docs (array of doc_id, tf), bucket: ``lemmas`` as stored."""
+        return self._index()["lists"].select("term", "docs", "bucket")
+
     @property
     def vocab(self) -> DataFrame:
         """The distinct terms of ``lemmas``."""
@@ -111,8 +122,10 @@ class Corpus:
     @property
     def global_scores(self) -> DataFrame:
         """term, df, cf, score (cap 5000)."""
-        return self._tables("global_scores", lambda put: {"global_scores": put(
-            tfidf(self.docs, [], max_features=5000, post=self.index.postings).terms.select("term", "df", "cf", "score"), "global_scores")})["global_scores"]
+        def make(put):
+            t = self._index()
+            return {"global_scores": put(corpus_tfidf(t["lists"], t["n_docs"], 5000), "global_scores")}
+        return self._tables("global_scores", make)["global_scores"]
 
     @property
     def hashed(self) -> DataFrame:
@@ -121,10 +134,8 @@ class Corpus:
             hashed_terms(spread(self.docs), "text", NUM_FEATURES, "idx").select("doc_id", "idx"), "hashed")})["hashed"]
 
     def whole(self) -> Corpus:
-        """Makes all parts; with a folder, their tables are listed in its manifest."""
+        """Makes all parts."""
         self._index(), self._lemmas(), self.global_scores, self.hashed
-        if self.folder and manifest(self.docs.sparkSession, self.folder) is None:
-            publish(self.docs.sparkSession, self.folder, {"tables": {t: part for part, tables in self._parts.items() for t in tables}})
         return self
 
 
@@ -209,7 +220,7 @@ def run_round(spark: SparkSession, corpus: Corpus, cfg: RoundConfig, round_no: i
     hits_text = cut_lineage(merged.join(corpus.docs, "doc_id"))
     left = gated.select("category", F.col("review_id").alias("doc_id"))
     texts = cut_lineage(hits_text.select("category", "doc_id", "text").join(left, ["category", "doc_id"], "left_semi"))
-    cands, new_beams = expand(texts, beams, corpus.lemmas, corpus.n, corpus.global_scores, corpus.index.lexicon,
+    cands, new_beams = expand(texts, beams, corpus.lemma_blocks, corpus.n, corpus.global_scores, corpus.index.lexicon,
                               cfg.num_beams, w_local=cfg.w_local, w_spec=cfg.w_spec, vocab=corpus.vocab)
     new_beams = cut_lineage(new_beams)
     # Pseudo labels from the merged hits
@@ -305,7 +316,7 @@ def single_query_report(corpus: Corpus, spark: SparkSession, query: str, k: int
     q = spark.createDataFrame([("q", 1, query)], "category string, beam_id int, query string")
     hits = min_score(retrieve(index, q, k, ["category", "beam_id"]), threshold)
     texts = cut_lineage(hits.select("category", "doc_id").join(corpus.docs, "doc_id"))
-    cands = cut_lineage(rank_candidates(texts, q, corpus.lemmas, corpus.n, corpus.global_scores, index.lexicon,
+    cands = cut_lineage(rank_candidates(texts, q, corpus.lemma_blocks, corpus.n, corpus.global_scores, index.lexicon,
                                         top_n=top_n, w_local=0.6, w_spec=0.4, vocab=corpus.vocab))
     scored = three_way_scores(cands, pair_score_term(index, cands, hits))
     return hits, scored, top_candidates(scored)

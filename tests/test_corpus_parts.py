@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from kestrel.functions import text as X
 from kestrel.operators import relational as J
 from kestrel.operators import rerank as R
-from kestrel.operators.expand import doc_lemmas, lemma_vocabulary
-from kestrel.operators.tfidf import apply_term_rules, raw_blocks, raw_counts, raw_postings, shared_terms
+from kestrel.operators.expand import count_docs, doc_lemmas, lemma_vocabulary, substring_pairs
+from kestrel.operators.tfidf import apply_term_rules, corpus_tfidf, raw_blocks, raw_counts, raw_postings, shared_terms, tfidf
 from kestrel.plans.rounds import Corpus, prepare_corpus
 
 ROWS = [(1, "The cat and the Cats don't eat; boxes, box--fish... foxes"), (2, "cat"), (2, "cats fox 2"), (None, "cats box"), (None, "glass"), (3, None), (4, ""),
@@ -107,3 +107,34 @@ def test_a_round_makes_the_parts_that_it_asks_for(spark, tmpdir_path):
     run_rounds(spark, docs_of(spark), RoundConfig({"a": "cats"}, 1, 9, 9, None, train_model=False), 1, root=tmpdir_path)
     made = next(n for n in os.listdir(tmpdir_path) if n.startswith("corpus="))
     assert sorted(os.listdir(f"{tmpdir_path}/{made}")) == ["global_scores", "index", "lemmas"]
+
+
+@pytest.mark.parametrize("rows", [ROWS, ROWS[:2], ROWS[:1], ROWS + [(i, "cats fox fox glass box") for i in range(10, 30)], [(i, f"cat word{'abcde'[i % 5]}") for i in range(9)], []])
+@pytest.mark.parametrize("most", [2, 5000])
+def test_global_scores_by_blocks_equal_grouped_ones(spark, rows, most):
+    docs = docs_of(spark, rows)
+    index = R.build_index(docs)
+    old = tfidf(docs, [], max_features=most, post=index.postings).terms.select("term", "df", "cf", "score")
+    got = corpus_tfidf(index.lists, index.n_docs, most)
+    round_ = lambda df: [(t, d, c, round(s, 9)) for t, d, c, s in rows_of(df)]
+    assert round_(got) == round_(old) and got.schema.simpleString() == old.schema.simpleString()
+
+
+def test_blocks_meet_their_words_before_they_are_taken_apart(spark):
+    corpus = Corpus(docs_of(spark))
+    words = spark.createDataFrame([("cat",), ("ox",), ("a",), ("none",), ("",)], "word string")
+    pairs = substring_pairs(words, corpus.vocab)
+    blocks = corpus.lemma_blocks.select("term", F.col("docs.doc_id").alias("docs"))
+    by_rows, by_blocks = (count_docs(words, pairs, dl) for dl in (corpus.lemmas.select("doc_id", "term"), blocks))
+    assert rows_of(by_blocks) == rows_of(by_rows) and ("cat", 4) in rows_of(by_rows)
+    plan = by_blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(docs") < plan.rindex("Join Inner")  # above it
+
+
+def test_a_folder_lists_its_tables_once_all_parts_are_made(spark, tmpdir_path):
+    from kestrel.plans.run_store import manifest
+    corpus = Corpus(docs_of(spark), tmpdir_path + "/c")
+    corpus.vocab, corpus.global_scores
+    assert manifest(spark, tmpdir_path + "/c") is None
+    corpus.hashed
+    assert manifest(spark, tmpdir_path + "/c")["tables"].keys() >= {"lists", "weights", "lemmas", "vocab", "global_scores", "hashed"}
