@@ -119,6 +119,24 @@ def count_docs(words: DataFrame, pairs: DataFrame, dl: DataFrame, id_col: str =
             .withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")))
 
 
+def count_docs_by_scope(words: DataFrame, pairs: DataFrame, dl: DataFrame, scopes: DataFrame, id_col: str = "doc_id",
+                        scope_col: str = "category") -> tuple[DataFrame, DataFrame]:
+    """``count_docs`` of ``words`` (scope, word) in the documents of their scope (``scopes``: scope, doc), and in all documents, from one pass over ``dl``.
+
+    A document's scopes meet its words after these are told apart, so that both counts come from one short table: word, scopes, n.
+    """
+    met = dl.join(pairs, "term")
+    if "docs" in dl.columns:  # blocks meet their words whole, then they are taken apart
+        met = met.select("word", F.explode("docs").alias(id_col))
+    held = cut_lineage(scopes.groupBy(id_col).agg(F.array_sort(F.collect_set(scope_col)).alias("_scopes")))  # its size is known to the join
+    counted = cut_lineage(met.select(id_col, "word").distinct().join(held, id_col, "left").groupBy("word", "_scopes").agg(F.count(F.lit(1)).alias("n")))
+    local = counted.select("word", F.explode("_scopes").alias(scope_col), "n").groupBy(scope_col, "word").agg(F.sum("n").alias("n"))
+    whole = counted.groupBy("word").agg(F.sum("n").alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
+    return (words.select(scope_col, "word").distinct().join(local, [scope_col, "word"], "left").withColumn("n", n),
+            words.select("word").distinct().join(whole, "word", "left").withColumn("n", n))
+
+
 def substring_df(words: DataFrame, dl: DataFrame, id_col: str = "doc_id", scope_cols: Sequence[str] = ()) -> DataFrame:
     """Per word (and scope), the number of documents with a lemma containing the word.
 
@@ -192,12 +210,10 @@ def rank_candidates(texts: DataFrame, beams: DataFrame, corpus_lemmas: DataFrame
     corpus_lemmas = pruned(corpus_lemmas, pairs)  # the documents of those terms
     if "docs" in corpus_lemmas.columns:
         corpus_lemmas = corpus_lemmas.select("term", F.col(f"docs.{id_col}").alias("docs"))
-        rows = corpus_lemmas.select("term", F.explode("docs").alias(id_col))
     else:
-        corpus_lemmas = rows = corpus_lemmas.select(id_col, "term")
-    local_dl = texts.select("category", id_col).distinct().join(rows, id_col)
-    ldf = count_docs(words, pairs, local_dl, id_col, ["category"]).withColumnRenamed("n", "ldf")
-    gdf = count_docs(words.select("word").distinct(), pairs, corpus_lemmas, id_col).withColumnRenamed("n", "gdf")
+        corpus_lemmas = corpus_lemmas.select(id_col, "term")
+    ldf, gdf = count_docs_by_scope(words, pairs, corpus_lemmas, texts.select("category", id_col), id_col)
+    ldf, gdf = ldf.withColumnRenamed("n", "ldf"), gdf.withColumnRenamed("n", "gdf")
     n_local = texts.groupBy("category").agg(F.countDistinct(id_col).alias("L"))
     spec_in = (filtered.join(ldf, ["category", "word"]).join(gdf, "word")
                .join(n_local, "category").crossJoin(F.broadcast(n_corpus.select(F.col("n").alias("G")))))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.functions.arrow_words import plain, words
 from kestrel.functions.text import STOP_WORDS, lemma_map, tokens
 from kestrel.operators.relational import null_safe_join, top_n
 from kestrel.session import cut_lineage, spread
@@ -70,10 +71,12 @@ def raw_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lens = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            coded = batch.column(1).flatten().dictionary_encode()
-            rows = max(1, len(lens))
-            key, n = np.unique(coded.indices.to_numpy().astype(np.int64) * rows + np.repeat(np.arange(len(lens)), lens), return_counts=True)
+            found, lens = words(batch.column(1))
+            others = batch.column(2)
+            coded = pa.concat_arrays([found, others.flatten()]).dictionary_encode()
+            rows, place = max(1, len(lens)), np.arange(len(lens))
+            of = np.concatenate([np.repeat(place, lens), np.repeat(place, others.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            key, n = np.unique(coded.indices.to_numpy().astype(np.int64) * rows + of, return_counts=True)
             starts = np.flatnonzero(np.diff(key // rows, prepend=-1))  # where a token's rows begin
             ends = np.append(starts[1:], len(key))
             cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(key), TOKEN_ROWS)), len(starts)))
@@ -85,7 +88,10 @@ def raw_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     pair = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("tf", T.LongType())])
     out = T.StructType([T.StructField("token", T.StringType()), T.StructField("docs", T.ArrayType(pair))])
-    counted = spread(docs).select(id_col, tokens(text_col).alias("_t")).mapInArrow(count, out)
+    low = F.lower(F.col(text_col))  # most texts are split as whole batches, the others by ``tokens``
+    counted = (spread(docs).withColumn("_plain", plain(low))
+               .select(id_col, F.when(F.col("_plain"), F.concat(low, F.lit(" "))).alias("_w"), F.when(~F.col("_plain"), tokens(text_col)).alias("_t"))
+               .mapInArrow(count, out))
     if docs.groupBy(id_col).count().where("count > 1").isEmpty():
         return counted
     return one_each(counted.select("token", F.inline("docs")).groupBy(id_col, "token").agg(F.sum("tf").alias("tf")), id_col, "token")

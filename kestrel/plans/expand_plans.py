@@ -25,10 +25,10 @@ ROUND_COLS = ["local_tfidf", "local_tfidf_normalized", "global_tfidf", "category
 def _inputs(spark, sf_dir):
     idx, hits = first_stage(spark, sf_dir)
     rr = rerank(bm25(idx, hits, KEYS, "query"), K2, CE_T, KEYS)
-    merged = merge_beams(rr, "union", "doc_id")
+    merged = cut_lineage(merge_beams(rr, "union", "doc_id").select("category", "doc_id"))  # few rows of known size: the corpus's texts are not moved
     from kestrel.plans.corpus_cache import corpus_for
     corpus = corpus_for(spark, sf_dir)
-    texts = cut_lineage(merged.select("category", "doc_id").join(corpus.docs, "doc_id"))
+    texts = cut_lineage(merged.join(corpus.docs, "doc_id"))
     return idx, texts, corpus.lemma_blocks, corpus.n, corpus.global_scores, corpus.vocab
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from kestrel.plans.registry import register
 from kestrel.plans.rerank_plans import BASE, first_stage
-from kestrel.session import shared_dir
+from kestrel.session import cut_lineage, shared_dir
 from kestrel.sources import driver
 from kestrel.sources.io import read_json_table, search_results
 from kestrel.streaming.ingest import ingest
@@ -52,7 +52,7 @@ def search_result_counts(spark, sf_dir):
     """K2: the nested search-result document per beam query (counts shown; reviews nested)."""
     _, hits = first_stage(spark, sf_dir)
     docs = driver.table(spark, sf_dir, "documents").select("doc_id", "text")
-    h = (hits.join(docs, "doc_id")
+    h = (cut_lineage(hits).join(docs, "doc_id")  # few rows of known size: the corpus's texts are not moved
          .select(F.concat_ws("|", "category", F.col("beam_id").cast("string")).alias("query"),
                  F.col("doc_id").alias("review_id"), F.col("score").alias("cosine_similarity"), "text"))
     res = search_results(h, 0.1)

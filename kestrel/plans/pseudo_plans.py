@@ -22,9 +22,10 @@ def labelled_hits(spark, sf_dir):
     """The merged text hits of all beams as retrieval output: (review_id, label, ce_score, cosine_similarity, text)."""
     docs = driver.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), "text")
     merged = merge_beams(reranked(spark, sf_dir), "union", "doc_id")
-    # written: the rows are few (categories x beams x k), and what is asked of their texts is not asked of the whole corpus
-    return cut_lineage(merged.select(F.col("doc_id").alias("review_id"), F.col("category").alias("label"), "ce_score",
-                                     F.col("score").alias("cosine_similarity")).join(docs, "review_id"))
+    # written before and after: the rows are few (categories x beams x k); their size is known when they meet the corpus, whose texts then stay
+    # where they are, and what is asked of their texts is not asked of the whole corpus
+    rows = cut_lineage(merged.select(F.col("doc_id").alias("review_id"), F.col("category").alias("label"), "ce_score", F.col("score").alias("cosine_similarity")))
+    return cut_lineage(rows.join(docs, "review_id"))
 
 
 HITS_SQL = f"""{RERANKED},

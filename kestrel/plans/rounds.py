@@ -272,7 +272,10 @@ def round_document(res: RoundResult, cfg: RoundConfig, docs: DataFrame | None =
     beams = res.beams.groupBy("category").agg(F.array_sort(F.collect_list(F.struct(
         "beam_id", "query", "suggested_word", "expanded_query"))).alias("beams"))
     counts = res.hits.groupBy("category").agg(F.count(F.lit(1)).alias("total_after_merging"))
-    hits = res.hits if docs is None else res.hits.join(docs.select("doc_id", "text"), "doc_id", "left")
+    hits = res.hits
+    if docs is not None:  # the hits' texts are found where they lie: an outer join would move the whole corpus
+        found = cut_lineage(docs.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
+        hits = hits.join(found, "doc_id", "left")
     review = F.struct((-F.col("ce_score")).alias("_s"), F.col("doc_id").alias("review_id"), F.col("score").alias("cosine_similarity"), "ce_score",
                       *([] if docs is None else ["text"]))
     reviews = (hits.groupBy("category").agg(F.sort_array(F.collect_list(review)).alias("_r"))
@@ -314,7 +317,7 @@ def single_query_report(corpus: Corpus, spark: SparkSession, query: str, k: int
     (X6) -> (hits, candidates, stored top candidates (X7))."""
     index = corpus.index
     q = spark.createDataFrame([("q", 1, query)], "category string, beam_id int, query string")
-    hits = min_score(retrieve(index, q, k, ["category", "beam_id"]), threshold)
+    hits = cut_lineage(min_score(retrieve(index, q, k, ["category", "beam_id"]), threshold))  # k rows, read several times
     texts = cut_lineage(hits.select("category", "doc_id").join(corpus.docs, "doc_id"))
     cands = cut_lineage(rank_candidates(texts, q, corpus.lemma_blocks, corpus.n, corpus.global_scores, index.lexicon,
                                         top_n=top_n, w_local=0.6, w_spec=0.4, vocab=corpus.vocab))

@@ -25,7 +25,7 @@ from kestrel.sources.io import _fs, path_exists, write_table
 
 MANIFEST = "manifest.json"
 #: The modules whose code decides what a corpus or a round holds.
-CODE = ("kestrel.functions.text", "kestrel.operators.beams", "kestrel.operators.classify", "kestrel.operators.expand", "kestrel.operators.lists", "kestrel.operators.pseudo",
+CODE = ("kestrel.functions.arrow_words", "kestrel.functions.text", "kestrel.operators.beams", "kestrel.operators.classify", "kestrel.operators.expand", "kestrel.operators.lists", "kestrel.operators.pseudo",
         "kestrel.operators.relational", "kestrel.operators.rerank", "kestrel.operators.soft_targets", "kestrel.operators.tfidf", "kestrel.plans.rounds")
 
 
