@@ -82,6 +82,13 @@ def gram_index(vocab: DataFrame, lengths: Sequence[int] = range(1, GRAM + 1)) ->
             .select("term", F.explode(F.array_distinct(_grams("term", F.col("_n")))).alias("gram")).select("gram", "term"))
 
 
+def gram_rows(vocab: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """The rows of ``gram_index``, a gram as often as its term holds it: positions are rows, and no array of grams is made of a term."""
+    at = (vocab.select("term").distinct().withColumn("_n", F.explode(F.array(*[F.lit(x) for x in lengths]))).where(F.length("term") >= F.col("_n"))
+          .select("term", "_n", F.explode(F.sequence(F.lit(1), F.length("term") - F.col("_n") + 1)).alias("_at")))
+    return at.select(F.substring("term", F.col("_at"), F.col("_n")).alias("gram"), "term")
+
+
 def _grams(c: str, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda p: F.substring(F.col(c), p, n))
 
@@ -98,11 +105,12 @@ def substring_pairs(words: DataFrame, vocab: DataFrame, grams: DataFrame | None
                         .select("word", "_n", F.explode(F.array_distinct(_grams("word", F.col("_n")))).alias("gram")))
     if grams is None:
         lengths = sorted(r[0] for r in parts.select("_n").distinct().collect())  # GRAM numbers at most
-        grams = gram_index(vocab, lengths) if lengths else vocab.select(F.lit("").alias("gram"), "term").limit(0)
+        grams = gram_rows(vocab, lengths) if lengths else vocab.select(F.lit("").alias("gram"), "term").limit(0)
     whole = parts.groupBy("word").agg(F.count(F.lit(1)).alias("_all"))
     met = pruned(grams, parts, "gram").select("gram", "term").join(parts.select("word", "gram"), "gram")
     both = met.groupBy("word", "term").agg(F.count(F.lit(1)).alias("_k")).join(whole, "word")
-    return both.where((F.col("_k") == F.col("_all")) & F.col("term").contains(F.col("word"))).select("word", "term")
+    # a gram that a term repeats counts again: a term with all of them has _all at least
+    return both.where((F.col("_k") >= F.col("_all")) & F.col("term").contains(F.col("word"))).select("word", "term")
 
 
 def count_docs(words: DataFrame, pairs: DataFrame, dl: DataFrame, id_col: str = "doc_id",

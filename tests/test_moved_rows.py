@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kestrel.operators.expand import count_docs, count_docs_by_scope, substring_pairs
+from kestrel.operators.expand import count_docs, count_docs_by_scope, gram_index, gram_rows, substring_pairs
 from kestrel.plans import pseudo_plans, rounds
 from kestrel.session import cut_lineage
 
@@ -54,3 +54,14 @@ def test_a_round_document_has_the_texts_of_its_hits_and_no_others_are_moved(spar
     res = rounds.RoundResult(0, beams, hits, cands, None, None)
     row = rounds.round_document(res, rounds.RoundConfig({"en": "sea"}), docs).first()
     assert [(r.review_id, r.text) for r in row.reviews] == [(1, "one"), (2, None), (99, None)] and row.total_reviews_corpus == 4
+
+
+def test_words_are_found_in_terms_that_repeat_their_grams(spark):
+    vocab = ["banana", "ananas", "nanana", "anna", "an", "ab", "aaaa", "aaa", "naïveté", "évété", "b"]
+    words = ["ana", "anan", "nanan", "aaa", "aaaa", "an", "a", "té", "nab", "ananasb", "bananab"]
+    terms = spark.createDataFrame([(t,) for t in vocab * 2], "term string")
+    found = substring_pairs(spark.createDataFrame([(w,) for w in words], "word string"), terms)
+    assert sorted(map(tuple, found.collect())) == sorted((w, t) for w in words for t in vocab if w in t)
+    rows = gram_rows(terms, [1, 3])
+    assert rows.where("term = 'aaaa'").count() == 4 + 2 and "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in rows.collect()} == {tuple(r) for r in gram_index(terms, [1, 3]).collect()}
