@@ -79,7 +79,8 @@ def ruled_lists(blocks: DataFrame, lexicon: DataFrame, shared: DataFrame, id_col
 
 def rows_of_lists(lists: DataFrame) -> DataFrame:
     """(term, id, tf, and bucket if there is one) of the kept terms."""
-    return lists.where("kept").select("term", *[c for c in lists.columns if c == "bucket"], F.inline("docs"))
+    kept = F.coalesce("kept", F.lit(False))  # not for the reader, whose filters begin with the query's terms
+    return lists.where(kept).select("term", *[c for c in lists.columns if c == "bucket"], F.inline("docs"))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
